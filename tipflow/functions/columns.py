@@ -21,6 +21,8 @@ MONTH_NAMES_PT = ["janeiro", "fevereiro", "março", "abril", "maio", "junho",
                   "julho", "agosto", "setembro", "outubro", "novembro", "dezembro"]
 NO_CATEGORY = "Sem categoria"
 MONEY = "decimal(18,2)"
+# 1% as an exact decimal; a Python float literal would turn decimal math into double
+PCT = F.lit(0.01).cast("decimal(3,2)")
 MONEY_SUM = "decimal(38,2)"
 
 
@@ -80,6 +82,7 @@ def list_status(charge_status, batch_status_col, has_invoice) -> Column:
     return (F.when(bs.isin(PAID_STATUSES), "pago")
             .when(c(batch_status_col) == "C", "cancelado")
             .when(bs.isin(CANCELLED_STATUSES + ["expired"]), "cancelado")
+            .when(bs.isin(PENDING_STATUSES), "pendente")
             .when(~c(has_invoice), "cancelado")
             .otherwise("pendente"))
 
@@ -138,7 +141,7 @@ def fee_split(gross, rate, fee_type):
     """
     g = c(gross).cast("decimal(20,2)")
     r = F.coalesce(c(rate), F.lit(0).cast("decimal(9,4)"))
-    service = F.round(g * r * F.lit(0.01).cast("decimal(3,2)"), 2).cast(MONEY)
+    service = F.round(g * r * PCT, 2).cast(MONEY)
     is_a = c(fee_type) == "A"
     charge = F.when(is_a, g + service).otherwise(g).cast(MONEY)
     movement = F.when(is_a, g).otherwise(g - service).cast(MONEY)

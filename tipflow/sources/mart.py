@@ -235,6 +235,24 @@ SELECT CAST(c_nationkey AS BIGINT) AS cli_id, c_custkey + 2 AS line,
        CASE WHEN c_custkey % 11 = 6 THEN 'sem-arroba' ELSE lower(replace(c_name, '#', '.')) || '@Mail.test' END AS email,
        CASE WHEN c_custkey % 11 = 3 THEN NULL ELSE '(11) 9' || lpad(CAST(c_custkey AS STRING), 8, '0') END AS celular
 FROM {customer}""", ("customer",), ()),
+
+    "cancel_request": ("""
+SELECT batch_id, cli_id, 'operador.' || created_by || '.backoffice' AS actor
+FROM {batch} WHERE batch_id % 4 = 0""", (), ("batch",)),
+
+    "charge_reply": ("""
+SELECT 1000000 + user_id AS not_id, ts AS fetched_at, event_id AS seq,
+       CASE WHEN event_type = 'error' THEN '{{"error": "not found"}}'
+            ELSE '{{"data": {{"charge_id": ' || CAST(event_id AS STRING) || ', "status": "'
+                 || CASE event_type WHEN 'purchase' THEN 'paid' WHEN 'view' THEN 'waiting'
+                                    WHEN 'click' THEN 'active' ELSE 'canceled' END
+                 || '", "payment": {{"banking_billet": {{"barcode": "34191.' || lpad(CAST(event_id AS STRING), 5, '0')
+                 || ' 00000.000000 ' || CAST(user_id AS STRING) || '"'
+                 || CASE WHEN event_id % 3 = 0 THEN '' ELSE ', "pix": {{"qrcode": "000201' || CAST(event_id AS STRING) || '"}}' END
+                 || CASE WHEN event_id % 2 = 0 THEN ', "pdf": {{"charge": "https://pay.example/c' || CAST(event_id AS STRING) || '.pdf"}}'
+                         ELSE ', "billet_link": "https://pay.example/b' || CAST(event_id AS STRING) || '"' END
+                 || '}}}}}}}}' END AS reply
+FROM {events}""", ("events",), ()),
 }
 
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
