@@ -22,7 +22,8 @@ MONTH_NAMES_PT = ["janeiro", "fevereiro", "março", "abril", "maio", "junho",
 NO_CATEGORY = "Sem categoria"
 MONEY = "decimal(18,2)"
 # 1% as an exact decimal; a Python float literal would turn decimal math into double
-PCT = F.lit(0.01).cast("decimal(3,2)")
+def pct() -> Column:
+    return F.lit(0.01).cast("decimal(3,2)")
 MONEY_SUM = "decimal(38,2)"
 
 
@@ -115,7 +116,7 @@ def cpf_valid(col) -> Column:
     All-equal digit strings are rejected.  Pure column arithmetic.
     """
     s = pad_cpf(digits(col))
-    dig = [F.substring(s, i + 1, 1).cast("int") for i in range(11)]
+    dig = [F.substring(s, i + 1, 1).try_cast("int") for i in range(11)]
     s1 = sum(dig[i] * (10 - i) for i in range(9))
     s2 = sum(dig[i] * (11 - i) for i in range(10))
     r1 = (s1 * 10) % 11
@@ -123,13 +124,16 @@ def cpf_valid(col) -> Column:
     r1 = F.when(r1 == 10, 0).otherwise(r1)
     r2 = F.when(r2 == 10, 0).otherwise(r2)
     return (F.coalesce(
-        (F.length(s) == 11) & s.rlike(r"^[0-9]{11}$") & ~s.rlike(r"^(\d)\1{10}$")
+        (F.length(s) == 11) & s.rlike(r"^[0-9]{11}$") & (s != F.repeat(F.substring(s, 1, 1), 11))
         & (r1 == dig[9]) & (r2 == dig[10]), F.lit(False)))
 
 
+NUMBER_PREFIX = r"^([+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?)"
+
+
 def leading_number(col) -> Column:
     """``parseFloat``: the leading decimal number of a text, else NULL."""
-    m = F.regexp_extract(F.trim(c(col)), r"^([+-]?([0-9]+\.?[0-9]*|\.[0-9]+))", 1)
+    m = F.regexp_extract(F.trim(c(col)), NUMBER_PREFIX, 1)
     return F.when(m == "", F.lit(None)).otherwise(m).cast("double")
 
 
@@ -141,7 +145,7 @@ def fee_split(gross, rate, fee_type):
     """
     g = c(gross).cast("decimal(20,2)")
     r = F.coalesce(c(rate), F.lit(0).cast("decimal(9,4)"))
-    service = F.round(g * r * PCT, 2).cast(MONEY)
+    service = F.round(g * r * pct(), 2).cast(MONEY)
     is_a = c(fee_type) == "A"
     charge = F.when(is_a, g + service).otherwise(g).cast(MONEY)
     movement = F.when(is_a, g).otherwise(g - service).cast(MONEY)
@@ -156,3 +160,26 @@ def fee_type_default(col) -> Column:
 def month_label_pt(col) -> Column:
     names = F.array(*[F.lit(n) for n in MONTH_NAMES_PT])
     return F.concat(F.element_at(names, F.month(c(col))), F.lit(" de "), F.year(c(col)).cast("string"))
+
+
+EMAIL_PATTERN = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
+
+
+def parse_birth_date(col) -> Column:
+    """Sheet birth date: Excel serial number, dd/mm/yyyy, d/m/yy[yy] or yyyy-mm-dd.
+
+    Two-digit years above 50 are 19xx, else 20xx.  The normalized text must
+    read yyyy-mm-dd and be a real calendar date, otherwise NULL.
+    """
+    t = F.trim(c(col))
+    parts = F.split(t, "/")
+    d = F.lpad(F.try_element_at(parts, F.lit(1)), 2, "0")
+    mth = F.lpad(F.try_element_at(parts, F.lit(2)), 2, "0")
+    y = F.try_element_at(parts, F.lit(3))
+    y = F.when(F.length(y) == 2, F.concat(F.when(y.try_cast("int") > 50, F.lit("19")).otherwise(F.lit("20")), y)).otherwise(y)
+    text = (F.when(t.rlike(r"^[0-9]{2}/[0-9]{2}/[0-9]{4}$") | t.rlike(r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}$"),
+                   F.concat_ws("-", y, mth, d))
+            .otherwise(t))
+    serial = F.date_add(F.to_date(F.lit("1899-12-30")), t.try_cast("int"))
+    return (F.when(t.rlike(r"^[0-9]+$"), serial)
+            .when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_date(text, "yyyy-MM-dd")))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tipflow.functions.columns import (MONEY, MONEY_SUM, PAID_STATUSES, PCT, badge_status, digits,
+from tipflow.functions.columns import (MONEY, MONEY_SUM, PAID_STATUSES, pct, badge_status, digits,
                                        distinct_from, fee_split, fee_type_default, in_period,
                                        list_status, lower_in)
 from tipflow.sources.mart import Mart
@@ -165,9 +165,9 @@ def fee_preview(m: Mart, cli_id=None) -> DataFrame:
     t = m.tenant.select("cli_id", F.coalesce("fee_rate", F.lit(0).cast("decimal(9,4)")).alias("rate"),
                         (F.col("fee_type") == "A").alias("is_a"))
     c = _tenant_filter(m.credit, cli_id).join(t, "cli_id")
-    fee_i = F.when(F.col("rate") > 0, F.round(F.col("credit_value") * F.col("rate") * PCT, 2)).otherwise(0)
+    fee_i = F.when(F.col("rate") > 0, F.round(F.col("credit_value") * F.col("rate") * pct(), 2)).otherwise(0)
     net_i = F.when((F.col("rate") > 0) & ~F.col("is_a"),
-                   F.round(F.col("credit_value") - F.col("credit_value") * F.col("rate") * PCT, 2)
+                   F.round(F.col("credit_value") - F.col("credit_value") * F.col("rate") * pct(), 2)
                    ).otherwise(F.col("credit_value"))
     s = (c.groupBy("batch_id", "cli_id", "is_a")
          .agg(F.sum("credit_value").alias("gross"), F.sum(fee_i).alias("fee"), F.sum(net_i).alias("net")))
@@ -185,11 +185,11 @@ def list_net_and_charge(m: Mart, cli_id=None) -> DataFrame:
     h = topup_history(m, cli_id=cli_id)
     r = F.col("fee_rate")
     g = F.col("gross")
-    pct = g * r * PCT
+    fee = g * r * pct()
     return h.select("batch_id", "cli_id", "not_id", g.alias("gross"),
-                    F.when((r > 0) & (F.col("fee_type") != "A"), F.round(g - pct, 2)).otherwise(g)
+                    F.when((r > 0) & (F.col("fee_type") != "A"), F.round(g - fee, 2)).otherwise(g)
                     .cast(MONEY_SUM).alias("net_value"),
-                    F.when((r > 0) & (F.col("fee_type") == "A"), F.round(g + pct, 2)).otherwise(g)
+                    F.when((r > 0) & (F.col("fee_type") == "A"), F.round(g + fee, 2)).otherwise(g)
                     .cast(MONEY_SUM).alias("charge_value"))
 
 

@@ -253,6 +253,35 @@ SELECT 1000000 + user_id AS not_id, ts AS fetched_at, event_id AS seq,
                          ELSE ', "billet_link": "https://pay.example/b' || CAST(event_id AS STRING) || '"' END
                  || '}}}}}}}}' END AS reply
 FROM {events}""", ("events",), ()),
+    "category_change": ("""
+SELECT c_custkey AS usr_id, k.set_id
+FROM {customer} JOIN {category} AS k ON k.cli_id = CAST(c_nationkey AS BIGINT)
+WHERE c_custkey % 6 = 0 AND k.set_name IN ('AUTOMOBILE', 'MACHINERY')""", ("customer",), ("category",)),
+
+    "category_delete": ("""
+SELECT set_id, cli_id FROM {category} WHERE set_name = 'FURNITURE' AND cli_id % 4 = 0""", (), ("category",)),
+
+    "collab_change": ("""
+SELECT usr_id, cli_id,
+       CASE WHEN usr_id % 8 = 0 THEN 'status' ELSE 'update' END AS op,
+       CASE WHEN usr_id % 8 = 0 THEN 3 - sit_id ELSE NULL END AS new_sit_id,
+       CASE WHEN usr_id % 8 = 4 THEN '  ' || lower(usr_name) || ' ' ELSE NULL END AS new_name,
+       CASE WHEN usr_id % 8 = 4 THEN upper(email) ELSE NULL END AS new_email,
+       CASE WHEN usr_id % 8 = 4 THEN '(11) 9' || substr(phone, 4, 8) ELSE NULL END AS new_phone
+FROM {collaborator} WHERE usr_id % 4 = 0""", (), ("collaborator",)),
+
+    "limit_change": ("""
+SELECT cli_id, pix_limit AS old_limit,
+       CASE WHEN cli_id % 5 = 0 THEN pix_limit + 50 WHEN cli_id % 5 = 1 THEN NULL
+            ELSE CAST(pix_limit - 60 AS DECIMAL(18,2)) END AS new_limit
+FROM {tenant}""", (), ("tenant",)),
+
+    "login_attempt": ("""
+SELECT event_id AS attempt_id,
+       CASE WHEN user_id % 2 = 0 THEN 'USER' || CAST(user_id % 30 * 50 AS STRING)
+            ELSE 'u' || CAST(user_id % 30 * 50 AS STRING) || '@portal.TEST' END AS identifier,
+       ts AS attempted_at
+FROM {events} WHERE event_type = 'signup'""", ("events",), ()),
 }
 
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
