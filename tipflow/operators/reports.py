@@ -15,6 +15,7 @@ from tipflow.functions.columns import (MONEY_SUM, NO_CATEGORY, PAID_STATUSES, ba
                                        digits, in_period, lower_in, month_label_pt,
                                        sql_digits, status_label)
 from tipflow.sources.mart import Mart
+from tipflow.sources.sinks import write_csv  # noqa: F401  (A4 sink used by report exports)
 
 
 def _credit_invoice_parts(m: Mart) -> DataFrame:
@@ -202,14 +203,6 @@ def report_export_topups(m: Mart, start, end, cli_id=None) -> DataFrame:
     return rows.unionByName(totals)
 
 
-def write_csv(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """A4 file sink: header CSV, one folder per partition value when asked."""
-    w = df.write.mode("overwrite").option("header", True)
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.csv(path)
-
-
 def batch_statement(m: Mart, cli_id=None) -> DataFrame:
     """Numbered statement lines per batch (gross, discount, net) plus a totals line.
 
