@@ -104,18 +104,23 @@ def sql_digits(col) -> Column:
     return F.replace(F.replace(c(col), F.lit("."), F.lit("")), F.lit("-"), F.lit(""))
 
 
+def let(value, fn) -> Column:
+    """Evaluate ``value`` once and hand it to ``fn`` as a lambda variable.
+
+    Long rule expressions reference their input many times; when Catalyst
+    pushes a filter through the projection that computed the input, the
+    input expression would be copied into every reference.  Binding it to a
+    lambda variable keeps it a single evaluation.
+    """
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def pad_cpf(col) -> Column:
     """``padStart(11, '0')`` on a non-empty digit string; never shortens."""
-    d = c(col)
-    return F.when((F.length(d) > 0) & (F.length(d) < 11), F.lpad(d, 11, "0")).otherwise(d)
+    return let(c(col), lambda d: F.when((F.length(d) > 0) & (F.length(d) < 11), F.lpad(d, 11, "0")).otherwise(d))
 
 
-def cpf_valid(col) -> Column:
-    """Two mod-11 check digits over a CPF given with or without mask.
-
-    All-equal digit strings are rejected.  Pure column arithmetic.
-    """
-    s = pad_cpf(digits(col))
+def _cpf_check(s) -> Column:
     dig = [F.substring(s, i + 1, 1).try_cast("int") for i in range(11)]
     s1 = sum(dig[i] * (10 - i) for i in range(9))
     s2 = sum(dig[i] * (11 - i) for i in range(10))
@@ -123,9 +128,18 @@ def cpf_valid(col) -> Column:
     r2 = (s2 * 10) % 11
     r1 = F.when(r1 == 10, 0).otherwise(r1)
     r2 = F.when(r2 == 10, 0).otherwise(r2)
-    return (F.coalesce(
+    return F.coalesce(
         (F.length(s) == 11) & s.rlike(r"^[0-9]{11}$") & (s != F.repeat(F.substring(s, 1, 1), 11))
-        & (r1 == dig[9]) & (r2 == dig[10]), F.lit(False)))
+        & (r1 == dig[9]) & (r2 == dig[10]), F.lit(False))
+
+
+def cpf_valid(col) -> Column:
+    """Two mod-11 check digits over a CPF given with or without mask.
+
+    All-equal digit strings are rejected.  Pure column arithmetic over the
+    padded digits, which are computed once (see :func:`let`).
+    """
+    return F.coalesce(let(pad_cpf(digits(col)), _cpf_check), F.lit(False))
 
 
 NUMBER_PREFIX = r"^([+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?)"
@@ -171,15 +185,17 @@ def parse_birth_date(col) -> Column:
     Two-digit years above 50 are 19xx, else 20xx.  The normalized text must
     read yyyy-mm-dd and be a real calendar date, otherwise NULL.
     """
-    t = F.trim(c(col))
-    parts = F.split(t, "/")
-    d = F.lpad(F.try_element_at(parts, F.lit(1)), 2, "0")
-    mth = F.lpad(F.try_element_at(parts, F.lit(2)), 2, "0")
-    y = F.try_element_at(parts, F.lit(3))
-    y = F.when(F.length(y) == 2, F.concat(F.when(y.try_cast("int") > 50, F.lit("19")).otherwise(F.lit("20")), y)).otherwise(y)
-    text = (F.when(t.rlike(r"^[0-9]{2}/[0-9]{2}/[0-9]{4}$") | t.rlike(r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}$"),
-                   F.concat_ws("-", y, mth, d))
-            .otherwise(t))
-    serial = F.date_add(F.to_date(F.lit("1899-12-30")), t.try_cast("int"))
-    return (F.when(t.rlike(r"^[0-9]+$"), serial)
-            .when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_date(text, "yyyy-MM-dd")))
+    def parse(t):
+        parts = F.split(t, "/")
+        d = F.lpad(F.try_element_at(parts, F.lit(1)), 2, "0")
+        mth = F.lpad(F.try_element_at(parts, F.lit(2)), 2, "0")
+        y = F.try_element_at(parts, F.lit(3))
+        y = F.when(F.length(y) == 2,
+                   F.concat(F.when(y.try_cast("int") > 50, F.lit("19")).otherwise(F.lit("20")), y)).otherwise(y)
+        slashed = t.rlike(r"^[0-9]{2}/[0-9]{2}/[0-9]{4}$") | t.rlike(r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}$")
+        text = F.when(slashed, F.concat_ws("-", y, mth, d)).otherwise(t)
+        serial = F.date_add(F.to_date(F.lit("1899-12-30")), t.try_cast("int"))
+        return (F.when(t.rlike(r"^[0-9]+$"), serial)
+                .when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_date(text, "yyyy-MM-dd")))
+
+    return let(F.trim(c(col)), parse)
