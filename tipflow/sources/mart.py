@@ -14,6 +14,9 @@ become CTE names (see :func:`duckdb_prelude`).
 
 from __future__ import annotations
 
+import os
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 # Fixed values of the reference: status ids and labels (constants.js).
@@ -314,15 +317,23 @@ def duckdb_prelude(names) -> str:
 
 
 class Mart:
-    """Lazily built domain DataFrames for one data folder.
-
-    Driver tables are read with ``spark.read.parquet``; column pruning and
-    filter pushdown reach the scan because every mapping is a plain SQL plan.
+    """Domain DataFrames for one data folder, built once per session.
+
+    Each domain table is derived with ``spark.sql`` and, unless disabled
+    (``TIPFLOW_MATERIALIZE=0``), written once as parquet under the shared
+    checkpoint folder (``spark.checkpoint.dir``) and read back: the queries
+    then scan stored domain tables with column pruning and filter pushdown,
+    as they would scan the production tables, and the derivation does not
+    repeat per query.  The path carries the application id, so a new
+    session never reads another session's tables.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool | None = None):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        if materialize is None:
+            materialize = os.environ.get("TIPFLOW_MATERIALIZE", "1") != "0"
+        self.materialize = materialize
         self._frames: dict[str, DataFrame] = {}
 
     def driver(self, name: str) -> DataFrame:
@@ -336,12 +347,27 @@ class Mart:
             raise AttributeError(name)
         return self.table(name)
 
+    def _store(self) -> str:
+        from tipflow.session import checkpoint_dir
+        app = re.sub(r"[^A-Za-z0-9_-]", "_", self.spark.sparkContext.applicationId)
+        src = re.sub(r"[^A-Za-z0-9_-]", "_", self.sf_dir)
+        return f"{checkpoint_dir(self.spark).rstrip('/')}/tipflow-mart/{app}/{src}"
+
+    def derive(self, name: str) -> DataFrame:
+        """The domain table as a plan over the driver tables (no materialization)."""
+        sql, drivers, deps = MART[name]
+        binds = {d: self.driver(d) for d in drivers}
+        binds.update({d: self.table(d) for d in deps})
+        return self.spark.sql(sql, **binds)
+
     def table(self, name: str) -> DataFrame:
         if name not in self._frames:
-            sql, drivers, deps = MART[name]
-            binds = {d: self.driver(d) for d in drivers}
-            binds.update({d: self.table(d) for d in deps})
-            self._frames[name] = self.spark.sql(sql, **binds)
+            df = self.derive(name)
+            if self.materialize:
+                path = f"{self._store()}/{name}"
+                df.write.mode("overwrite").parquet(path)
+                df = self.spark.read.parquet(path)
+            self._frames[name] = df
         return self._frames[name]
 
 
