@@ -96,3 +96,13 @@ def test_lower_limit_only_when_lowered(spark):
     out = ch.lower_pix_limit(m, changes)
     assert out.filter(F.col("cli_id") != 0).count() == 0
     assert out.filter((F.col("day_value") > 50) | (F.col("night_value") > 50)).count() == 0
+
+
+def test_number_within_hot_group(spark):
+    # one group holds most rows: it must be numbered 1..n without gaps, like row_number()
+    df = spark.range(0, 5000).select(F.when(F.col("id") % 10 < 8, F.lit(0)).otherwise(F.col("id") % 7).alias("g"),
+                                     (F.col("id") * 13 % 5000).alias("k"))
+    got = ids.number_within(df, ["g"], ["k"], "rn", partitions=8)
+    from pyspark.sql import Window
+    want = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("k")))
+    assert sorted(got.collect()) == sorted(want.select("g", "k", "rn").collect())

@@ -69,3 +69,37 @@ def new_category_ids(m: Mart) -> DataFrame:
     fresh = wanted_categories(m).join(existing, ["cli_id", "set_name"], "left_anti")
     current_max = m.category.agg(F.coalesce(F.max("set_id"), F.lit(0)).alias("m"))
     return dense_ids(fresh, ["cli_id", "set_name"], current_max, "set_id").select("cli_id", "set_name", "set_id")
+
+
+def number_within(df: DataFrame, group_cols: list[str], order_cols: list[str], out_col: str = "line",
+                  partitions: int | None = None) -> DataFrame:
+    """``row_number() OVER (PARTITION BY group ORDER BY order)`` without a per-group task.
+
+    Rows are range-partitioned and sorted by (group, order), so each group is
+    a contiguous run spread over one or more partitions.  Per (partition,
+    group) the row count and first position are aggregated (at most
+    #groups + #partitions rows), turned into per-group offsets with a window
+    over that small frame (a group spans at most #partitions rows there), and
+    joined back on (partition, group).  A group holding a third of all rows
+    is therefore numbered by many tasks in parallel.  ``order_cols`` must
+    make the order total within a group.
+
+    The sorted, tagged rows are checkpointed: the partition a row lands in
+    must be the same for the counts and for the numbered rows, and two
+    evaluations of a range repartition are not guaranteed to agree.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = group_cols + order_cols
+    tagged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+              .withColumn("_pid", F.spark_partition_id())
+              .withColumn("_pos", F.monotonically_increasing_id()
+                          - F.shiftleft(F.spark_partition_id().cast("long"), 33))
+              .checkpoint(eager=True))
+    runs = tagged.groupBy("_pid", *group_cols).agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first"))
+    w = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = runs.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    return (tagged.join(offsets.select("_pid", *group_cols, "_off", "_first"), ["_pid", *group_cols])
+            .withColumn(out_col, (F.col("_off") + F.col("_pos") - F.col("_first") + 1).cast("int"))
+            .drop("_pid", "_pos", "_off", "_first"))

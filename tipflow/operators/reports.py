@@ -208,24 +208,26 @@ def batch_statement(m: Mart, cli_id=None) -> DataFrame:
 
     Net per line is gross x (movement / gross total of the batch), rounded to
     cents; discount = gross - net.  ``show_discount`` is true when the fee rate
-    is positive and the type is 'D'.
+    is positive and the type is 'D'.  Line numbers come from
+    :func:`number_within`, so a very large batch is numbered by many tasks.
     """
-    from tipflow.operators.topups import detail_totals
-    tot = detail_totals(m, cli_id).select("batch_id", "gross", "net_total", "fee_rate", "fee_type")
+    from tipflow.operators.ids import number_within
+    from tipflow.operators.topups import batch_totals, line_net
+    tot = batch_totals(m, cli_id).select("batch_id", "gross", "net_total", "fee_rate", "fee_type")
     c = m.credit if cli_id is None else m.credit.filter(F.col("cli_id") == cli_id)
-    lines = (c.join(m.collaborator.select("usr_id", "usr_name"), "usr_id")
+    lines = (c.select("cli_id", "batch_id", "usr_id", "credit_value", "credit_date")
+             .join(m.collaborator.select("usr_id", "usr_name"), "usr_id")
              .join(tot, "batch_id")
-             .withColumn("net", F.when(F.col("gross") > 0,
-                                       F.round(F.col("credit_value") * F.col("net_total") / F.col("gross"), 2))
-                         .otherwise(F.col("credit_value")).cast("decimal(18,2)")))
-    w = Window.partitionBy("batch_id").orderBy("usr_name", "usr_id", "credit_value", "credit_date")
-    items = lines.select(
-        "cli_id", "batch_id", F.row_number().over(w).alias("line"), "usr_name",
-        F.col("credit_value").cast(MONEY_SUM).alias("gross"),
-        (F.col("credit_value") - F.col("net")).cast(MONEY_SUM).alias("discount"),
-        F.col("net").cast(MONEY_SUM).alias("net"),
-        ((F.col("fee_rate") > 0) & (F.col("fee_type") == "D")).alias("show_discount"))
-    totals = items.groupBy("cli_id", "batch_id", "show_discount").agg(
+             .select("cli_id", "batch_id", "usr_name", "usr_id", "credit_value", "credit_date",
+                     line_net().alias("net"),
+                     ((F.col("fee_rate") > 0) & (F.col("fee_type") == "D")).alias("show_discount"))
+             .select("cli_id", "batch_id", "usr_name", "usr_id", "credit_value", "credit_date",
+                     F.col("credit_value").cast(MONEY_SUM).alias("gross"),
+                     (F.col("credit_value") - F.col("net")).cast(MONEY_SUM).alias("discount"),
+                     F.col("net").cast(MONEY_SUM).alias("net"), "show_discount"))
+    items = number_within(lines, ["batch_id"], ["usr_name", "usr_id", "credit_value", "credit_date"], "line")
+    items = items.select("cli_id", "batch_id", "line", "usr_name", "gross", "discount", "net", "show_discount")
+    totals = lines.groupBy("cli_id", "batch_id", "show_discount").agg(
         F.sum("gross").cast(MONEY_SUM).alias("gross"), F.sum("discount").cast(MONEY_SUM).alias("discount"),
         F.sum("net").cast(MONEY_SUM).alias("net")).select(
         "cli_id", "batch_id", F.lit(None).cast("int").alias("line"), F.lit("TOTAL").alias("usr_name"),

@@ -111,15 +111,13 @@ def topup_detail(m: Mart, cli_id=None, batch_id=None) -> DataFrame:
                                                   "pdf_url", "qrcode_url", "charge_status"]]))
 
 
-def detail_totals(m: Mart, cli_id=None) -> DataFrame:
-    """D3: per batch: gross; stored charge/service/movement when an invoice exists.
+def batch_totals(m: Mart, cli_id=None) -> DataFrame:
+    """D3 totals per batch: gross; stored charge/service/movement when an invoice exists.
 
     With an invoice the type is inferred ('A' when charge > gross + 0.005) and
     the rate is service / gross in percent; without one, the tenant's current
-    rate and type apply through :func:`fee_split`.  ``net_sum`` adds the
-    per-line nets (gross x movement / gross total, rounded per line), and
-    ``cent_drift`` = net_sum - net_total.  The invoice of a batch is the
-    highest invoice id its credits reference.
+    rate and type apply through :func:`fee_split`.  The invoice of a batch is
+    the highest invoice id its credits reference.
     """
     c = _tenant_filter(m.credit, cli_id)
     g = c.groupBy("batch_id", "cli_id").agg(F.sum("credit_value").cast("decimal(20,2)").alias("gross"),
@@ -128,20 +126,31 @@ def detail_totals(m: Mart, cli_id=None) -> DataFrame:
     t = m.tenant.select("cli_id", "fee_rate", "fee_type")
     cur_service, cur_charge, cur_move = fee_split("gross", "fee_rate", "fee_type")
     has = F.col("invoice_value").isNotNull()
-    tot = (g.join(inv, "not_id", "left").join(t, "cli_id")
-           .select("batch_id", "cli_id", "gross", has.alias("has_invoice"),
-                   F.when(has, F.col("invoice_value")).otherwise(cur_charge).cast(MONEY).alias("charge_value"),
-                   F.when(has, F.col("service_value")).otherwise(cur_service).cast(MONEY).alias("service_value"),
-                   F.when(has, F.col("movement_value")).otherwise(cur_move).cast(MONEY).alias("net_total"),
-                   F.when(has, F.when(F.col("invoice_value") > F.col("gross") + F.lit(0.005), "A").otherwise("D"))
-                   .otherwise(F.when(F.col("fee_type") == "A", "A").otherwise("D")).alias("fee_type"),
-                   F.when(has, F.when(F.col("gross") > 0,
-                                      F.round(F.col("service_value") * 100 / F.col("gross"), 2)).otherwise(0))
-                   .otherwise(F.coalesce("fee_rate", F.lit(0))).cast("decimal(9,2)").alias("fee_rate")))
-    nets = (c.join(tot.select("batch_id", "gross", "net_total"), "batch_id")
-            .groupBy("batch_id").agg(F.sum(
-                F.when(F.col("gross") > 0, F.round(F.col("credit_value") * F.col("net_total") / F.col("gross"), 2))
-                .otherwise(F.col("credit_value"))).cast(MONEY_SUM).alias("net_sum")))
+    return (g.join(inv, "not_id", "left").join(t, "cli_id")
+            .select("batch_id", "cli_id", "gross", has.alias("has_invoice"),
+                    F.when(has, F.col("invoice_value")).otherwise(cur_charge).cast(MONEY).alias("charge_value"),
+                    F.when(has, F.col("service_value")).otherwise(cur_service).cast(MONEY).alias("service_value"),
+                    F.when(has, F.col("movement_value")).otherwise(cur_move).cast(MONEY).alias("net_total"),
+                    F.when(has, F.when(F.col("invoice_value") > F.col("gross") + F.lit(0.005), "A").otherwise("D"))
+                    .otherwise(F.when(F.col("fee_type") == "A", "A").otherwise("D")).alias("fee_type"),
+                    F.when(has, F.when(F.col("gross") > 0,
+                                       F.round(F.col("service_value") * 100 / F.col("gross"), 2)).otherwise(0))
+                    .otherwise(F.coalesce("fee_rate", F.lit(0))).cast("decimal(9,2)").alias("fee_rate")))
+
+
+def line_net(credit_value="credit_value", gross="gross", net_total="net_total"):
+    """Net of one line: gross_line x (movement / gross of the batch), rounded to cents."""
+    return (F.when(F.col(gross) > 0, F.round(F.col(credit_value) * F.col(net_total) / F.col(gross), 2))
+            .otherwise(F.col(credit_value)).cast(MONEY))
+
+
+def detail_totals(m: Mart, cli_id=None) -> DataFrame:
+    """D3: :func:`batch_totals` plus ``net_sum`` (per-line nets, each rounded, summed)
+    and ``cent_drift`` = net_sum - net_total."""
+    tot = batch_totals(m, cli_id)
+    nets = (_tenant_filter(m.credit, cli_id).select("batch_id", "credit_value")
+            .join(tot.select("batch_id", "gross", "net_total"), "batch_id")
+            .groupBy("batch_id").agg(F.sum(line_net()).cast(MONEY_SUM).alias("net_sum")))
     return (tot.join(nets, "batch_id")
             .withColumn("cent_drift", (F.col("net_sum") - F.col("net_total")).cast(MONEY_SUM))
             .withColumn("gross", F.col("gross").cast(MONEY_SUM)))
