@@ -117,10 +117,15 @@ def acceptance_rate(users: DataFrame) -> DataFrame:
 
 
 def tenant_cnpj_duplicates(m: Mart) -> DataFrame:
-    """CNPJs (digits) used by more than one tenant, with the tenant ids."""
-    return (m.tenant.groupBy(digits("cnpj").alias("cnpj_digits"))
-            .agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list(F.col("cli_id").cast("string"))), ",").alias("cli_ids"))
-            .filter(F.col("n") > 1))
+    """Tenants whose CNPJ (digits) is used by more than one tenant.
+
+    One row per (CNPJ, tenant) with the group size: the count is an
+    aggregate and the tenants come back through a join, so no group is
+    gathered into a list.
+    """
+    t = m.tenant.select("cli_id", digits("cnpj").alias("cnpj_digits"))
+    dup = t.groupBy("cnpj_digits").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    return t.join(dup, "cnpj_digits").select("cnpj_digits", "cli_id", "n")
 
 
 def password_expiry_due(m: Mart, as_of: str) -> DataFrame:

@@ -12,7 +12,7 @@ pulled into a single task.  The streaming form in
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tipflow.sources.mart import Mart
@@ -135,16 +135,19 @@ def backfill_pairs(m: Mart, grain: str = "day") -> DataFrame:
 
     Both sides are numbered per (tenant, day) in id order and paired on equal
     numbers; ``grain='year'`` pairs per tenant and year.  Each row carries the
-    number of unlinked credits of the batch.
+    number of unlinked credits of the batch.  Numbering uses
+    :func:`number_within`, so a tenant with a huge number of batches in one
+    period is still numbered by many tasks.
     """
+    from tipflow.operators.ids import number_within
     unlinked = (m.credit.filter(F.col("not_id").isNull() & F.col("batch_id").isNotNull())
                 .groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_credits")))
-    rb = (m.batch.join(unlinked, "batch_id")
-          .withColumn("g", _grain("imported_at", grain))
-          .withColumn("rn", F.row_number().over(Window.partitionBy("cli_id", "g").orderBy("batch_id"))))
-    nb = (m.invoice.filter(F.col("situation") == "A")
-          .select("not_id", "cli_id", _grain("issue_date", grain).alias("g"))
-          .withColumn("rn", F.row_number().over(Window.partitionBy("cli_id", "g").orderBy("not_id"))))
+    rb = number_within(m.batch.join(unlinked, "batch_id")
+                       .select("batch_id", "cli_id", "n_credits", _grain("imported_at", grain).alias("g")),
+                       ["cli_id", "g"], ["batch_id"], "rn")
+    nb = number_within(m.invoice.filter(F.col("situation") == "A")
+                       .select("not_id", "cli_id", _grain("issue_date", grain).alias("g")),
+                       ["cli_id", "g"], ["not_id"], "rn")
     return (rb.join(nb, ["cli_id", "g", "rn"])
             .select("batch_id", "cli_id", F.col("g").cast("string").alias("period"), "not_id", "n_credits"))
 

@@ -114,11 +114,12 @@ def terms_acceptance_rate(m):
 
 
 @register("tenant_cnpj_duplicates", ["tenant"], """
-SELECT regexp_replace(cnpj, '[^0-9]', '', 'g') AS cnpj_digits, COUNT(*) AS n,
-       string_agg(CAST(cli_id AS VARCHAR), ',' ORDER BY CAST(cli_id AS VARCHAR)) AS cli_ids
-FROM tenant GROUP BY 1 HAVING COUNT(*) > 1""")
+SELECT d.cnpj_digits, t.cli_id, d.n FROM (
+  SELECT regexp_replace(cnpj, '[^0-9]', '', 'g') AS cnpj_digits, COUNT(*) AS n
+  FROM tenant GROUP BY 1 HAVING COUNT(*) > 1) d
+JOIN tenant t ON regexp_replace(t.cnpj, '[^0-9]', '', 'g') = d.cnpj_digits""")
 def tenant_cnpj_duplicates(m):
-    """CNPJs shared by more than one tenant."""
+    """Tenants sharing a CNPJ with another tenant."""
     return a.tenant_cnpj_duplicates(m)
 
 
