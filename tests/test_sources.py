@@ -15,7 +15,8 @@ from .conftest import SF_SMALL
 def test_credit_sheets_lines_and_rejections(spark, scratch):
     m = mart(spark, SF_SMALL)
     sheet = m.credit_sheet.orderBy("line").select("nome", "cpf", "valor", "categoria")
-    sheet.limit(40).coalesce(1).write.option("header", True).csv(f"{scratch}/in/a")
+    (sheet.limit(40).coalesce(1).write.option("header", True)
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{scratch}/in/a"))
     big = spark.range(0, 5001).select(F.lit("X").alias("nome"), F.lit("52998224725").alias("cpf"),
                                       F.lit("10").alias("valor"), F.lit("A").alias("categoria"))
     big.coalesce(1).write.option("header", True).csv(f"{scratch}/in/b")

@@ -35,6 +35,7 @@ def read_sheets(spark: SparkSession, path: str, headers: dict, sep: str = ",") -
     window, bounded by the 5,000-row limit of a sheet.
     """
     raw = (spark.read.option("header", True).option("sep", sep).option("inferSchema", False)
+           .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
            .csv(path).withColumn("file", F.input_file_name()))
     present = set(raw.columns)
     cols = []
