@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tipflow.session import tune
 from tipflow.sources.mart import duckdb_prelude, mart
 
 # Fixed run parameters for the registered queries.  The period spans all
@@ -31,6 +32,7 @@ def register(key: str, needs=(), sql: str | None = None):
 
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            tune(spark)  # UTC session time, AQE, measured-size broadcast limit
             return fn(mart(spark, sf_dir))
 
         run.__name__ = key
