@@ -12,9 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tipflow.functions.columns import (MONEY, MONEY_SUM, PAID_STATUSES, pct, badge_status, digits,
+from tipflow.functions.columns import (MONEY, MONEY_SUM, PAID_STATUSES, badge_status, digits,
                                        distinct_from, fee_split, fee_type_default, in_period,
-                                       list_status, lower_in)
+                                       leading_number, list_status, lower_in, pct, sql_digits)
 from tipflow.sources.mart import Mart
 
 FINAL_CHARGE_STATUSES = ["paid", "settled", "canceled", "cancelled", "expired"]
@@ -390,3 +390,131 @@ def set_batch_status(m: Mart, changes: DataFrame) -> DataFrame:
     return (m.batch.join(ch, ["batch_id", "cli_id"], "left")
             .withColumn("batch_status", F.when(F.col("_hit"), F.col("new_status")).otherwise(F.col("batch_status")))
             .drop("new_status", "_hit"))
+
+
+MAX_LINES = 5000
+MAX_VALUE = 1000000
+
+
+def validate_credit_request(m: Mart, requests: DataFrame | None = None) -> DataFrame:
+    """One verdict per credit request (lines grouped by ``request_id``).
+
+    1..5000 lines; if any line lacks an id (NULL or <= 0) the whole request is
+    in CPF mode and every line needs an 11-digit CPF, otherwise every line
+    needs a positive id; every value must parse (leading number) to
+    0 < v <= 1,000,000.  The first failing line (by position) gives the
+    error, as the reference stops at the first one; then the date must parse.
+    Title is trimmed to 40 characters.  Line positions come from
+    :func:`number_within`, so a large request is not numbered in one task.
+    """
+    from tipflow.operators.ids import number_within
+    r = m.credit_request if requests is None else requests
+    head = r.groupBy("request_id", "cli_id").agg(
+        F.count(F.lit(1)).alias("n_lines"),
+        F.max(F.col("ref_id").isNull() | (F.col("ref_id") <= 0)).alias("cpf_mode"),
+        F.max("titulo").alias("titulo"), F.max("data").alias("data"))
+    lines = number_within(r.select("request_id", "line_no", "ref_id", "cpf", "valor"),
+                          ["request_id"], ["line_no"], "pos")
+    v = leading_number("valor")
+    checked = lines.join(head.select("request_id", "cpf_mode"), "request_id").select(
+        "request_id", "pos",
+        F.when(F.col("cpf_mode"), F.when(F.length(digits(F.coalesce("cpf", F.lit("")))) != 11, "CPF inválido"))
+        .otherwise(F.when(F.col("ref_id").isNull() | (F.col("ref_id") <= 0), "ID inválido")).alias("ref_err"),
+        F.when(v.isNull() | F.isnan(v) | (v <= 0) | (v > MAX_VALUE), "Valor inválido ou excede o limite").alias("val_err"))
+    first_bad = (checked.filter(F.col("ref_err").isNotNull() | F.col("val_err").isNotNull())
+                 .groupBy("request_id")
+                 .agg(F.min(F.struct("pos", F.coalesce("ref_err", "val_err").alias("msg"))).alias("b"))
+                 .select("request_id", F.concat(F.lit("Colaborador "), F.col("b.pos").cast("string"), F.lit(": "),
+                                                F.col("b.msg")).alias("line_error")))
+    date_ok = F.to_date(F.try_to_date("data", "yyyy-MM-dd"))
+    out = head.join(first_bad, "request_id", "left")
+    error = (F.when(F.col("n_lines") > MAX_LINES, F.lit("Máximo 5000 colaboradores permitidos"))
+             .when(F.col("line_error").isNotNull(), F.col("line_error"))
+             .when(F.col("data").isNotNull() & (F.col("data") != "") & date_ok.isNull(),
+                   F.lit("Data de disponibilização inválida")))
+    return out.select(
+        "request_id", "cli_id", "n_lines", "cpf_mode", error.alias("error"), error.isNull().alias("is_valid"),
+        F.when(F.col("titulo").isNotNull() & (F.col("titulo") != ""),
+               F.substring(F.trim("titulo"), 1, 40)).alias("titulo"),
+        F.when(F.col("data").isNotNull() & (F.col("data") != ""), date_ok).alias("credit_date"))
+
+
+def generate_credits(m: Mart, as_of: str, login: str = "sistema", requests: DataFrame | None = None) -> dict:
+    """Credits, batches and invoices for every valid request (D12), in one pass.
+
+    Lines resolve to active collaborators of the request's tenant — by id, or
+    by digits-only CPF when the request is in CPF mode (the lowest id wins on
+    a duplicated CPF, S15).  Unmatched lines and values <= 0 are ignored
+    with a reason.  Each valid request gets a batch; each batch with credits
+    gets one open invoice (due as_of + 10) with the tenant's fee split (D4).
+    Credits: product 201, status 2, date = requested date or as_of, CPF
+    unmasked and padded.  New ids continue from the current maxima in request
+    / line order (:func:`dense_ids`).  Returns the new rows per table plus the
+    ignored lines and a per-request summary.
+    """
+    from tipflow.operators.ids import dense_ids
+    r = m.credit_request if requests is None else requests
+    ok = validate_credit_request(m, r).filter("is_valid").select("request_id", "cpf_mode", "titulo", "credit_date")
+    lines = r.join(ok, "request_id")
+    active = m.collaborator.filter(F.col("sit_id") == 1).select("usr_id", "cli_id", "cpf")
+    by_cpf = (lines.filter("cpf_mode").withColumn("key", pad_cpf_digits("cpf"))
+              .join(active.select("cli_id", sql_digits("cpf").alias("key"), "usr_id"), ["cli_id", "key"])
+              .groupBy("request_id", "line_no").agg(F.min("usr_id").alias("usr_id")))
+    by_id = (lines.filter(~F.col("cpf_mode"))
+             .join(active.select("cli_id", F.col("usr_id").alias("ref_id"), "usr_id"), ["cli_id", "ref_id"])
+             .select("request_id", "line_no", "usr_id"))
+    value = leading_number("valor")
+    resolved = (lines.join(by_cpf.unionByName(by_id), ["request_id", "line_no"], "left")
+                .withColumn("v", value))
+    reason = (F.when(F.col("usr_id").isNull(), F.lit("CPF não encontrado ou colaborador inativo"))
+              .when(F.col("v").isNull() | F.isnan("v") | (F.col("v") <= 0), F.lit("valor<=0")))
+    resolved = resolved.withColumn("reason", reason)
+    ignored = resolved.filter(F.col("reason").isNotNull()).select(
+        "request_id", "cli_id", "line_no", "ref_id", "cpf", "nome", "usr_id", "reason")
+    good = resolved.filter(F.col("reason").isNull())
+
+    heads = r.select("request_id", "cli_id").distinct().join(ok, "request_id")
+    max_batch = m.batch.agg(F.coalesce(F.max("batch_id"), F.lit(0)).alias("m"))
+    batches = dense_ids(heads, ["request_id"], max_batch, "batch_id")
+    as_of_ts = F.to_timestamp(F.lit(as_of))
+    batch = batches.select("batch_id", "cli_id", as_of_ts.alias("imported_at"), F.lit(login).alias("created_by"),
+                           F.lit(None).cast("string").alias("batch_status"), F.col("titulo").alias("title"),
+                           "request_id")
+
+    credits0 = good.join(batches.select("request_id", "batch_id"), "request_id").join(
+        m.collaborator.select("usr_id", F.col("cpf").alias("usr_cpf")), "usr_id")
+    gross = (credits0.groupBy("request_id", "batch_id", "cli_id")
+             .agg(F.sum(F.col("v").cast(MONEY)).cast("decimal(20,2)").alias("gross")))
+    t = m.tenant.select("cli_id", "fee_rate", "fee_type")
+    service, charge, movement = fee_split("gross", "fee_rate", "fee_type")
+    max_not = m.invoice.agg(F.coalesce(F.max("not_id"), F.lit(0)).alias("m"))
+    inv0 = dense_ids(gross.join(t, "cli_id"), ["request_id"], max_not, "not_id")
+    as_of_d = F.to_date(F.lit(as_of))
+    invoice = inv0.select("not_id", "cli_id", as_of_d.alias("issue_date"), F.date_add(as_of_d, 10).alias("due_date"),
+                          F.col("gross").cast(MONEY).alias("gross_value"), charge.alias("invoice_value"),
+                          service.alias("service_value"), movement.alias("movement_value"),
+                          F.lit("A").alias("situation"), "batch_id", "request_id")
+    max_cre = m.credit.agg(F.coalesce(F.max("cre_id"), F.lit(0)).alias("m"))
+    cre = dense_ids(credits0, ["request_id", "line_no"], max_cre, "cre_id")
+    credit = (cre.join(invoice.select("batch_id", "not_id"), "batch_id")
+              .select("cre_id", "usr_id", "batch_id", "cli_id", F.col("v").cast(MONEY).alias("credit_value"),
+                      F.coalesce("credit_date", as_of_d).alias("credit_date"), F.lit(2).alias("sit_id"), "not_id",
+                      as_of_d.alias("import_date"), pad_cpf_digits("usr_cpf", sql_style=True).alias("cpf"),
+                      F.lit(201).alias("product_id"), F.lit(login).alias("created_by"), "request_id", "line_no"))
+    n_ign = ignored.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_ignored"))
+    n_cre = credit.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_credits"))
+    summary = (batch.select("request_id", "cli_id", "batch_id")
+               .join(invoice.select("request_id", "not_id", "gross_value", "service_value", "invoice_value",
+                                    "movement_value"), "request_id", "left")
+               .join(n_cre, "request_id", "left").join(n_ign, "request_id", "left")
+               .select("request_id", "cli_id", "batch_id", "not_id",
+                       F.coalesce("n_credits", F.lit(0)).alias("n_credits"),
+                       F.coalesce("n_ignored", F.lit(0)).alias("n_ignored"),
+                       "gross_value", "service_value", "invoice_value", "movement_value"))
+    return {"batch": batch, "credit": credit, "invoice": invoice, "ignored": ignored, "summary": summary}
+
+
+def pad_cpf_digits(col, sql_style: bool = False):
+    """Digits of a CPF (all non-digits, or only '.'/'-' with ``sql_style``), left-padded to 11."""
+    from tipflow.functions.columns import pad_cpf
+    return pad_cpf(sql_digits(col) if sql_style else digits(col))

@@ -285,6 +285,23 @@ SELECT event_id AS attempt_id,
             ELSE 'u' || CAST(user_id % 30 * 50 AS STRING) || '@portal.TEST' END AS identifier,
        ts AS attempted_at
 FROM {events} WHERE event_type = 'signup'""", ("events",), ()),
+    "credit_request": ("""
+SELECT request_id, cli_id, line_no,
+       CASE WHEN request_id % 4 = 1 AND line_no % 5 = 0 THEN NULL ELSE line_no END AS ref_id,
+       CASE WHEN line_no % 53 = 0 THEN '123'
+            WHEN line_no % 2 = 1 THEN substr(p, 1, 3) || '.' || substr(p, 4, 3) || '.' || substr(p, 7, 3) || '-' || substr(p, 10, 2)
+            ELSE p END AS cpf,
+       nome,
+       CASE WHEN line_no % 97 = 5 THEN '0' WHEN line_no % 89 = 7 THEN '2000000' ELSE valor END AS valor,
+       CASE WHEN request_id % 5 = 0
+            THEN '   Gorjeta da semana ' || CAST(request_id AS STRING) || ' - turno da noite e fim de semana   '
+            ELSE 'Gorjeta ' || CAST(request_id AS STRING) END AS titulo,
+       CASE WHEN request_id % 6 = 0 THEN NULL WHEN request_id % 6 = 1 THEN 'not-a-date'
+            ELSE '1999-' || lpad(CAST(request_id % 12 + 1 AS STRING), 2, '0') || '-10' END AS data
+FROM (SELECT CAST(c_nationkey AS BIGINT) * 10 + c_custkey % 3 AS request_id, CAST(c_nationkey AS BIGINT) AS cli_id,
+             c_custkey AS line_no, c_name AS nome, lpad(CAST(c_custkey AS STRING), 11, '0') AS p,
+             CAST(CAST(abs(CAST(c_acctbal AS DECIMAL(18,2))) * 0.1 AS DECIMAL(18,2)) AS STRING) AS valor
+      FROM {customer}) AS r""", ("customer",), ()),
 }
 
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
