@@ -105,7 +105,7 @@ def top_collaborators(m: Mart, start, end, cli_id=None, k: int = 5) -> DataFrame
     w = Window.partitionBy("cli_id").orderBy(F.desc("value"), F.asc("usr_id"))
     return (per_user.join(people, "usr_id")
             .join(reds, "usr_id", "left")
-            .withColumn("rank", F.row_number().over(w))
+            .withColumn("rank", F.row_number().over(w).cast("long"))
             .filter(F.col("rank") <= k)
             .select("cli_id", "rank", "usr_id", "usr_name",
                     F.col("value").cast(MONEY_SUM).alias("value"),

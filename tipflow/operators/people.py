@@ -55,7 +55,7 @@ def collaborators_active(m: Mart, term: str = "", category: str | None = None,
         F.coalesce("fee_rate", F.lit(0).cast("decimal(9,4)")).alias("fee_rate"))
     limit = min(max(int(limit), 1), 500)
     w = Window.partitionBy("cli_id").orderBy("usr_name", "usr_id")
-    return (rows.withColumn("pos", F.row_number().over(w))
+    return (rows.withColumn("pos", F.row_number().over(w).cast("long"))
             .filter((F.col("pos") > offset) & (F.col("pos") <= offset + limit)))
 
 
@@ -130,7 +130,7 @@ def collaborators_all(m: Mart, term: str, legacy_digits: bool = False, limit: in
     w = Window.partitionBy("cli_id").orderBy("usr_name", "usr_id")
     return (u.filter(cond)
             .select("cli_id", "usr_id", "usr_name", "cpf", "trade_name", F.col("sit_name").alias("status"), "sit_id")
-            .withColumn("pos", F.row_number().over(w))
+            .withColumn("pos", F.row_number().over(w).cast("long"))
             .filter((F.col("pos") > offset) & (F.col("pos") <= offset + limit)))
 
 

@@ -184,7 +184,7 @@ def collaborator_lookup(m: Mart, term: str = "", cli_id=None, k: int = 50) -> Da
             cond = cond | sql_digits("cpf").like(f"%{only_digits}%")
         u = u.filter(cond)
     w = Window.partitionBy("cli_id").orderBy("usr_name", "usr_id")
-    return (u.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k)
+    return (u.withColumn("pos", F.row_number().over(w).cast("long")).filter(F.col("pos") <= k)
             .select("cli_id", "pos", "usr_id", "usr_name", "cpf"))
 
 
