@@ -26,7 +26,7 @@ def _with_lookups(m: Mart, u: DataFrame) -> DataFrame:
 
 
 def collaborators_active(m: Mart, term: str = "", category: str | None = None,
-                         limit: int = 50, offset: int = 0, cli_id=None) -> DataFrame:
+                         limit: int | None = 50, offset: int = 0, cli_id=None) -> DataFrame:
     """Active collaborators: name ILIKE or CPF LIKE the term; optional category.
 
     The category filter keeps a collaborator when a link row points to a
@@ -53,12 +53,20 @@ def collaborators_active(m: Mart, term: str = "", category: str | None = None,
         F.coalesce("set_id", F.lit(0)).cast("long").alias("set_id"),
         F.col("sit_name").alias("status"),
         F.coalesce("fee_rate", F.lit(0).cast("decimal(9,4)")).alias("fee_rate"))
+    if limit is None:
+        return rows
     limit = min(max(int(limit), 1), 500)
     w = Window.partitionBy("cli_id").orderBy("usr_name", "usr_id")
     return (rows.withColumn("pos", F.row_number().over(w).cast("long"))
             .filter((F.col("pos") > offset) & (F.col("pos") <= offset + limit)))
 
 
+def collaborators_active_count(m: Mart, term: str = "", category: str | None = None, cli_id=None) -> DataFrame:
+    """E1 companion: how many collaborators match, per tenant (the page's total)."""
+    return (collaborators_active(m, term, category, limit=None, cli_id=cli_id)
+            .groupBy("cli_id").agg(F.count(F.lit(1)).alias("total")))
+
+
 def collaborators_by_cpfs(m: Mart, keys: DataFrame) -> DataFrame:
     """Active collaborators of the key's tenant whose digits-only CPF is in the key frame.
 

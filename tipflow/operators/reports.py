@@ -189,20 +189,48 @@ def collaborator_lookup(m: Mart, term: str = "", cli_id=None, k: int = 50) -> Da
 
 
 def report_export_topups(m: Mart, start, end, cli_id=None) -> DataFrame:
-    """Flat top-up export (item rows plus one total row per tenant)."""
+    """Top-up export rows ('#id', dates dd/MM/yyyy, status label, value) plus one
+    'TOTAL EFETUADO' row per tenant."""
     rows = topups_by_period(m, start, end, cli_id).select(
-        "cli_id", F.lit("item").alias("line_type"), "batch_id",
+        "cli_id", F.lit("item").alias("line_type"),
+        F.concat(F.lit("#"), F.col("batch_id").cast("string")).alias("remessa"),
         F.date_format("imported_at", "dd/MM/yyyy").alias("topup_date"),
-        F.date_format("due_date", "dd/MM/yyyy").alias("due_date"),
-        F.date_format("paid_at", "dd/MM/yyyy").alias("paid_date"),
-        "value", "status_label")
+        F.coalesce(F.date_format("due_date", "dd/MM/yyyy"), F.lit("")).alias("due_date"),
+        F.coalesce(F.date_format("paid_at", "dd/MM/yyyy"), F.lit("")).alias("paid_date"),
+        F.col("status_label").alias("status"), "value")
     totals = rows.groupBy("cli_id").agg(F.sum("value").cast(MONEY_SUM).alias("value")).select(
-        "cli_id", F.lit("total").alias("line_type"), F.lit(None).cast("long").alias("batch_id"),
-        F.lit(None).cast("string").alias("topup_date"), F.lit(None).cast("string").alias("due_date"),
-        F.lit(None).cast("string").alias("paid_date"), "value", F.lit("Total").alias("status_label"))
+        "cli_id", F.lit("total").alias("line_type"), F.lit("").alias("remessa"), F.lit("").alias("topup_date"),
+        F.lit("").alias("due_date"), F.lit("").alias("paid_date"), F.lit("TOTAL EFETUADO").alias("status"), "value")
     return rows.unionByName(totals)
 
 
+def report_export_register(m: Mart, cli_id=None) -> DataFrame:
+    """Collaborator register export: 'Ativos' and 'Inativos' sheets with display formats."""
+    from tipflow.operators.text import format_cpf, format_phone
+    r = collaborator_register(m, cli_id)
+    return r.select(
+        "cli_id", F.when(F.col("sit_id") == 1, "Ativos").otherwise("Inativos").alias("sheet"), "usr_id",
+        F.coalesce("usr_name", F.lit("")).alias("nome"), F.coalesce(format_cpf("cpf"), F.lit("")).alias("cpf"),
+        F.coalesce(format_phone("phone"), F.lit("")).alias("telefone"),
+        F.coalesce(F.date_format("birth_date", "dd/MM/yyyy"), F.lit("")).alias("data_nascimento"),
+        F.col("categories").alias("categoria"),
+        F.coalesce(F.date_format("created_at", "dd/MM/yyyy HH:mm"), F.lit("")).alias("criado_em"), "status")
+
+
+def report_export_history(m: Mart, start, end, cli_id=None) -> DataFrame:
+    """History export: one 'Gorjeta' row per credit and a 'Total do mês' row per month."""
+    h = collaborator_history(m, start, end, cli_id)
+    label = month_label_pt("credit_date")
+    items = (h.withColumn("_label", label)
+             .select("cli_id", "usr_id", F.date_format("credit_date", "yyyy-MM").alias("month_key"),
+                     F.concat(F.upper(F.substring("_label", 1, 1)), F.expr("substring(_label, 2)")).alias("mes"),
+                     F.lit("Gorjeta").alias("tipo"), F.col("credit_value").cast(MONEY_SUM).alias("valor")))
+    totals = (items.groupBy("cli_id", "usr_id", "month_key", "mes")
+              .agg(F.sum("valor").cast(MONEY_SUM).alias("valor"))
+              .select("cli_id", "usr_id", "month_key", "mes", F.lit("Total do mês").alias("tipo"), "valor"))
+    return items.unionByName(totals)
+
+
 def batch_statement(m: Mart, cli_id=None) -> DataFrame:
     """Numbered statement lines per batch (gross, discount, net) plus a totals line.
 
