@@ -43,17 +43,19 @@ def dense_ids(df: DataFrame, order_cols: list[str], base, id_col: str = "id",
                           - F.shiftleft(F.spark_partition_id().cast("long"), 33))
               .checkpoint(eager=True))
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per partition: a frame bounded by the partition count
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
     if isinstance(base, DataFrame):
-        offsets = offsets.crossJoin(F.broadcast(base.select(F.col(base.columns[0]).alias("_base"))))
-        base_col = F.col("_base")
+        # the current maximum enters as pseudo-partition -1, so the running sum
+        # below starts from it (no join needed to attach it)
+        counts = counts.unionByName(base.select(F.lit(-1).alias("_pid"), F.col(base.columns[0]).cast("long").alias("_n")))
+        base_col = F.lit(0)
     else:
         base_col = base
-    return (tagged.join(F.broadcast(offsets.select("_pid", "_off", *(["_base"] if isinstance(base, DataFrame) else []))), "_pid")
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per partition (plus the base row): a frame bounded by the partition count
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).filter(F.col("_pid") >= 0)
+    return (tagged.join(F.broadcast(offsets.select("_pid", "_off")), "_pid")
             .withColumn(id_col, (base_col + F.col("_off") + F.col("_pos") + 1).cast("long"))
-            .drop("_pid", "_pos", "_off", "_base"))
+            .drop("_pid", "_pos", "_off"))
 
 
 def wanted_categories(m: Mart) -> DataFrame:
