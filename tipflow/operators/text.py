@@ -17,21 +17,21 @@ from tipflow.functions.columns import c, digits
 from tipflow.sources.mart import Mart
 
 # Fixed values of the reference (SMS text normalization).
-DASHES = "[\u2010-\u2015]"
 SINGLE_QUOTES = "\u2018\u2019"
 DOUBLE_QUOTES = "\u201c\u201d"
 ELLIPSIS = "\u2026"
-COMBINING = "[\u0300-\u036f]"
 NBSP = "\u00a0"
 
 
 @lru_cache(maxsize=1)
 def _fold_table() -> tuple[str, str]:
-    """One-to-one map from every BMP character whose canonical decomposition
-    (NFD) starts with a printable ASCII character to that character.
+    """One-to-one map applied by a single ``translate``.
 
-    Built from the Unicode database by rule, so ``translate`` performs the
-    NFD-then-drop-marks step of the reference in one JVM-side pass.
+    Every BMP character whose canonical decomposition (NFD) starts with a
+    printable ASCII character maps to that character (built from the
+    Unicode database by rule), the dash range maps to '-', curly quotes to
+    straight ones.  Combining marks need no entry: the final printable-ASCII
+    filter drops them, as it drops every other non-ASCII character.
     """
     src, dst = [], []
     for cp in range(0x80, 0x10000):
@@ -43,17 +43,23 @@ def _fold_table() -> tuple[str, str]:
         if 0x20 <= ord(base) <= 0x7E:
             src.append(ch)
             dst.append(base)
+    for cp in range(0x2010, 0x2016):
+        src.append(chr(cp))
+        dst.append("-")
+    src.append(SINGLE_QUOTES + DOUBLE_QUOTES)
+    dst.append("''\"\"")
     return "".join(src), "".join(dst)
 
 
 def ascii_fold(col) -> Column:
     """H3: NFD + strip accents, dashes -> '-', curly quotes -> straight,
-    ellipsis -> '...', then drop everything outside printable ASCII."""
+    ellipsis -> '...', then drop everything outside printable ASCII.
+
+    One ``translate`` (accents, dashes, quotes), one ``replace`` (ellipsis)
+    and one ``regexp_replace`` (the final filter) per text.
+    """
     src, dst = _fold_table()
     x = F.translate(c(col), src, dst)
-    x = F.regexp_replace(x, COMBINING, "")
-    x = F.regexp_replace(x, DASHES, "-")
-    x = F.translate(x, SINGLE_QUOTES + DOUBLE_QUOTES, "''\"\"")
     x = F.replace(x, F.lit(ELLIPSIS), F.lit("..."))
     return F.regexp_replace(x, r"[^\x20-\x7E]", "")
 

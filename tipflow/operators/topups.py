@@ -439,20 +439,14 @@ def validate_credit_request(m: Mart, requests: DataFrame | None = None) -> DataF
         F.when(F.col("data").isNotNull() & (F.col("data") != ""), date_ok).alias("credit_date"))
 
 
-def generate_credits(m: Mart, as_of: str, login: str = "sistema", requests: DataFrame | None = None) -> dict:
-    """Credits, batches and invoices for every valid request (D12), in one pass.
+def resolve_request_lines(m: Mart, requests: DataFrame | None = None):
+    """D13 step 1: lines of valid requests resolved to active collaborators of the tenant.
 
-    Lines resolve to active collaborators of the request's tenant — by id, or
-    by digits-only CPF when the request is in CPF mode (the lowest id wins on
-    a duplicated CPF, S15).  Unmatched lines and values <= 0 are ignored
-    with a reason.  Each valid request gets a batch; each batch with credits
-    gets one open invoice (due as_of + 10) with the tenant's fee split (D4).
-    Credits: product 201, status 2, date = requested date or as_of, CPF
-    unmasked and padded.  New ids continue from the current maxima in request
-    / line order (:func:`dense_ids`).  Returns the new rows per table plus the
-    ignored lines and a per-request summary.
+    By id, or by digits-only CPF when the request is in CPF mode (the lowest
+    id wins on a duplicated CPF, S15).  Adds the parsed value ``v`` and a
+    ``reason`` for lines that will be ignored.  Returns (valid request
+    heads, resolved lines).
     """
-    from tipflow.operators.ids import dense_ids
     r = m.credit_request if requests is None else requests
     ok = validate_credit_request(m, r).filter("is_valid").select("request_id", "cpf_mode", "titulo", "credit_date")
     lines = r.join(ok, "request_id")
@@ -463,14 +457,36 @@ def generate_credits(m: Mart, as_of: str, login: str = "sistema", requests: Data
     by_id = (lines.filter(~F.col("cpf_mode"))
              .join(active.select("cli_id", F.col("usr_id").alias("ref_id"), "usr_id"), ["cli_id", "ref_id"])
              .select("request_id", "line_no", "usr_id"))
-    value = leading_number("valor")
     resolved = (lines.join(by_cpf.unionByName(by_id), ["request_id", "line_no"], "left")
-                .withColumn("v", value))
+                .withColumn("v", leading_number("valor")))
     reason = (F.when(F.col("usr_id").isNull(), F.lit("CPF não encontrado ou colaborador inativo"))
               .when(F.col("v").isNull() | F.isnan("v") | (F.col("v") <= 0), F.lit("valor<=0")))
-    resolved = resolved.withColumn("reason", reason)
-    ignored = resolved.filter(F.col("reason").isNotNull()).select(
+    return ok, resolved.withColumn("reason", reason)
+
+
+def ignored_request_lines(resolved: DataFrame) -> DataFrame:
+    """Lines left out, with the reason."""
+    return resolved.filter(F.col("reason").isNotNull()).select(
         "request_id", "cli_id", "line_no", "ref_id", "cpf", "nome", "usr_id", "reason")
+
+
+def generate_credits(m: Mart, as_of: str, login: str = "sistema", requests: DataFrame | None = None) -> dict:
+    """Credits, batches and invoices for every valid request (D12), in one pass.
+
+    Lines resolve to active collaborators of the request's tenant — by id, or
+    by digits-only CPF when the request is in CPF mode (the lowest id wins on
+    a duplicated CPF, S15).  Unmatched lines and values <= 0 are ignored
+    with a reason.  Each valid request gets a batch; each batch with credits
+    gets one open invoice (due as_of + 10) with the tenant's fee split (D4).
+    Credits: product 201, status 2, date = requested date or as_of, CPF
+    unmasked and padded.  New ids continue from the current maxima in request
+    / line order (:func:`dense_ids`).  Returns the new rows per table plus the
+    ignored lines and a per-request summary.
+    """
+    from tipflow.operators.ids import dense_ids
+    r = m.credit_request if requests is None else requests
+    ok, resolved = resolve_request_lines(m, r)
+    ignored = ignored_request_lines(resolved)
     good = resolved.filter(F.col("reason").isNull())
 
     heads = r.select("request_id", "cli_id").distinct().join(ok, "request_id")
