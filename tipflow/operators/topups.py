@@ -404,28 +404,32 @@ def validate_credit_request(m: Mart, requests: DataFrame | None = None) -> DataF
     needs a positive id; every value must parse (leading number) to
     0 < v <= 1,000,000.  The first failing line (by position) gives the
     error, as the reference stops at the first one; then the date must parse.
-    Title is trimmed to 40 characters.  Line positions come from
-    :func:`number_within`, so a large request is not numbered in one task.
+    Title is trimmed to 40 characters.  The failing line's position is the
+    count of the request's lines up to it (aggregates only, no per-request
+    numbering).
     """
-    from tipflow.operators.ids import number_within
     r = m.credit_request if requests is None else requests
     head = r.groupBy("request_id", "cli_id").agg(
         F.count(F.lit(1)).alias("n_lines"),
         F.max(F.col("ref_id").isNull() | (F.col("ref_id") <= 0)).alias("cpf_mode"),
         F.max("titulo").alias("titulo"), F.max("data").alias("data"))
-    lines = number_within(r.select("request_id", "line_no", "ref_id", "cpf", "valor"),
-                          ["request_id"], ["line_no"], "pos")
     v = leading_number("valor")
+    lines = r.select("request_id", "line_no", "ref_id", "cpf", "valor")
     checked = lines.join(head.select("request_id", "cpf_mode"), "request_id").select(
-        "request_id", "pos",
+        "request_id", "line_no",
         F.when(F.col("cpf_mode"), F.when(F.length(digits(F.coalesce("cpf", F.lit("")))) != 11, "CPF inválido"))
         .otherwise(F.when(F.col("ref_id").isNull() | (F.col("ref_id") <= 0), "ID inválido")).alias("ref_err"),
         F.when(v.isNull() | F.isnan(v) | (v <= 0) | (v > MAX_VALUE), "Valor inválido ou excede o limite").alias("val_err"))
-    first_bad = (checked.filter(F.col("ref_err").isNotNull() | F.col("val_err").isNotNull())
-                 .groupBy("request_id")
-                 .agg(F.min(F.struct("pos", F.coalesce("ref_err", "val_err").alias("msg"))).alias("b"))
-                 .select("request_id", F.concat(F.lit("Colaborador "), F.col("b.pos").cast("string"), F.lit(": "),
-                                                F.col("b.msg")).alias("line_error")))
+    first = (checked.filter(F.col("ref_err").isNotNull() | F.col("val_err").isNotNull())
+             .groupBy("request_id")
+             .agg(F.min(F.struct("line_no", F.coalesce("ref_err", "val_err").alias("msg"))).alias("b"))
+             .select("request_id", F.col("b.line_no").alias("bad_line"), F.col("b.msg").alias("msg")))
+    # position of the first failing line = lines of the request up to it (an aggregate, no numbering)
+    pos = (lines.select("request_id", "line_no").join(first, "request_id")
+           .filter(F.col("line_no") <= F.col("bad_line"))
+           .groupBy("request_id", "msg").agg(F.count(F.lit(1)).alias("pos")))
+    first_bad = pos.select("request_id", F.concat(F.lit("Colaborador "), F.col("pos").cast("string"), F.lit(": "),
+                                                  F.col("msg")).alias("line_error"))
     date_ok = F.to_date(F.try_to_date("data", "yyyy-MM-dd"))
     out = head.join(first_bad, "request_id", "left")
     error = (F.when(F.col("n_lines") > MAX_LINES, F.lit("Máximo 5000 colaboradores permitidos"))
