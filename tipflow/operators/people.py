@@ -101,8 +101,11 @@ def restaurants(m: Mart) -> DataFrame:
 
 
 def statuses(m: Mart) -> DataFrame:
-    """Status lookup ordered by id."""
-    return m.status_lookup.orderBy("sit_id")
+    """Status list ordered by id, with the number of collaborators holding each status."""
+    n = m.collaborator.groupBy("sit_id").agg(F.count(F.lit(1)).alias("n_collaborators"))
+    return (m.status_lookup.join(n, "sit_id", "left")
+            .select("sit_id", "sit_name", F.coalesce("n_collaborators", F.lit(0)).alias("n_collaborators"))
+            .orderBy("sit_id"))
 
 
 def import_template(m: Mart) -> DataFrame:
