@@ -474,7 +474,8 @@ def ignored_request_lines(resolved: DataFrame) -> DataFrame:
         "request_id", "cli_id", "line_no", "ref_id", "cpf", "nome", "usr_id", "reason")
 
 
-def generate_credits(m: Mart, as_of: str, login: str = "sistema", requests: DataFrame | None = None) -> dict:
+def generate_credits(m: Mart, as_of: str, login: str = "sistema", requests: DataFrame | None = None,
+                     credit_ids: bool = True) -> dict:
     """Credits, batches and invoices for every valid request (D12), in one pass.
 
     Lines resolve to active collaborators of the request's tenant — by id, or
@@ -484,8 +485,9 @@ def generate_credits(m: Mart, as_of: str, login: str = "sistema", requests: Data
     gets one open invoice (due as_of + 10) with the tenant's fee split (D4).
     Credits: product 201, status 2, date = requested date or as_of, CPF
     unmasked and padded.  New ids continue from the current maxima in request
-    / line order (:func:`dense_ids`).  Returns the new rows per table plus the
-    ignored lines and a per-request summary.
+    / line order (:func:`dense_ids`); ``credit_ids=False`` skips the credit-id
+    allocation when only the summary is wanted.  Returns the new rows per
+    table plus the ignored lines and a per-request summary.
     """
     from tipflow.operators.ids import dense_ids
     r = m.credit_request if requests is None else requests
@@ -514,8 +516,11 @@ def generate_credits(m: Mart, as_of: str, login: str = "sistema", requests: Data
                           F.col("gross").cast(MONEY).alias("gross_value"), charge.alias("invoice_value"),
                           service.alias("service_value"), movement.alias("movement_value"),
                           F.lit("A").alias("situation"), "batch_id", "request_id")
-    max_cre = m.credit.agg(F.coalesce(F.max("cre_id"), F.lit(0)).alias("m"))
-    cre = dense_ids(credits0, ["request_id", "line_no"], max_cre, "cre_id")
+    if credit_ids:
+        max_cre = m.credit.agg(F.coalesce(F.max("cre_id"), F.lit(0)).alias("m"))
+        cre = dense_ids(credits0, ["request_id", "line_no"], max_cre, "cre_id")
+    else:  # callers that only need the per-request summary skip the credit-id allocation
+        cre = credits0.withColumn("cre_id", F.lit(None).cast("long"))
     credit = (cre.join(invoice.select("batch_id", "not_id"), "batch_id")
               .select("cre_id", "usr_id", "batch_id", "cli_id", F.col("v").cast(MONEY).alias("credit_value"),
                       F.coalesce("credit_date", as_of_d).alias("credit_date"), F.lit(2).alias("sit_id"), "not_id",
