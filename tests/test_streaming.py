@@ -63,3 +63,21 @@ def test_rate_limit_stream_equals_batch(spark, scratch):
     batch = ch.rate_limit_breaches(log, rules)
     assert sorted(streamed.collect()) == sorted(batch.collect())
     assert batch.count() > 0
+
+
+def test_stateful_settlement_equals_batch(spark, scratch):
+    m = mart(spark, SF_SMALL)
+    feed = m.status_feed.select("not_id", "new_status", "changed_at", "seq")
+    slices = _write_in_time_slices(feed, "changed_at", f"{scratch}/slices")
+    feed_dir = f"{scratch}/feed"
+    os.makedirs(feed_dir)
+    for i, d in enumerate(slices):
+        for f in sorted(os.listdir(d)):
+            if f.endswith(".parquet"):
+                os.link(os.path.join(d, f), os.path.join(feed_dir, f"{i:03d}-{f}"))
+    q = settlement.start_stateful_settlement(spark, feed_dir, m.invoice, f"{scratch}/out", f"{scratch}/ckpt")
+    q.awaitTermination()
+    streamed = spark.read.parquet(f"{scratch}/out")
+    batch = ch.settle_paid_invoices(m)["movements"]
+    assert sorted(streamed.collect()) == sorted(batch.collect())
+    assert streamed.count() > 0
