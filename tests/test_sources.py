@@ -51,3 +51,34 @@ def test_write_state_commits_last(spark, scratch):
     # a retried run replaces its own partition instead of appending
     write_state({"collaborator": out.filter("changed")}, f"{scratch}/state", run_id=2)
     assert read_state(spark, f"{scratch}/state", "collaborator").count() == out.filter("changed").count()
+
+
+def test_csv_export_partitioned(spark, scratch):
+    from tipflow.operators.reports import report_export_topups
+    from tipflow.plans.registry import END, START
+    from tipflow.sources.sinks import write_csv
+    m = mart(spark, SF_SMALL)
+    out = report_export_topups(m, START, END)
+    write_csv(out, f"{scratch}/export", partition_by=["cli_id"])
+    back = spark.read.option("header", True).csv(f"{scratch}/export")
+    assert back.count() == out.count()
+    assert set(back.columns) == set(out.columns)
+    assert back.filter(F.col("line_type") == "total").count() == out.select("cli_id").distinct().count()
+
+
+def test_nested_forms_agree_with_flat(spark):
+    from tipflow.operators.reports import collaborator_history_monthly
+    from tipflow.plans.registry import END, START
+    m = mart(spark, SF_SMALL)
+    nested = collaborator_history_monthly(m, START, END, nested=True)
+    flat = collaborator_history_monthly(m, START, END)
+    rows = nested.select("usr_id", "month_key", "month_total", "n_credits",
+                         F.size("credits").alias("k"),
+                         F.aggregate("credits", F.lit(0).cast("decimal(38,2)"),
+                                     lambda acc, c: acc + c["credit_value"]).alias("s")).collect()
+    assert all(r.k == r.n_credits and r.s == r.month_total for r in rows)
+    assert len(rows) == flat.count()
+    full = people.collaborator_full(m, nested=True).select("usr_id", F.size("categories").alias("k"))
+    flat_full = people.collaborator_full(m).select("usr_id", "category_ids")
+    j = full.join(flat_full, "usr_id").collect()
+    assert all((r.k == 0 and r.category_ids is None) or r.k == len(r.category_ids.split(",")) for r in j)
