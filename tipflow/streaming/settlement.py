@@ -18,8 +18,8 @@ one invoice holds a very large share of the records (the per-key work is a
 partial aggregate, not a group handed to one function).  Every output of
 epoch ``e`` goes to its own ``epoch=e`` partition with dynamic partition
 overwrite, and the state read by epoch ``e`` only covers epochs ``< e``, so
-a replayed epoch replaces its own output.  The state table keeps one delta
-per epoch (no compaction yet).
+a replayed epoch replaces its own output.  Each epoch writes the merged
+state and then a commit row, so the next epoch reads one state partition.
 
 In both, records not newer than an invoice's state are dropped, so a
 replayed or late record cannot pay twice.
@@ -35,23 +35,22 @@ from tipflow.operators.changes import MOVEMENT_INFO, settlement_fires
 FEED_SCHEMA = "not_id BIGINT, new_status STRING, changed_at TIMESTAMP, seq BIGINT"
 
 
-def _state_before(spark: SparkSession, state_dir: str, epoch: int) -> DataFrame | None:
+def _state_before(spark: SparkSession, out_root: str, epoch: int) -> DataFrame | None:
+    """The merged state written by the newest committed epoch before ``epoch``."""
     try:
-        st = spark.read.parquet(state_dir)
-    except Exception:  # no state written yet
+        commits = spark.read.parquet(f"{out_root}/commits").filter(F.col("epoch") < epoch)
+    except Exception:  # nothing committed yet
         return None
-    st = st.filter(F.col("epoch") < epoch)
-    return (st.groupBy("not_id")
-            .agg(F.max_by(F.struct("last_status", "last_at", "last_seq", "settled"), "epoch").alias("s"))
-            .select("not_id", "s.*"))
+    last = commits.agg(F.max("epoch").alias("epoch"))
+    st = spark.read.parquet(f"{out_root}/state").join(last, "epoch", "left_semi")
+    return st.drop("epoch")
 
 
 def process_batch(spark: SparkSession, batch: DataFrame, epoch: int, invoice: DataFrame, out_root: str) -> None:
     """Apply one micro-batch of feed records (see module doc)."""
-    state_dir = f"{out_root}/state"
     inv = invoice.select("not_id", "charge_status", "status_updated_at", "paid_value", "invoice_value",
                          "settled_on", "ctb_id")
-    prev = _state_before(spark, state_dir, epoch)
+    prev = _state_before(spark, out_root, epoch)
     start = inv.select("not_id", "charge_status", "status_updated_at")
     if prev is not None:
         start = start.join(prev, "not_id", "left")
@@ -82,13 +81,17 @@ def process_batch(spark: SparkSession, batch: DataFrame, epoch: int, invoice: Da
     last = (recs.groupBy("not_id").agg(F.max(F.struct("changed_at", "seq", "new_status")).alias("r"))
             .select("not_id", F.col("r.new_status").alias("last_status"), F.col("r.changed_at").alias("last_at"),
                     F.col("r.seq").alias("last_seq")))
-    new_state = (last.join(start.select("not_id", "settled"), "not_id", "left")
-                 .join(fires.select("not_id", F.lit(True).alias("fired")), "not_id", "left")
-                 .select("not_id", "last_status", "last_at", "last_seq",
-                         (F.coalesce("settled", F.lit(False)) | F.coalesce("fired", F.lit(False))).alias("settled")))
+    touched = (last.join(start.select("not_id", "settled"), "not_id", "left")
+               .join(fires.select("not_id", F.lit(True).alias("fired")), "not_id", "left")
+               .select("not_id", "last_status", "last_at", "last_seq",
+                       (F.coalesce("settled", F.lit(False)) | F.coalesce("fired", F.lit(False))).alias("settled")))
+    # merged state: untouched invoices keep their previous row
+    new_state = touched if prev is None else prev.join(touched.select("not_id"), "not_id", "left_anti").unionByName(touched)
     for name, df in (("movements", movements), ("state", new_state)):
         (df.withColumn("epoch", F.lit(epoch)).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(f"{out_root}/{name}"))
+    # the commit row is written last; an epoch without it is invisible to the next one
+    spark.createDataFrame([(epoch,)], "epoch long").write.mode("append").parquet(f"{out_root}/commits")
     recs.unpersist()
 
 
