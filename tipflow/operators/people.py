@@ -342,3 +342,58 @@ def delete_categories(m: Mart, deleted: DataFrame) -> dict:
     gone = deleted.select("set_id").distinct()
     return {"category": m.category.join(gone, "set_id", "left_anti"),
             "collab_category": m.collab_category.join(gone, "set_id", "left_anti")}
+
+
+INSERT_REASONS = ("Nome é obrigatório", "CPF é obrigatório", "cliente_id é obrigatório", "CPF inválido",
+                  "Email inválido", "Data de nascimento inválida ou no futuro",
+                  "CPF já cadastrado para este cliente")
+
+
+def insert_collaborators(m: Mart, inserts: DataFrame, as_of: str) -> DataFrame:
+    """E10 insert path: one decision per requested collaborator, in arrival order ``ord``.
+
+    Checks in the reference's order (the first failing one is the reason):
+    name, CPF present, tenant present, CPF check digits, e-mail pattern when
+    given, birth date yyyy-mm-dd not after ``as_of`` when given.  A valid
+    request whose digits-only CPF already exists in the tenant, or appeared
+    in an earlier valid request of the same tenant, is rejected as a
+    duplicate (first occurrence found with a MIN aggregate).  Accepted rows
+    are normalized (name trimmed upper case, CPF digits padded to 11, e-mail
+    trimmed lower case or '', phone digits, status 1, arrangement flags
+    true/false) and get ids MAX(usr_id)+1.. in ``ord`` order.
+    """
+    cpf_d = pad_cpf(digits(F.coalesce("cpf", F.lit(""))))
+    birth_txt = F.coalesce("nascimento", F.lit(""))
+    birth = F.when(birth_txt.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_date(birth_txt, "yyyy-MM-dd"))
+    email_t = F.trim(F.coalesce("email", F.lit("")))
+    reason = (F.when(F.col("nome").isNull() | (F.length(F.trim("nome")) == 0), F.lit(INSERT_REASONS[0]))
+              .when(F.col("cpf").isNull() | (F.length(F.trim("cpf")) == 0), F.lit(INSERT_REASONS[1]))
+              .when(F.col("cli_id").isNull(), F.lit(INSERT_REASONS[2]))
+              .when(~cpf_valid("cpf"), F.lit(INSERT_REASONS[3]))
+              .when((F.length(email_t) > 0) & ~email_t.rlike(EMAIL_PATTERN), F.lit(INSERT_REASONS[4]))
+              .when((F.length(F.trim(birth_txt)) > 0)
+                    & (birth.isNull() | (birth > F.to_date(F.lit(as_of)))), F.lit(INSERT_REASONS[5])))
+    req = inserts.select("ord", "cli_id", "nome", "cpf", "email", "celular", "nascimento", "sexo",
+                         cpf_d.alias("cpf_digits"), reason.alias("reason"), birth.alias("birth_date"))
+    existing = (m.collaborator.select("cli_id", sql_digits("cpf").alias("cpf_digits"))
+                .distinct().withColumn("_exists", F.lit(True)))
+    first = (req.filter(F.col("reason").isNull()).groupBy("cli_id", "cpf_digits")
+             .agg(F.min("ord").alias("_first")))
+    checked = (req.join(existing, ["cli_id", "cpf_digits"], "left").join(first, ["cli_id", "cpf_digits"], "left")
+               .withColumn("reason", F.when(F.col("reason").isNull()
+                                            & (F.coalesce("_exists", F.lit(False)) | (F.col("ord") != F.col("_first"))),
+                                            F.lit(INSERT_REASONS[6])).otherwise(F.col("reason"))))
+    ok = checked.filter(F.col("reason").isNull())
+    current_max = m.collaborator.agg(F.coalesce(F.max("usr_id"), F.lit(0)).alias("m"))
+    ids = dense_ids(ok.select("ord"), ["ord"], current_max, "usr_id")
+    return (checked.join(ids, "ord", "left")
+            .select("ord", "cli_id",
+                    F.when(F.col("reason").isNull(), "criado").otherwise("rejeitado").alias("status"),
+                    "reason", "usr_id",
+                    F.upper(F.trim("nome")).alias("usr_name"), F.col("cpf_digits").alias("cpf"),
+                    F.lower(email_t).alias("email"),
+                    F.when(F.col("celular").isNotNull() & (F.col("celular") != ""), digits("celular")).alias("phone"),
+                    F.when(F.length(F.trim(birth_txt)) > 0, F.col("birth_date")).alias("birth_date"),
+                    F.when(F.col("sexo") != "", F.col("sexo")).alias("sex"),
+                    F.lit(1).alias("sit_id"), F.lit(True).alias("closed_arrangement"),
+                    F.lit(False).alias("open_arrangement")))

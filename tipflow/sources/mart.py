@@ -302,6 +302,31 @@ FROM (SELECT CAST(c_nationkey AS BIGINT) * 10 + c_custkey % 3 AS request_id, CAS
              c_custkey AS line_no, c_name AS nome, lpad(CAST(c_custkey AS STRING), 11, '0') AS p,
              CAST(CAST(abs(CAST(c_acctbal AS DECIMAL(18,2))) * 0.1 AS DECIMAL(18,2)) AS STRING) AS valor
       FROM {customer}) AS r""", ("customer",), ()),
+    "collab_insert": ("""
+SELECT ord, cli_id, nome, cpf, email, celular, nascimento, sexo
+FROM (SELECT c_custkey AS ord,
+             CASE WHEN c_custkey % 10 = 7 THEN CAST(c_nationkey AS BIGINT)
+                  ELSE CAST((c_nationkey + 1) % 25 AS BIGINT) END AS cli_id,
+             CASE WHEN c_custkey % 40 = 3 THEN ' ' ELSE '  ' || lower(c_name) || ' novo ' END AS nome,
+             CASE WHEN c_custkey % 10 = 7 THEN lpad(CAST(c_custkey AS STRING), 11, '0')
+                  WHEN c_custkey % 30 = 13 THEN '111.111.111-11'
+                  ELSE b || CAST(d1 AS STRING) || CAST((CAST(substr(b || CAST(d1 AS STRING), 1, 1) AS INT) * 11 + CAST(substr(b || CAST(d1 AS STRING), 2, 1) AS INT) * 10 + CAST(substr(b || CAST(d1 AS STRING), 3, 1) AS INT) * 9 + CAST(substr(b || CAST(d1 AS STRING), 4, 1) AS INT) * 8 + CAST(substr(b || CAST(d1 AS STRING), 5, 1) AS INT) * 7 + CAST(substr(b || CAST(d1 AS STRING), 6, 1) AS INT) * 6 + CAST(substr(b || CAST(d1 AS STRING), 7, 1) AS INT) * 5 + CAST(substr(b || CAST(d1 AS STRING), 8, 1) AS INT) * 4 + CAST(substr(b || CAST(d1 AS STRING), 9, 1) AS INT) * 3 + CAST(substr(b || CAST(d1 AS STRING), 10, 1) AS INT) * 2) * 10 % 11 % 10 AS STRING) END AS cpf,
+             CASE WHEN c_custkey % 20 = 3 THEN 'sem-arroba' ELSE ' Novo' || CAST(c_custkey AS STRING) || '@Mail.test ' END AS email,
+             '(21) 9' || lpad(CAST(c_custkey AS STRING), 8, '0') AS celular,
+             CASE WHEN c_custkey % 25 = 3 THEN '2999-01-01' ELSE '1985-05-' || lpad(CAST(c_custkey % 28 + 1 AS STRING), 2, '0') END AS nascimento,
+             CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'M' END AS sexo
+      FROM (SELECT c_custkey, c_nationkey, c_name, b, (CAST(substr(b, 1, 1) AS INT) * 10 + CAST(substr(b, 2, 1) AS INT) * 9 + CAST(substr(b, 3, 1) AS INT) * 8 + CAST(substr(b, 4, 1) AS INT) * 7 + CAST(substr(b, 5, 1) AS INT) * 6 + CAST(substr(b, 6, 1) AS INT) * 5 + CAST(substr(b, 7, 1) AS INT) * 4 + CAST(substr(b, 8, 1) AS INT) * 3 + CAST(substr(b, 9, 1) AS INT) * 2) * 10 % 11 % 10 AS d1
+            FROM (SELECT c_custkey, c_nationkey, c_name,
+                         lpad(CAST((c_custkey % 1000 * 7919 + 12345) % 1000000000 AS STRING), 9, '0') AS b
+                  FROM {customer} WHERE c_custkey % 10 IN (3, 7)) AS x) AS y
+      UNION ALL
+      SELECT c_custkey + 1000000000 AS ord, CAST((c_nationkey + 1) % 25 AS BIGINT) AS cli_id,
+             c_name AS nome, b || CAST(d1 AS STRING) || CAST((CAST(substr(b || CAST(d1 AS STRING), 1, 1) AS INT) * 11 + CAST(substr(b || CAST(d1 AS STRING), 2, 1) AS INT) * 10 + CAST(substr(b || CAST(d1 AS STRING), 3, 1) AS INT) * 9 + CAST(substr(b || CAST(d1 AS STRING), 4, 1) AS INT) * 8 + CAST(substr(b || CAST(d1 AS STRING), 5, 1) AS INT) * 7 + CAST(substr(b || CAST(d1 AS STRING), 6, 1) AS INT) * 6 + CAST(substr(b || CAST(d1 AS STRING), 7, 1) AS INT) * 5 + CAST(substr(b || CAST(d1 AS STRING), 8, 1) AS INT) * 4 + CAST(substr(b || CAST(d1 AS STRING), 9, 1) AS INT) * 3 + CAST(substr(b || CAST(d1 AS STRING), 10, 1) AS INT) * 2) * 10 % 11 % 10 AS STRING) AS cpf,
+             NULL AS email, NULL AS celular, NULL AS nascimento, NULL AS sexo
+      FROM (SELECT c_custkey, c_nationkey, c_name, b, (CAST(substr(b, 1, 1) AS INT) * 10 + CAST(substr(b, 2, 1) AS INT) * 9 + CAST(substr(b, 3, 1) AS INT) * 8 + CAST(substr(b, 4, 1) AS INT) * 7 + CAST(substr(b, 5, 1) AS INT) * 6 + CAST(substr(b, 6, 1) AS INT) * 5 + CAST(substr(b, 7, 1) AS INT) * 4 + CAST(substr(b, 8, 1) AS INT) * 3 + CAST(substr(b, 9, 1) AS INT) * 2) * 10 % 11 % 10 AS d1
+            FROM (SELECT c_custkey, c_nationkey, c_name,
+                         lpad(CAST((c_custkey % 1000 * 7919 + 12345) % 1000000000 AS STRING), 9, '0') AS b
+                  FROM {customer} WHERE c_custkey % 20 = 3) AS x) AS y) AS z""", ("customer",), ()),
 }
 
 # Large tables stored bucketed by the key most of their joins and aggregates use.
