@@ -106,3 +106,33 @@ def test_number_within_hot_group(spark):
     from pyspark.sql import Window
     want = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("k")))
     assert sorted(got.collect()) == sorted(want.select("g", "k", "rn").collect())
+
+
+def test_insert_collaborators_rules(spark):
+    m = mart(spark, SF_SMALL)
+    existing = m.collaborator.filter(F.col("cli_id") == 0).select("cpf").first().cpf
+    rows = [
+        (1, 0, " ana ", "529.982.247-25", " Ana@X.com ", "(11) 98765-4321", "1990-01-05", "F"),   # created
+        (2, 0, "bia", "52998224725", None, None, None, None),                                     # same CPF later
+        (3, 0, "  ", "52998224725", None, None, None, None),                                       # name first
+        (4, 0, "caio", "52998224724", None, None, None, None),                                     # check digit
+        (5, 0, "dani", "111.444.777-35", "bad", None, None, None),                                 # e-mail
+        (6, 0, "edu", "111.444.777-35", None, None, "2999-01-01", None),                           # future birth
+        (7, 1, "fabi", "529.982.247-25", None, None, None, None),                                  # other tenant: ok
+        (8, 0, "gil", existing, None, None, None, None),                                           # already in tenant
+    ]
+    df = spark.createDataFrame(rows, "ord long, cli_id long, nome string, cpf string, email string, "
+                                     "celular string, nascimento string, sexo string")
+    got = {r.ord: r for r in people.insert_collaborators(m, df, AS_OF).collect()}
+    assert got[1].status == "criado" and got[1].usr_name == "ANA" and got[1].email == "ana@x.com"
+    assert got[1].cpf == "52998224725" and got[1].phone == "11987654321"
+    assert got[2].reason == "CPF já cadastrado para este cliente"
+    assert got[3].reason == "Nome é obrigatório"
+    assert got[4].reason == "CPF inválido"
+    assert got[5].reason == "Email inválido"
+    assert got[6].reason == "Data de nascimento inválida ou no futuro"
+    assert got[7].status == "criado"
+    if people.cpf_validity(m).filter(F.col("cpf") == existing).first().cpf_valid:
+        assert got[8].reason == "CPF já cadastrado para este cliente"
+    top = m.collaborator.agg(F.max("usr_id")).first()[0]
+    assert (got[1].usr_id, got[7].usr_id) == (top + 1, top + 2)
