@@ -84,6 +84,18 @@ def collaborators_by_cpfs(m: Mart, keys: DataFrame) -> DataFrame:
                     F.coalesce("fee_rate", F.lit(0).cast("decimal(9,4)")).alias("fee_rate")))
 
 
+def collaborators_by_ids(m: Mart, keys: DataFrame) -> DataFrame:
+    """Active collaborators of the key's tenant whose id is in the key frame ((cli_id, key, usr_id))."""
+    u = m.collaborator.filter(F.col("sit_id") == 1).select("usr_id", "cli_id", "usr_name", "cpf", "set_id")
+    k = m.category.select("set_id", F.col("set_name").alias("category"))
+    t = m.tenant.select("cli_id", "trade_name", "fee_rate")
+    return (keys.join(u, ["cli_id", "usr_id"]).join(k, "set_id", "left").join(t, "cli_id")
+            .select("cli_id", "key", "usr_id", "usr_name", "cpf", "trade_name",
+                    F.coalesce("category", F.lit(NO_CATEGORY)).alias("category"),
+                    F.coalesce("set_id", F.lit(0)).cast("long").alias("set_id"),
+                    F.coalesce("fee_rate", F.lit(0).cast("decimal(9,4)")).alias("fee_rate")))
+
+
 def sheet_cpf_keys(m: Mart) -> DataFrame:
     """Key frame of a credit sheet: (tenant, line, padded digits CPF)."""
     return m.credit_sheet.select("cli_id", F.col("line").alias("key"),
