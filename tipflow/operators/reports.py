@@ -12,8 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tipflow.functions.columns import (MONEY_SUM, NO_CATEGORY, PAID_STATUSES, batch_status,
-                                       digits, in_period, lower_in, month_label_pt,
-                                       sql_digits, status_label)
+                                       in_period, lower_in, month_label_pt, sql_digits, status_label)
 from tipflow.sources.mart import Mart
 from tipflow.sources.sinks import write_csv  # noqa: F401  (A4 sink used by report exports)
 

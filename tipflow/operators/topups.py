@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tipflow.functions.columns import (MONEY, MONEY_SUM, PAID_STATUSES, badge_status, digits,
+from tipflow.functions.columns import (MONEY, MONEY_SUM, badge_status, digits,
                                        distinct_from, fee_split, fee_type_default, in_period,
                                        leading_number, list_status, lower_in, pct, sql_digits)
 from tipflow.sources.mart import Mart
