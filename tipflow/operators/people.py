@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tipflow.functions.columns import (EMAIL_PATTERN, NO_CATEGORY, cpf_valid, digits, leading_number,
                                        pad_cpf, parse_birth_date, sql_digits)
+from tipflow.functions import messages as M
 from tipflow.operators.ids import dense_ids
 from tipflow.sources.mart import Mart
 
@@ -242,12 +243,12 @@ def validate_credit_sheet(m: Mart) -> DataFrame:
     r = s.select("cli_id", "line", nome.alias("nome"), cpf_d.alias("cpf"), valor.alias("valor"), cat.alias("categoria"))
     v = F.col("valor")
     reasons = F.filter(F.array(
-        F.when(F.col("nome").isNull() | (F.length("nome") == 0), F.lit("Nome é obrigatório"))
-        .when(F.length("nome") > 255, F.lit("Nome muito longo (máximo 255 caracteres)")),
-        F.when(F.col("cpf").isNull() | (F.col("cpf") == ""), F.lit("CPF é obrigatório"))
-        .when(F.length("cpf") != 11, F.lit("CPF deve ter 11 dígitos")),
-        F.when(v.isNull() | F.isnan(v) | (v <= 0), F.lit("Valor deve ser um número positivo"))
-        .when(v > 1000000, F.lit("Valor não pode exceder R$ 1.000.000"))), lambda x: x.isNotNull())
+        F.when(F.col("nome").isNull() | (F.length("nome") == 0), F.lit(M.SHEET_NAME_REQUIRED))
+        .when(F.length("nome") > 255, F.lit(M.SHEET_NAME_TOO_LONG)),
+        F.when(F.col("cpf").isNull() | (F.col("cpf") == ""), F.lit(M.SHEET_CPF_REQUIRED))
+        .when(F.length("cpf") != 11, F.lit(M.SHEET_CPF_LENGTH)),
+        F.when(v.isNull() | F.isnan(v) | (v <= 0), F.lit(M.SHEET_VALUE_POSITIVE))
+        .when(v > 1000000, F.lit(M.SHEET_VALUE_MAX))), lambda x: x.isNotNull())
     return (r.withColumn("reasons", reasons)
             .withColumn("is_valid", F.size("reasons") == 0)
             .withColumn("categoria", F.when(F.col("is_valid"), F.coalesce("categoria", F.lit(NO_CATEGORY)))
@@ -268,14 +269,14 @@ def validate_collaborator_sheet(m: Mart, as_of: str) -> DataFrame:
     r = s.select("cli_id", "line", nome.alias("nome"), cpf_d.alias("cpf"), raw_birth.alias("raw_birth"),
                  birth.alias("birth_date"), sexo.alias("sexo"), email.alias("email_raw"), phone.alias("phone_raw"))
     reasons = F.filter(F.array(
-        F.when(F.col("nome") == "", F.lit("Nome é obrigatório")),
-        F.when(F.col("cpf") == "", F.lit("CPF é obrigatório"))
-        .when(~cpf_valid("cpf"), F.lit("CPF inválido (verifique os dígitos)")),
+        F.when(F.col("nome") == "", F.lit(M.SHEET_NAME_REQUIRED)),
+        F.when(F.col("cpf") == "", F.lit(M.SHEET_CPF_REQUIRED))
+        .when(~cpf_valid("cpf"), F.lit(M.CPF_CHECK_DIGITS)),
         F.when((F.col("raw_birth") != "")
                & (F.col("birth_date").isNull() | (F.col("birth_date") > F.to_date(F.lit(as_of)))),
-               F.lit("Data de nascimento inválida ou no futuro")),
-        F.when((F.col("email_raw") != "") & ~F.col("email_raw").rlike(EMAIL_PATTERN), F.lit("Email inválido")),
-        F.when((F.col("sexo") != "") & ~F.col("sexo").isin("M", "F"), F.lit("Sexo deve ser M ou F"))),
+               F.lit(M.BIRTH_DATE_INVALID)),
+        F.when((F.col("email_raw") != "") & ~F.col("email_raw").rlike(EMAIL_PATTERN), F.lit(M.EMAIL_INVALID)),
+        F.when((F.col("sexo") != "") & ~F.col("sexo").isin("M", "F"), F.lit(M.SEX_INVALID))),
         lambda x: x.isNotNull())
     return (r.withColumn("reasons", reasons)
             .select("cli_id", "line", F.upper("nome").alias("nome"), "cpf",
@@ -356,9 +357,8 @@ def delete_categories(m: Mart, deleted: DataFrame) -> dict:
             "collab_category": m.collab_category.join(gone, "set_id", "left_anti")}
 
 
-INSERT_REASONS = ("Nome é obrigatório", "CPF é obrigatório", "cliente_id é obrigatório", "CPF inválido",
-                  "Email inválido", "Data de nascimento inválida ou no futuro",
-                  "CPF já cadastrado para este cliente")
+INSERT_REASONS = (M.SHEET_NAME_REQUIRED, M.SHEET_CPF_REQUIRED, M.TENANT_REQUIRED, M.CPF_INVALID,
+                  M.EMAIL_INVALID, M.BIRTH_DATE_INVALID, M.CPF_DUPLICATE)
 
 
 def insert_collaborators(m: Mart, inserts: DataFrame, as_of: str) -> DataFrame:

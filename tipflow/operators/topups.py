@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tipflow.functions.columns import (MONEY, MONEY_SUM, badge_status, digits,
                                        distinct_from, fee_split, fee_type_default, in_period,
                                        leading_number, list_status, lower_in, pct, sql_digits)
+from tipflow.functions import messages as M
 from tipflow.sources.mart import Mart
 
 FINAL_CHARGE_STATUSES = ["paid", "settled", "canceled", "cancelled", "expired"]
@@ -417,9 +418,9 @@ def validate_credit_request(m: Mart, requests: DataFrame | None = None) -> DataF
     lines = r.select("request_id", "line_no", "ref_id", "cpf", "valor")
     checked = lines.join(head.select("request_id", "cpf_mode"), "request_id").select(
         "request_id", "line_no",
-        F.when(F.col("cpf_mode"), F.when(F.length(digits(F.coalesce("cpf", F.lit("")))) != 11, "CPF inválido"))
-        .otherwise(F.when(F.col("ref_id").isNull() | (F.col("ref_id") <= 0), "ID inválido")).alias("ref_err"),
-        F.when(v.isNull() | F.isnan(v) | (v <= 0) | (v > MAX_VALUE), "Valor inválido ou excede o limite").alias("val_err"))
+        F.when(F.col("cpf_mode"), F.when(F.length(digits(F.coalesce("cpf", F.lit("")))) != 11, M.REQUEST_LINE_CPF))
+        .otherwise(F.when(F.col("ref_id").isNull() | (F.col("ref_id") <= 0), M.REQUEST_LINE_ID)).alias("ref_err"),
+        F.when(v.isNull() | F.isnan(v) | (v <= 0) | (v > MAX_VALUE), M.REQUEST_LINE_VALUE).alias("val_err"))
     first = (checked.filter(F.col("ref_err").isNotNull() | F.col("val_err").isNotNull())
              .groupBy("request_id")
              .agg(F.min(F.struct("line_no", F.coalesce("ref_err", "val_err").alias("msg"))).alias("b"))
@@ -428,14 +429,14 @@ def validate_credit_request(m: Mart, requests: DataFrame | None = None) -> DataF
     pos = (lines.select("request_id", "line_no").join(first, "request_id")
            .filter(F.col("line_no") <= F.col("bad_line"))
            .groupBy("request_id", "msg").agg(F.count(F.lit(1)).alias("pos")))
-    first_bad = pos.select("request_id", F.concat(F.lit("Colaborador "), F.col("pos").cast("string"), F.lit(": "),
+    first_bad = pos.select("request_id", F.concat(F.lit(M.REQUEST_LINE), F.col("pos").cast("string"), F.lit(": "),
                                                   F.col("msg")).alias("line_error"))
     date_ok = F.to_date(F.try_to_date("data", "yyyy-MM-dd"))
     out = head.join(first_bad, "request_id", "left")
-    error = (F.when(F.col("n_lines") > MAX_LINES, F.lit("Máximo 5000 colaboradores permitidos"))
+    error = (F.when(F.col("n_lines") > MAX_LINES, F.lit(M.REQUEST_TOO_MANY))
              .when(F.col("line_error").isNotNull(), F.col("line_error"))
              .when(F.col("data").isNotNull() & (F.col("data") != "") & date_ok.isNull(),
-                   F.lit("Data de disponibilização inválida")))
+                   F.lit(M.REQUEST_DATE_INVALID)))
     return out.select(
         "request_id", "cli_id", "n_lines", "cpf_mode", error.alias("error"), error.isNull().alias("is_valid"),
         F.when(F.col("titulo").isNotNull() & (F.col("titulo") != ""),
@@ -463,8 +464,8 @@ def resolve_request_lines(m: Mart, requests: DataFrame | None = None):
              .select("request_id", "line_no", "usr_id"))
     resolved = (lines.join(by_cpf.unionByName(by_id), ["request_id", "line_no"], "left")
                 .withColumn("v", leading_number("valor")))
-    reason = (F.when(F.col("usr_id").isNull(), F.lit("CPF não encontrado ou colaborador inativo"))
-              .when(F.col("v").isNull() | F.isnan("v") | (F.col("v") <= 0), F.lit("valor<=0")))
+    reason = (F.when(F.col("usr_id").isNull(), F.lit(M.LINE_NOT_FOUND))
+              .when(F.col("v").isNull() | F.isnan("v") | (F.col("v") <= 0), F.lit(M.LINE_VALUE_NOT_POSITIVE)))
     return ok, resolved.withColumn("reason", reason)
 
 
