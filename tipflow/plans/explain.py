@@ -21,6 +21,8 @@ def plan_tree(df) -> str:
     text = df._jdf.queryExecution().executedPlan().toString()
     lines = []
     for line in text.splitlines():
+        if "== Initial Plan ==" in line:  # keep the final plan only
+            break
         line = re.sub(r"#\d+L?", "", line)                 # expression ids
         line = re.sub(r"\[plan_id=\d+\]", "", line)
         if len(line) > 160:
