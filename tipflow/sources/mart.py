@@ -393,8 +393,8 @@ class Mart:
         return self.table(name)
 
     def _store(self) -> str:
-        from tipflow.session import checkpoint_dir
-        app = re.sub(r"[^A-Za-z0-9_-]", "_", self.spark.sparkContext.applicationId)
+        from tipflow.session import app_id, checkpoint_dir
+        app = re.sub(r"[^A-Za-z0-9_-]", "_", app_id(self.spark))
         src = re.sub(r"[^A-Za-z0-9_-]", "_", self.sf_dir)
         return f"{checkpoint_dir(self.spark).rstrip('/')}/tipflow-mart/{app}/{src}"
 
