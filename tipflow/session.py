@@ -71,6 +71,7 @@ def build(master: str | None = None, partitions: int | None = None,
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="tipflow-wh-", dir="/tmp"))
         .config("spark.driver.memory", os.environ.get("TIPFLOW_DRIVER_MEM", "16g"))
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
