@@ -66,12 +66,15 @@ def build(master: str | None = None, partitions: int | None = None,
     cores = int(os.environ.get("BENCH_CPUS", os.cpu_count() or 8))
     master = master or f"local[{cores}]"
     partitions = partitions or max(cores, 8)
+    builder = SparkSession.builder
+    if master.startswith("local"):
+        # local runs only: keep the session catalog's folder out of the working directory
+        builder = builder.config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="tipflow-wh-", dir="/tmp"))
     spark = (
-        SparkSession.builder.master(master)
+        builder.master(master)
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="tipflow-wh-", dir="/tmp"))
         .config("spark.driver.memory", os.environ.get("TIPFLOW_DRIVER_MEM", "16g"))
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
