@@ -416,7 +416,9 @@ class Mart:
                     key = BUCKETED[name]
                     n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
                     table = re.sub(r"[^A-Za-z0-9_]", "_", f"tipflow_{path.rsplit('tipflow-mart/', 1)[-1]}")
-                    (df.write.mode("overwrite").bucketBy(n, key).sortBy(key)
+                    # one shuffle by the bucket key first, so each task writes one bucket file
+                    # (a bucketed write straight from the scan writes tasks x buckets files)
+                    (df.repartition(n, key).write.mode("overwrite").bucketBy(n, key).sortBy(key)
                      .option("path", path).saveAsTable(table))
                     df = self.spark.table(table)
                 else:
