@@ -329,9 +329,6 @@ FROM (SELECT c_custkey AS ord,
                   FROM {customer} WHERE c_custkey % 20 = 3) AS x) AS y) AS z""", ("customer",), ()),
 }
 
-# Large tables stored bucketed by the key most of their joins and aggregates use.
-BUCKETED = {"credit": "batch_id", "batch": "batch_id"}
-
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
@@ -409,21 +406,12 @@ class Mart:
         if name not in self._frames:
             df = self.derive(name)
             if self.materialize:
+                # plain parquet, no bucketing: a bucketed scan cannot split a bucket, so one hot
+                # key (a batch holding a third of the credits) would become one task; the
+                # shuffle path keeps partial aggregation and AQE skew splitting instead
                 path = f"{self._store()}/{name}"
-                if name in BUCKETED:
-                    # stored bucketed (and sorted) by the join key, as an external table in the
-                    # shared folder: joins and aggregates on that key then need no shuffle
-                    key = BUCKETED[name]
-                    n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-                    table = re.sub(r"[^A-Za-z0-9_]", "_", f"tipflow_{path.rsplit('tipflow-mart/', 1)[-1]}")
-                    # one shuffle by the bucket key first, so each task writes one bucket file
-                    # (a bucketed write straight from the scan writes tasks x buckets files)
-                    (df.repartition(n, key).write.mode("overwrite").bucketBy(n, key).sortBy(key)
-                     .option("path", path).saveAsTable(table))
-                    df = self.spark.table(table)
-                else:
-                    df.write.mode("overwrite").parquet(path)
-                    df = self.spark.read.parquet(path)
+                df.write.mode("overwrite").parquet(path)
+                df = self.spark.read.parquet(path)
             self._frames[name] = df
         return self._frames[name]
 
