@@ -132,3 +132,19 @@ def test_s9_search_guard(spark, tmp_path):
 def test_month_label_pt(spark):
     got = one(spark, C.month_label_pt("d"), [(dt.date(1999, 3, 1),)], "d date")
     assert got == ["março de 1999"]
+
+
+def test_page_clamp_and_global_page(spark):
+    from tipflow.operators.topups import page
+    df = spark.range(0, 1200).withColumn("cli_id", F.col("id") % 2)
+    assert page(df, ["id"], limit=0, per=None).count() == 1             # clamped up to 1
+    assert page(df, ["id"], limit=10_000, per=None).count() == 500      # clamped down to 500
+    rows = page(df, [F.desc("id")], limit=3, offset=2, per=None).collect()
+    assert [r.id for r in rows] == [1197, 1196, 1195]
+    per_tenant = page(df, ["id"], limit=2, offset=1, per="cli_id").collect()
+    assert sorted(r.id for r in per_tenant) == [2, 3, 4, 5]
+
+
+def test_default_dashboard_period():
+    from tipflow.operators.dashboard import default_period
+    assert default_period("2000-03-01") == ("2000-01-31", "2000-03-01")
