@@ -137,7 +137,8 @@ def test_month_label_pt(spark):
 def test_page_clamp_and_global_page(spark):
     from tipflow.operators.topups import page
     df = spark.range(0, 1200).withColumn("cli_id", F.col("id") % 2)
-    assert page(df, ["id"], limit=0, per=None).count() == 1             # clamped up to 1
+    assert page(df, ["id"], limit=0, per=None).count() == 50            # 0 is "not given": default 50
+    assert page(df, ["id"], limit=-5, per=None).count() == 1            # clamped up to 1
     assert page(df, ["id"], limit=10_000, per=None).count() == 500      # clamped down to 500
     rows = page(df, [F.desc("id")], limit=3, offset=2, per=None).collect()
     assert [r.id for r in rows] == [1197, 1196, 1195]
