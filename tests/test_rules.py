@@ -149,3 +149,15 @@ def test_page_clamp_and_global_page(spark):
 def test_default_dashboard_period():
     from tipflow.operators.dashboard import default_period
     assert default_period("2000-03-01") == ("2000-01-31", "2000-03-01")
+
+
+def test_div_round2_has_no_double_rounding(spark):
+    # 36290.50 * 17906453.40 / 18087326.67 = 35927.59499990... -> 35927.59 (one rounding)
+    df = spark.createDataFrame([(Decimal("36290.50"), Decimal("17906453.40"), Decimal("18087326.67")),
+                                (Decimal("1.00"), Decimal("1.00"), Decimal("8.00")),        # 0.125 -> 0.13
+                                (Decimal("10.00"), Decimal("1.00"), Decimal("3.00"))],      # 3.333 -> 3.33
+                               "a decimal(18,2), b decimal(18,2), g decimal(20,2)")
+    got = [r[0] for r in df.select(C.div_round2(F.col("a") * F.col("b"), F.col("g"))).collect()]
+    exact = [(Decimal("36290.50") * Decimal("17906453.40") / Decimal("18087326.67"))]
+    assert exact[0] < Decimal("35927.595")
+    assert got == [Decimal("35927.59"), Decimal("0.13"), Decimal("3.33")]

@@ -166,6 +166,23 @@ def fee_split(gross, rate, fee_type):
     return service, charge, movement
 
 
+def div_round2(p, q) -> Column:
+    """round(p / q, 2) HALF_UP without intermediate rounding.
+
+    Decimal division keeps a limited scale (6 digits once precision runs
+    out), so rounding that quotient again to cents can round twice.  Here
+    both sides are scaled to integers (``p`` has at most 4 decimals, ``q`` at
+    most 2; both >= 0, q > 0) and the half-up cent count is an exact integer
+    division done with the remainder operator.
+    """
+    a = (c(p) * 10000).cast("decimal(38,0)")
+    b = (c(q) * 100).cast("decimal(38,0)")
+    num = a * 2 + b
+    den = b * 2
+    cents = (num - num % den) / den
+    return (cents / 100).cast(MONEY)
+
+
 def fee_type_default(col) -> Column:
     """COALESCE(NULLIF(type, ''), 'D')."""
     return F.coalesce(F.nullif(c(col), F.lit("")), F.lit("D"))

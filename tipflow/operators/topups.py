@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tipflow.functions.columns import (MONEY, MONEY_SUM, badge_status, digits,
+from tipflow.functions.columns import (MONEY, MONEY_SUM, badge_status, digits, div_round2,
                                        distinct_from, fee_split, fee_type_default, in_period,
                                        leading_number, list_status, lower_in, pct, sql_digits)
 from tipflow.functions import messages as M
@@ -135,13 +135,13 @@ def batch_totals(m: Mart, cli_id=None) -> DataFrame:
                     F.when(has, F.when(F.col("invoice_value") > F.col("gross") + F.lit(0.005), "A").otherwise("D"))
                     .otherwise(F.when(F.col("fee_type") == "A", "A").otherwise("D")).alias("fee_type"),
                     F.when(has, F.when(F.col("gross") > 0,
-                                       F.round(F.col("service_value") * 100 / F.col("gross"), 2)).otherwise(0))
+                                       div_round2(F.col("service_value") * 100, F.col("gross"))).otherwise(0))
                     .otherwise(F.coalesce("fee_rate", F.lit(0))).cast("decimal(9,2)").alias("fee_rate")))
 
 
 def line_net(credit_value="credit_value", gross="gross", net_total="net_total"):
     """Net of one line: gross_line x (movement / gross of the batch), rounded to cents."""
-    return (F.when(F.col(gross) > 0, F.round(F.col(credit_value) * F.col(net_total) / F.col(gross), 2))
+    return (F.when(F.col(gross) > 0, div_round2(F.col(credit_value) * F.col(net_total), F.col(gross)))
             .otherwise(F.col(credit_value)).cast(MONEY))
 
 
