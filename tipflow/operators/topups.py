@@ -453,7 +453,8 @@ def resolve_request_lines(m: Mart, requests: DataFrame | None = None):
     heads, resolved lines).
     """
     r = m.credit_request if requests is None else requests
-    ok = validate_credit_request(m, r).filter("is_valid").select("request_id", "cpf_mode", "titulo", "credit_date")
+    ok = validate_credit_request(m, r).filter("is_valid").select(
+        "request_id", "cpf_mode", F.col("titulo").alias("req_title"), "credit_date")
     lines = r.join(ok, "request_id")
     active = m.collaborator.filter(F.col("sit_id") == 1).select("usr_id", "cli_id", "cpf")
     by_cpf = (lines.filter("cpf_mode").withColumn("key", pad_cpf_digits("cpf"))
@@ -492,16 +493,20 @@ def generate_credits(m: Mart, as_of: str, login: str = "sistema", requests: Data
     """
     from tipflow.operators.ids import dense_ids
     r = m.credit_request if requests is None else requests
-    ok, resolved = resolve_request_lines(m, r)
+    _, resolved = resolve_request_lines(m, r)
+    # validation + resolution run once: the id allocations below would otherwise each
+    # re-evaluate them (their checkpoints are eager)
+    resolved = resolved.checkpoint(eager=True)
     ignored = ignored_request_lines(resolved)
     good = resolved.filter(F.col("reason").isNull())
 
-    heads = r.select("request_id", "cli_id").distinct().join(ok, "request_id")
+    # every valid request has at least one line, so its head comes from its lines
+    heads = resolved.select("request_id", "cli_id", "req_title").dropDuplicates(["request_id"])
     max_batch = m.batch.agg(F.coalesce(F.max("batch_id"), F.lit(0)).alias("m"))
     batches = dense_ids(heads, ["request_id"], max_batch, "batch_id")
     as_of_ts = F.to_timestamp(F.lit(as_of))
     batch = batches.select("batch_id", "cli_id", as_of_ts.alias("imported_at"), F.lit(login).alias("created_by"),
-                           F.lit(None).cast("string").alias("batch_status"), F.col("titulo").alias("title"),
+                           F.lit(None).cast("string").alias("batch_status"), F.col("req_title").alias("title"),
                            "request_id")
 
     credits0 = good.join(batches.select("request_id", "batch_id"), "request_id").join(
