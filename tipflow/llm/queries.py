@@ -6,7 +6,7 @@ parameters to whole tables and derive the asked-for columns.
 
 from __future__ import annotations
 
-from tipflow.llm import ngram_join
+from tipflow.llm import mixing, ngram_join
 from tipflow.llm.common import table
 
 
@@ -15,5 +15,10 @@ def op1_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join,)}
-ORACLE_SQL: dict[str, str] = {}
+def op8_source_mixing(spark, sf_dir):
+    """(doc_id, size, source_size, target, taken) of every document."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op8_source_mixing)}
+ORACLE_SQL: dict[str, str] = {"op8_source_mixing": mixing.oracle_sql()}
