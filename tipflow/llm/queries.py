@@ -6,8 +6,10 @@ parameters to whole tables and derive the asked-for columns.
 
 from __future__ import annotations
 
-from tipflow.llm import mixing, ngram_join
-from tipflow.llm.common import table
+from pyspark.sql import functions as F
+
+from tipflow.llm import langid, mixing, ngram_join
+from tipflow.llm.common import crc_fold, table
 
 
 def op1_ngram_jaccard_join(spark, sf_dir):
@@ -15,10 +17,17 @@ def op1_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.classes(table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark, sf_dir):
+    """(doc_id, held_out, lang_pred, score) of every document, with cross_entropy and rejected."""
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", "lang", F.coalesce(crc_fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"))
+    return langid.identify(docs, ~F.col("held_out"), ["doc_id", "held_out"])
+
+
 def op8_source_mixing(spark, sf_dir):
     """(doc_id, size, source_size, target, taken) of every document."""
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op8_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op8_source_mixing)}
 ORACLE_SQL: dict[str, str] = {"op8_source_mixing": mixing.oracle_sql()}
