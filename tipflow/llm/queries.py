@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tipflow.llm import langid, mixing, ngram_join
+from tipflow.llm import decontaminate, langid, mixing, ngram_join
 from tipflow.llm.common import crc_fold, table
 
 
@@ -24,10 +24,15 @@ def op2_language_id(spark, sf_dir):
     return langid.identify(docs, ~F.col("held_out"), ["doc_id", "held_out"])
 
 
+def op6_decontamination(spark, sf_dir):
+    """(doc_id, item_id, shared, item_shingles, containment) of every benchmark item in every document."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_source_mixing(spark, sf_dir):
     """(doc_id, size, source_size, target, taken) of every document."""
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op8_source_mixing)}
-ORACLE_SQL: dict[str, str] = {"op8_source_mixing": mixing.oracle_sql()}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op6_decontamination, op8_source_mixing)}
+ORACLE_SQL: dict[str, str] = {"op6_decontamination": decontaminate.oracle_sql(), "op8_source_mixing": mixing.oracle_sql()}
