@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tipflow.llm import decontaminate, langid, mixing, ngram_join
+from tipflow.llm import decontaminate, langid, mixing, ngram_join, pii
 from tipflow.llm.common import crc_fold, table
 
 
@@ -24,6 +24,17 @@ def op2_language_id(spark, sf_dir):
     return langid.identify(docs, ~F.col("held_out"), ["doc_id", "held_out"])
 
 
+def op4_pii(spark, sf_dir):
+    """Base counts and digest, and all spans, of every document; n_added counts the contextual spans."""
+    found = pii.find(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}")
+              for k, name in enumerate(pii.KINDS)]
+    added = F.coalesce("added", F.array().cast(pii._SPANS))
+    return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+                        pii.joined(F.sort_array(F.concat("base", added))).alias("spans"),
+                        F.size(added).cast("long").alias("n_added"))
+
+
 def op6_decontamination(spark, sf_dir):
     """(doc_id, item_id, shared, item_shingles, containment) of every benchmark item in every document."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -34,5 +45,5 @@ def op8_source_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op6_decontamination, op8_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op4_pii, op6_decontamination, op8_source_mixing)}
 ORACLE_SQL: dict[str, str] = {"op6_decontamination": decontaminate.oracle_sql(), "op8_source_mixing": mixing.oracle_sql()}
