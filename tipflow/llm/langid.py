@@ -25,6 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from tipflow.llm.common import U64, slices, utf8, written
 
@@ -192,10 +193,14 @@ def train(docs: DataFrame) -> Model | None:
 
 
 def entropies(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
-    """(keep..., letters, chars, bits): bits holds the cross-entropy of the whole text per language."""
+    """(keep..., letters, chars, bits): bits holds the cross-entropy of the whole text per language.
+
+    ``keep`` names other columns than text.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.select(*keep, "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "text")
+    schema = docs.select(*keep).schema
+    schema = schema.add("letters", "long").add("chars", "long").add("bits", ArrayType(DoubleType()))
 
     def run(batches):
         model = shared.value
@@ -220,7 +225,7 @@ def entropies(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFram
                 [batch.column(c) for c in keep] + [pa.array(np.concatenate(letters)), pa.array(np.concatenate(chars)),
                                                    lists], names=[*keep, "letters", "chars", "bits"])
 
-    return kept.mapInArrow(run, f"{schema}, letters long, chars long, bits array<double>")
+    return kept.mapInArrow(run, schema)
 
 
 def _softmax(bits: Column, temperature: float, at: Column) -> Column:

@@ -225,22 +225,24 @@ def masked(docs: DataFrame) -> DataFrame:
     a null text stays null.
     """
     found = written(_scan(docs), "pii")
+    # the row travels as one struct, so no name of its columns can clash
+    marked = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", F.xxhash64("text").alias("hash"))
+    marked = _joined(marked, bootstrap(found)).select("_row", "added")
     names = docs.columns
-    marked = docs.withColumn("hash", F.xxhash64("text"))
-    marked = _joined(marked, bootstrap(found)).drop("hash")
 
     def run(batches):
         for batch in batches:
-            column, added = batch.column("text"), batch.column("added").to_pylist()
+            fields = dict(zip(names, batch.column("_row").flatten()))
+            column, added = fields["text"], batch.column("added").to_pylist()
             out: list[str | None] = []
             for a, b in slices(utf8(column)[1]):
                 for i, text in enumerate(column.slice(a, b - a).to_pylist()):
                     spans = base_spans(text) + [(s["kind"], s["start"], s["end"]) for s in added[a + i] or ()]
                     out.append(mask(text, spans))
-            arrays = [pa.array(out, pa.string()) if c == "text" else
-                      pa.array([len(t) if t is not None else None for t in out], batch.schema.field(c).type)
-                      if c == "n_chars" else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+            if "n_chars" in fields:
+                fields["n_chars"] = pa.array([None if t is None else len(t) for t in out], fields["n_chars"].type)
+            fields["text"] = pa.array(out, pa.string())
+            yield pa.RecordBatch.from_arrays(list(fields.values()), names=names)
 
     return marked.mapInArrow(run, docs.schema)
 
