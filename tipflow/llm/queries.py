@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tipflow.llm import decontaminate, langid, mixing, ngram_join, pii
+from tipflow.llm import decontaminate, langid, mixing, ngram_join, pii, substrings
 from tipflow.llm.common import crc_fold, table
 
 
@@ -40,10 +40,20 @@ def op6_decontamination(spark, sf_dir):
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_substring_dedup(spark, sf_dir):
+    """(doc_id, start, end, words, kept_doc_id, kept_start) of every repeated line but the earliest."""
+    return substrings.removals(table(spark, sf_dir, "documents"))
+
+
 def op8_source_mixing(spark, sf_dir):
     """(doc_id, size, source_size, target, taken) of every document."""
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op4_pii, op6_decontamination, op8_source_mixing)}
-ORACLE_SQL: dict[str, str] = {"op6_decontamination": decontaminate.oracle_sql(), "op8_source_mixing": mixing.oracle_sql()}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op4_pii, op6_decontamination, op7_substring_dedup,
+                                   op8_source_mixing)}
+ORACLE_SQL: dict[str, str] = {
+    "op6_decontamination": decontaminate.oracle_sql(),
+    "op7_substring_dedup": substrings.oracle_sql(),
+    "op8_source_mixing": mixing.oracle_sql(),
+}
