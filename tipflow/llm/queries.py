@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tipflow.llm import decontaminate, langid, mixing, ngram_join, pii, substrings
+from tipflow.llm import decontaminate, langid, mixing, ngram_join, pii, quality, substrings
 from tipflow.llm.common import crc_fold, table
 
 
@@ -50,8 +50,13 @@ def op8_source_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_classifier(spark, sf_dir):
+    """(doc_id, held_out, score, predicted) of every document."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), crc_fold("doc_id", 5) == 0)
+
+
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op4_pii, op6_decontamination, op7_substring_dedup,
-                                   op8_source_mixing)}
+                                   op8_source_mixing, op9_quality_classifier)}
 ORACLE_SQL: dict[str, str] = {
     "op6_decontamination": decontaminate.oracle_sql(),
     "op7_substring_dedup": substrings.oracle_sql(),
