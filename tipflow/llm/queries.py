@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tipflow.llm import decontaminate, langid, mixing, ngram_join, pii, quality, substrings
+from tipflow.llm import decontaminate, langid, mixing, ngram_join, pii, quality, rules, stats, substrings, warc
 from tipflow.llm.common import crc_fold, table
 
 
@@ -35,6 +35,12 @@ def op4_pii(spark, sf_dir):
                         F.size(added).cast("long").alias("n_added"))
 
 
+def op5_warc(spark, sf_dir):
+    """Every page written to archives and read back: size, digest, type and reference of its record."""
+    return warc.archive(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_decontamination(spark, sf_dir):
     """(doc_id, item_id, shared, item_shingles, containment) of every benchmark item in every document."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -55,9 +61,16 @@ def op9_quality_classifier(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), crc_fold("doc_id", 5) == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op4_pii, op6_decontamination, op7_substring_dedup,
-                                   op8_source_mixing, op9_quality_classifier)}
+def op10_quality_rules(spark, sf_dir):
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept) of every document."""
+    return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
+        "doc_id", *stats.COUNTS, "base_failed", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op4_pii, op5_warc, op6_decontamination, op7_substring_dedup,
+                                   op8_source_mixing, op9_quality_classifier, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {
+    "op5_warc": warc.oracle_sql(),
     "op6_decontamination": decontaminate.oracle_sql(),
     "op7_substring_dedup": substrings.oracle_sql(),
     "op8_source_mixing": mixing.oracle_sql(),
