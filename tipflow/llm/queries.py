@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tipflow.llm import decontaminate, langid, mixing, ngram_join, pii, quality, rules, stats, substrings, warc
+from tipflow.llm import decontaminate, langid, mixing, ngram_join, pii, quality, rules, stats, substrings, urls, warc
 from tipflow.llm.common import crc_fold, table
 
 
@@ -24,6 +24,16 @@ def op2_language_id(spark, sf_dir):
     return langid.identify(docs, ~F.col("held_out"), ["doc_id", "held_out"])
 
 
+# Fixed rules of the URL filter.
+URL_RULES = [urls.Rule("block", "net"), urls.Rule("allow", "example.net", "/en/"),
+             urls.Rule("block", "example.com", "/de/"), urls.Rule("allow", "org", "/fr/")]
+
+
+def op3_url_filter(spark, sf_dir):
+    """(page_id, host, path, rule, verdict) of every page, with the trees' score."""
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op4_pii(spark, sf_dir):
     """Base counts and digest, and all spans, of every document; n_added counts the contextual spans."""
     found = pii.find(table(spark, sf_dir, "documents"))
@@ -67,7 +77,7 @@ def op10_quality_rules(spark, sf_dir):
         "doc_id", *stats.COUNTS, "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op4_pii, op5_warc, op6_decontamination, op7_substring_dedup,
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op3_url_filter, op4_pii, op5_warc, op6_decontamination, op7_substring_dedup,
                                    op8_source_mixing, op9_quality_classifier, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {
     "op5_warc": warc.oracle_sql(),
