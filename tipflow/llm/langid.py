@@ -252,8 +252,9 @@ def identify(docs: DataFrame, labelled: Column, keep: list[str]) -> DataFrame:
     scored = written(scored.withColumn("_best", F.when(
         (F.col("letters") > 0) & (F.size("bits") > 0),
         F.array_position("bits", F.array_min("bits")).cast("int"))), "entropies")
-    best = F.element_at("bits", F.col("_best"))
-    pred = F.element_at(langs, F.col("_best"))
+    has = F.col("_best").isNotNull()  # element_at at a null place need not be null
+    best = F.when(has, F.element_at("bits", F.col("_best")))
+    pred = F.when(has, F.element_at(langs, F.col("_best")))
     known = scored.where(F.col("_learn") & F.col("_best").isNotNull())
     likelihood = [F.sum(F.log(F.greatest(F.lit(1e-12), _softmax(
         F.col("bits"), t, F.array_position(langs, F.col("_lang")).cast("int"))))).alias(str(i))
@@ -269,8 +270,8 @@ def identify(docs: DataFrame, labelled: Column, keep: list[str]) -> DataFrame:
         mean_of = F.element_at(F.array(*[F.lit(x) for x in means]), F.col("_best"))
         far = (best - mean_of) * F.sqrt("chars")
         limit = SLACK * (right.agg(F.max(far)).first()[0] or 0.0)
-        rejected = F.coalesce(far > limit, F.lit(True))
-        score = F.coalesce(_softmax(F.col("bits"), temperature, F.col("_best")), F.lit(0.0))
+        rejected = F.when(has, far > limit).otherwise(True)
+        score = F.when(has, _softmax(F.col("bits"), temperature, F.col("_best"))).otherwise(0.0)
     else:
         rejected, score = F.lit(True), F.lit(0.0)
     return scored.select(*keep, F.coalesce(pred, F.lit(UNKNOWN)).alias("lang_pred"), score.alias("score"),
