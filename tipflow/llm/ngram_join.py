@@ -9,19 +9,24 @@ are the connected components of the links.
    ``n - ceil(n * num/den) + 1`` of each.  Every distinct set is sent to the blocks of these
    shingles.  The order puts shingles that are common in some part of the corpus last;
    the list of common shingles is a bounded hint (``HINTS``), and any list gives the same links.
-2. Search (R-tree).  In a block the shingles are hashed into ``GROUPS`` groups; a set is the
-   point of its group counts.  The tree packs the points into leaves and nodes with the largest
-   coordinates and the smallest size below them.  The sum of the coordinate minima of a query
-   and a node bounds the overlap with everything below it, and prunes what cannot link.
+2. Search (R-tree).  The shingles of a set are hashed into groups, a power of two of about a
+   quarter of its size; the set is the point of its group counts.  A block's points are searched by
+   size class (powers of two): a class's tree holds its own sets and those of the next class, whose
+   groups fold onto the class's.  The tree packs the points into leaves and nodes with the largest
+   coordinates and the smallest size below them.  The sum of the coordinate minima of a query and a
+   node bounds the overlap with everything below it, and prunes what cannot link.
 3. Verification.  Surviving pairs are intersected exactly, unless links found before already
    join the two: such a pair cannot change a component.
 
-Blocks of more than ``CHUNK`` sets are cut into chunks.  The first round searches, for each
-set, only its largest block, chunk by chunk, and joins the chunks by a few sets that go to all
-of them.  The second round takes every block that still holds more than one component: its
-sets outside the block's largest component meet all chunks of the block.  So a group of near
-copies of any size costs rows in proportion to its size, and no pair of different components
-that shares a block is left out.
+Points are a small part of the shingles, so both rounds search points first and make and move the
+shingles only of sets that are in a surviving pair.  Blocks of more than ``CHUNK`` sets are cut into
+chunks.  The first round searches, for each set, only its largest block, chunk by chunk, and joins
+the chunks by a few sets that go to all of them.  The second round takes every block that still
+holds more than one component: its sets outside the block's largest component meet all chunks of
+the block.  A pair is passed over in a block if both sets name an earlier block that holds them both
+(each row carries the first ``FIRSTS`` blocks of its set); it had its turn there.  So a group of near
+copies of any size costs rows in proportion to its size, and no pair of different components that
+shares a block is left out.
 """
 
 from __future__ import annotations
@@ -38,14 +43,15 @@ from tipflow.llm.common import SHINGLE, U64, shift, shingle_sets, slices, utf8,
 from tipflow.llm.components import components
 
 NUM, DEN = 3, 4            # similarity of 0.75
-GROUPS = 64                # coordinates of a point
+MIN_GROUPS, MAX_GROUPS = 64, 1 << 14  # coordinates of a point
 FANOUT = 16                # points of a leaf, leaves of a node
 CHUNK = 1024               # sets that one tree holds
+FIRSTS = 32                # earlier blocks that a row names
 HINTS = 200_000            # common shingles that are ordered last (bounds the broadcast: 16 bytes each)
 LOCAL_REPEATS = 3          # a shingle counts as common if so many sets of one task's portion hold it
 PORTION = 1 << 22          # shingles of a portion
 
-_PROFILE = "kind int, id long, a long, n int"
+_PROFILE = "kind int, id long, a long, n int, point binary"
 _PREFIX = "key long, id long, n int, hot long"
 
 
@@ -54,6 +60,27 @@ def _digest(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes(), seed=len(shingles)) - (1 << 63)
 
 
+def _groups(n: int) -> int:
+    """Coordinates for a set of n shingles: the same for a whole size class."""
+    return min(MAX_GROUPS, max(MIN_GROUPS, 1 << max(0, n.bit_length() - 2)))
+
+
+def _point(shingles: np.ndarray) -> np.ndarray:
+    """Group counts of a set, in the narrowest type that holds them."""
+    groups = _groups(len(shingles))
+    counts = np.bincount((shingles & U64(groups - 1)).astype(np.int64), minlength=groups)
+    most = counts.max()
+    return counts.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32)
+
+
+def _unpack(point: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(point, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(point) // _groups(n)])
+
+
+def _folded(point: np.ndarray, groups: int) -> np.ndarray:
+    return point if len(point) == groups else point.reshape(-1, groups).sum(0, dtype=np.uint32)
+
+
 def _sets(batches: Iterator[pa.RecordBatch], k: int):
     """(batch, row, set) for each row, in slices of bounded size."""
     for batch in batches:
@@ -66,7 +93,7 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int):
 
 
 def profile(docs: DataFrame, k: int) -> DataFrame:
-    """kind 0: (id, doc_id, size) of every row; kind 1: (shingle, local count) of common shingles."""
+    """kind 0: (id, doc_id, size, point) of every row; kind 1: (shingle, local count) of common shingles."""
 
     def run(batches):
         rows: list[tuple] = []
@@ -78,13 +105,13 @@ def profile(docs: DataFrame, k: int) -> DataFrame:
             if held:
                 values, counts = np.unique(np.concatenate(held), return_counts=True)
                 often = counts >= LOCAL_REPEATS
-                rows.extend((1, v, c, 0) for v, c in zip(shift(values[often]).tolist(), counts[often].tolist()))
+                rows.extend((1, v, c, 0, None) for v, c in zip(shift(values[often]).tolist(), counts[often].tolist()))
                 held.clear()
                 seen.clear()
 
         for batch, i, s in _sets(batches, k):
             ident = _digest(s)
-            rows.append((0, ident, batch.column("doc_id")[i].as_py(), len(s)))
+            rows.append((0, ident, batch.column("doc_id")[i].as_py(), len(s), _point(s).tobytes() if len(s) else None))
             if ident not in seen:
                 seen.add(ident)
                 held.append(s)
@@ -103,10 +130,10 @@ def profile(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _table(rows: list[tuple]) -> pa.RecordBatch:
-    kind, ident, a, n = zip(*rows)
+    kind, ident, a, n, point = zip(*rows)
     return pa.RecordBatch.from_arrays(
-        [pa.array(kind, pa.int32()), pa.array(ident, pa.int64()), pa.array(a, pa.int64()), pa.array(n, pa.int32())],
-        names=["kind", "id", "a", "n"])
+        [pa.array(kind, pa.int32()), pa.array(ident, pa.int64()), pa.array(a, pa.int64()), pa.array(n, pa.int32()),
+         pa.array(point, pa.binary())], names=["kind", "id", "a", "n", "point"])
 
 
 def prefixes(docs: DataFrame, hints, k: int, num: int, den: int) -> DataFrame:
@@ -173,28 +200,50 @@ def blocks(prefix: DataFrame, num: int, den: int) -> DataFrame:
     return written(members.join(kept, "key"), "blocks")
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """(id, shingles) of the given ids, made from the texts of one row each."""
-    first = rows.join(ids, "id", "left_semi").groupBy("id").agg(F.min("a").alias("doc_id")).where("doc_id is not null")
-    text = docs.select("doc_id", "text").join(first.select("doc_id"), "doc_id", "left_semi")
+BITMAP = 1 << 26  # bits of the filter of wanted doc_ids (bounds its broadcast: 8 MB)
+
+
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """Filter of ``ids (hash)`` with ``BITMAP`` bits."""
+    words = (ids.select(F.pmod("hash", F.lit(BITMAP)).alias("bit"))
+             .groupBy(F.shiftright("bit", 6).alias("word"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toPandas())
+    out = np.zeros(BITMAP >> 6, np.int64)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return out.view(U64)
+
+
+def shingles_of(docs: DataFrame, ids: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """(id, shingles) of at least the given ids, made from one doc_id's text each.
+
+    Texts are not shuffled: a filter of bounded size picks the rows.  It may pick more.  Rows that
+    repeat a doc_id may repeat an id.
+    """
+    first = rows.join(ids, "id").groupBy("id").agg(F.min("a").alias("doc_id")).where("doc_id is not null")
+    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(first.select(F.xxhash64("doc_id").alias("hash"))))
 
     def run(batches):
-        out: list[tuple[int, bytes]] = []
+        held: dict[int, bytes] = {}
         size = 0
-        for _, _, s in _sets(batches, k):
-            out.append((_digest(s), s.tobytes()))
-            size += s.nbytes
-            if size > 8 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()),
-                                                  pa.array([x[1] for x in out], pa.binary())], names=["id", "shingles"])
-                out, size = [], 0
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()),
-                                              pa.array([x[1] for x in out], pa.binary())], names=["id", "shingles"])
+        for batch in batches:
+            at = batch.column("hash").to_numpy().astype(np.int64) % BITMAP
+            wanted = (bits.value[at >> 6] >> (at & 63).astype(U64)) & U64(1) == 1
+            for _, _, s in _sets([batch.filter(pa.array(wanted))], k):
+                if len(s):
+                    held[_digest(s)] = s.tobytes()
+                    size += s.nbytes
+                if size > 8 << 20:
+                    yield _shingle_batch(held)
+                    held, size = {}, 0
+        if held:
+            yield _shingle_batch(held)
+
+    return docs.select("text", F.xxhash64("doc_id").alias("hash")).mapInArrow(run, "id long, shingles binary")
+
 
-    # the same doc_id may stand on rows with different texts, and equal sets may come twice
-    made = text.mapInArrow(run, "id long, shingles binary")
-    return written(made.join(ids, "id", "left_semi").dropDuplicates(["id"]), "sets")
+def _shingle_batch(held):
+    return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.int64()), pa.array(held.values(), pa.binary())],
+                                      names=["id", "shingles"])
 
 
 class Tree:
@@ -213,8 +262,8 @@ class Tree:
             cuts = np.arange(0, len(high), FANOUT)
             self.levels.append((np.maximum.reduceat(high, cuts, axis=0), np.minimum.reduceat(least, cuts)))
 
-    def search(self, point: np.ndarray, size: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-        """Members that may link with the query, best bound first, and their bounds."""
+    def search(self, point: np.ndarray, size: int, num: int, den: int) -> np.ndarray:
+        """Members that may link with the query, best bound first."""
         at = np.arange(len(self.levels[-1][0]))
         for depth in range(len(self.levels) - 1, -1, -1):
             high, least = self.levels[depth]
@@ -227,7 +276,7 @@ class Tree:
                 at = at[at < len(self.levels[depth - 1][0])]
         ratio = bound / (size + self.levels[0][1][at] - np.minimum(bound, size))
         best = np.argsort(-ratio, kind="stable")
-        return self.order[at[best]], bound[best]
+        return self.order[at[best]]
 
 
 def overlaps(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
@@ -238,66 +287,132 @@ def overlaps(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return np.add.reduceat(hits.astype(np.int64), np.cumsum([0] + [len(x) for x in others[:-1]]))
 
 
-def link(ids: np.ndarray, groups: np.ndarray, shingles: list[np.ndarray], queries: np.ndarray,
-         num: int, den: int) -> list[tuple[int, int]]:
+def _classes(sizes: np.ndarray, points: list[np.ndarray]):
+    """(members, tree, points, which are of this class) of each size class with the next one."""
+    level = np.array([int(n).bit_length() for n in sizes])
+    for c in np.unique(level):
+        members = np.flatnonzero((level == c) | (level == c + 1))
+        if len(members) > 1:
+            groups = _groups((1 << int(c)) - 1)
+            stack = np.stack([_folded(points[i], groups) for i in members])
+            yield members, Tree(stack, sizes[members]), stack, level[members] == c
+
+
+class Chunk:
+    """Rows (key, chunk, id, grp, query, home, firsts, ...) that meet in one tree."""
+
+    def __init__(self, rows: list[dict]):
+        self.ids = np.array([r["id"] for r in rows], np.int64)
+        self.group = np.unique(np.array([r["grp"] for r in rows], np.int64), return_inverse=True)[1]
+        self.query = np.array([r["query"] for r in rows])
+        self.home = np.array([r["home"] for r in rows])
+        key, last = rows[0]["key"], np.iinfo(np.int64).max
+        # blocks before this one
+        self.before = np.full((len(rows), FIRSTS), last)
+        for i, r in enumerate(rows):
+            early = [k for k in r["firsts"] if k < key]
+            self.before[i, :len(early)] = early
+        self.early = (self.before != last).sum(1)
+
+    def pairs(self, sizes: np.ndarray, points: list[np.ndarray], num: int, den: int):
+        """(q, candidates of other components, best bound first) of each query that has some."""
+        for members, tree, stack, own in _classes(sizes, points):
+            for i in np.flatnonzero(self.query[members]):
+                q = members[i]
+                near = tree.search(stack[i], sizes[q], num, den)
+                near = members[near[own[near] | own[i]]]  # pairs of the next class have their turn
+                near = near[(self.group[near] != self.group[q]) & (self.home[near] | self.home[q])]
+                if len(near) and self.early[q]:
+                    near = near[~np.isin(self.before[near], self.before[q, :self.early[q]]).any(1)]
+                if len(near):
+                    yield q, near
+
+
+def link(rows: list[dict], num: int, den: int) -> list[tuple[int, int]]:
     """Links that join the sets of one chunk: those whose query flag is set against all.
 
-    ``groups`` says which sets are known to be joined already.
+    ``grp`` says which sets are known to be joined already.
     """
+    chunk = Chunk(rows)
+    group = chunk.group
+    shingles = [np.frombuffer(r["shingles"], U64) for r in rows]
     sizes = np.array([len(s) for s in shingles], np.int64)
-    points = np.stack([np.bincount((s & U64(GROUPS - 1)).astype(np.int64), minlength=GROUPS) for s in shingles])
-    points = points.astype(np.int32)
-    group = groups.copy()
-    tree = Tree(points, sizes)
     found = []
-    for q in np.flatnonzero(queries):
-        near, _ = tree.search(points[q], sizes[q], num, den)
-        near = near[group[near] != group[q]]
+    for q, near in chunk.pairs(sizes, [_point(s) for s in shingles], num, den):
         while len(near):
             # the best candidate of each other component, at most 64 at a time; the rest comes later
             tries = near[np.sort(np.unique(group[near], return_index=True)[1])][:64]
             shared = overlaps(shingles[q], [shingles[j] for j in tries])
             for j in tries[den * shared >= num * (sizes[q] + sizes[tries] - shared)]:
                 if group[j] != group[q]:
-                    found.append((int(ids[q]), int(ids[j])))
+                    found.append((int(chunk.ids[q]), int(chunk.ids[j])))
                     group[group == group[j]] = group[q]
             near = near[~np.isin(near, tries)]
             near = near[group[near] != group[q]]
     return found
 
 
+def possible(rows: list[dict], num: int, den: int) -> np.ndarray:
+    """Which sets of one chunk the points leave some link to another component."""
+    sizes = np.array([r["n"] for r in rows], np.int64)
+    out = np.zeros(len(rows), bool)
+    for q, near in Chunk(rows).pairs(sizes, [_unpack(r["point"], r["n"]) for r in rows], num, den):
+        out[near] = out[q] = True
+    return out
+
+
+def _trees(batches: Iterator[pa.RecordBatch]):
+    """Rows of each (key, chunk) of sorted batches, one for each id, if there are two or more."""
+    held: dict[int, dict] = {}
+    at = None
+    for batch in batches:
+        for row in batch.to_pylist():
+            if (row["key"], row["chunk"]) != at:
+                if len(held) > 1:
+                    yield list(held.values())
+                held, at = {}, (row["key"], row["chunk"])
+            held[row["id"]] = row
+    if len(held) > 1:
+        yield list(held.values())
+
+
+def _by_chunk(work: DataFrame) -> DataFrame:
+    return work.repartition("key", "chunk").sortWithinPartitions("key", "chunk")
+
+
 def search(work: DataFrame, num: int, den: int) -> DataFrame:
-    """(key, chunk, id, grp, query, shingles) -> links (u, v); equal (key, chunk) meet in one tree."""
+    """Rows of chunks with shingles -> links (u, v); equal (key, chunk) meet in one tree."""
 
     def run(batches):
-        held: list[tuple] = []
-        at = None
         out: list[tuple[int, int]] = []
-
-        def close():
-            if len(held) > 1:
-                ids, groups, queries, raw = zip(*held)
-                names = np.unique(np.array(groups, np.int64), return_inverse=True)[1]
-                out.extend(link(np.array(ids, np.int64), names, [np.frombuffer(x, U64) for x in raw],
-                                np.array(queries, bool), num, den))
-            held.clear()
-
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("key", "chunk", "id", "grp", "query", "shingles")]
-            for key, chunk, ident, group, query, raw in zip(*columns):
-                if (key, chunk) != at:
-                    close()
-                    at = (key, chunk)
-                held.append((ident, group, query, raw))
+        for rows in _trees(batches):
+            out.extend(link(rows, num, den))
             if len(out) > 50_000:
                 yield _links(out)
                 out.clear()
-        close()
         if out:
             yield _links(out)
 
-    sorted_work = work.repartition("key", "chunk").sortWithinPartitions("key", "chunk")
-    return sorted_work.mapInArrow(run, "u long, v long")
+    return _by_chunk(work).mapInArrow(run, "u long, v long")
+
+
+_WORK = pa.schema([("key", pa.int64()), ("chunk", pa.int32()), ("id", pa.int64()), ("grp", pa.int64()),
+                   ("query", pa.bool_()), ("home", pa.bool_()), ("firsts", pa.list_(pa.int64()))])
+
+
+def sift(work: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows of chunks with n and point -> the rows that the points do not rule out, without these."""
+
+    def run(batches):
+        for rows in _trees(batches):
+            keep = possible(rows, num, den)
+            if keep.any():
+                kept = [r for r, k in zip(rows, keep) if k]
+                yield pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in kept], f.type) for f in _WORK],
+                                                 schema=_WORK)
+
+    return _by_chunk(work).mapInArrow(
+        run, "key long, chunk int, id long, grp long, query boolean, home boolean, firsts array<long>")
 
 
 def _links(out):
@@ -309,6 +424,11 @@ def _chunks(cnt: str = "cnt"):
     return F.ceil(F.col(cnt) / CHUNK).cast("int")
 
 
+def _everywhere(test, spread):
+    """Chunks of a row: all of its block if the test holds, else its own."""
+    return F.when((F.col("cnt") > CHUNK) & test, F.sequence(F.lit(0), _chunks() - 1)).otherwise(F.array(spread))
+
+
 def classes(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs (doc_id, text)``.
 
@@ -328,35 +448,36 @@ def classes(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN) -
     hints = spark.sparkContext.broadcast((values[order], common["cnt"].to_numpy(np.int64)[order]))
     block = blocks(prefixes(docs, hints, k, num, den), num, den)
 
-    ids = block.select("id").distinct()
-    shingles = sets_of(docs, ids, rows, k)
+    points = written(seen.where("kind = 0 and n > 0").select("id", "n", "point").dropDuplicates(["id"])
+                     .join(block.select("id").distinct(), "id"), "points")
+
+    def search_in(work: DataFrame) -> DataFrame:
+        """Links in ``work (key, chunk, id, grp, query, home, firsts)``: points first, then the shingles of what is left."""
+        left = written(sift(work.join(points, "id"), num, den), "sifted")
+        return written(search(left.join(shingles_of(docs, left.select("id").distinct(), rows, k), "id"), num, den), "links")
 
     # Round 1: each set in its largest block, with a few sets of the block in every chunk.
-    own = block.groupBy("id").agg(F.max(F.struct("cnt", "key")).alias("best")).select(
-        F.col("best.key").alias("key"), "id")
-    spread = F.pmod(F.xxhash64("id"), _chunks())
+    spread = F.pmod(F.xxhash64("id"), _chunks()).cast("int")
     pivot = F.pmod(F.xxhash64("id", F.lit(7)), F.greatest(F.lit(1), F.floor(F.col("cnt") / 8))) == 0
-    first = block.join(own, ["key", "id"], "left_semi").withColumn(
-        "chunk", F.explode(F.when((F.col("cnt") > CHUNK) & pivot, F.sequence(F.lit(0), _chunks() - 1))
-                           .otherwise(F.array(spread.cast("int")))))
-    work = first.join(shingles, "id").select(
-        "key", "chunk", "id", F.col("id").alias("grp"), F.lit(True).alias("query"), "shingles")
-    links = written(search(work, num, den), "links")
+    own = block.groupBy("id").agg(F.max(F.struct("cnt", "key")).alias("best")).select("id", "best.cnt", "best.key")
+    none = F.array().cast("array<long>")
+    links = search_in(own.select("key", F.explode(_everywhere(pivot, spread)).alias("chunk"), "id", F.col("id").alias("grp"),
+                                 F.lit(True).alias("query"), spread.alias("home"), none.alias("firsts"))
+                      .withColumn("home", F.col("chunk") == F.col("home")))
     joined = components(links)
 
     # Round 2: blocks that hold more than one component.
     named = block.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn(
         "grp", F.coalesce("root", "id")).drop("root")
     parts = named.groupBy("key", "grp").agg(F.count("*").alias("part"))
-    open_blocks = parts.groupBy("key").agg(F.max(F.struct("part", "grp")).alias("top"), F.count("*").alias("parts")
-                                           ).where("parts > 1").select("key", F.col("top.grp").alias("main"))
-    rest = named.join(open_blocks, "key").withColumn("query", F.col("grp") != F.col("main"))
-    rest = written(rest, "rest")
-    everywhere = F.when((F.col("cnt") > CHUNK) & F.col("query"), F.sequence(F.lit(0), _chunks() - 1)).otherwise(
-        F.array(spread.cast("int")))
-    work = rest.withColumn("chunk", F.explode(everywhere)).join(shingles, "id").select(
-        "key", "chunk", "id", "grp", "query", "shingles")
-    links = links.unionAll(written(search(work, num, den), "links"))
+    several = parts.groupBy("key").agg(F.max(F.struct("part", "grp")).alias("top"), F.count("*").alias("parts")
+                                       ).where("parts > 1").select("key", F.col("top.grp").alias("main"))
+    rest = written(named.join(several, "key").withColumn("query", F.col("grp") != F.col("main")), "open")
+    firsts = rest.groupBy("id").agg(F.slice(F.sort_array(F.collect_list("key")), 1, FIRSTS).alias("firsts"))
+    links = links.unionAll(search_in(
+        rest.join(firsts, "id").select(
+            "key", F.explode(_everywhere(F.col("query"), spread)).alias("chunk"), "id", "grp", "query",
+            spread.alias("home"), "firsts").withColumn("home", F.col("chunk") == F.col("home"))))
     joined = components(links)
 
     docs_in = rows.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn(
