@@ -1,5 +1,8 @@
 """Invariants of the table-changing jobs and the id allocator."""
 
+import datetime as dt
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from tipflow.operators import changes as ch
@@ -21,7 +24,9 @@ def test_dense_ids_are_dense_and_ordered(spark):
 def test_settlement_is_idempotent(spark):
     m = mart(spark, SF_SMALL)
     first = ch.settle_paid_invoices(m)
-    assert first["movements"].count() == first["fires"].count()
+    assert first["movements"].select("not_id").distinct().count() == first["fires"].count()
+    once = ch.settle_paid_invoices(m, once=True)["movements"]
+    assert once.count() == first["fires"].count() <= first["movements"].count()
     # with the new invoice state, the same feed has no record left to apply
     again_inv = first["invoice"].cache()
     recs = (m.status_feed.join(again_inv.select("not_id", "status_updated_at"), "not_id")
@@ -136,3 +141,62 @@ def test_insert_collaborators_rules(spark):
         assert got[8].reason == "CPF já cadastrado para este cliente"
     top = m.collaborator.agg(F.max("usr_id")).first()[0]
     assert (got[1].usr_id, got[7].usr_id) == (top + 1, top + 2)
+
+
+def test_statement_total_is_the_batch_total(spark):
+    """Three lines of 10.00 at a net of 29.90: the lines round to 9.97, the totals line keeps 29.90."""
+    from types import SimpleNamespace
+
+    from tipflow.operators.reports import batch_statement
+    credit = spark.createDataFrame([(1, u, 10, 5, 900, Decimal("10.00"), dt.date(2024, 1, 1)) for u in (1, 2, 3)],
+                                   "cre_id long, usr_id long, cli_id long, batch_id long, not_id long, "
+                                   "credit_value decimal(18,2), credit_date date")
+    people_ = spark.createDataFrame([(1, "A", "52998224725"), (2, "B", None), (3, "C", "")],
+                                    "usr_id long, usr_name string, cpf string")
+    invoice = spark.createDataFrame([(900, Decimal("30.00"), Decimal("0.10"), Decimal("29.90"))],
+                                    "not_id long, invoice_value decimal(18,2), service_value decimal(18,2), "
+                                    "movement_value decimal(18,2)")
+    tenant = spark.createDataFrame([(10, Decimal("1.0000"), "D")], "cli_id long, fee_rate decimal(9,4), fee_type string")
+    m = SimpleNamespace(credit=credit, collaborator=people_, invoice=invoice, tenant=tenant)
+    got = {r.usr_name: (r.cpf, r.gross, r.discount, r.net) for r in batch_statement(m).collect()}
+    d = Decimal
+    assert got == {"A": ("529.982.247-25", d("10.00"), d("0.03"), d("9.97")), "B": ("-", d("10.00"), d("0.03"), d("9.97")),
+                   "C": ("-", d("10.00"), d("0.03"), d("9.97")), "TOTAL": (None, d("30.00"), d("0.10"), d("29.90"))}
+
+
+def test_long_requests_keep_every_line(spark):
+    """No line limit unless it is asked for."""
+    from types import SimpleNamespace
+
+    from tipflow.operators.topups import validate_credit_request
+    lines = spark.range(1, 20_001).select(
+        F.lit(1).cast("long").alias("request_id"), F.lit(1).cast("long").alias("cli_id"), F.col("id").alias("line_no"),
+        F.col("id").alias("ref_id"), F.lit(None).cast("string").alias("cpf"), F.lit("x").alias("nome"),
+        F.lit("1.00").alias("valor"), F.lit("  t \t").alias("titulo"), F.lit(None).cast("string").alias("data"))
+    m = SimpleNamespace(credit_request=lines)
+    r = validate_credit_request(m).first()
+    assert (r.is_valid, r.n_lines, r.titulo) == (True, 20_000, "t")
+    r = validate_credit_request(m, max_lines=5000).first()
+    assert not r.is_valid and r.error == "Máximo 5000 colaboradores permitidos"
+
+
+def test_collaborator_update_writes_every_field(spark):
+    """Missing fields are cleared, a new tenant moves the row, a failed check writes nothing."""
+    from types import SimpleNamespace
+    cols = "usr_id long, cli_id long, usr_name string, cpf string, email string, phone string, birth_date date, sex string, sit_id int"
+    old = [(i, 1, "OLD", "1", "o@x.yz", "11", dt.date(1980, 1, 1), "M", 1) for i in range(1, 7)]
+    new = "usr_id long, cli_id long, op string, new_sit_id int, new_name string, new_cpf string, new_email string, " \
+          "new_phone string, new_birth string, new_sex string, new_cli_id long"
+    changes = [(1, 1, "update", None, "\tana ", "529.982.247-25", " A@B.co ", "(11) 9", "1990-02-03", "F", 2),
+               (2, 1, "update", None, "bia", None, None, None, None, None, None),
+               (3, 1, "update", None, "x", "111.111.111-11", None, None, None, None, None),
+               (4, 1, "status", 2, None, None, None, None, None, None, None),
+               (5, 9, "update", None, "other tenant", None, None, None, None, None, None),
+               (6, 1, "update", None, "x", None, "nope", None, "2999-01-01", None, None)]
+    m = SimpleNamespace(collaborator=spark.createDataFrame(old, cols))
+    got = {r[0]: tuple(r[1:]) for r in people.upsert_collaborators(m, spark.createDataFrame(changes, new), "2000-01-01").collect()}
+    keep = (1, "OLD", "1", "o@x.yz", "11", dt.date(1980, 1, 1), "M", 1, False)
+    assert got[1] == (2, "ANA", "52998224725", "a@b.co", "119", dt.date(1990, 2, 3), "F", 1, True, None)
+    assert got[2] == (1, "BIA", None, None, None, None, None, 1, True, None)
+    assert got[3] == (*keep, "CPF inválido") and got[6] == (*keep, "Email inválido") and got[5] == (*keep, None)
+    assert got[4] == (1, "OLD", "1", "o@x.yz", "11", dt.date(1980, 1, 1), "M", 2, True, None)

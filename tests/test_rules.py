@@ -3,6 +3,7 @@
 import datetime as dt
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from tipflow.functions import columns as C
@@ -37,10 +38,15 @@ def test_s3_c2_status_precedence(spark):
 
 def test_d7_list_and_badge(spark):
     rows = [("expired", None, True), (None, "E", True), (None, None, False), ("waiting", None, False)]
+    # a cancelled charge of a live invoice reads as waiting; a paid one wins over a cancelled batch
+    more = spark.createDataFrame([("canceled", None, True), ("paid", "C", True), ("canceled", None, False)],
+                                 "cs string, bs string, has boolean")
+    assert [r[0] for r in more.select(C.badge_status("cs", "bs", "has")).collect()] == [
+        "Aguardando pagamento", "Pago", "Sem boleto"]
     df = spark.createDataFrame(rows, "cs string, bs string, has boolean")
     got = df.select(C.list_status("cs", "bs", "has").alias("l"), C.badge_status("cs", "bs", "has").alias("b")).collect()
     assert [r.l for r in got] == ["cancelado", "pendente", "cancelado", "pendente"]
-    assert [r.b for r in got] == ["Vencido", "Erro no boleto", "Sem boleto", "Sem boleto"]
+    assert [r.b for r in got] == ["Vencido", "Erro no boleto", "Sem boleto", "Aguardando pagamento"]
 
 
 def test_s5_rounding_is_decimal_half_up(spark):
@@ -135,11 +141,14 @@ def test_month_label_pt(spark):
 
 
 def test_page_clamp_and_global_page(spark):
-    from tipflow.operators.topups import page
+    from tipflow.operators.topups import clamped_page, page
     df = spark.range(0, 1200).withColumn("cli_id", F.col("id") % 2)
-    assert page(df, ["id"], limit=0, per=None).count() == 50            # 0 is "not given": default 50
-    assert page(df, ["id"], limit=-5, per=None).count() == 1            # clamped up to 1
-    assert page(df, ["id"], limit=10_000, per=None).count() == 500      # clamped down to 500
+    assert clamped_page(0, None) == (50, 0)          # 0 is "not given": default 50
+    assert clamped_page(-5, -1) == (1, 0)
+    assert clamped_page(10_000, 7) == (500, 7)
+    assert page(df, ["id"], limit=1000, per=None).count() == 1000      # a page is as large as asked for
+    with pytest.raises(ValueError):
+        page(df, ["id"], limit=0)
     rows = page(df, [F.desc("id")], limit=3, offset=2, per=None).collect()
     assert [r.id for r in rows] == [1197, 1196, 1195]
     per_tenant = page(df, ["id"], limit=2, offset=1, per="cli_id").collect()

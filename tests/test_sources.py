@@ -2,6 +2,7 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from tipflow.operators import people
@@ -24,6 +25,8 @@ def test_credit_sheets_lines_and_rejections(spark, scratch):
     with open(f"{scratch}/in/c/empty.csv", "w") as fh:
         fh.write("nome,cpf,valor,categoria\n")
     rows, files = read_sheets(spark, f"{scratch}/in/*/*.csv", CREDIT_HEADERS)
+    assert files.filter("status = 'ok'").count() == 2 and rows.count() == 5041   # no limit unless asked for
+    rows, files = read_sheets(spark, f"{scratch}/in/*/*.csv", CREDIT_HEADERS, max_rows=5000)
     st = {os.path.basename(os.path.dirname(r.file.replace("file:", ""))): r.status for r in files.collect()}
     assert st == {"a": "ok", "b": "too_many_rows", "c": "empty"}
     got = rows.orderBy("line").collect()
@@ -44,7 +47,7 @@ def test_collaborator_header_aliases(spark, scratch):
 
 def test_write_state_commits_last(spark, scratch):
     m = mart(spark, SF_SMALL)
-    out = people.upsert_collaborators(m, m.collab_change)
+    out = people.upsert_collaborators(m, m.collab_change, "2000-01-01")
     write_state({"collaborator": out}, f"{scratch}/state", run_id=1)
     write_state({"collaborator": out.filter("changed")}, f"{scratch}/state", run_id=2)
     assert read_state(spark, f"{scratch}/state", "collaborator").count() == out.filter("changed").count()
@@ -53,6 +56,35 @@ def test_write_state_commits_last(spark, scratch):
     assert read_state(spark, f"{scratch}/state", "collaborator").count() == out.filter("changed").count()
 
 
+def test_write_state_empty_frames(spark, scratch):
+    df = spark.createDataFrame([(1, "a")], "id long, name string")
+    write_state({"t": df.where("false")}, f"{scratch}/s", run_id=1)
+    back = read_state(spark, f"{scratch}/s", "t")
+    assert back.schema == df.schema and back.count() == 0
+    # an empty retry hides what the first attempt of the run wrote
+    write_state({"t": df}, f"{scratch}/s", run_id=2)
+    write_state({"t": df.where("false")}, f"{scratch}/s", run_id=2)
+    assert read_state(spark, f"{scratch}/s", "t").count() == 0
+    # a run that fails before its commit stays invisible
+    write_state({"t": df}, f"{scratch}/s", run_id=3)
+    broken = df.select("id", F.raise_error(F.lit("no")).cast("string").alias("name"))
+    with pytest.raises(Exception):
+        write_state({"t": broken}, f"{scratch}/s", run_id=4)
+    assert read_state(spark, f"{scratch}/s", "t").count() == 1
+
+
+def test_sheet_lines_over_several_splits(spark, scratch):
+    with open(f"{scratch}/one.csv", "w") as fh:
+        fh.write("nome,cpf,valor,categoria\n" + "".join(f"n{i},1,{i},A\n" for i in range(20_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+    try:
+        rows, _ = read_sheets(spark, f"{scratch}/one.csv", CREDIT_HEADERS)
+        assert rows.rdd.getNumPartitions() > 1 and rows.filter("line <> cast(valor as int) + 2").count() == 0
+        assert rows.count() == 20_000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_csv_export_partitioned(spark, scratch):
     from tipflow.operators.reports import report_export_topups
     from tipflow.plans.registry import END, START

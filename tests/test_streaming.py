@@ -1,7 +1,10 @@
 """Batch form equals streaming form (availableNow) for F1 and F6."""
 
+import datetime as dt
 import os
+from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from tipflow.operators import changes as ch
@@ -44,6 +47,57 @@ def test_settlement_stream_equals_batch(spark, scratch):
     assert streamed.count() > 0
 
 
+def _invoice(spark, status):
+    return spark.createDataFrame([(1, status, None, None, Decimal("9.00"), None, 1)],
+                                 "not_id long, charge_status string, status_updated_at timestamp, paid_value decimal(18,2), "
+                                 "invoice_value decimal(18,2), settled_on date, ctb_id long")
+
+
+def _feed(spark, statuses, start=1):
+    return spark.createDataFrame([(1, s, dt.datetime(2024, 1, i), i) for i, s in enumerate(statuses, start)],
+                                 "not_id long, new_status string, changed_at timestamp, seq long")
+
+
+def test_transitions_fire_on_raw_text_and_again(spark, scratch):
+    # 'paid' to 'PAID' is a change of the raw text into paid; so is a second payment after 'waiting'
+    inv = _invoice(spark, "waiting")
+    feed = _feed(spark, ["paid", "paid", "PAID", "waiting", None, "paid"])
+    start = inv.select("not_id", F.col("charge_status").alias("start_status"))
+    assert sorted(r.fire_seq for r in ch.settlement_fires(feed, start).collect()) == [1, 3, 6]
+    assert [r.fire_seq for r in ch.settlement_fires(feed, start, once=True).collect()] == [1]
+    # the same in two epochs of the foreachBatch form; a replayed epoch replaces its output
+    out = f"{scratch}/out"
+    settlement.process_batch(spark, _feed(spark, ["paid", "paid", "PAID"]), 0, inv, out)
+    for _ in range(2):
+        settlement.process_batch(spark, _feed(spark, ["waiting", None, "paid"], 4), 1, inv, out)
+    got = settlement.read_movements(spark, out).collect()
+    assert len(got) == 3 and {str(r.mov_date) for r in got} == {"2024-01-01"}
+    # records that are not newer change nothing, and an epoch without movements reads back
+    settlement.process_batch(spark, feed, 2, inv, out)
+    assert settlement.read_movements(spark, out).count() == 3
+    # and in the state store form
+    os.makedirs(f"{scratch}/feed")
+    for i, part in enumerate((_feed(spark, ["paid", "paid", "PAID"]), _feed(spark, ["waiting", None, "paid"], 4))):
+        part.coalesce(1).write.parquet(f"{scratch}/p{i}")
+        for f in os.listdir(f"{scratch}/p{i}"):
+            if f.endswith(".parquet"):
+                os.link(f"{scratch}/p{i}/{f}", f"{scratch}/feed/{i}-{f}")
+    settlement.start_stateful_settlement(spark, f"{scratch}/feed", inv, f"{scratch}/st", f"{scratch}/ck",
+                                         max_files_per_trigger=1).awaitTermination()
+    got = spark.read.parquet(f"{scratch}/st").collect()
+    assert len(got) == 3 and {str(r.mov_date) for r in got} == {"2024-01-01"}
+
+
+def test_unreadable_state_is_an_error(spark, scratch):
+    from tipflow.sources.sinks import COMMITS, read_if_written
+    assert read_if_written(spark, f"{scratch}/none", COMMITS) is None
+    os.makedirs(f"{scratch}/bad")
+    with open(f"{scratch}/bad/part.parquet", "w") as fh:
+        fh.write("not parquet")
+    with pytest.raises(Exception):
+        read_if_written(spark, f"{scratch}/bad", COMMITS).count()
+
+
 def test_rate_limit_stream_equals_batch(spark, scratch):
     m = mart(spark, SF_SMALL)
     log = m.request_log
@@ -55,7 +109,7 @@ def test_rate_limit_stream_equals_batch(spark, scratch):
             if f.endswith(".parquet"):
                 os.link(os.path.join(d, f), os.path.join(log_dir, f"{i:03d}-{f}"))
     rules = [("daily", None, "1 day", 5), ("login", "login", "1 day", 1)]
-    qs = ratelimit.start_breach_streams(spark, log_dir, f"{scratch}/sink", f"{scratch}/ckpt", rules=rules)
+    qs = ratelimit.start_breach_streams(spark, log_dir, f"{scratch}/sink", f"{scratch}/ckpt", "30 days", rules=rules)
     for q in qs:
         q.awaitTermination()
     streamed = ratelimit.read_breaches(spark, f"{scratch}/sink").select(

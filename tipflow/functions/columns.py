@@ -1,5 +1,7 @@
-"""Pure Column helpers: every rule here is a JVM-side expression (no UDF),
-so it stays inside whole-stage codegen wherever it is used."""
+"""Pure Column helpers: every rule here is a JVM-side expression (no UDF).
+
+Most stay inside whole-stage codegen; rules that bind a value with :func:`let` are
+evaluated outside it (higher-order functions have no generated code)."""
 
 from __future__ import annotations
 
@@ -20,6 +22,7 @@ STATUS_LABEL = {
 MONTH_NAMES_PT = ["janeiro", "fevereiro", "março", "abril", "maio", "junho",
                   "julho", "agosto", "setembro", "outubro", "novembro", "dezembro"]
 NO_CATEGORY = "Sem categoria"
+NO_CHARGE = "Sem boleto"
 MONEY = "decimal(18,2)"
 # 1% as an exact decimal; a Python float literal would turn decimal math into double
 def pct() -> Column:
@@ -89,9 +92,26 @@ def list_status(charge_status, batch_status_col, has_invoice) -> Column:
 
 
 def badge_status(charge_status, batch_status_col, has_invoice) -> Column:
-    """Detail badge (D7): like C2 but a batch without invoice reads 'Sem boleto'."""
-    return F.when(~c(has_invoice) & c(batch_status_col).isNull(), "Sem boleto").otherwise(
-        status_label(batch_status(charge_status, batch_status_col)))
+    """Detail badge (D7): paid, then the batch's own status, then an expired or open charge.
+
+    Any other charge status (a cancelled one too) reads as waiting while there is an invoice,
+    and 'Sem boleto' without one.
+    """
+    cs = F.lower(F.coalesce(c(charge_status), F.lit("")))
+    rs = c(batch_status_col)
+    waiting = cs.isin(PENDING_STATUSES) | c(has_invoice)
+    return (F.when(cs.isin(PAID_STATUSES), STATUS_LABEL["pago"]).when(rs == "C", STATUS_LABEL["cancelado"])
+            .when(rs == "E", STATUS_LABEL["erro"]).when(cs == "expired", STATUS_LABEL["vencido"])
+            .when(waiting, STATUS_LABEL["pendente"]).otherwise(NO_CHARGE))
+
+
+# JS trim(): white space of every kind, line breaks, no-break spaces and the byte order mark
+_JS_SPACE = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]+"
+
+
+def js_trim(col) -> Column:
+    """``trim()`` as JavaScript does it, not only spaces."""
+    return F.regexp_replace(c(col), f"^{_JS_SPACE}|{_JS_SPACE}$", "")
 
 
 def digits(col) -> Column:
@@ -147,7 +167,7 @@ NUMBER_PREFIX = r"^([+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?)"
 
 def leading_number(col) -> Column:
     """``parseFloat``: the leading decimal number of a text, else NULL."""
-    m = F.regexp_extract(F.trim(c(col)), NUMBER_PREFIX, 1)
+    m = F.regexp_extract(js_trim(col), NUMBER_PREFIX, 1)
     return F.when(m == "", F.lit(None)).otherwise(m).cast("double")
 
 
@@ -193,6 +213,7 @@ def month_label_pt(col) -> Column:
     return F.concat(F.element_at(names, F.month(c(col))), F.lit(" de "), F.year(c(col)).cast("string"))
 
 
+# Fixed value of the reference: accepted e-mail form.
 EMAIL_PATTERN = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
 
 
@@ -215,4 +236,4 @@ def parse_birth_date(col) -> Column:
         return (F.when(t.rlike(r"^[0-9]+$"), serial)
                 .when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_date(text, "yyyy-MM-dd")))
 
-    return let(F.trim(c(col)), parse)
+    return let(js_trim(col), parse)

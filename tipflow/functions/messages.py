@@ -18,7 +18,7 @@ CPF_INVALID = "CPF inválido"
 CPF_DUPLICATE = "CPF já cadastrado para este cliente"
 
 # Fixed values of the reference: credit-request validation and generation messages.
-REQUEST_TOO_MANY = "Máximo 5000 colaboradores permitidos"
+REQUEST_TOO_MANY = ("Máximo ", " colaboradores permitidos")  # around the limit
 REQUEST_LINE = "Colaborador "
 REQUEST_LINE_CPF = "CPF inválido"
 REQUEST_LINE_ID = "ID inválido"

@@ -1,13 +1,13 @@
 """Change-driven work (F1-F6), batch form.
 
 F1 replaces a row trigger: "when an invoice's charge status changes to
-'paid', settle it".  The transition is found with aggregates instead of a
-per-invoice ``lag`` window: per invoice, the first transition into 'paid'
-is the first paid record when the starting status is not paid, else the
-first paid record after the first non-paid one.  Both are MIN aggregates
-(partial + final), so an invoice with a huge status history is never
-pulled into a single task.  The streaming form in
-:mod:`tipflow.streaming.settlement` runs the same function per micro-batch.
+'paid', settle it".  A record fires if its status reads 'paid' in lower case
+and its raw text differs from the record before (for the first one: from the
+invoice's status), as the trigger tests it; an invoice may fire more than
+once.  Records are numbered within their invoice by a distributed sort and
+joined with the record before on (invoice, number), so an invoice with a huge
+status history is spread over many tasks.  The streaming forms in
+:mod:`tipflow.streaming.settlement` give the same transitions.
 """
 
 from __future__ import annotations
@@ -17,29 +17,42 @@ from pyspark.sql import functions as F
 
 from tipflow.sources.mart import Mart
 
+# Fixed values of the reference: the bank movement that a settlement writes.
+MOVEMENT_OPERATION, MOVEMENT_ACTOR = "P", "Webhook"
 MOVEMENT_INFO = "Baixa automatica boleto paid - nota "
 
 
-def _key():
-    return F.struct("changed_at", "seq")
+def settlement_fires(feed: DataFrame, start: DataFrame, once: bool = False) -> DataFrame:
+    """Transitions into 'paid': (not_id, fire_at, fire_seq), one row each.
 
+    ``feed``: (not_id, new_status, changed_at, seq), only the records to consider; ``start``:
+    (not_id, start_status), the status before them.  ``once`` keeps the first of each invoice, which
+    deviates from the trigger: a second payment then writes no second movement.
+    """
+    from tipflow.operators.ids import number_within
+    f = number_within(feed.join(start, "not_id"), ["not_id"], ["changed_at", "seq"], "_n")
+    before = f.select("not_id", (F.col("_n") + 1).alias("_n"), F.col("new_status").alias("_before"))
+    f = f.join(before, ["not_id", "_n"], "left")
+    old = F.when(F.col("_n") == 1, F.col("start_status")).otherwise(F.col("_before"))
+    fires = f.filter((F.lower("new_status") == "paid") & ~F.col("new_status").eqNullSafe(old)).select(
+        "not_id", F.col("changed_at").alias("fire_at"), F.col("seq").alias("fire_seq"))
+    return first_fires(fires) if once else fires
 
-def settlement_fires(feed: DataFrame, start: DataFrame) -> DataFrame:
-    """First transition into 'paid' per invoice (status compared in lower case, S3).
 
-    ``feed``: (not_id, new_status, changed_at, seq) — only the records to
-    consider; ``start``: (not_id, start_status) the status before them.
-    Returns (not_id, fire_at, fire_seq).
-    """
-    f = (feed.join(start, "not_id")
-         .withColumn("k", _key())
-         .withColumn("is_paid", F.lower(F.coalesce("new_status", F.lit(""))) == "paid"))
-    first_np = f.filter(~F.col("is_paid")).groupBy("not_id").agg(F.min("k").alias("np"))
-    start_paid = F.lower(F.coalesce("start_status", F.lit(""))) == "paid"
-    eligible = F.col("is_paid") & (~start_paid | (F.col("np").isNotNull() & (F.col("k") > F.col("np"))))
-    return (f.join(first_np, "not_id", "left").filter(eligible)
-            .groupBy("not_id").agg(F.min("k").alias("fire"))
-            .select("not_id", F.col("fire.changed_at").alias("fire_at"), F.col("fire.seq").alias("fire_seq")))
+def first_fires(fires: DataFrame) -> DataFrame:
+    """The first transition of each invoice."""
+    return (fires.groupBy("not_id").agg(F.min(F.struct("fire_at", "fire_seq")).alias("f"))
+            .select("not_id", "f.fire_at", "f.fire_seq"))
+
+
+def movements_of(fires: DataFrame, invoice: DataFrame) -> DataFrame:
+    """A bank movement for each transition: the paid value (else the invoice's), on the settlement
+    date, which the first transition sets (``settled_at``: its time)."""
+    return (fires.join(invoice, "not_id").select(
+        F.col("not_id").alias("doc"), F.coalesce("paid_value", "invoice_value").cast("decimal(18,2)").alias("mov_value"),
+        F.coalesce("settled_on", F.to_date("settled_at")).alias("mov_date"), "not_id",
+        F.lit(MOVEMENT_OPERATION).alias("operation"), "ctb_id", F.lit(MOVEMENT_ACTOR).alias("actor"),
+        F.concat(F.lit(MOVEMENT_INFO), F.col("not_id").cast("string")).alias("info")))
 
 
 def new_feed_records(m: Mart, feed: DataFrame | None = None) -> DataFrame:
@@ -51,22 +64,23 @@ def new_feed_records(m: Mart, feed: DataFrame | None = None) -> DataFrame:
             .select("not_id", "new_status", "changed_at", "seq"))
 
 
-def settle_paid_invoices(m: Mart, feed: DataFrame | None = None) -> dict:
+def settle_paid_invoices(m: Mart, feed: DataFrame | None = None, once: bool = False) -> dict:
     """F1 batch form: invoice, bank movement, credit and batch effects of paid transitions.
 
     Settled invoices: situation 'BT', paid value COALESCE(paid, invoice value),
-    settlement date COALESCE(existing, date of the transition).  One bank
-    movement 'P' per settled invoice.  Credits of the invoice not in status 1
-    become 1; batches 'C' holding those credits are reopened (NULL).  The
-    invoice's charge status takes the newest record.  Settling is once per
-    invoice: re-running over the same feed changes nothing, because records
-    not newer than the stored status time are ignored.
+    settlement date COALESCE(existing, date of the first transition).  One bank
+    movement 'P' per transition (``once``: per invoice).  Credits of the invoice not in
+    status 1 become 1; batches 'C' holding those credits are reopened (NULL).  The
+    invoice's charge status takes the newest record.  Re-running over the same feed
+    changes nothing, because records not newer than the stored status time are ignored.
     """
     recs = new_feed_records(m, feed)
     start = m.invoice.select("not_id", F.col("charge_status").alias("start_status"))
-    fires = settlement_fires(recs, start)
+    every = settlement_fires(recs, start, once)
+    fires = first_fires(every)
     latest = (recs.groupBy("not_id").agg(F.max(F.struct("changed_at", "seq", "new_status")).alias("r"))
-              .select("not_id", F.col("r.new_status").alias("last_status"), F.col("r.changed_at").alias("last_at")))
+              .select("not_id", F.col("r.new_status").alias("last_status"), F.col("r.changed_at").alias("last_at"),
+                      F.lit(True).alias("_new")))
     fired = F.col("fire_at").isNotNull()
     invoice = (m.invoice.join(fires, "not_id", "left").join(latest, "not_id", "left")
                .withColumn("situation", F.when(fired, F.lit("BT")).otherwise(F.col("situation")))
@@ -74,14 +88,10 @@ def settle_paid_invoices(m: Mart, feed: DataFrame | None = None) -> dict:
                            .otherwise(F.col("paid_value")))
                .withColumn("settled_on", F.when(fired, F.coalesce("settled_on", F.to_date("fire_at")))
                            .otherwise(F.col("settled_on")))
-               .withColumn("charge_status", F.coalesce("last_status", "charge_status"))
+               .withColumn("charge_status", F.when(F.col("_new"), F.col("last_status")).otherwise(F.col("charge_status")))
                .withColumn("status_updated_at", F.coalesce("last_at", "status_updated_at"))
-               .drop("last_status", "last_at", "fire_seq"))
-    movements = (invoice.filter(F.col("fire_at").isNotNull())
-                 .select(F.col("not_id").alias("doc"), F.col("paid_value").cast("decimal(18,2)").alias("mov_value"),
-                         F.col("settled_on").alias("mov_date"), "not_id", F.lit("P").alias("operation"), "ctb_id",
-                         F.lit("Webhook").alias("actor"),
-                         F.concat(F.lit(MOVEMENT_INFO), F.col("not_id").cast("string")).alias("info")))
+               .drop("last_status", "last_at", "fire_seq", "_new"))
+    movements = movements_of(every.join(fires.select("not_id", F.col("fire_at").alias("settled_at")), "not_id"), m.invoice)
     hit = fires.select("not_id", F.lit(True).alias("_hit"))
     credit = (m.credit.join(hit, "not_id", "left")
               .withColumn("sit_id", F.when(F.col("_hit") & (F.col("sit_id") != 1), F.lit(1)).otherwise(F.col("sit_id")))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tipflow.functions.columns import (EMAIL_PATTERN, NO_CATEGORY, cpf_valid, digits, leading_number,
+from tipflow.functions.columns import (EMAIL_PATTERN, NO_CATEGORY, cpf_valid, digits, js_trim, leading_number,
                                        pad_cpf, parse_birth_date, sql_digits)
 from tipflow.functions import messages as M
 from tipflow.operators.ids import dense_ids
@@ -100,7 +100,7 @@ def collaborators_by_ids(m: Mart, keys: DataFrame) -> DataFrame:
 def sheet_cpf_keys(m: Mart) -> DataFrame:
     """Key frame of a credit sheet: (tenant, line, padded digits CPF)."""
     return m.credit_sheet.select("cli_id", F.col("line").alias("key"),
-                                 pad_cpf(digits(F.trim("cpf"))).alias("cpf"))
+                                 pad_cpf(digits(js_trim("cpf"))).alias("cpf"))
 
 
 def categories(m: Mart) -> DataFrame:
@@ -135,29 +135,36 @@ def tenant_fee(m: Mart) -> DataFrame:
                            F.when(F.col("fee_type") == "A", "A").otherwise("D").alias("fee_type"))
 
 
+def _matching(m: Mart, term: str, legacy_digits: bool) -> DataFrame:
+    pat = f"%{term}%"
+    dig = "".join(ch for ch in term if ch.isdigit())
+    cond = (F.col("usr_name").ilike(pat) | F.col("cpf").ilike(pat)
+            | F.col("sit_name").ilike(pat) | F.col("trade_name").ilike(pat))
+    if dig or legacy_digits:
+        cond = cond | sql_digits("cpf").like(f"%{dig}%")
+    return _with_lookups(m, m.collaborator).filter(cond)
+
+
 def collaborators_all(m: Mart, term: str, legacy_digits: bool = False, limit: int = 100,
                       offset: int = 0) -> DataFrame:
-    """All statuses; term over name, digits CPF, CPF, status name and tenant name.
+    """All statuses; term over name, digits CPF, CPF, status name and tenant name; a page per tenant.
 
     A term without digits makes the digits pattern ``%%``, which matches every
     collaborator in the reference (S9); that branch is only kept with
     ``legacy_digits=True``.
     """
-    pat = f"%{term}%"
-    dig = "".join(ch for ch in term if ch.isdigit())
-    u = _with_lookups(m, m.collaborator)
-    cond = (F.col("usr_name").ilike(pat) | F.col("cpf").ilike(pat)
-            | F.col("sit_name").ilike(pat) | F.col("trade_name").ilike(pat))
-    if dig or legacy_digits:
-        cond = cond | sql_digits("cpf").like(f"%{dig}%")
-    limit = min(max(int(limit), 1), 500)
     w = Window.partitionBy("cli_id").orderBy("usr_name", "usr_id")
-    return (u.filter(cond)
+    return (_matching(m, term, legacy_digits)
             .select("cli_id", "usr_id", "usr_name", "cpf", "trade_name", F.col("sit_name").alias("status"), "sit_id")
             .withColumn("pos", F.row_number().over(w).cast("long"))
             .filter((F.col("pos") > offset) & (F.col("pos") <= offset + limit)))
 
 
+def collaborators_all_count(m: Mart, term: str, legacy_digits: bool = False) -> DataFrame:
+    """The page total: collaborators matching the term per tenant."""
+    return _matching(m, term, legacy_digits).groupBy("cli_id").agg(F.count(F.lit(1)).alias("total"))
+
+
 def collaborator_full(m: Mart, nested: bool = False) -> DataFrame:
     """Full collaborator record with its categories sorted by name.
 
@@ -180,15 +187,26 @@ def collaborator_full(m: Mart, nested: bool = False) -> DataFrame:
 
 
 def collaborator_search_client(m: Mart, term: str) -> DataFrame:
-    """Screen search: name or CPF (digits) contains the term, or the status display name does."""
+    """Screen search: the term in the name, the CPF as written or its digits, the tenant's trade
+    name, or the status as the screen shows it ('ativo', 'inativo' for blocked ones, else its own name).
+
+    An empty term keeps everyone.
+    """
     t = term.lower().strip()
-    dig = "".join(ch for ch in term if ch.isdigit())
-    display = F.when(F.col("sit_id") == 1, "Ativo").when(F.col("sit_id") == 2, "Bloqueado").otherwise("Cancelado")
-    cond = F.lower("usr_name").contains(t) | F.lower(display).contains(t)
-    if dig:
-        cond = cond | digits("cpf").contains(dig)
-    return m.collaborator.withColumn("status_display", display).filter(cond).select(
-        "cli_id", "usr_id", "usr_name", "cpf", "status_display")
+    dig = "".join(ch for ch in term if ch in "0123456789")
+    name = F.upper(F.coalesce("sit_name", F.lit("")))
+    display = (F.when(name.isin("ATIVO", "ACTIVE"), "ativo").when(name.isin("BLOQUEADO", "BLOCKED", "INATIVO"), "inativo")
+               .otherwise(F.lower(F.coalesce("sit_name", F.lit("")))))
+    u = (m.collaborator.join(m.tenant.select("cli_id", "trade_name"), "cli_id")
+         .join(m.status_lookup.select("sit_id", "sit_name"), "sit_id", "left").withColumn("status_display", display))
+    if t:
+        cond = F.lit(False)
+        for field in (F.lower("usr_name"), F.lower("cpf"), F.lower("trade_name"), F.col("status_display")):
+            cond = cond | F.coalesce(F.contains(field, F.lit(t)), F.lit(False))
+        if dig:
+            cond = cond | F.coalesce(F.contains(digits("cpf"), F.lit(dig)), F.lit(False))
+        u = u.filter(cond)
+    return u.select("cli_id", "usr_id", "usr_name", "cpf", "trade_name", "status_display")
 
 
 def tenant_picker(m: Mart, term: str) -> DataFrame:
@@ -207,25 +225,39 @@ def selection_totals(m: Mart) -> DataFrame:
         F.count(F.lit(1)).alias("n_selected"), F.sum("credit_value").cast("decimal(38,2)").alias("total_value"))
 
 
-def upsert_collaborators(m: Mart, changes: DataFrame) -> DataFrame:
+def upsert_collaborators(m: Mart, changes: DataFrame, as_of: str) -> DataFrame:
     """Collaborator new state after updates and status changes by (id, tenant).
 
-    Updated text is normalized: name upper + trim, email lower + trim,
-    phone digits only.  A change for an id outside its tenant has no effect.
+    An update names every field, so a missing e-mail, phone, birth date, sex or CPF clears it; a
+    new tenant moves the collaborator.  Checks, the first failing one is the reason and nothing is
+    written: name present, CPF check digits, e-mail form, birth date yyyy-mm-dd not after
+    ``as_of`` (each if given).  Text is normalized: name upper + trim, CPF digits padded to 11,
+    e-mail lower + trim, phone digits only.  A change for an id outside its tenant has no effect.
     """
-    ch = changes.select("usr_id", "cli_id", "op", "new_sit_id", "new_name", "new_email", "new_phone",
-                        F.lit(True).alias("_hit"))
+    given = {c: js_trim(c) for c in ("new_name", "new_cpf", "new_email", "new_birth")}
+    birth = F.when(F.col("new_birth").rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_date("new_birth", "yyyy-MM-dd"))
+    reason = F.when(F.col("op") == "update", (
+        F.when(F.coalesce(given["new_name"], F.lit("")) == "", F.lit(M.SHEET_NAME_REQUIRED))
+        .when((given["new_cpf"] != "") & ~cpf_valid("new_cpf"), F.lit(M.CPF_INVALID))
+        .when((given["new_email"] != "") & ~given["new_email"].rlike(EMAIL_PATTERN), F.lit(M.EMAIL_INVALID))
+        .when((given["new_birth"] != "") & ~F.coalesce(birth <= F.to_date(F.lit(as_of)), F.lit(False)),
+              F.lit(M.BIRTH_DATE_INVALID))))
+    ch = changes.select("usr_id", "cli_id", "op", "new_sit_id", "new_name", "new_cpf", "new_email", "new_phone",
+                        "new_sex", "new_cli_id", birth.alias("_birth"), reason.alias("reason"))
     u = m.collaborator.join(ch, ["usr_id", "cli_id"], "left")
-    upd = F.coalesce(F.col("_hit"), F.lit(False)) & (F.col("op") == "update")
-    sts = F.coalesce(F.col("_hit"), F.lit(False)) & (F.col("op") == "status")
+    upd = F.coalesce((F.col("op") == "update") & F.col("reason").isNull(), F.lit(False))
+    sts = F.coalesce(F.col("op") == "status", F.lit(False))
+
+    def put(new, old):
+        return F.when(upd, new).otherwise(F.col(old)).alias(old)
+
     return u.select(
-        "usr_id", "cli_id",
-        F.when(upd & F.col("new_name").isNotNull(), F.upper(F.trim("new_name"))).otherwise(F.col("usr_name")).alias("usr_name"),
-        "cpf",
-        F.when(upd & F.col("new_email").isNotNull(), F.lower(F.trim("new_email"))).otherwise(F.col("email")).alias("email"),
-        F.when(upd & F.col("new_phone").isNotNull(), digits("new_phone")).otherwise(F.col("phone")).alias("phone"),
+        "usr_id", put(F.coalesce("new_cli_id", "cli_id"), "cli_id"), put(F.upper(given["new_name"]), "usr_name"),
+        put(pad_cpf(digits("new_cpf")), "cpf"), put(F.nullif(F.lower(given["new_email"]), F.lit("")), "email"),
+        put(F.when(F.col("new_phone") != "", digits("new_phone")), "phone"), put(F.col("_birth"), "birth_date"),
+        put(F.nullif(F.col("new_sex"), F.lit("")), "sex"),
         F.when(sts, F.col("new_sit_id")).otherwise(F.col("sit_id")).alias("sit_id"),
-        (upd | sts).alias("changed"))
+        (upd | sts).alias("changed"), "reason")
 
 
 def validate_credit_sheet(m: Mart) -> DataFrame:
@@ -236,10 +268,10 @@ def validate_credit_sheet(m: Mart) -> DataFrame:
     'Sem categoria'.  The sheet line is the reference's index + 2.
     """
     s = m.credit_sheet
-    nome = F.trim("nome")
-    cpf_d = pad_cpf(digits(F.trim("cpf")))
+    nome = js_trim("nome")
+    cpf_d = pad_cpf(digits(js_trim("cpf")))
     valor = F.when(F.col("valor").isNotNull() & (F.col("valor") != ""), leading_number("valor"))
-    cat = F.when(F.trim("categoria") != "", F.trim("categoria"))
+    cat = F.when(js_trim("categoria") != "", js_trim("categoria"))
     r = s.select("cli_id", "line", nome.alias("nome"), cpf_d.alias("cpf"), valor.alias("valor"), cat.alias("categoria"))
     v = F.col("valor")
     reasons = F.filter(F.array(
@@ -259,13 +291,13 @@ def validate_collaborator_sheet(m: Mart, as_of: str) -> DataFrame:
     """Per sheet line: CPF check digits, birth date (serial / dd/mm/yyyy /
     d/m/yy), not after ``as_of``, email pattern, sex M/F; normalized output."""
     s = m.collab_sheet
-    nome = F.trim(F.coalesce("nome", F.lit("")))
-    cpf_d = pad_cpf(digits(F.trim(F.coalesce("cpf", F.lit("")))))
-    raw_birth = F.trim(F.coalesce("nascimento", F.lit("")))
+    nome = js_trim(F.coalesce("nome", F.lit("")))
+    cpf_d = pad_cpf(digits(js_trim(F.coalesce("cpf", F.lit("")))))
+    raw_birth = js_trim(F.coalesce("nascimento", F.lit("")))
     birth = parse_birth_date(raw_birth)
-    sexo = F.upper(F.trim(F.coalesce("sexo", F.lit(""))))
-    email = F.trim(F.coalesce("email", F.lit("")))
-    phone = F.trim(F.coalesce("celular", F.lit("")))
+    sexo = F.upper(js_trim(F.coalesce("sexo", F.lit(""))))
+    email = js_trim(F.coalesce("email", F.lit("")))
+    phone = js_trim(F.coalesce("celular", F.lit("")))
     r = s.select("cli_id", "line", nome.alias("nome"), cpf_d.alias("cpf"), raw_birth.alias("raw_birth"),
                  birth.alias("birth_date"), sexo.alias("sexo"), email.alias("email_raw"), phone.alias("phone_raw"))
     reasons = F.filter(F.array(
@@ -371,19 +403,19 @@ def insert_collaborators(m: Mart, inserts: DataFrame, as_of: str) -> DataFrame:
     in an earlier valid request of the same tenant, is rejected as a
     duplicate (first occurrence found with a MIN aggregate).  Accepted rows
     are normalized (name trimmed upper case, CPF digits padded to 11, e-mail
-    trimmed lower case or '', phone digits, status 1, arrangement flags
+    trimmed lower case or NULL, phone digits, status 1, arrangement flags
     true/false) and get ids MAX(usr_id)+1.. in ``ord`` order.
     """
     cpf_d = pad_cpf(digits(F.coalesce("cpf", F.lit(""))))
     birth_txt = F.coalesce("nascimento", F.lit(""))
     birth = F.when(birth_txt.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_date(birth_txt, "yyyy-MM-dd"))
-    email_t = F.trim(F.coalesce("email", F.lit("")))
-    reason = (F.when(F.col("nome").isNull() | (F.length(F.trim("nome")) == 0), F.lit(INSERT_REASONS[0]))
-              .when(F.col("cpf").isNull() | (F.length(F.trim("cpf")) == 0), F.lit(INSERT_REASONS[1]))
+    email_t = js_trim(F.coalesce("email", F.lit("")))
+    reason = (F.when(F.col("nome").isNull() | (F.length(js_trim("nome")) == 0), F.lit(INSERT_REASONS[0]))
+              .when(F.col("cpf").isNull() | (F.length(js_trim("cpf")) == 0), F.lit(INSERT_REASONS[1]))
               .when(F.col("cli_id").isNull(), F.lit(INSERT_REASONS[2]))
               .when(~cpf_valid("cpf"), F.lit(INSERT_REASONS[3]))
               .when((F.length(email_t) > 0) & ~email_t.rlike(EMAIL_PATTERN), F.lit(INSERT_REASONS[4]))
-              .when((F.length(F.trim(birth_txt)) > 0)
+              .when((F.length(js_trim(birth_txt)) > 0)
                     & (birth.isNull() | (birth > F.to_date(F.lit(as_of)))), F.lit(INSERT_REASONS[5])))
     req = inserts.select("ord", "cli_id", "nome", "cpf", "email", "celular", "nascimento", "sexo",
                          cpf_d.alias("cpf_digits"), reason.alias("reason"), birth.alias("birth_date"))
@@ -402,10 +434,10 @@ def insert_collaborators(m: Mart, inserts: DataFrame, as_of: str) -> DataFrame:
             .select("ord", "cli_id",
                     F.when(F.col("reason").isNull(), "criado").otherwise("rejeitado").alias("status"),
                     "reason", "usr_id",
-                    F.upper(F.trim("nome")).alias("usr_name"), F.col("cpf_digits").alias("cpf"),
-                    F.lower(email_t).alias("email"),
+                    F.upper(js_trim("nome")).alias("usr_name"), F.col("cpf_digits").alias("cpf"),
+                    F.when(F.length(email_t) > 0, F.lower(email_t)).alias("email"),
                     F.when(F.col("celular").isNotNull() & (F.col("celular") != ""), digits("celular")).alias("phone"),
-                    F.when(F.length(F.trim(birth_txt)) > 0, F.col("birth_date")).alias("birth_date"),
+                    F.when(F.length(js_trim(birth_txt)) > 0, F.col("birth_date")).alias("birth_date"),
                     F.when(F.col("sexo") != "", F.col("sexo")).alias("sex"),
                     F.lit(1).alias("sit_id"), F.lit(True).alias("closed_arrangement"),
                     F.lit(False).alias("open_arrangement")))

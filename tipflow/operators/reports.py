@@ -234,29 +234,33 @@ def batch_statement(m: Mart, cli_id=None) -> DataFrame:
     """Numbered statement lines per batch (gross, discount, net) plus a totals line.
 
     Net per line is gross x (movement / gross total of the batch), rounded to
-    cents; discount = gross - net.  ``show_discount`` is true when the fee rate
-    is positive and the type is 'D'.  Line numbers come from
+    cents; discount = gross - net.  The totals line holds the batch's own gross, service fee and
+    movement, not the sums of rounded lines.  CPFs are in display form ('-' when missing).
+    ``show_discount`` is true when the fee rate is positive and the type is 'D'.  Line numbers come from
     :func:`number_within`, so a very large batch is numbered by many tasks.
     """
     from tipflow.operators.ids import number_within
+    from tipflow.operators.text import format_cpf
     from tipflow.operators.topups import batch_totals, line_net
-    tot = batch_totals(m, cli_id).select("batch_id", "gross", "net_total", "fee_rate", "fee_type")
+    show = ((F.col("fee_rate") > 0) & (F.col("fee_type") == "D")).alias("show_discount")
+    every = batch_totals(m, cli_id).select("cli_id", "batch_id", "gross", "service_value", "net_total", show)
+    tot = every.select("batch_id", "gross", "net_total", "show_discount")
     c = m.credit if cli_id is None else m.credit.filter(F.col("cli_id") == cli_id)
     lines = (c.select("cli_id", "batch_id", "usr_id", "credit_value", "credit_date")
-             .join(m.collaborator.select("usr_id", "usr_name"), "usr_id")
+             .join(m.collaborator.select("usr_id", "usr_name", "cpf"), "usr_id")
              .join(tot, "batch_id")
              .select("cli_id", "batch_id", "usr_name", "usr_id", "credit_value", "credit_date",
-                     line_net().alias("net"),
-                     ((F.col("fee_rate") > 0) & (F.col("fee_type") == "D")).alias("show_discount"))
-             .select("cli_id", "batch_id", "usr_name", "usr_id", "credit_value", "credit_date",
+                     F.coalesce(F.nullif(format_cpf("cpf"), F.lit("")), F.lit("-")).alias("cpf"),
+                     line_net().alias("net"), "show_discount")
+             .select("cli_id", "batch_id", "usr_name", "usr_id", "credit_value", "credit_date", "cpf",
                      F.col("credit_value").cast(MONEY_SUM).alias("gross"),
                      (F.col("credit_value") - F.col("net")).cast(MONEY_SUM).alias("discount"),
                      F.col("net").cast(MONEY_SUM).alias("net"), "show_discount"))
     items = number_within(lines, ["batch_id"], ["usr_name", "usr_id", "credit_value", "credit_date"], "line")
-    items = items.select("cli_id", "batch_id", "line", "usr_name", "gross", "discount", "net", "show_discount")
-    totals = lines.groupBy("cli_id", "batch_id", "show_discount").agg(
-        F.sum("gross").cast(MONEY_SUM).alias("gross"), F.sum("discount").cast(MONEY_SUM).alias("discount"),
-        F.sum("net").cast(MONEY_SUM).alias("net")).select(
+    items = items.select("cli_id", "batch_id", "line", "usr_name", "cpf", "gross", "discount", "net", "show_discount")
+    totals = every.select(
         "cli_id", "batch_id", F.lit(None).cast("int").alias("line"), F.lit("TOTAL").alias("usr_name"),
-        "gross", "discount", "net", "show_discount")
+        F.lit(None).cast("string").alias("cpf"), F.col("gross").cast(MONEY_SUM).alias("gross"),
+        F.col("service_value").cast(MONEY_SUM).alias("discount"), F.col("net_total").cast(MONEY_SUM).alias("net"),
+        "show_discount")
     return items.unionByName(totals)

@@ -9,15 +9,19 @@ dict of new-state frames (unchanged rows included) plus a decision frame;
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tipflow.functions.columns import (MONEY, MONEY_SUM, badge_status, digits, div_round2,
                                        distinct_from, fee_split, fee_type_default, in_period,
-                                       leading_number, list_status, lower_in, pct, sql_digits)
+                                       js_trim, leading_number, list_status, lower_in, pct, sql_digits)
 from tipflow.functions import messages as M
 from tipflow.sources.mart import Mart
 
+# Fixed values of the reference: field widths and statuses that a feed no longer changes.
+TITLE_CHARS, ACTOR_CHARS = 40, 20
 FINAL_CHARGE_STATUSES = ["paid", "settled", "canceled", "cancelled", "expired"]
 
 
@@ -74,13 +78,14 @@ def topup_history_count(m: Mart, start=None, end=None, cli_id=None) -> DataFrame
 
 
 def page(df: DataFrame, order_cols, limit: int = 50, offset: int = 0, per: str | None = "cli_id") -> DataFrame:
-    """A page after clamping the size to 1..500 (default 50).
+    """One page; ``limit`` and ``offset`` must be a positive and a non-negative number.
 
     ``per='cli_id'`` pages every tenant at once (row_number between bounds);
-    ``per=None`` is the single global page (``orderBy().offset().limit()``).
+    ``per=None`` is the single global page (``orderBy().offset().limit()``).  The reference's screens
+    cut larger sizes silently; :func:`clamped_page` is that rule for callers that want it.
     """
-    limit = min(max(int(limit or 50), 1), 500)
-    offset = max(int(offset or 0), 0)
+    if int(limit) < 1 or int(offset) < 0:
+        raise ValueError(f"page size {limit} at {offset}")
     if per is None:
         return df.orderBy(*order_cols).offset(offset).limit(limit)
     w = Window.partitionBy(per).orderBy(*order_cols)
@@ -88,6 +93,11 @@ def page(df: DataFrame, order_cols, limit: int = 50, offset: int = 0, per: str |
             .filter((F.col("_rn") > offset) & (F.col("_rn") <= offset + limit)).drop("_rn"))
 
 
+def clamped_page(limit=None, offset=None, default: int = 50, most: int = 500) -> tuple[int, int]:
+    """Page size and offset as the reference's screens bound them."""
+    return min(max(int(limit or default), 1), most), max(int(offset or 0), 0)
+
+
 def topup_detail(m: Mart, cli_id=None, batch_id=None) -> DataFrame:
     """One row per credit with collaborator, tenant, batch and invoice columns."""
     c = _tenant_filter(m.credit, cli_id)
@@ -132,7 +142,7 @@ def batch_totals(m: Mart, cli_id=None) -> DataFrame:
                     F.when(has, F.col("invoice_value")).otherwise(cur_charge).cast(MONEY).alias("charge_value"),
                     F.when(has, F.col("service_value")).otherwise(cur_service).cast(MONEY).alias("service_value"),
                     F.when(has, F.col("movement_value")).otherwise(cur_move).cast(MONEY).alias("net_total"),
-                    F.when(has, F.when(F.col("invoice_value") > F.col("gross") + F.lit(0.005), "A").otherwise("D"))
+                    F.when(has, F.when(F.col("invoice_value") > F.col("gross") + F.lit(Decimal("0.005")), "A").otherwise("D"))
                     .otherwise(F.when(F.col("fee_type") == "A", "A").otherwise("D")).alias("fee_type"),
                     F.when(has, F.when(F.col("gross") > 0,
                                        div_round2(F.col("service_value") * 100, F.col("gross"))).otherwise(0))
@@ -173,16 +183,16 @@ def batch_fee_split(m: Mart, cli_id=None) -> DataFrame:
 def fee_preview(m: Mart, cli_id=None) -> DataFrame:
     """Screen preview: fee and net rounded per line, then summed; drift vs D4."""
     t = m.tenant.select("cli_id", F.coalesce("fee_rate", F.lit(0).cast("decimal(9,4)")).alias("rate"),
-                        (F.col("fee_type") == "A").alias("is_a"))
+                        "fee_type", (F.col("fee_type") == "A").alias("is_a"))
     c = _tenant_filter(m.credit, cli_id).join(t, "cli_id")
     fee_i = F.when(F.col("rate") > 0, F.round(F.col("credit_value") * F.col("rate") * pct(), 2)).otherwise(0)
     net_i = F.when((F.col("rate") > 0) & ~F.col("is_a"),
                    F.round(F.col("credit_value") - F.col("credit_value") * F.col("rate") * pct(), 2)
                    ).otherwise(F.col("credit_value"))
-    s = (c.groupBy("batch_id", "cli_id", "is_a")
+    s = (c.groupBy("batch_id", "cli_id", "is_a", "rate", "fee_type")
          .agg(F.sum("credit_value").alias("gross"), F.sum(fee_i).alias("fee"), F.sum(net_i).alias("net")))
-    d4 = batch_fee_split(m, cli_id).select("batch_id", "service_value")
-    return (s.join(d4, "batch_id")
+    service, _, _ = fee_split("gross", "rate", "fee_type")
+    return (s.withColumn("service_value", service)
             .select("batch_id", "cli_id", F.col("gross").cast(MONEY_SUM).alias("gross"),
                     F.col("fee").cast(MONEY_SUM).alias("fee_total"), F.col("net").cast(MONEY_SUM).alias("net_total"),
                     F.when(F.col("is_a"), F.col("gross") + F.col("fee")).otherwise(F.col("gross"))
@@ -308,7 +318,7 @@ def cancel_batches(m: Mart, requests: DataFrame, as_of: str, actor_col: str = "a
     credit = (m.credit.join(ok_b, ["batch_id", "cli_id"], "left")
               .withColumn("sit_id", F.when(F.col("_hit"), F.lit(3)).otherwise(F.col("sit_id"))).drop("_hit"))
     inv_hit = ok.filter(F.col("not_id").isNotNull()).select(
-        "not_id", F.substring("actor", 1, 20).alias("_actor"), F.lit(True).alias("_hit"))
+        "not_id", F.substring("actor", 1, ACTOR_CHARS).alias("_actor"), F.lit(True).alias("_hit"))
     invoice = (m.invoice.join(inv_hit, "not_id", "left")
                .withColumn("situation", F.when(F.col("_hit"), F.lit("C")).otherwise(F.col("situation")))
                .withColumn("cancelled_on", F.when(F.col("_hit"), F.to_date(F.lit(as_of)))
@@ -349,6 +359,25 @@ def apply_charge_updates(m: Mart) -> DataFrame:
         take.alias("changed"))
 
 
+def apply_charge_records(m: Mart, records: DataFrame | None = None) -> DataFrame:
+    """Invoice new state after writing the newest normalized charge record (D17) of each invoice.
+
+    Charge id, bar code, digit line, PIX code, PDF link and status all come from the record, also
+    where it holds nothing; the QR image link is not in the reply and becomes NULL; the status time is
+    the record's.  Invoices without a record stay as they are.
+    """
+    r = charge_record_normalize(m) if records is None else records
+    fields = ["charge_id", "barcode", "barcode_line", "pix_qrcode", "pdf_url", "status"]
+    newest = (r.groupBy("not_id").agg(F.max(F.struct("fetched_at", "seq", F.struct(*fields).alias("r"))).alias("n"))
+              .select(F.col("not_id").alias("_not"), F.col("n.fetched_at").alias("_at"), F.col("n.r").alias("_r")))
+    hit = F.col("_not").isNotNull()
+    new = {c: F.col(f"_r.{c}") for c in fields[:-1]} | {
+        "charge_status": F.col("_r.status"), "status_updated_at": F.col("_at"), "qrcode_url": F.lit(None).cast("string")}
+    joined = m.invoice.join(newest, F.col("not_id") == F.col("_not"), "left")
+    return joined.select(*[F.when(hit, new[c].cast(m.invoice.schema[c].dataType)).otherwise(F.col(c)).alias(c)
+                           if c in new else F.col(c) for c in m.invoice.columns], hit.alias("changed"))
+
+
 CHARGE_SCHEMA = ("data STRUCT<charge_id: BIGINT, status: STRING, payment: STRUCT<banking_billet: "
                  "STRUCT<barcode: STRING, pix: STRUCT<qrcode: STRING>, pdf: STRUCT<charge: STRING>, "
                  "billet_link: STRING>>>")
@@ -367,10 +396,15 @@ def charge_record_normalize(m: Mart) -> DataFrame:
                     F.coalesce(bb.getField("pdf").getField("charge"), bb.getField("billet_link")).alias("pdf_url")))
 
 
-def reissue_plan(m: Mart, cli_id=None) -> DataFrame:
-    """Action per batch in error ('E'): error without invoice, clear when a
-    charge exists, apply a charge found in the gateway feed, else issue."""
-    b = _tenant_filter(m.batch, cli_id).filter(F.col("batch_status") == "E").select("batch_id", "cli_id")
+def reissue_plan(m: Mart, cli_id=None, requests: DataFrame | None = None) -> DataFrame:
+    """Action per requested batch, whatever its status: error without invoice, clear when a
+    charge exists, apply a charge found in the gateway feed, else issue.
+
+    ``requests (batch_id, cli_id)`` names the batches; all of them when it is not given.
+    """
+    b = _tenant_filter(m.batch, cli_id).select("batch_id", "cli_id")
+    if requests is not None:
+        b = b.join(requests.select("batch_id", "cli_id").distinct(), ["batch_id", "cli_id"], "left_semi")
     live = live_invoice_of_batch(m).select("batch_id", "cli_id", "not_id", "charge_id")
     found = charge_record_normalize(m).select("not_id").distinct().withColumn("in_feed", F.lit(True))
     p = b.join(live, ["batch_id", "cli_id"], "left").join(found, "not_id", "left")
@@ -393,19 +427,19 @@ def set_batch_status(m: Mart, changes: DataFrame) -> DataFrame:
             .drop("new_status", "_hit"))
 
 
-MAX_LINES = 5000
 MAX_VALUE = 1000000
 
 
-def validate_credit_request(m: Mart, requests: DataFrame | None = None) -> DataFrame:
+def validate_credit_request(m: Mart, requests: DataFrame | None = None, max_lines: int | None = None) -> DataFrame:
     """One verdict per credit request (lines grouped by ``request_id``).
 
-    1..5000 lines; if any line lacks an id (NULL or <= 0) the whole request is
+    ``max_lines`` rejects longer requests whole (the reference's web form allows 5000); a batch
+    job has no such limit unless it is asked for.  If any line lacks an id (NULL or <= 0) the whole request is
     in CPF mode and every line needs an 11-digit CPF, otherwise every line
     needs a positive id; every value must parse (leading number) to
     0 < v <= 1,000,000.  The first failing line (by position) gives the
     error, as the reference stops at the first one; then the date must parse.
-    Title is trimmed to 40 characters.  The failing line's position is the
+    Title is trimmed to its field width.  The failing line's position is the
     count of the request's lines up to it (aggregates only, no per-request
     numbering).
     """
@@ -433,14 +467,15 @@ def validate_credit_request(m: Mart, requests: DataFrame | None = None) -> DataF
                                                   F.col("msg")).alias("line_error"))
     date_ok = F.to_date(F.try_to_date("data", "yyyy-MM-dd"))
     out = head.join(first_bad, "request_id", "left")
-    error = (F.when(F.col("n_lines") > MAX_LINES, F.lit(M.REQUEST_TOO_MANY))
+    too_many = F.col("n_lines") > max_lines if max_lines is not None else F.lit(False)
+    error = (F.when(too_many, F.concat(F.lit(M.REQUEST_TOO_MANY[0]), F.lit(str(max_lines)), F.lit(M.REQUEST_TOO_MANY[1])))
              .when(F.col("line_error").isNotNull(), F.col("line_error"))
              .when(F.col("data").isNotNull() & (F.col("data") != "") & date_ok.isNull(),
                    F.lit(M.REQUEST_DATE_INVALID)))
     return out.select(
         "request_id", "cli_id", "n_lines", "cpf_mode", error.alias("error"), error.isNull().alias("is_valid"),
         F.when(F.col("titulo").isNotNull() & (F.col("titulo") != ""),
-               F.substring(F.trim("titulo"), 1, 40)).alias("titulo"),
+               F.substring(js_trim("titulo"), 1, TITLE_CHARS)).alias("titulo"),
         F.when(F.col("data").isNotNull() & (F.col("data") != ""), date_ok).alias("credit_date"))
 
 

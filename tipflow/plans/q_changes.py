@@ -11,16 +11,14 @@ from tipflow.operators import changes as ch
 from tipflow.plans.registry import register
 
 FIRES_SQL = """
-, fi AS (SELECT f.not_id, f.new_status, f.changed_at, f.seq, i.charge_status AS initial
+, fi AS (SELECT f.not_id, f.new_status, f.changed_at, f.seq, i.charge_status AS initial,
+                ROW_NUMBER() OVER w AS n, LAG(f.new_status) OVER w AS prev
          FROM status_feed f JOIN invoice i ON i.not_id = f.not_id
-         WHERE i.status_updated_at IS NULL OR f.changed_at > i.status_updated_at),
-fl AS (SELECT *, CASE WHEN ROW_NUMBER() OVER (PARTITION BY not_id ORDER BY changed_at, seq) = 1
-                      THEN lower(COALESCE(initial, ''))
-                      ELSE LAG(lower(COALESCE(new_status, ''))) OVER (PARTITION BY not_id ORDER BY changed_at, seq) END AS prev
-       FROM fi),
-fq AS (SELECT not_id, changed_at, seq, ROW_NUMBER() OVER (PARTITION BY not_id ORDER BY changed_at, seq) AS rn
-       FROM fl WHERE lower(COALESCE(new_status, '')) = 'paid' AND prev <> 'paid'),
-fires AS (SELECT not_id, changed_at AS fire_at FROM fq WHERE rn = 1)
+         WHERE i.status_updated_at IS NULL OR f.changed_at > i.status_updated_at
+         WINDOW w AS (PARTITION BY f.not_id ORDER BY f.changed_at, f.seq)),
+every_fire AS (SELECT not_id, changed_at AS fire_at, seq FROM fi
+               WHERE lower(new_status) = 'paid' AND new_status IS DISTINCT FROM CASE WHEN n = 1 THEN initial ELSE prev END),
+fires AS (SELECT not_id, MIN(fire_at) AS fire_at FROM every_fire GROUP BY not_id)
 """
 _F1 = ["status_feed", "invoice", "credit", "batch"]
 
@@ -29,7 +27,7 @@ _F1 = ["status_feed", "invoice", "credit", "batch"]
 SELECT i.not_id AS doc, CAST(COALESCE(i.paid_value, i.invoice_value) AS DECIMAL(18,2)) AS mov_value,
        COALESCE(i.settled_on, CAST(f.fire_at AS DATE)) AS mov_date, i.not_id, 'P' AS operation, i.ctb_id,
        'Webhook' AS actor, 'Baixa automatica boleto paid - nota ' || CAST(i.not_id AS VARCHAR) AS info
-FROM fires f JOIN invoice i ON i.not_id = f.not_id""")
+FROM every_fire e JOIN fires f ON f.not_id = e.not_id JOIN invoice i ON i.not_id = f.not_id""")
 def settle_paid_invoices(m):
     """bank movements written by settling invoices whose charge turned 'paid'."""
     return ch.settle_paid_invoices(m)["movements"]
@@ -54,7 +52,7 @@ SELECT i.not_id, i.cli_id,
        CASE WHEN f.not_id IS NOT NULL THEN 'BT' ELSE i.situation END AS situation,
        CASE WHEN f.not_id IS NOT NULL THEN COALESCE(i.paid_value, i.invoice_value) ELSE i.paid_value END AS paid_value,
        CASE WHEN f.not_id IS NOT NULL THEN COALESCE(i.settled_on, CAST(f.fire_at AS DATE)) ELSE i.settled_on END AS settled_on,
-       COALESCE(l.last_status, i.charge_status) AS charge_status,
+       CASE WHEN l.not_id IS NOT NULL THEN l.last_status ELSE i.charge_status END AS charge_status,
        COALESCE(l.last_at, i.status_updated_at) AS status_updated_at
 FROM invoice i LEFT JOIN fires f ON f.not_id = i.not_id LEFT JOIN last l ON l.not_id = i.not_id""")
 def settle_paid_invoice_state(m):

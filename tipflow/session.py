@@ -35,8 +35,9 @@ def tune(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
-    Read from ``spark.checkpoint.dir``; only when it is unset (local tests)
-    a scratch folder is created and registered.
+    Read from ``spark.checkpoint.dir``; only when it is unset on a local master
+    (tests) a scratch folder is created and registered.  On a cluster it must be
+    set: a machine-local folder there would be another one on every executor.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -46,6 +47,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not path and sc is not None:
         path = sc.getCheckpointDir()
     if not path:
+        if sc is None or not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="tipflow-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", path)
     if sc is not None:
@@ -79,6 +82,7 @@ def build(master: str | None = None, partitions: int | None = None,
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.adaptive.enabled", "true")
         .getOrCreate()
     )

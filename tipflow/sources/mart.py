@@ -176,17 +176,17 @@ SELECT c_custkey AS usr_code,
        DATE '1999-06-01' + CAST(c_custkey % 300 AS INTEGER) AS pwd_start,
        DATE '1999-09-01' + CAST(c_custkey % 200 AS INTEGER) AS pwd_until,
        'hash' || CAST(c_custkey AS STRING) AS pwd_hash
-FROM {customer} WHERE c_custkey % 50 = 0""", ("customer",), ()),
+FROM {customer}""", ("customer",), ()),
 
     "user_role": ("""
 SELECT c_custkey AS usr_code, CAST((c_nationkey + 0) % 25 AS BIGINT) AS cli_id
-FROM {customer} WHERE c_custkey % 50 = 0 AND c_custkey % 100 <> 0
+FROM {customer} WHERE c_custkey % 100 <> 0
 UNION ALL
 SELECT c_custkey AS usr_code, CAST((c_nationkey + 1) % 25 AS BIGINT) AS cli_id
-FROM {customer} WHERE c_custkey % 50 = 0 AND c_custkey % 100 <> 0 AND c_custkey % 3 >= 1
+FROM {customer} WHERE c_custkey % 100 <> 0 AND c_custkey % 3 >= 1
 UNION ALL
 SELECT c_custkey AS usr_code, CAST((c_nationkey + 2) % 25 AS BIGINT) AS cli_id
-FROM {customer} WHERE c_custkey % 50 = 0 AND c_custkey % 100 <> 0 AND c_custkey % 3 = 2""",
+FROM {customer} WHERE c_custkey % 100 <> 0 AND c_custkey % 3 = 2""",
                   ("customer",), ()),
 
     "status_feed": ("""
@@ -199,7 +199,7 @@ FROM {events}""", ("events",), ()),
     "request_log": ("""
 SELECT event_id AS req_id, user_id AS client_id, ts AS req_at,
        CASE event_type WHEN 'signup' THEN 'login' WHEN 'error' THEN 'reset' ELSE 'api' END AS route,
-       (user_id % 30) * 50 AS usr_code,
+       user_id AS usr_code,
        CASE WHEN event_type = 'click' THEN NULL ELSE CAST(user_id % 25 AS BIGINT) END AS asked_cli_id,
        CASE WHEN event_type = 'view' THEN 1000000 + user_id ELSE NULL END AS asked_not_id
 FROM {events}""", ("events",), ()),
@@ -269,7 +269,12 @@ SELECT usr_id, cli_id,
        CASE WHEN usr_id % 8 = 0 THEN 'status' ELSE 'update' END AS op,
        CASE WHEN usr_id % 8 = 0 THEN 3 - sit_id ELSE NULL END AS new_sit_id,
        CASE WHEN usr_id % 8 = 4 THEN '  ' || lower(usr_name) || ' ' ELSE NULL END AS new_name,
-       CASE WHEN usr_id % 8 = 4 THEN upper(email) ELSE NULL END AS new_email,
+       CASE WHEN usr_id % 8 = 4 AND usr_id % 40 <> 4 THEN upper(email) ELSE NULL END AS new_email,
+       CASE WHEN usr_id % 32 = 12 THEN '111.111.111-11' WHEN usr_id % 64 = 20 THEN NULL ELSE '529.982.247-25' END AS new_cpf,
+       CASE WHEN usr_id % 80 = 4 THEN '2999-01-01' WHEN usr_id % 48 = 4 THEN NULL
+            ELSE '1990-02-' || lpad(CAST(usr_id % 28 + 1 AS STRING), 2, '0') END AS new_birth,
+       CASE WHEN usr_id % 16 = 4 THEN '' ELSE 'F' END AS new_sex,
+       CASE WHEN usr_id % 24 = 4 THEN CAST((cli_id + 1) % 25 AS BIGINT) ELSE NULL END AS new_cli_id,
        CASE WHEN usr_id % 8 = 4 THEN '(11) 9' || substr(phone, 4, 8) ELSE NULL END AS new_phone
 FROM {collaborator} WHERE usr_id % 4 = 0""", (), ("collaborator",)),
 
@@ -281,8 +286,8 @@ FROM {tenant}""", (), ("tenant",)),
 
     "login_attempt": ("""
 SELECT event_id AS attempt_id,
-       CASE WHEN user_id % 2 = 0 THEN 'USER' || CAST(user_id % 30 * 50 AS STRING)
-            ELSE 'u' || CAST(user_id % 30 * 50 AS STRING) || '@portal.TEST' END AS identifier,
+       CASE WHEN user_id % 2 = 0 THEN 'USER' || CAST(user_id AS STRING)
+            ELSE 'u' || CAST(user_id AS STRING) || '@portal.TEST' END AS identifier,
        ts AS attempted_at
 FROM {events} WHERE event_type = 'signup'""", ("events",), ()),
     "credit_request": ("""
@@ -298,7 +303,7 @@ SELECT request_id, cli_id, line_no,
             ELSE 'Gorjeta ' || CAST(request_id AS STRING) END AS titulo,
        CASE WHEN request_id % 6 = 0 THEN NULL WHEN request_id % 6 = 1 THEN 'not-a-date'
             ELSE '1999-' || lpad(CAST(request_id % 12 + 1 AS STRING), 2, '0') || '-10' END AS data
-FROM (SELECT CAST(c_nationkey AS BIGINT) * 10 + c_custkey % 3 AS request_id, CAST(c_nationkey AS BIGINT) AS cli_id,
+FROM (SELECT CAST(c_nationkey AS BIGINT) * 100000000 + CAST(floor(c_custkey / 300) AS BIGINT) * 3 + c_custkey % 3 AS request_id, CAST(c_nationkey AS BIGINT) AS cli_id,
              c_custkey AS line_no, c_name AS nome, lpad(CAST(c_custkey AS STRING), 11, '0') AS p,
              CAST(CAST(abs(CAST(c_acctbal AS DECIMAL(18,2))) * 0.1 AS DECIMAL(18,2)) AS STRING) AS valor
       FROM {customer}) AS r""", ("customer",), ()),
@@ -416,11 +421,12 @@ class Mart:
         return self._frames[name]
 
 
-_CACHE: dict[tuple[int, str], Mart] = {}
+_CACHE: dict[tuple[str, str], Mart] = {}
 
 
 def mart(spark: SparkSession, sf_dir: str) -> Mart:
-    key = (id(spark), sf_dir.rstrip("/"))
+    from tipflow.session import app_id
+    key = (app_id(spark), sf_dir.rstrip("/"))  # an application's tables are its own
     if key not in _CACHE:
         _CACHE[key] = Mart(spark, sf_dir)
     return _CACHE[key]

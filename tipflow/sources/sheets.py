@@ -3,8 +3,8 @@
 The reference reads one uploaded spreadsheet per request; here any number
 of sheet files are read in one job with an explicit all-text schema (no
 inference).  Each row gets its sheet line (file row index + 2, as the
-reference reports it) and each file a status: empty files and files over
-5,000 rows are rejected, as the reference rejects such uploads.
+reference reports it) and each file a status: empty files are rejected, and files
+over ``max_rows`` when a limit is given (the reference's web upload allows 5,000).
 """
 
 from __future__ import annotations
@@ -12,8 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-MAX_ROWS = 5000
-
 # Fixed values of the reference: accepted header spellings per field.
 CREDIT_HEADERS = {"nome": ["nome"], "cpf": ["cpf"], "valor": ["valor"], "categoria": ["categoria"]}
 COLLABORATOR_HEADERS = {
@@ -26,13 +24,15 @@ COLLABORATOR_HEADERS = {
 }
 
 
-def read_sheets(spark: SparkSession, path: str, headers: dict, sep: str = ",") -> tuple[DataFrame, DataFrame]:
+def read_sheets(spark: SparkSession, path: str, headers: dict, sep: str = ",",
+                max_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Read header CSV sheets under ``path``.
 
     Returns (rows, files): rows with canonical columns plus ``file`` and
     ``line``; files with ``n_rows`` and ``status`` ('ok', 'empty', 'too_many_rows').
-    Rows of rejected files are excluded.  The line number is a per-file
-    window, bounded by the 5,000-row limit of a sheet.
+    Rows of rejected files are excluded.  A line's number is its place in the file: its place
+    among the file's rows of its own input split, plus the rows of the splits before, so
+    no task has to hold a whole file.
     """
     raw = (spark.read.option("header", True).option("sep", sep).option("inferSchema", False)
            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
@@ -42,13 +42,20 @@ def read_sheets(spark: SparkSession, path: str, headers: dict, sep: str = ",") -
     for canon, aliases in headers.items():
         found = [F.col(f"`{a}`") for a in aliases if a in present]
         cols.append((F.coalesce(*found) if found else F.lit(None).cast("string")).alias(canon))
-    rows = raw.select("file", *cols, F.monotonically_increasing_id().alias("_pos"))
-    w = Window.partitionBy("file").orderBy("_pos")
-    rows = rows.withColumn("line", F.row_number().over(w) + 1).drop("_pos")
+    # blocks of a split file start at increasing offsets; rows of a block are read in order
+    rows = raw.select("file", *cols, F.col("_metadata.file_block_start").alias("_block"),
+                      F.monotonically_increasing_id().alias("_pos"))
+    blocks = rows.groupBy("file", "_block").agg(F.count(F.lit(1)).alias("_rows"), F.min("_pos").alias("_first"))
+    before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
+    rows = (rows.join(blocks, ["file", "_block"])
+            .withColumn("line", (F.col("_pos") - F.col("_first") + F.col("_before") + 2).cast("int"))
+            .drop("_pos", "_first", "_before", "_block"))
     files = (spark.read.text(path).select(F.input_file_name().alias("file")).distinct()
              .join(rows.groupBy("file").agg(F.count(F.lit(1)).alias("n_rows")), "file", "left")
              .withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
              .withColumn("status", F.when(F.col("n_rows") == 0, "empty")
-                         .when(F.col("n_rows") > MAX_ROWS, "too_many_rows").otherwise("ok")))
+                         .when(F.col("n_rows") > max_rows if max_rows is not None else F.lit(False), "too_many_rows")
+                         .otherwise("ok")))
     ok = files.filter(F.col("status") == "ok").select("file")
     return rows.join(ok, "file", "left_semi"), files

@@ -1,37 +1,76 @@
 """Sinks (A3, A4, A44): new-state tables written as one committed run.
 
 Plain parquet has no UPDATE/MERGE, so table-changing jobs produce full
-new-state frames.  :func:`write_state` writes every frame of a job under
-``<root>/<table>/run_id=<id>`` (dynamic partition overwrite, so a retried
-run replaces its own partition) and appends one commit row last; readers
-take the newest committed run.  A run that fails midway is never visible —
-the BEGIN/COMMIT of the reference becomes "commit row written last".
+new-state frames.  :func:`write_state` writes every frame of a job to a
+folder of its own attempt and appends the commit rows last: one row per
+table with the run, the attempt's path and the schema.  Readers follow the
+newest committed run, so a run that fails midway is never visible, a
+retried run replaces what its earlier attempt wrote (also by nothing), and
+an empty frame reads back with its columns: the BEGIN/COMMIT of the
+reference becomes "commit rows written last".
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+COMMITS = "run_id long, committed_at timestamp, table string, path string, schema string"
 
-def write_state(frames: dict[str, DataFrame], root: str, run_id: int) -> None:
+
+def read_if_written(spark: SparkSession, path: str, schema) -> DataFrame | None:
+    """The parquet folder, or None if there is no such path; any other error is raised."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def write_attempts(frames: dict[str, DataFrame], root: str, run_id: int) -> None:
+    """Write each frame to a new folder, then all commit rows at once."""
     spark = next(iter(frames.values())).sparkSession
+    rows = []
     for name, df in frames.items():
-        (df.withColumn("run_id", F.lit(run_id).cast("long")).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{root}/{name}"))
-    commit = spark.createDataFrame([(run_id, dt.datetime.now(dt.timezone.utc).replace(tzinfo=None),
-                                     ",".join(sorted(frames)))],
-                                   "run_id long, committed_at timestamp, tables string")
-    commit.write.mode("append").parquet(f"{root}/_commits")
+        path = f"{root}/{name}/run_id={run_id}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        rows.append((run_id, dt.datetime.now(dt.timezone.utc).replace(tzinfo=None), name, path, df.schema.json()))
+    spark.createDataFrame(rows, COMMITS).coalesce(1).write.mode("append").parquet(f"{root}/_commits")
+
+
+def committed(spark: SparkSession, root: str, name: str, before: int | None = None) -> list:
+    """Commit rows of a table in run order, the newest attempt of each run (one small row a run)."""
+    commits = read_if_written(spark, f"{root}/_commits", COMMITS)
+    if commits is None:
+        return []
+    commits = commits.where(F.col("table") == name)
+    if before is not None:
+        commits = commits.where(F.col("run_id") < before)
+    newest = commits.groupBy("run_id").agg(F.max(F.struct("committed_at", "path", "schema")).alias("c"))
+    return newest.select("run_id", "c.path", "c.schema").orderBy("run_id").collect()
+
+
+def read_attempt(spark: SparkSession, commit) -> DataFrame:
+    import json
+    return spark.read.schema(StructType.fromJson(json.loads(commit["schema"]))).parquet(commit["path"])
+
+
+def write_state(frames: dict[str, DataFrame], root: str, run_id: int) -> None:
+    write_attempts(frames, root, run_id)
 
 
 def read_state(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The table as of the newest committed run that wrote it."""
-    commits = spark.read.parquet(f"{root}/_commits").filter(F.array_contains(F.split("tables", ","), name))
-    last = commits.agg(F.max("run_id").alias("run_id"))
-    return spark.read.parquet(f"{root}/{name}").join(last, "run_id", "left_semi").drop("run_id")
+    runs = committed(spark, root, name)
+    if not runs:
+        raise ValueError(f"no committed run of {name} under {root}")
+    return read_attempt(spark, runs[-1])
 
 
 def write_csv(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:

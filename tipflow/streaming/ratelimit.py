@@ -19,7 +19,7 @@ LOG_SCHEMA = ("req_id BIGINT, client_id BIGINT, req_at TIMESTAMP, route STRING,
               "asked_cli_id BIGINT, asked_not_id BIGINT")
 
 
-def breach_stream(log: DataFrame, rule, watermark: str = "1 hour") -> DataFrame:
+def breach_stream(log: DataFrame, rule, watermark: str) -> DataFrame:
     name, route, width, limit = rule
     src = log if route is None else log.filter(F.col("route") == route)
     return (src.withWatermark("req_at", watermark)
@@ -31,9 +31,17 @@ def breach_stream(log: DataFrame, rule, watermark: str = "1 hour") -> DataFrame:
 
 
 def start_breach_streams(spark: SparkSession, log_dir: str, sink_dir: str, checkpoint_root: str,
-                         rules=RATE_RULES, available_now: bool = True, max_files_per_trigger: int = 1):
-    """One query per rule; each writes its updates to ``sink_dir/rule=<name>`` as parquet via foreachBatch."""
-    log = spark.readStream.schema(LOG_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger).parquet(log_dir)
+                         watermark: str, rules=RATE_RULES, available_now: bool = True,
+                         max_files_per_trigger: int | None = None):
+    """One query per rule; each writes its updates to ``sink_dir/rule=<name>`` as parquet via foreachBatch.
+
+    Records later than ``watermark`` behind the newest one are not counted (Spark reports their number
+    as ``numRowsDroppedByWatermark``), so it must cover the feed's delay.
+    """
+    reader = spark.readStream.schema(LOG_SCHEMA)
+    if max_files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    log = reader.parquet(log_dir)
     queries = []
     for rule in rules:
         name = rule[0]
@@ -43,7 +51,7 @@ def start_breach_streams(spark: SparkSession, log_dir: str, sink_dir: str, check
              .option("partitionOverwriteMode", "dynamic").partitionBy("epoch")
              .parquet(f"{sink_dir}/rule={name}"))
 
-        w = (breach_stream(log, rule).writeStream.outputMode("update").foreachBatch(sink)
+        w = (breach_stream(log, rule, watermark).writeStream.outputMode("update").foreachBatch(sink)
              .option("checkpointLocation", f"{checkpoint_root}/{name}"))
         w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
         queries.append(w.start())

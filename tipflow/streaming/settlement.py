@@ -3,23 +3,23 @@
 Two implementations, both equal to the batch job on the same feed
 (tests/test_streaming.py):
 
-``start_stateful_settlement`` (default choice) -- ``applyInPandasWithState``.
-The feed is joined to the invoice (start status, last status time), grouped
-by invoice, and a small vectorized pandas function keeps four values of
-state per invoice in Spark's state store (last status, its time and
-sequence, settled flag).  Output goes through the parquet file sink, whose
-commit log makes it exactly-once across restarts.  State stays bounded by
-the number of invoices.
+``start_stateful_settlement`` -- ``applyInPandasWithState``.  The feed is
+joined to the invoice (start status, last status time), grouped by invoice,
+and a small vectorized pandas function keeps four values of state per
+invoice in Spark's state store (last status, its time and sequence, time of
+the first payment).  Output goes through the parquet file sink, whose commit
+log makes it exactly-once across restarts.  State is bounded by the number
+of invoices; one call holds one invoice's records of a micro-batch.
 
 ``start_settlement_stream`` -- ``foreachBatch`` running the batch job's
-aggregate transition logic (:func:`tipflow.operators.changes.settlement_fires`)
-per micro-batch against a keyed state table.  It suits micro-batches where
-one invoice holds a very large share of the records (the per-key work is a
-partial aggregate, not a group handed to one function).  Every output of
-epoch ``e`` goes to its own ``epoch=e`` partition with dynamic partition
-overwrite, and the state read by epoch ``e`` only covers epochs ``< e``, so
-a replayed epoch replaces its own output.  Each epoch writes the merged
-state and then a commit row, so the next epoch reads one state partition.
+transition logic (:func:`tipflow.operators.changes.settlement_fires`) per
+micro-batch.  It suits feeds where one invoice holds a very large share of
+the records (the work per invoice is spread over tasks).  Each epoch writes
+its movements and the states it touched to folders of its own attempt and
+commits them last (:mod:`tipflow.sources.sinks`); epoch ``e`` reads only
+states committed by epochs ``< e``, so a replayed epoch replaces its own
+output.  Every ``COMPACT``-th epoch writes the state of all invoices, so a
+reader needs at most that many epochs' deltas.
 
 In both, records not newer than an invoice's state are dropped, so a
 replayed or late record cannot pay twice.
@@ -30,143 +30,153 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tipflow.operators.changes import MOVEMENT_INFO, settlement_fires
+from tipflow.operators.changes import first_fires, movements_of, settlement_fires
+from tipflow.sources.sinks import committed, read_attempt, write_attempts
 
 FEED_SCHEMA = "not_id BIGINT, new_status STRING, changed_at TIMESTAMP, seq BIGINT"
+COMPACT = 50
 
 
 def _state_before(spark: SparkSession, out_root: str, epoch: int) -> DataFrame | None:
-    """The merged state written by the newest committed epoch before ``epoch``."""
-    try:
-        commits = spark.read.parquet(f"{out_root}/commits").filter(F.col("epoch") < epoch)
-    except Exception:  # nothing committed yet
+    """The state of every touched invoice as of the epochs committed before ``epoch``."""
+    runs = committed(spark, out_root, "state", before=epoch)
+    if not runs:
         return None
-    last = commits.agg(F.max("epoch").alias("epoch"))
-    st = spark.read.parquet(f"{out_root}/state").join(last, "epoch", "left_semi")
-    return st.drop("epoch")
-
-
-def process_batch(spark: SparkSession, batch: DataFrame, epoch: int, invoice: DataFrame, out_root: str) -> None:
+    full = max((i for i, r in enumerate(runs) if r["run_id"] % COMPACT == 0), default=0)
+    every = None
+    for r in runs[full:]:
+        part = read_attempt(spark, r).withColumn("_epoch", F.lit(r["run_id"]))
+        every = part if every is None else every.unionByName(part)
+    rest = [c for c in every.columns if c != "not_id"]
+    newest = every.groupBy("not_id").agg(F.max(F.struct("_epoch", *[c for c in rest if c != "_epoch"])).alias("s"))
+    return newest.select("not_id", *[F.col(f"s.{c}").alias(c) for c in rest if c != "_epoch"])
+
+
+def process_batch(spark: SparkSession, batch: DataFrame, epoch: int, invoice: DataFrame, out_root: str,
+                  once: bool = False) -> None:
     """Apply one micro-batch of feed records (see module doc)."""
-    inv = invoice.select("not_id", "charge_status", "status_updated_at", "paid_value", "invoice_value",
-                         "settled_on", "ctb_id")
     prev = _state_before(spark, out_root, epoch)
-    start = inv.select("not_id", "charge_status", "status_updated_at")
+    start = invoice.select("not_id", "charge_status", "status_updated_at")
     if prev is not None:
         start = start.join(prev, "not_id", "left")
     else:
-        start = (start.withColumn("last_status", F.lit(None).cast("string"))
-                 .withColumn("last_at", F.lit(None).cast("timestamp"))
-                 .withColumn("last_seq", F.lit(None).cast("long"))
-                 .withColumn("settled", F.lit(None).cast("boolean")))
-    start = start.select("not_id",
-                         F.when(F.col("last_at").isNotNull(), F.col("last_status"))
-                         .otherwise(F.col("charge_status")).alias("start_status"),
-                         "status_updated_at", "last_at", "last_seq",
-                         F.coalesce("settled", F.lit(False)).alias("settled"))
-    newer = F.when(F.col("last_at").isNotNull(),
-                   F.struct("changed_at", "seq") > F.struct(F.col("last_at").alias("changed_at"),
-                                                           F.col("last_seq").alias("seq")))
+        start = start.withColumns({"last_status": F.lit(None).cast("string"), "last_at": F.lit(None).cast("timestamp"),
+                                   "last_seq": F.lit(None).cast("long"), "settled_at": F.lit(None).cast("timestamp")})
+    known = F.col("last_at").isNotNull()
+    start = start.withColumn("start_status", F.when(known, F.col("last_status")).otherwise(F.col("charge_status")))
+    newer = F.when(known, F.struct("changed_at", "seq") > F.struct(F.col("last_at").alias("changed_at"),
+                                                                  F.col("last_seq").alias("seq")))
     newer = newer.otherwise(F.col("status_updated_at").isNull() | (F.col("changed_at") > F.col("status_updated_at")))
     recs = (batch.join(start.select("not_id", "status_updated_at", "last_at", "last_seq"), "not_id")
             .filter(newer).select("not_id", "new_status", "changed_at", "seq")).persist()
-    fires = settlement_fires(recs, start.filter(~F.col("settled")).select("not_id", "start_status"))
-    movements = (fires.join(inv, "not_id")
-                 .select(F.col("not_id").alias("doc"),
-                         F.coalesce("paid_value", "invoice_value").cast("decimal(18,2)").alias("mov_value"),
-                         F.coalesce("settled_on", F.to_date("fire_at")).alias("mov_date"), "not_id",
-                         F.lit("P").alias("operation"), "ctb_id", F.lit("Webhook").alias("actor"),
-                         F.concat(F.lit(MOVEMENT_INFO), F.col("not_id").cast("string")).alias("info"),
-                         "fire_at"))
+    fires = settlement_fires(recs, start.select("not_id", "start_status"), once)
+    if once:
+        fires = fires.join(start.filter("settled_at is not null").select("not_id"), "not_id", "left_anti")
+    fires = fires.persist()
+    settled = (start.select("not_id", "settled_at").join(
+        first_fires(fires).select("not_id", F.col("fire_at").alias("_first")), "not_id", "left")
+        .select("not_id", F.coalesce("settled_at", "_first").alias("settled_at")))
+    movements = movements_of(fires.join(settled, "not_id"), invoice.select(
+        "not_id", "paid_value", "invoice_value", "settled_on", "ctb_id"))
     last = (recs.groupBy("not_id").agg(F.max(F.struct("changed_at", "seq", "new_status")).alias("r"))
             .select("not_id", F.col("r.new_status").alias("last_status"), F.col("r.changed_at").alias("last_at"),
                     F.col("r.seq").alias("last_seq")))
-    touched = (last.join(start.select("not_id", "settled"), "not_id", "left")
-               .join(fires.select("not_id", F.lit(True).alias("fired")), "not_id", "left")
-               .select("not_id", "last_status", "last_at", "last_seq",
-                       (F.coalesce("settled", F.lit(False)) | F.coalesce("fired", F.lit(False))).alias("settled")))
-    # merged state: untouched invoices keep their previous row
-    new_state = touched if prev is None else prev.join(touched.select("not_id"), "not_id", "left_anti").unionByName(touched)
-    for name, df in (("movements", movements), ("state", new_state)):
-        (df.withColumn("epoch", F.lit(epoch)).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(f"{out_root}/{name}"))
-    # the commit row is written last; an epoch without it is invisible to the next one
-    spark.createDataFrame([(epoch,)], "epoch long").write.mode("append").parquet(f"{out_root}/commits")
+    state = last.join(settled, "not_id")
+    if epoch % COMPACT == 0 and prev is not None:
+        state = state.unionByName(prev.join(last.select("not_id"), "not_id", "left_anti"))
+    write_attempts({"movements": movements, "state": state}, out_root, epoch)
+    fires.unpersist()
     recs.unpersist()
 
 
 def start_settlement_stream(spark: SparkSession, feed_dir: str, invoice: DataFrame, out_root: str,
-                            checkpoint: str, max_files_per_trigger: int = 1, available_now: bool = True):
+                            checkpoint: str, max_files_per_trigger: int | None = None, available_now: bool = True,
+                            once: bool = False):
     """Start the streaming settlement over parquet files of status records."""
-    feed = (spark.readStream.schema(FEED_SCHEMA)
-            .option("maxFilesPerTrigger", max_files_per_trigger).parquet(feed_dir))
-    w = (feed.writeStream.foreachBatch(lambda df, e: process_batch(spark, df, e, invoice, out_root))
+    feed = _feed(spark, feed_dir, max_files_per_trigger)
+    w = (feed.writeStream.foreachBatch(lambda df, e: process_batch(spark, df, e, invoice, out_root, once))
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
 
+def _feed(spark: SparkSession, feed_dir: str, max_files_per_trigger: int | None) -> DataFrame:
+    reader = spark.readStream.schema(FEED_SCHEMA)
+    if max_files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader.parquet(feed_dir)
+
+
 def read_movements(spark: SparkSession, out_root: str) -> DataFrame:
-    return spark.read.parquet(f"{out_root}/movements").drop("epoch")
+    """Movements of all committed epochs, one attempt of each."""
+    parts = [read_attempt(spark, r) for r in committed(spark, out_root, "movements")]
+    if not parts:
+        raise ValueError(f"no committed epoch under {out_root}")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 # --- stateful form: applyInPandasWithState over Spark's state store ---------------------------
 
-STATE_SCHEMA = "last_status STRING, last_us LONG, last_seq LONG, settled BOOLEAN"
-FIRE_SCHEMA = "not_id LONG, fire_us LONG, fire_seq LONG"
+STATE_SCHEMA = "last_status STRING, last_us LONG, last_seq LONG, settled_us LONG"
+FIRE_SCHEMA = "not_id LONG, fire_us LONG, fire_seq LONG, settled_us LONG"
 
 
-def _settle_group(key, batches, state):
-    """Per invoice and micro-batch: drop records not newer than the state, find the first change
-    into 'paid' (lower case, once per invoice), keep the last status.  Vectorized over the group's
-    rows with pandas; the state is four values per invoice."""
+def _settle_group(key, batches, state, once=False):
+    """Per invoice and micro-batch: drop records not newer than the state, find the changes of the raw
+    status into 'paid' (any case), keep the last status and the first payment's time.  Vectorized over
+    the group's rows with pandas; the state is four values per invoice."""
     import pandas as pd
 
     pdf = pd.concat(list(batches), ignore_index=True)
     if state.exists:
-        last_status, last_us, last_seq, settled = state.get
+        last_status, last_us, last_seq, settled_us = state.get
         newer = (pdf["k_us"] > last_us) | ((pdf["k_us"] == last_us) & (pdf["seq"] > last_seq))
     else:
-        last_status, settled = pdf["start_status"].iloc[0], False
+        last_status, settled_us = pdf["start_status"].iloc[0], None
         cutoff = pdf["cutoff_us"].iloc[0]
         newer = pdf["k_us"] > cutoff if pd.notna(cutoff) else pd.Series(True, index=pdf.index)
     pdf = pdf[newer].sort_values(["k_us", "seq"])
     if pdf.empty:
         return
-    cur = pdf["new_status"].fillna("").str.lower()
-    prev = cur.shift(1).fillna((last_status or "").lower())
-    hits = pdf[(cur == "paid") & (prev != "paid")]
-    fired = (not settled) and not hits.empty
+    cur = pdf["new_status"]
+    old = [last_status, *cur.iloc[:-1]]
+    changed = [not (a == b or (pd.isna(a) and pd.isna(b))) for a, b in zip(cur, old)]
+    hits = pdf[(cur.str.lower() == "paid").fillna(False).to_numpy(bool) & changed]
+    if once:
+        hits = hits.iloc[:1 if settled_us is None else 0]
+    if settled_us is None and not hits.empty:
+        settled_us = int(hits["k_us"].iloc[0])
     tail = pdf.iloc[-1]
-    state.update((tail["new_status"], int(tail["k_us"]), int(tail["seq"]), bool(settled or fired)))
-    if fired:
-        first = hits.iloc[0]
-        yield pd.DataFrame({"not_id": [key[0]], "fire_us": [int(first["k_us"])], "fire_seq": [int(first["seq"])]})
+    state.update((tail["new_status"] if pd.notna(tail["new_status"]) else None, int(tail["k_us"]), int(tail["seq"]),
+                  settled_us))
+    if not hits.empty:
+        yield pd.DataFrame({"not_id": key[0], "fire_us": hits["k_us"].astype("int64"),
+                            "fire_seq": hits["seq"].astype("int64"), "settled_us": settled_us})
 
 
 def start_stateful_settlement(spark: SparkSession, feed_dir: str, invoice: DataFrame, out_dir: str,
-                              checkpoint: str, max_files_per_trigger: int = 1, available_now: bool = True):
+                              checkpoint: str, max_files_per_trigger: int | None = None, available_now: bool = True,
+                              once: bool = False):
     """F1 with ``applyInPandasWithState``: stream-static join to the invoice (start status and
     status time), per-invoice state in the state store, movements appended through the file sink
     (its commit log makes the output exactly-once across restarts)."""
+    from functools import partial
+
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    feed = (spark.readStream.schema(FEED_SCHEMA)
-            .option("maxFilesPerTrigger", max_files_per_trigger).parquet(feed_dir))
+    feed = _feed(spark, feed_dir, max_files_per_trigger)
     inv = invoice.select("not_id", F.col("charge_status").alias("start_status"),
                          F.unix_micros(F.col("status_updated_at").cast("timestamp")).alias("cutoff_us"))
     rows = (feed.join(inv, "not_id")
             .select("not_id", "new_status", "seq", "start_status", "cutoff_us",
                     F.unix_micros(F.col("changed_at").cast("timestamp")).alias("k_us")))
     fires = rows.groupBy("not_id").applyInPandasWithState(
-        _settle_group, FIRE_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
-    vals = invoice.select("not_id", "paid_value", "invoice_value", "settled_on", "ctb_id")
-    movements = (fires.join(vals, "not_id")
-                 .select(F.col("not_id").alias("doc"),
-                         F.coalesce("paid_value", "invoice_value").cast("decimal(18,2)").alias("mov_value"),
-                         F.coalesce("settled_on", F.to_date(F.timestamp_micros("fire_us"))).alias("mov_date"),
-                         "not_id", F.lit("P").alias("operation"), "ctb_id", F.lit("Webhook").alias("actor"),
-                         F.concat(F.lit(MOVEMENT_INFO), F.col("not_id").cast("string")).alias("info")))
+        partial(_settle_group, once=once), FIRE_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    movements = movements_of(fires.withColumn("settled_at", F.timestamp_micros("settled_us")), invoice.select(
+        "not_id", "paid_value", "invoice_value", "settled_on", "ctb_id"))
     w = (movements.writeStream.format("parquet").outputMode("append")
          .option("path", out_dir).option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
