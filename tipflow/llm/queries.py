@@ -37,8 +37,11 @@ def op3_url_filter(spark, sf_dir):
 def op4_pii(spark, sf_dir):
     """Base counts and digest, and all spans, of every document; n_added counts the contextual spans."""
     found = pii.find(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}")
-              for k, name in enumerate(pii.KINDS)]
+
+    def number(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+    counts = [number(kind).alias(f"n_{name}") for kind, name in enumerate(pii.KINDS)]
     added = F.coalesce("added", F.array().cast(pii._SPANS))
     return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
                         pii.joined(F.sort_array(F.concat("base", added))).alias("spans"),
