@@ -12,8 +12,9 @@
   of the negative cross-entropies; its temperature maximises the likelihood of the calibration rows.
 * Rejection: cross-entropy beyond the language's mean by more than a limit / sqrt(length).
   Temperature and limit are calibrated on labelled rows that the models have not counted: one
-  in ``CALIBRATION`` by the hash of the text, so copies stay together.  None of those classified
-  correctly is beyond the limit / ``SLACK``.  Texts without letters are rejected too.
+  in ``CALIBRATION`` by the hash of the text, so copies stay together.  The limit is the largest
+  excess of those classified correctly times ``SLACK`` (1 + ``FEW`` / sqrt(their number)), wider the
+  fewer they are.  Texts without letters are rejected too.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from tipflow.llm.common import U64, slices, utf8, written
 
 ORDER = 4
 UNKNOWN = "und"
-SLACK = 2.0
+SLACK, FEW = 1.5, 12.0
 CALIBRATION = 8
 # Bound of the model: the most frequent 4-grams over all languages; the others back off.
 MODEL_GRAMS = 1_000_000
@@ -269,7 +270,8 @@ def identify(docs: DataFrame, labelled: Column, keep: list[str]) -> DataFrame:
         means = [mean.get(i + 1, float("inf")) for i in range(len(model.langs))]
         mean_of = F.element_at(F.array(*[F.lit(x) for x in means]), F.col("_best"))
         far = (best - mean_of) * F.sqrt("chars")
-        limit = SLACK * (right.agg(F.max(far)).first()[0] or 0.0)
+        most, number = right.agg(F.max(far), F.count("*")).first()
+        limit = SLACK * (1 + FEW / max(number, 1) ** 0.5) * max(most or 0.0, 1.0)
         rejected = F.when(has, far > limit).otherwise(True)
         score = F.when(has, _softmax(F.col("bits"), temperature, F.col("_best"))).otherwise(0.0)
     else:
