@@ -5,6 +5,8 @@ evaluated outside it (higher-order functions have no generated code)."""
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -193,14 +195,12 @@ def div_round2(p, q) -> Column:
     out), so rounding that quotient again to cents can round twice.  Here
     both sides are scaled to integers (``p`` has at most 4 decimals, ``q`` at
     most 2; both >= 0, q > 0) and the half-up cent count is an exact integer
-    division done with the remainder operator.
+    division.
     """
     a = (c(p) * 10000).cast("decimal(38,0)")
     b = (c(q) * 100).cast("decimal(38,0)")
-    num = a * 2 + b
-    den = b * 2
-    cents = (num - num % den) / den
-    return (cents / 100).cast(MONEY)
+    cents = F.call_function("div", a * 2 + b, b * 2)
+    return (cents.cast("decimal(20,0)") * F.lit(Decimal("0.01"))).cast(MONEY)
 
 
 def fee_type_default(col) -> Column:

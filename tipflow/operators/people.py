@@ -16,6 +16,7 @@ from tipflow.functions.columns import (EMAIL_PATTERN, NO_CATEGORY, cpf_valid, di
                                        pad_cpf, parse_birth_date, sql_digits)
 from tipflow.functions import messages as M
 from tipflow.operators.ids import dense_ids
+from tipflow.session import checkpoint_dir
 from tipflow.sources.mart import Mart
 
 
@@ -330,7 +331,9 @@ def bulk_import_collaborators(m: Mart, rows: DataFrame) -> DataFrame:
     existing = (m.collaborator.select("cli_id", sql_digits("cpf").alias("cpf"), "usr_id")
                 .groupBy("cli_id", "cpf").agg(F.min("usr_id").alias("existing_id")))
     first = rows.groupBy("cli_id", "cpf").agg(F.min("line").alias("first_line"))
-    r = rows.join(existing, ["cli_id", "cpf"], "left").join(first, ["cli_id", "cpf"])
+    # the sheet is validated once: the id allocation and the result both read this checkpoint
+    checkpoint_dir(rows.sparkSession)
+    r = rows.join(existing, ["cli_id", "cpf"], "left").join(first, ["cli_id", "cpf"]).checkpoint(eager=True)
     fresh = r.filter(F.col("existing_id").isNull() & (F.col("line") == F.col("first_line")))
     current_max = m.collaborator.agg(F.coalesce(F.max("usr_id"), F.lit(0)).alias("m"))
     new_ids = dense_ids(fresh.select("cli_id", "cpf", "line"), ["cli_id", "line"], current_max, "new_id")

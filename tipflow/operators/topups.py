@@ -159,11 +159,10 @@ def detail_totals(m: Mart, cli_id=None) -> DataFrame:
     """D3: :func:`batch_totals` plus ``net_sum`` (per-line nets, each rounded, summed)
     and ``cent_drift`` = net_sum - net_total."""
     tot = batch_totals(m, cli_id)
-    nets = (_tenant_filter(m.credit, cli_id).select("batch_id", "credit_value")
-            .join(tot.select("batch_id", "gross", "net_total"), "batch_id")
-            .groupBy("batch_id").agg(F.sum(line_net()).cast(MONEY_SUM).alias("net_sum")))
-    return (tot.join(nets, "batch_id")
-            .withColumn("cent_drift", (F.col("net_sum") - F.col("net_total")).cast(MONEY_SUM))
+    # the totals travel with the lines as group keys, so they are built once
+    nets = (_tenant_filter(m.credit, cli_id).select("batch_id", "credit_value").join(tot, "batch_id")
+            .groupBy(*tot.columns).agg(F.sum(line_net()).cast(MONEY_SUM).alias("net_sum")))
+    return (nets.withColumn("cent_drift", (F.col("net_sum") - F.col("net_total")).cast(MONEY_SUM))
             .withColumn("gross", F.col("gross").cast(MONEY_SUM)))
 
 
