@@ -25,8 +25,10 @@ STATUS_ROWS = "(1, 'ATIVO'), (2, 'BLOQUEADO'), (3, 'CANCELADO')"
 _SEGMENT_NO = """CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 1 WHEN 'BUILDING' THEN 2
   WHEN 'FURNITURE' THEN 3 WHEN 'HOUSEHOLD' THEN 4 ELSE 5 END"""
 
+# a tenant's month has more batches, and each batch more credits, the more orders there are
 _BATCH_OF_ORDER = """CAST(c_nationkey AS BIGINT) * 1000
-  + (year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1"""
+  + (year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1
+  + CAST(floor(sqrt(o_orderkey) / 24) AS BIGINT) * 1000000"""
 
 # name -> (sql, driver tables used, domain tables used)
 MART: dict[str, tuple[str, tuple[str, ...], tuple[str, ...]]] = {
@@ -70,7 +72,7 @@ FROM (SELECT c_custkey AS usr_id, c_name AS usr_name, CAST(c_nationkey AS BIGINT
       FROM {{customer}}) AS c""", ("customer",), ()),
 
     "batch": (f"""
-SELECT batch_id, cli_id, min(o_orderdate) AS imported_at,
+SELECT batch_id, cli_id, min(min(o_orderdate)) OVER (PARTITION BY batch_id % 1000000) AS imported_at,
        'user' || CAST(batch_id % 5 AS STRING) AS created_by,
        CASE WHEN batch_id % 7 = 0 THEN 'C' WHEN batch_id % 7 = 1 THEN 'E' ELSE NULL END AS batch_status,
        'Remessa ' || CAST(batch_id AS STRING) AS title
@@ -197,7 +199,8 @@ SELECT 1000000 + user_id AS not_id,
 FROM {events}""", ("events",), ()),
 
     "request_log": ("""
-SELECT event_id AS req_id, user_id AS client_id, ts AS req_at,
+SELECT event_id AS req_id, CASE WHEN event_id % 6 = 0 THEN CAST(0 AS BIGINT) ELSE user_id END AS client_id,
+       CASE WHEN event_id % 6 = 0 THEN TIMESTAMP '2024-01-05 10:00:30' ELSE ts END AS req_at,
        CASE event_type WHEN 'signup' THEN 'login' WHEN 'error' THEN 'reset' ELSE 'api' END AS route,
        user_id AS usr_code,
        CASE WHEN event_type = 'click' THEN NULL ELSE CAST(user_id % 25 AS BIGINT) END AS asked_cli_id,
