@@ -28,7 +28,7 @@ _SEGMENT_NO = """CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 1 WHEN 'BUILDING' THEN
 # a tenant's month has more batches, and each batch more credits, the more orders there are
 _BATCH_OF_ORDER = """CAST(c_nationkey AS BIGINT) * 1000
   + (year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1
-  + CAST(floor(sqrt(o_orderkey) / 24) AS BIGINT) * 1000000"""
+  + CAST(floor(sqrt(o_orderkey) / 24) AS BIGINT) * 1000001"""
 
 # name -> (sql, driver tables used, domain tables used)
 MART: dict[str, tuple[str, tuple[str, ...], tuple[str, ...]]] = {
@@ -72,7 +72,7 @@ FROM (SELECT c_custkey AS usr_id, c_name AS usr_name, CAST(c_nationkey AS BIGINT
       FROM {{customer}}) AS c""", ("customer",), ()),
 
     "batch": (f"""
-SELECT batch_id, cli_id, min(min(o_orderdate)) OVER (PARTITION BY batch_id % 1000000) AS imported_at,
+SELECT batch_id, cli_id, min(min(o_orderdate)) OVER (PARTITION BY batch_id % 1000001) AS imported_at,
        'user' || CAST(batch_id % 5 AS STRING) AS created_by,
        CASE WHEN batch_id % 7 = 0 THEN 'C' WHEN batch_id % 7 = 1 THEN 'E' ELSE NULL END AS batch_status,
        'Remessa ' || CAST(batch_id AS STRING) AS title
