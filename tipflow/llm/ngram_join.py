@@ -22,11 +22,11 @@ Points are a small part of the shingles, so both rounds search points first and
 shingles only of sets that are in a surviving pair.  Blocks of more than ``CHUNK`` sets are cut into
 chunks.  The first round searches, for each set, only its largest block, chunk by chunk, and joins
 the chunks by a few sets that go to all of them.  The second round takes every block that still
-holds more than one component: its sets outside the block's largest component meet all chunks of
-the block.  A pair is passed over in a block if both sets name an earlier block that holds them both
-(each row carries the first ``FIRSTS`` blocks of its set); it had its turn there.  So a group of near
-copies of any size costs rows in proportion to its size, and no pair of different components that
-shares a block is left out.
+holds more than one component: its sets outside the block's largest component meet all others, chunk
+by chunk, so a tree never holds more than two chunks.  A pair is passed over in a block if both
+sets name an earlier block that holds them both (each row carries the first ``FIRSTS`` blocks of its
+set); it had its turn there.  So a group of near copies of any size costs rows in proportion to
+its size, and no pair of different components that shares a block is left out.
 """
 
 from __future__ import annotations
@@ -47,6 +47,7 @@ MIN_GROUPS, MAX_GROUPS = 64, 1 << 14  # coordinates of a point
 FANOUT = 16                # points of a leaf, leaves of a node
 CHUNK = 1024               # sets that one tree holds
 FIRSTS = 32                # earlier blocks that a row names
+BROADCAST_ROWS = 50_000    # of at most 320 bytes (16 MB)
 HINTS = 200_000            # common shingles that are ordered last (bounds the broadcast: 16 bytes each)
 LOCAL_REPEATS = 3          # a shingle counts as common if so many sets of one task's portion hold it
 PORTION = 1 << 22          # shingles of a portion
@@ -396,7 +397,7 @@ def search(work: DataFrame, num: int, den: int) -> DataFrame:
     return _by_chunk(work).mapInArrow(run, "u long, v long")
 
 
-_WORK = pa.schema([("key", pa.int64()), ("chunk", pa.int32()), ("id", pa.int64()), ("grp", pa.int64()),
+_WORK = pa.schema([("key", pa.int64()), ("chunk", pa.int64()), ("id", pa.int64()), ("grp", pa.int64()),
                    ("query", pa.bool_()), ("home", pa.bool_()), ("firsts", pa.list_(pa.int64()))])
 
 
@@ -412,7 +413,7 @@ def sift(work: DataFrame, num: int, den: int) -> DataFrame:
                                                  schema=_WORK)
 
     return _by_chunk(work).mapInArrow(
-        run, "key long, chunk int, id long, grp long, query boolean, home boolean, firsts array<long>")
+        run, "key long, chunk long, id long, grp long, query boolean, home boolean, firsts array<long>")
 
 
 def _links(out):
@@ -420,13 +421,34 @@ def _links(out):
                                        pa.array([x[1] for x in out], pa.int64())], names=["u", "v"])
 
 
-def _chunks(cnt: str = "cnt"):
-    return F.ceil(F.col(cnt) / CHUNK).cast("int")
+def _first_round():
+    """Places (chunk, home) of a set in its block: its own chunk; all chunks for about 8 sets of a large block."""
+    chunks = F.ceil(F.col("cnt") / CHUNK)
+    own = F.pmod(F.xxhash64("id"), chunks)
+    pivot = F.pmod(F.xxhash64("id", F.lit(7)), F.greatest(F.lit(1), F.floor(F.col("cnt") / 8))) == 0
+    every = F.transform(F.sequence(F.lit(0).cast("long"), chunks - 1),
+                        lambda c: F.struct(c.alias("chunk"), (c == own).alias("home")))
+    one = F.array(F.struct(own.alias("chunk"), F.lit(True).alias("home")))
+    return F.when((F.col("cnt") > CHUNK) & pivot, every).otherwise(one)
+
 
+def _second_round():
+    """Places of a set: chunk i of the main component meets chunk j of the others (``query``), and these
+    each other.  A pair counts where one of the two is at home, so each has its turn in one tree."""
+    mains = F.ceil((F.col("cnt") - F.col("others")) / CHUNK)
+    rest = F.ceil(F.col("others") / CHUNK)
+    zero = F.lit(0).cast("long")
+    main, other = F.pmod(F.xxhash64("id"), mains), F.pmod(F.xxhash64("id"), rest)
 
-def _everywhere(test, spread):
-    """Chunks of a row: all of its block if the test holds, else its own."""
-    return F.when((F.col("cnt") > CHUNK) & test, F.sequence(F.lit(0), _chunks() - 1)).otherwise(F.array(spread))
+    def place(chunk, home):
+        return F.struct(chunk.alias("chunk"), F.lit(home).alias("home"))
+
+    with_others = F.transform(F.sequence(zero, rest - 1), lambda j: place(main * rest + j, True))
+    with_mains = F.transform(F.sequence(zero, mains - 1), lambda i: place(i * rest + other, False))
+    among = F.transform(F.sequence(zero, rest - 1), lambda j: place(
+        mains * rest + F.least(other, j) * rest + F.greatest(other, j), True))
+    return (F.when(F.col("cnt") <= CHUNK, F.array(place(zero, True)))
+            .when(F.col("query"), F.concat(with_mains, among)).otherwise(with_others))
 
 
 def classes(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -436,8 +458,10 @@ def classes(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN) -
     and word-free texts have 0 shingles, link with nothing, and carry their own doc_id.
     Rows with a null doc_id take part in links; a component of such rows alone has a null
     component_id.  Repeated rows each give a row.  Other columns are not read.
-    An empty table gives an empty result.
+    An empty table gives an empty result.  Similarities below 1/2 raise ValueError.
     """
+    if 2 * num < den:  # size classes meet the next class only
+        raise ValueError(f"similarity {num}/{den} is below 1/2")
     spark = docs.sparkSession
     seen = written(profile(docs, k), "profile")
     rows = seen.where("kind = 0").select("id", "a", "n")
@@ -454,30 +478,33 @@ def classes(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN) -
     def search_in(work: DataFrame) -> DataFrame:
         """Links in ``work (key, chunk, id, grp, query, home, firsts)``: points first, then the shingles of what is left."""
         left = written(sift(work.join(points, "id"), num, den), "sifted")
-        return written(search(left.join(shingles_of(docs, left.select("id").distinct(), rows, k), "id"), num, den), "links")
+        made = shingles_of(docs, left.select("id").distinct(), rows, k)
+        # rows of a bounded size: few of them go to the shingles, more of them meet these in a shuffle
+        small = left.count() <= BROADCAST_ROWS
+        return written(search(made.join(F.broadcast(left) if small else left, "id"), num, den), "links")
 
     # Round 1: each set in its largest block, with a few sets of the block in every chunk.
-    spread = F.pmod(F.xxhash64("id"), _chunks()).cast("int")
-    pivot = F.pmod(F.xxhash64("id", F.lit(7)), F.greatest(F.lit(1), F.floor(F.col("cnt") / 8))) == 0
     own = block.groupBy("id").agg(F.max(F.struct("cnt", "key")).alias("best")).select("id", "best.cnt", "best.key")
     none = F.array().cast("array<long>")
-    links = search_in(own.select("key", F.explode(_everywhere(pivot, spread)).alias("chunk"), "id", F.col("id").alias("grp"),
-                                 F.lit(True).alias("query"), spread.alias("home"), none.alias("firsts"))
-                      .withColumn("home", F.col("chunk") == F.col("home")))
+    links = search_in(own.select("key", F.explode(_first_round()).alias("p"), "id", F.col("id").alias("grp"),
+                                 F.lit(True).alias("query"), none.alias("firsts"))
+                      .select("key", "p.chunk", "id", "grp", "query", "p.home", "firsts"))
     joined = components(links)
 
     # Round 2: blocks that hold more than one component.
     named = block.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn(
         "grp", F.coalesce("root", "id")).drop("root")
     parts = named.groupBy("key", "grp").agg(F.count("*").alias("part"))
-    several = parts.groupBy("key").agg(F.max(F.struct("part", "grp")).alias("top"), F.count("*").alias("parts")
-                                       ).where("parts > 1").select("key", F.col("top.grp").alias("main"))
+    several = parts.groupBy("key").agg(F.max(F.struct("part", "grp")).alias("top"), F.count("*").alias("parts"),
+                                       (F.sum("part") - F.max("part")).alias("others")
+                                       ).where("parts > 1").select("key", F.col("top.grp").alias("main"), "others")
     rest = written(named.join(several, "key").withColumn("query", F.col("grp") != F.col("main")), "open")
     firsts = rest.groupBy("id").agg(F.slice(F.sort_array(F.collect_list("key")), 1, FIRSTS).alias("firsts"))
     links = links.unionAll(search_in(
         rest.join(firsts, "id").select(
-            "key", F.explode(_everywhere(F.col("query"), spread)).alias("chunk"), "id", "grp", "query",
-            spread.alias("home"), "firsts").withColumn("home", F.col("chunk") == F.col("home"))))
+            "key", F.explode(_second_round()).alias("p"), "id", "grp", "query",
+            F.filter("firsts", lambda first: first < F.col("key")).alias("firsts"))
+        .select("key", "p.chunk", "id", "grp", "query", "p.home", "firsts")))
     joined = components(links)
 
     docs_in = rows.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn(
