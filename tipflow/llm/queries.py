@@ -80,8 +80,9 @@ def op10_quality_rules(spark, sf_dir):
         "doc_id", *stats.COUNTS, "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op3_url_filter, op4_pii, op5_warc, op6_decontamination, op7_substring_dedup,
-                                   op8_source_mixing, op9_quality_classifier, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (
+    op1_ngram_jaccard_join, op2_language_id, op3_url_filter, op4_pii, op5_warc, op6_decontamination,
+    op7_substring_dedup, op8_source_mixing, op9_quality_classifier, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {
     "op5_warc": warc.oracle_sql(),
     "op6_decontamination": decontaminate.oracle_sql(),
