@@ -104,7 +104,7 @@ def test_decontaminated_columns(nasty, items):
 def test_substrings(nasty, empty):
     got = rows(substrings.removals(nasty), "doc_id", "start", "kept_doc_id")
     assert got == sorted([(2, 0, 1), (2, 0, 1), (3, 0, 1), (None, 0, 1)], key=repr)
-    out = substrings.deduplicated(nasty, min_words=2)
+    out = substrings.deduplicated(nasty, sentence_words=2)
     assert out.columns == [*nasty.columns, "removed"] and out.count() == 15
     assert rows(out.where("doc_id = 11"), "text") == [("été à l'école\n",)]
     assert substrings.removals(empty).collect() == []
