@@ -10,7 +10,7 @@ from decimal import Decimal
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed values of the reference (report status rules and labels).
+# Fixed values of the reference (report status rules and labels, month names).
 PAID_STATUSES = ["paid", "settled"]
 CANCELLED_STATUSES = ["canceled", "cancelled"]
 PENDING_STATUSES = ["waiting", "active", "pending"]
@@ -26,12 +26,14 @@ MONTH_NAMES_PT = ["janeiro", "fevereiro", "março", "abril", "maio", "junho",
 NO_CATEGORY = "Sem categoria"
 NO_CHARGE = "Sem boleto"
 MONEY = "decimal(18,2)"
-# 1% as an exact decimal; a Python float literal would turn decimal math into double
-def pct() -> Column:
-    return F.lit(0.01).cast("decimal(3,2)")
 MONEY_SUM = "decimal(38,2)"
 
 
+def pct() -> Column:
+    """1% as an exact decimal; a Python float literal would turn decimal math into double."""
+    return F.lit(Decimal("0.01")).cast("decimal(3,2)")
+
+
 def c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
