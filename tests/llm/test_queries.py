@@ -124,6 +124,24 @@ def test_language_rejects_other_text(spark):
     assert {r.doc_id for r in got} >= {-1, -2} and len(got) <= 4
 
 
+def test_language_joined_model_is_the_same(spark):
+    """A model too large to broadcast keeps all counts, those of the smallest language too."""
+    from pyspark.sql import functions as F
+
+    from tipflow.llm import langid
+    docs = table(spark, SF, "documents").select("doc_id", F.substring("text", 1, 2000).alias("text"), "lang")
+    rare = spark.createDataFrame([(-i, f"ħġċ żħġ {'ċż' * (i % 5 + 1)} ħħż", "mt") for i in range(1, 25)]
+                                 + [(-100, "ħġċ żħġ ħħż", None), (-101, "", None), (None, None, "en")], docs.schema)
+    docs = docs.unionByName(rare).repartition(4)
+    got = [langid.identify(docs, F.lit(True), ["doc_id"], **how).collect() for how in ({}, {"broadcast_bytes": 0})]
+    whole, joined = ({r.doc_id: r for r in rows} for rows in got)
+    assert len(got[1]) == docs.count() and whole.keys() == joined.keys()
+    assert joined[-100].lang_pred == "mt"
+    for i, r in joined.items():
+        assert (r.lang_pred, r.rejected) == (whole[i].lang_pred, whole[i].rejected)
+        assert r.cross_entropy == pytest.approx(whole[i].cross_entropy) and r.score == pytest.approx(whole[i].score)
+
+
 def test_kneser_ney_sums_to_one():
     import numpy as np
 

@@ -5,9 +5,12 @@
 * Spark counts the character 4-grams of every language over all labelled documents.  From the
   counts each language gets an interpolated Kneser-Ney model: absolute discounts estimated from
   counts of one and two, lower orders from continuation counts, and a uniform base.
-* The 4-grams of all languages stand in one array sorted by hash, with the log probabilities of
-  each language beside it, and a directory over the leading hash bits; a text's 4-grams
-  are looked up all at once.  4-grams that no language saw back off through the models.
+* Models of less than ``MODEL_BYTES`` (measured) are broadcast: the 4-grams of all languages stand in
+  one array sorted by hash, with the log probabilities of each language beside it, and a directory
+  over the leading hash bits; a text's 4-grams are looked up all at once.  4-grams that no language
+  saw back off through the models.
+* Larger models stay tables: the texts' 4-grams, counted per text, get their probabilities order by
+  order through joins with the counts.  Both ways use all counts and give the same results.
 * A text gets the language of lowest cross-entropy in bits a character.  The score is the softmax
   of the negative cross-entropies; its temperature maximises the likelihood of the calibration rows.
 * Rejection: cross-entropy beyond the language's mean by more than a limit / sqrt(length).
@@ -26,7 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from tipflow.llm.common import U64, slices, utf8, written
 
@@ -34,8 +37,8 @@ ORDER = 4
 UNKNOWN = "und"
 SLACK, FEW = 1.5, 12.0
 CALIBRATION = 8
-# Bound of the model: the most frequent 4-grams over all languages; the others back off.
-MODEL_GRAMS = 1_000_000
+# A larger model is joined, not broadcast.
+MODEL_BYTES = 64 << 20
 TEMPERATURES = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0)
 PORTION = 1 << 22
 _SPREAD = U64(0x9E3779B97F4A7C15)  # odd: multiplying is a reversible hash
@@ -186,18 +189,107 @@ class Model:
         return out
 
 
-def train(docs: DataFrame) -> Model | None:
+class Tables:
+    """All languages as tables of counts per order, for a model that is too large to broadcast."""
+
+    def __init__(self, counts: DataFrame, langs: list[str], alphabet: int):
+        self.langs, self.base = langs, 1.0 / alphabet
+        tables = [counts.select("lang", "gram", F.col("cnt").alias("value"))]
+        for k in range(ORDER - 1, 0, -1):  # continuation counts: how many characters stand before the gram
+            tables.append(written(tables[-1].groupBy("lang", _suffix(k).alias("gram")).agg(F.count("*").alias("value")),
+                                  "continuations"))
+        self.orders = tables[::-1]
+        self.discounts: list[dict[str, float]] = []
+        for values in self.orders:
+            rows = values.groupBy("lang").agg(F.count_if(F.col("value") == 1), F.count_if(F.col("value") == 2)).collect()
+            self.discounts.append({lang: ones / (ones + 2 * twos) if ones and twos else 0.5 for lang, ones, twos in rows})
+
+    def bits(self, grams: DataFrame) -> DataFrame:
+        """(gram, cost): bits of the last character of each of the distinct ``grams (gram)`` in each language."""
+        lower = None
+        for k in range(1, ORDER + 1):
+            values = self.orders[k - 1]
+            seen = values.groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "value"))).alias("seen"))
+            contexts = (values.groupBy("lang", F.shiftrightunsigned("gram", 16).alias("context"))
+                        .agg(F.sum("value").alias("total"), F.count("*").alias("kinds")).groupBy("context")
+                        .agg(F.map_from_entries(F.collect_list(F.struct("lang", F.struct("total", "kinds")))).alias("known")))
+            want = grams.select(_suffix(k).alias("gram")).distinct()
+            want = (want.withColumn("context", F.shiftrightunsigned("gram", 16)).withColumn("suffix", _suffix(k - 1))
+                    .join(seen, "gram", "left").join(contexts, "context", "left"))
+            if lower is not None:
+                want = want.join(lower.select(F.col("gram").alias("suffix"), F.col("p").alias("below")), "suffix")
+            each = F.array(*[F.struct(F.lit(lang).alias("lang"), F.lit(self.discounts[k - 1][lang]).alias("discount"),
+                                      F.lit(i + 1).alias("place")) for i, lang in enumerate(self.langs)])
+            lower = written(want.select("gram", F.transform(each, lambda x: self._probability(x, k)).alias("p")),
+                            "probabilities")
+        return lower.select("gram", F.transform("p", lambda p: -F.log2(p)).alias("cost"))
+
+    def _probability(self, x: Column, k: int) -> Column:
+        below = F.lit(self.base) if k == 1 else F.element_at("below", x["place"])
+        value = F.coalesce(F.try_element_at("seen", x["lang"]).cast("double"), F.lit(0.0))
+        known = F.try_element_at("known", x["lang"])
+        return F.when(known.isNull(), below).otherwise(
+            F.greatest(value - x["discount"], F.lit(0.0)) / known["total"]
+            + x["discount"] * known["kinds"] / known["total"] * below)
+
+
+def _suffix(k: int) -> Column:
+    """The last k characters of a gram."""
+    return F.col("gram") if k == ORDER else F.col("gram").bitwiseAND(F.lit((1 << 16 * k) - 1).cast("long"))
+
+
+def train(docs: DataFrame, broadcast_bytes: int = MODEL_BYTES) -> Model | Tables | None:
     """Models from all rows of ``docs (text, lang)`` with a lang; None if there are no characters."""
-    counts = (gram_counts(docs.where("lang is not null and text is not null"))
-              .orderBy(F.desc("cnt"), "lang", "gram").limit(MODEL_GRAMS).toPandas())
-    return Model(counts) if len(counts) else None
+    counts = written(gram_counts(docs.where("lang is not null and text is not null")), "grams")
+    langs = {r[0]: r[1] for r in counts.groupBy("lang").count().collect()}
+    if not langs:
+        return None
+    distinct = counts.select("gram").distinct().count()
+    # per 4-gram a hash and the bits of each language; per language keys, probabilities and contexts of all orders
+    if distinct * (8 + 8 * len(langs)) + 48 * sum(langs.values()) <= broadcast_bytes:
+        return Model(counts.toPandas())
+    return Tables(counts, sorted(langs), counts.select(F.col("gram").bitwiseAND(F.lit(0xFFFF).cast("long"))).distinct().count() + 1)
+
+
+def _joined_entropies(docs: DataFrame, model: Tables, keep: list[str]) -> DataFrame:
+    """As ``entropies``, by joining the 4-grams of the texts with the model's tables."""
+    kept = docs.select(*keep, "text", F.monotonically_increasing_id().alias("_entry"))
+    schema = docs.select(*keep).schema.add("_entry", "long").add("letters", "long").add("chars", "long").add(
+        "grams", ArrayType(StructType().add("gram", "long").add("n", "long")))
+    grams_type = pa.struct([("gram", pa.int64()), ("n", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            names = [*keep, "_entry"]
+            for row, texts in _texts(batch):
+                grams, at, letters = characters(texts)
+                each = [np.unique(grams[x:y], return_counts=True) for x, y in zip(at[:-1], at[1:])]
+                flat = pa.StructArray.from_arrays(
+                    [pa.array(np.concatenate([g for g, _ in each]).view(np.int64)),
+                     pa.array(np.concatenate([n for _, n in each]).astype(np.int64))], fields=list(grams_type))
+                ends = np.cumsum([0, *[len(g) for g, _ in each]]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(c).slice(row, len(texts)) for c in names]
+                    + [pa.array(letters), pa.array(np.diff(at)), pa.ListArray.from_arrays(pa.array(ends), flat)],
+                    names=[*names, "letters", "chars", "grams"])
+
+    rows = written(kept.mapInArrow(run, schema), "texts")
+    grams = rows.select("_entry", F.explode("grams").alias("g")).select("_entry", "g.gram", "g.n")
+    costs = model.bits(grams.select("gram").distinct())
+    total = grams.join(costs, "gram").groupBy("_entry").agg(F.array(
+        *[F.sum(F.element_at("cost", i + 1) * F.col("n")) for i in range(len(model.langs))]).alias("total"))
+    none = F.array(*[F.lit(0.0) for _ in model.langs])
+    return rows.drop("grams").join(total, "_entry", "left").select(
+        *keep, "letters", "chars", F.coalesce(F.transform("total", lambda t: t / F.col("chars")), none).alias("bits"))
 
 
-def entropies(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
+def entropies(docs: DataFrame, model: Model | Tables | None, keep: list[str]) -> DataFrame:
     """(keep..., letters, chars, bits): bits holds the cross-entropy of the whole text per language.
 
     ``keep`` names other columns than text.
     """
+    if isinstance(model, Tables):
+        return _joined_entropies(docs, model, keep)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.select(*keep, "text")
     schema = docs.select(*keep).schema
@@ -235,7 +327,7 @@ def _softmax(bits: Column, temperature: float, at: Column) -> Column:
         F.lit(temperature * np.log(2)) * (F.element_at(bits, at) - b)))
 
 
-def identify(docs: DataFrame, labelled: Column, keep: list[str]) -> DataFrame:
+def identify(docs: DataFrame, labelled: Column, keep: list[str], broadcast_bytes: int = MODEL_BYTES) -> DataFrame:
     """(keep..., lang_pred, score, cross_entropy, rejected) of every row of ``docs (text, lang)``.
 
     ``labelled`` says from which rows to learn (those with a null lang never count).  lang_pred is a
@@ -246,7 +338,7 @@ def identify(docs: DataFrame, labelled: Column, keep: list[str]) -> DataFrame:
     """
     learn = F.coalesce(labelled, F.lit(False)) & F.col("lang").isNotNull()
     kept_back = learn & (F.pmod(F.xxhash64("text"), F.lit(CALIBRATION)) == 0)
-    model = train(docs.where(learn & ~kept_back)) or train(docs.where(learn))
+    model = train(docs.where(learn & ~kept_back), broadcast_bytes) or train(docs.where(learn), broadcast_bytes)
     langs = F.array(*[F.lit(x) for x in model.langs]) if model else F.array().cast("array<string>")
     scored = entropies(docs.withColumn("_lang", F.col("lang")).withColumn("_learn", kept_back), model,
                        [*keep, "_lang", "_learn"])
