@@ -124,6 +124,28 @@ def test_language_rejects_other_text(spark):
     assert {r.doc_id for r in got} >= {-1, -2} and len(got) <= 4
 
 
+def test_language_left_out_is_rejected(spark):
+    """A language that no row teaches, next to one very long document of mixed languages."""
+    from pyspark.sql import functions as F
+
+    from tipflow.llm import langid
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang").where("length(text) > 100")
+    docs = docs.withColumn("lang", F.when(F.col("lang") != "es", F.col("lang")))
+    foreign = [r.text for r in docs.where("lang is null").orderBy("doc_id").collect()]
+    own = [r.text for r in docs.where("lang = 'en'").orderBy("doc_id").collect()]
+    assert len(foreign) >= 50
+    english = "\n".join(own)[:80_000]
+    long = [(english + " " + "\n".join(foreign)[:20_000] + f" end{'x' * i}") for i in range(40)]
+    # the calibration rows are drawn by the hash of the text: take one that is drawn
+    drawn = spark.createDataFrame([(-1, t, "en") for t in long], docs.schema).where(
+        F.pmod(F.xxhash64("text"), F.lit(langid.CALIBRATION)) == 0).limit(1)
+    assert drawn.count() == 1
+    got = langid.identify(docs.unionByName(drawn), F.lit(True), ["doc_id", "lang"]).where("doc_id >= 0").collect()
+    missing = [r for r in got if r.lang is None]
+    assert sum(r.rejected for r in missing) >= 0.95 * len(missing)
+    assert sum(r.rejected for r in got if r.lang is not None) <= 0.01 * (len(got) - len(missing))
+
+
 def test_language_joined_model_is_the_same(spark):
     """A model too large to broadcast keeps all counts, those of the smallest language too."""
     from pyspark.sql import functions as F

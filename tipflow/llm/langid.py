@@ -13,11 +13,15 @@
   order through joins with the counts.  Both ways use all counts and give the same results.
 * A text gets the language of lowest cross-entropy in bits a character.  The score is the softmax
   of the negative cross-entropies; its temperature maximises the likelihood of the calibration rows.
-* Rejection: cross-entropy beyond the language's mean by more than a limit / sqrt(length).
-  Temperature and limit are calibrated on labelled rows that the models have not counted: one
-  in ``CALIBRATION`` by the hash of the text, so copies stay together.  The limit is the largest
-  excess of those classified correctly times ``SLACK`` (1 + ``FEW`` / sqrt(their number)), wider the
-  fewer they are.  Texts without letters are rejected too.
+* Rejection, per language: the excess of the cross-entropy over the language's median, divided by
+  sqrt(a + b / length), beyond a limit.  The constant part a holds what does not average out in long
+  texts (topic, markup); a and b are fitted to the medians of the absolute excess in bands of
+  length, so single odd texts do not move them.  The limit is the ``QUANTILE`` of the divided excess
+  times ``SLACK`` (1 + ``FEW`` / sqrt(number of rows)), wider the fewer they are.  All languages
+  together count as ``POOLED`` further rows of each language.
+* Temperature and rejection are calibrated on labelled rows that the models have not counted: one in
+  ``CALIBRATION`` by the hash of the text, so copies stay together; rejection on those of them that
+  are classified correctly.  Texts without letters are rejected too.
 """
 
 from __future__ import annotations
@@ -36,6 +40,9 @@ from tipflow.llm.common import U64, slices, utf8, written
 ORDER = 4
 UNKNOWN = "und"
 SLACK, FEW = 1.5, 12.0
+QUANTILE, POOLED = 0.99, 50.0
+MAD = 1.4826  # standard deviations in a median absolute deviation
+ACCURACY = 10_000  # of quantiles: ranks are right to one in so many
 CALIBRATION = 8
 # A larger model is joined, not broadcast.
 MODEL_BYTES = 64 << 20
@@ -327,6 +334,67 @@ def _softmax(bits: Column, temperature: float, at: Column) -> Column:
         F.lit(temperature * np.log(2)) * (F.element_at(bits, at) - b)))
 
 
+def _spread(bands: list[tuple[float, float, float]]) -> tuple[float, float]:
+    """a and b, neither negative, of variance = a + b / chars, from (1 / chars, variance, weight) of bands.
+
+    Least squares of the relative errors.
+    """
+    x, v, n = np.array(bands).T
+    a, b = 0.0, float(np.average(v / x, weights=n))
+    for _ in range(20):
+        w = n / np.maximum(a + b * x, 1e-9) ** 2
+        s0, s1, s2, t0, t1 = w.sum(), (w * x).sum(), (w * x * x).sum(), (w * v).sum(), (w * x * v).sum()
+        det = s0 * s2 - s1 * s1
+        a, b = ((s2 * t0 - s1 * t1) / det, (s0 * t1 - s1 * t0) / det) if det > 1e-9 * s0 * s2 else (0.0, t1 / s2)
+        if a < 0:
+            a, b = 0.0, t1 / s2
+        elif b < 0:
+            a, b = t0 / s0, 0.0
+    return float(a), float(b)
+
+
+def _limits(right: DataFrame, best: Column, number: int) -> list[tuple[float, float, float, float]]:
+    """(median, a, b, limit) of each language, from calibration rows that are classified correctly.
+
+    A language without such rows rejects nothing.
+    """
+    right = right.select("_best", best.alias("bits"), F.col("chars").cast("double").alias("chars"))
+    centre = {r[0]: r[1] for r in right.groupBy("_best").agg(F.percentile_approx("bits", 0.5, ACCURACY)).collect()}
+    nothing = (float("inf"), 0.0, 1.0, float("inf"))
+    if not centre:
+        return [nothing] * number
+
+    def of(values: list[float]) -> Column:
+        return F.element_at(F.array(*[F.lit(x) for x in values]), F.col("_best"))
+
+    excess = F.col("bits") - of([centre.get(i + 1, 0.0) for i in range(number)])
+    band = F.floor(F.log2("chars"))
+    right = right.withColumn("excess", excess).withColumn("band", F.floor(F.log2("chars")))
+    band = [F.avg(1 / F.col("chars")), F.percentile_approx(F.abs("excess"), 0.5, ACCURACY), F.count("*")]
+
+    def bands(rows, first: int, weight: float = 1.0) -> list[tuple[float, float, float]]:
+        return [(r[first], max((MAD * r[first + 1]) ** 2, 1e-6), weight * r[first + 2]) for r in rows]
+
+    every = bands(right.groupBy("band").agg(*band).collect(), 1)
+    total = sum(n for _, _, n in every)
+    pooled = min(POOLED, total)
+    own: dict[int, list] = {}
+    for r in right.groupBy("_best", "band").agg(*band).collect():
+        own.setdefault(r[0], []).extend(bands([r], 2))
+    shared = [(x, v, n * pooled / total) for x, v, n in every]
+    spread = {i: _spread(rows + shared) for i, rows in own.items()}
+    a, b = ([spread.get(i + 1, (0.0, 1.0))[j] for i in range(number)] for j in (0, 1))
+    right = right.withColumn("far", F.col("excess") / F.sqrt(of(a) + of(b) / F.col("chars")))
+    quantile = F.percentile_approx("far", QUANTILE, ACCURACY)
+    common = right.agg(quantile).first()[0]
+    out = [nothing] * number
+    for i, most, n in right.groupBy("_best").agg(quantile, F.count("*")).collect():
+        most = (n * most + pooled * common) / (n + pooled)
+        wide = SLACK * (1 + FEW / min(total, n + pooled) ** 0.5)
+        out[i - 1] = (centre[i], a[i - 1], b[i - 1], wide * max(most, 1.0))
+    return out
+
+
 def identify(docs: DataFrame, labelled: Column, keep: list[str], broadcast_bytes: int = MODEL_BYTES) -> DataFrame:
     """(keep..., lang_pred, score, cross_entropy, rejected) of every row of ``docs (text, lang)``.
 
@@ -352,18 +420,15 @@ def identify(docs: DataFrame, labelled: Column, keep: list[str], broadcast_bytes
     likelihood = [F.sum(F.log(F.greatest(F.lit(1e-12), _softmax(
         F.col("bits"), t, F.array_position(langs, F.col("_lang")).cast("int"))))).alias(str(i))
         for i, t in enumerate(TEMPERATURES)] if model else []
-    temperature, means, limit = 1.0, [], 0.0
+    temperature = 1.0
     if model:
         found = known.where(F.array_contains(langs, F.col("_lang"))).agg(*likelihood).first()
         if found[0] is not None:
             temperature = TEMPERATURES[max(range(len(TEMPERATURES)), key=lambda i: found[i])]
         right = known.where(pred == F.col("_lang"))
-        mean = {r[0]: r[1] for r in right.groupBy("_best").agg(F.sum(best * F.col("chars")) / F.sum("chars")).collect()}
-        means = [mean.get(i + 1, float("inf")) for i in range(len(model.langs))]
-        mean_of = F.element_at(F.array(*[F.lit(x) for x in means]), F.col("_best"))
-        far = (best - mean_of) * F.sqrt("chars")
-        most, number = right.agg(F.max(far), F.count("*")).first()
-        limit = SLACK * (1 + FEW / max(number, 1) ** 0.5) * max(most or 0.0, 1.0)
+        median, a, b, limit = (F.element_at(F.array(*[F.lit(x) for x in column]), F.col("_best"))
+                               for column in zip(*_limits(right, best, len(model.langs))))
+        far = (best - median) / F.sqrt(a + b / F.col("chars"))
         rejected = F.when(has, far > limit).otherwise(True)
         score = F.when(has, _softmax(F.col("bits"), temperature, F.col("_best"))).otherwise(0.0)
     else:
