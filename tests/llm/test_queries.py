@@ -266,6 +266,24 @@ def test_warc_round_trip_and_damage():
         list(warc.records(io.BytesIO(gzip.compress(re.sub(rb"Content-Length: 1\d+\r\n\r\nHTTP", b"Content-Length: 99999\r\n\r\nHTTP", plain)))))
 
 
+def test_substrings_of_short_sentences(spark):
+    """A long repeat of short sentences and lines is cut to its last word, offsets in code points."""
+    from tipflow.llm import substrings
+    passage = "".join(f"Né à w{i} the x{i}{'.' if i % 3 else ''}{' ' if i % 2 else chr(10)}" for i in range(20))
+    tail = " ".join(f"long{i}" for i in range(9)) + "."
+    rows = [(1, f"One start here.\n{passage}{tail} Ends so."), (2, f"Another é begin. {passage.replace("the", "THE")}{tail}\nNot that."),
+            (3, "Né à w0 the x0\nNé à w1 the x1. Short only."), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r for r in substrings.deduplicated(df).collect()}
+    assert out[2].text == "Another é begin. Not that."
+    assert {i: out[i].text for i in (1, 3, 4)} == {i: t for i, t in rows if i != 2}
+    runs = substrings.removals(df, run_words=25).collect()
+    assert runs and all(r.doc_id == 2 and r.kept_doc_id == 1 and r.words >= 25 for r in runs)
+    for r in runs:
+        here, there = rows[1][1][r.start:r.end].lower().split(), rows[0][1][r.kept_start:].lower().split()
+        assert len(here) == r.words and here == there[:r.words]
+
+
 def test_sainte_lague_by_highest_quotients(spark):
     import random
 

@@ -5,6 +5,10 @@
   sentences; a line without such an end is one sentence.  A unit is normalised to its words, A-Z
   lower-cased, one space apart.  Sentences under ``SENTENCE_WORDS`` and lines or paragraphs under
   ``MIN_WORDS`` words are left alone.
+* With ``run_words``, runs of sentences across lines are units too: from each sentence start on, and back
+  from each sentence end, until so many words are reached.  So a long passage of short sentences or
+  lines is found.  ``deduplicated`` takes them; ``removals`` does if told, and by itself returns
+  the lines and sentences that ``oracle_sql`` states.
 * A 128-bit digest of the normalised unit, with its place, goes to Spark; the digests are grouped
   over all documents (partial aggregation first, so a unit that a third of all documents share is
   small) and the occurrence with the smallest (doc_id, offset) stays.
@@ -25,6 +29,7 @@ from tipflow.llm.common import _SPACE, U64, mix, shift, slices, utf8, word_hashe
 
 MIN_WORDS = 25
 SENTENCE_WORDS = 12
+RUN_WORDS = 25
 _STEP_A, _STEP_B = 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93
 
 
@@ -41,7 +46,7 @@ _ENDS[list(b".!?")] = True
 def _breaks(text: np.ndarray, kind: str) -> np.ndarray:
     """The bytes between units: line breaks, for sentences also white space after their ends."""
     breaks = text == 10
-    if kind == "sentence":
+    if kind in ("sentence", "run"):
         breaks[1:] |= _SPACE[text[1:]] & _ENDS[text[:-1]]
     return breaks
 
@@ -66,6 +71,32 @@ def _digests(words: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def _run_digests(words: np.ndarray, start: np.ndarray, stop: np.ndarray) -> list[np.ndarray]:
+    """The digests of ``_digests`` for word ranges that may overlap."""
+    out = []
+    for step, salt in ((_STEP_A, 0), (_STEP_B, 0x5851F42D4C957F2D)):
+        part = mix(words ^ U64(salt)) * _powers(step, len(words))
+        total = np.concatenate([np.zeros(1, U64), np.cumsum(part, dtype=U64)])
+        back = _powers(pow(step, -1, 1 << 64), len(words))[start]
+        out.append(shift(mix((total[stop] - total[start]) * back + (stop - start).astype(U64))))
+    return out
+
+
+def _runs(first: np.ndarray, rows: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First sentence and the one after the last, of the shortest runs that reach ``least`` words.
+
+    They begin or end at every sentence with words, stay in its row and have two sentences at least.
+    """
+    worded = np.flatnonzero(np.diff(first))
+    after = np.searchsorted(first, first[worded] + least)
+    before = np.searchsorted(first, first[worded + 1] - least, "right") - 1
+    begin, end = np.r_[worded, before], np.r_[after, worded + 1]
+    ok = (begin >= 0) & (end < len(first)) & (end - begin > 1)
+    begin, end = begin[ok], end[ok]
+    ok = rows[begin] == rows[end - 1]
+    return tuple(np.unique(np.stack([begin[ok], end[ok]]), axis=1))
+
+
 def _found(data: np.ndarray, at: np.ndarray, kind: str, least: int):
     """(row, start, end, words, d1, d2) of the units of a slice that have ``least`` words."""
     lo = at[0]
@@ -81,28 +112,37 @@ def _found(data: np.ndarray, at: np.ndarray, kind: str, least: int):
         inner = np.concatenate([[0], np.cumsum(np.concatenate(
             [_breaks(data[x:y], "sentence") & ~b for b, x, y in zip(breaks, at[:-1], at[1:])]))])
         use &= inner[end - lo] > inner[start - lo]
-    use = np.flatnonzero(use)
+    if kind == "run":
+        use, stop = _runs(first, rows, least)
+        last = stop - 1
+    else:
+        use = last = np.flatnonzero(use)
     if not len(use):
         return None
     broken = np.concatenate(breaks)
-    start, end, row = start[use], end[use], rows[use]
+    start, end, row = start[use], end[last], rows[use]
     end = end - broken[end - 1 - lo]
     # code points: bytes that begin a character, counted from each row's start
     chars = np.concatenate([[0], np.cumsum((data[lo:at[-1]] & 0xC0) != 0x80)])
     zero = chars[at[row] - lo]
-    return (row, chars[start - lo] - zero, chars[end - lo] - zero, count[use].astype(np.int64),
-            *(d[use] for d in _digests(words, first)))
+    if kind == "run":
+        count, digests = first[stop] - first[use], _run_digests(words, first[use], first[stop])
+    else:
+        count, digests = count[use], [d[use] for d in _digests(words, first)]
+    return row, chars[start - lo] - zero, chars[end - lo] - zero, count.astype(np.int64), *digests
 
 
 def units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS,
-          sentence_words: int | None = SENTENCE_WORDS) -> DataFrame:
+          sentence_words: int | None = SENTENCE_WORDS, run_words: int | None = None) -> DataFrame:
     """(doc_id, hash, start, end, words, d1, d2) of every unit with enough words.
 
-    ``unit`` is line or paragraph; ``sentence_words=None`` takes no sentences.
+    ``unit`` is line or paragraph; ``sentence_words=None`` takes no sentences, ``run_words=None`` no runs.
     """
     kinds = [(unit, min_words)]
     if sentence_words is not None:
         kinds.append(("sentence", sentence_words))
+    if run_words is not None:
+        kinds.append(("run", run_words))
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -120,8 +160,9 @@ def units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS,
         run, "doc_id long, hash long, start long, end long, words long, d1 long, d2 long")
 
 
-def _removals(docs: DataFrame, unit: str, min_words: int, sentence_words: int | None) -> DataFrame:
-    found = written(units(docs, unit, min_words, sentence_words), "units")
+def _removals(docs: DataFrame, unit: str, min_words: int, sentence_words: int | None,
+              run_words: int | None) -> DataFrame:
+    found = written(units(docs, unit, min_words, sentence_words, run_words), "units")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start")
     kept = (found.groupBy("d1", "d2").agg(F.count("*").alias("number"), F.min(place).alias("kept"))
             .where("number > 1").select("d1", "d2", "kept"))
@@ -130,25 +171,26 @@ def _removals(docs: DataFrame, unit: str, min_words: int, sentence_words: int |
 
 
 def removals(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS,
-             sentence_words: int | None = SENTENCE_WORDS) -> DataFrame:
+             sentence_words: int | None = SENTENCE_WORDS, run_words: int | None = None) -> DataFrame:
     """(doc_id, start, end, words, kept_doc_id, kept_start) of every repeated unit but the earliest.
 
     Null doc_ids rank last.  Rows that repeat a doc_id hold the same occurrence where their offsets
     agree.  Null, empty and word-free texts have no units.  Other columns are not read.  An
     empty table gives an empty result.
     """
-    return _removals(docs, unit, min_words, sentence_words).select(
+    return _removals(docs, unit, min_words, sentence_words, run_words).select(
         "doc_id", "start", "end", "words", F.col("kept.doc_id").alias("kept_doc_id"),
         F.col("kept.start").alias("kept_start"))
 
 
 def deduplicated(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS,
-                 sentence_words: int | None = SENTENCE_WORDS) -> DataFrame:
+                 sentence_words: int | None = SENTENCE_WORDS, run_words: int | None = RUN_WORDS) -> DataFrame:
     """``docs`` with the removals cut out of text (each with the break after it); all rows stay.
 
-    Adds ``removed``: the spans cut, in original offsets and order; they may nest.
+    Adds ``removed``: the spans cut, in original offsets and order; they may nest and overlap.  Every
+    word cut has an equal one in an earlier place that stays.
     """
-    spans = (_removals(docs, unit, min_words, sentence_words).groupBy(F.col("doc_id").alias("_doc"), F.col("hash").alias("_hash"))
+    spans = (_removals(docs, unit, min_words, sentence_words, run_words).groupBy(F.col("doc_id").alias("_doc"), F.col("hash").alias("_hash"))
              .agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_spans")))
     rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", F.xxhash64("text").alias("_own"))
     rows = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_hash")), "left").select(
