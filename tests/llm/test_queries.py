@@ -246,6 +246,32 @@ def test_pii_contexts_find_unseen_forms(spark):
     assert {r.doc_id: [tuple(s) for s in r.added] for r in got} == {100 + i: [(3, 16, 24)] for i in range(3)}
 
 
+def test_pii_contexts_with_many_unseen_forms(spark):
+    """More unseen values than seeds in a context, and contexts whose numbers are mostly something else."""
+    wide = " " * 80
+    rows = [(i, f"please call me at +1 (20{i % 10}) 555-01{i:02d} now") for i in range(12)]
+    rows += [(100 + i, f"then call me at 555-77{i:02d} now") for i in range(40)]
+    rows += [(200 + i, f"the {'order' * 20} no.{wide}+1 (20{i % 10}) 555-02{i:02d} {'shipped' * 6}") for i in range(6)]
+    rows += [(300 + i, f"the {'order' * 20} no.{wide}{i * 37 % 900 if i % 2 else 70000000 + i} {'shipped' * 6}") for i in range(60)]
+    rows += [(400 + i, f"my {'mobile' * 20} is{wide}+1 (20{i % 10}) 555-03{i:02d} - {wide} -- {'thanks' * 6}") for i in range(12)]
+    rows += [(500 + i, f"my {'mobile' * 20} is{wide}555-88{i:02d} - {wide} -- {'thanks' * 6}") for i in range(30)]
+    got = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).where("added is not null").collect()
+    want = {i: t for i, t in rows if 100 <= i < 200 or i >= 500}
+    assert {r.doc_id: [tuple(s) for s in r.added] for r in got} == {
+        i: [(3, t.index("555-"), t.index("555-") + 8)] for i, t in want.items()}
+
+
+def test_pii_patterns_are_linear():
+    import time
+    assert list(pii.patterns("a b. (c) 1@x.yz, , d e", [(9, 15)])) == [["b c _", "c _ d"]]
+    text = "1@x.yz," * 30_000 + "x" * 1_000_000 + " 77 ! " * 30_000
+    began = time.process_time()
+    spans = [(a, b) for _, a, b in pii.base_spans(text)]
+    spans += list(pii.candidates(text, [(0, a, b) for a, b in spans]))
+    assert len(spans) > 50_000 and len(list(pii.patterns(text, spans))) == len(spans)
+    assert time.process_time() - began < 20
+
+
 def test_warc_round_trip_and_damage():
     import io
 

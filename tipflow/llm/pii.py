@@ -5,9 +5,11 @@
 * Bootstrapping: base matches are seed entities.  Every seed, and every other token group with
   digits or an at sign (candidate), has lexical patterns: its two words to the left, and its word
   on either side.  Spark holds the graph of distinct (pattern, instance) edges and scores it in
-  rounds: a pattern's confidence for a kind is the score of its instances over their number plus one;
-  a candidate's score is the noisy-or of its confident patterns.  Candidates that score enough
-  count as instances in the next round.
+  rounds: a pattern's confidence for a kind is the score of its instances of the kind over their number,
+  plus the instances that speak against it, plus one.  Against it are candidates that do not fit the
+  kind (``_fits``) and seeds of other kinds.  Candidates that fit but are not accepted may be unseen
+  forms: bare digits count ``BARE`` each, others the logarithm of their number.  A candidate's score is
+  the noisy-or of its confident patterns; those that score enough count as instances in the next round.
 * A candidate in the context of a confident pattern whose instance was accepted is added, if it
   fits the kind (``_fits``) and overlaps no base match.
 
@@ -16,6 +18,7 @@ Offsets are code points, ends are exclusive.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -30,6 +33,7 @@ ROUNDS = 3
 MIN_SEEDS = 3          # distinct instances that a pattern must have
 MIN_CONFIDENCE = 0.7   # of a pattern
 MIN_SCORE = 0.7        # of a candidate
+BARE = 0.1             # weight of a fitting candidate of bare digits that is not accepted
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -118,16 +122,64 @@ def candidates(text: str | None, base: list[tuple[int, int, int]]) -> Iterator[t
             yield a, b
 
 
-def patterns(text: str, start: int, end: int) -> list[str]:
-    """Two words to the left; a word on either side (lower-cased, without punctuation)."""
-    left = [w for w in (x.strip(_EDGE).lower() for x in text[max(0, start - 64):start].split()) if w]
-    right = [w for w in (x.strip(_EDGE).lower() for x in text[end:end + 32].split()[:2]) if w]
-    out = []
-    if len(left) > 1:
-        out.append(f"{left[-2]} {left[-1]} _")
-    if left and right:
-        out.append(f"{left[-1]} _ {right[0]}")
-    return out
+def _words(part: str) -> list[str]:
+    return [w for w in (x.strip(_EDGE).lower() for x in part.split()) if w]
+
+
+def _last_words(text: str, low: int, high: int, number: int) -> list[str]:
+    """The last words of a part of the text; it is read from its end as far as they need."""
+    size = 64
+    while number:
+        begin = max(low, high - size)
+        whole = begin
+        while begin > low and whole < high and not text[whole - 1].isspace():
+            whole += 1  # the first word may be cut
+        words = _words(text[whole:high])
+        if len(words) >= number or begin == low:
+            return words[-number:]
+        size *= 4
+    return []
+
+
+def _first_word(text: str, low: int, high: int) -> list[str]:
+    size = 64
+    while True:
+        end = whole = min(high, low + size)
+        while end < high and whole > low and not text[whole].isspace():
+            whole -= 1
+        words = _words(text[low:whole])
+        if words or end == high:
+            return words[:1]
+        size *= 4
+
+
+def patterns(text: str, spans: list[tuple[int, int]]) -> Iterator[list[str]]:
+    """Of each span: two words to the left; a word on either side (lower-cased, without punctuation).
+
+    A span is at least a word, so what stands beyond the second one before and the first one
+    after is never read: the time is linear.
+    """
+    ends = sorted((b, a) for a, b in spans)
+    starts = sorted(spans)
+    for start, end in spans:
+        left, at = [], start
+        while len(left) < 2:
+            i = bisect.bisect_right(ends, (at, len(text)))
+            b, a = ends[i - 1] if i else (0, 0)
+            left = _last_words(text, b, at, 2 - len(left)) + left
+            left = _last_words(text, a, b, 2 - len(left)) + left
+            if not i:
+                break
+            at = a
+        i = bisect.bisect_left(starts, (end, end))
+        a, b = starts[i] if i < len(starts) else (len(text), len(text))
+        right = _first_word(text, end, a) or _first_word(text, a, b)
+        out = []
+        if len(left) > 1:
+            out.append(f"{left[-2]} {left[-1]} _")
+        if left and right:
+            out.append(f"{left[-1]} _ {right[0]}")
+        yield out
 
 
 _SPANS = "array<struct<kind:int,start:int,end:int>>"
@@ -150,7 +202,7 @@ def _scan(docs: DataFrame) -> DataFrame:
                     base.append([{"kind": k, "start": x, "end": y} for k, x, y in spans])
                     every = spans + [(-1, x, y) for x, y in candidates(text, spans)]
                     seen.append([{"kind": k, "start": x, "end": y, "instance": text[x:y].lower(),
-                                  "patterns": patterns(text, x, y)} for k, x, y in every])
+                                  "patterns": p} for (k, x, y), p in zip(every, patterns(text, [e[1:] for e in every]))])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), pa.array(base, _SPAN_TYPE),
                                               pa.array(seen, _OCC_TYPE)], names=["doc_id", "hash", "base", "seen"])
 
@@ -173,13 +225,23 @@ def bootstrap(found: DataFrame) -> DataFrame:
                     .groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "edges")
     seeds = edges.where("kind >= 0").select("instance", "kind", F.lit(1.0).alias("score")).distinct()
     loose = edges.where("kind < 0").select("pattern", "instance")
-    total = edges.groupBy("pattern").agg(F.count("*").alias("total"))
+    loose_kind, bare = F.col("kind") < 0, ~F.col("instance").rlike("[^0-9]")
+    rest = edges.groupBy("pattern").agg(F.array(*[F.struct(
+        F.count_if(F.when(loose_kind, ~_fits(F.lit(k), F.col("instance"))).otherwise(F.col("kind") != k)).alias("against"),
+        F.count_if(loose_kind & _fits(F.lit(k), F.col("instance")) & bare).alias("bare"),
+        F.count_if(loose_kind & _fits(F.lit(k), F.col("instance")) & ~bare).alias("formed"))
+        for k in range(len(KINDS))]).alias("rest"))
     scores, confident = seeds, None
     for _ in range(ROUNDS):
         confident = written(
-            edges.select("pattern", "instance").join(scores, "instance").groupBy("pattern", "kind")
-            .agg(F.sum("score").alias("sum"), F.count("*").alias("number")).where(F.col("number") >= MIN_SEEDS)
-            .join(total, "pattern").withColumn("confidence", F.col("sum") / (F.col("total") + 1))
+            edges.select("pattern", "instance", (loose_kind & bare).alias("bare"), (loose_kind & ~bare).alias("formed"))
+            .join(scores, "instance").groupBy("pattern", "kind")
+            .agg(F.sum("score").alias("sum"), F.count("*").alias("number"), F.count_if("bare").alias("bare"),
+                 F.count_if("formed").alias("formed")).where(F.col("number") >= MIN_SEEDS)
+            .join(rest, "pattern").withColumn("rest", F.element_at("rest", F.col("kind") + 1))
+            .withColumn("confidence", F.col("sum") / (
+                F.col("number") + F.col("rest.against") + BARE * (F.col("rest.bare") - F.col("bare"))
+                + F.log1p(F.col("rest.formed") - F.col("formed")) + 1))
             .where(F.col("confidence") >= MIN_CONFIDENCE).select("pattern", "kind", "confidence"), "patterns")
         accepted = (loose.join(confident, "pattern").where(_fits(F.col("kind"), F.col("instance")))
                     .groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score"))
