@@ -292,6 +292,21 @@ def test_warc_round_trip_and_damage():
         list(warc.records(io.BytesIO(gzip.compress(re.sub(rb"Content-Length: 1\d+\r\n\r\nHTTP", b"Content-Length: 99999\r\n\r\nHTTP", plain)))))
 
 
+def test_warc_archive_fails_on_damage(spark, monkeypatch, scratch):
+    import gzip
+
+    from tipflow.llm import warc
+    bad = gzip.compress(gzip.decompress(warc.record(1, "http://a", b"<html>x", None)).replace(b"<html>", b"<HTML>"))
+    with open(f"{scratch}/bad.warc.gz", "wb") as f:
+        f.write(warc._info("bad.warc.gz") + bad)
+    archives = spark.createDataFrame([(f"{scratch}/bad.warc.gz", 1, 1)], "path string, records long, bytes long")
+    assert [r.valid for r in warc.read(archives).collect()] == [False]
+    monkeypatch.setattr(warc, "write", lambda pages: archives)
+    pages = spark.createDataFrame([(1, "http://a", "<html>x")], "page_id long, url string, html string")
+    with pytest.raises(Exception, match="do not hold"):
+        warc.archive(pages).select("page_id", "payload_digest").collect()
+
+
 def test_substrings_of_short_sentences(spark):
     """A long repeat of short sentences and lines is cut to its last word, offsets in code points."""
     from tipflow.llm import substrings

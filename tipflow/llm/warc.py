@@ -207,9 +207,10 @@ def write(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     return pages.select("page_id", "url", "html", "refers_to").mapInArrow(run, "path string, records long, bytes long")
 
 
-def read(archives: DataFrame, keep_payload: bool = False) -> DataFrame:
+def read(archives: DataFrame, keep_payload: bool = False, strict: bool = False) -> DataFrame:
     """Page records of ``archives (path)``: (page_id, record_type, refers_to, url, payload_digest, payload_bytes,
-    valid, payload).  A revisit's size is the Content-Length of its HTTP header.  One task reads an archive."""
+    valid, payload).  A revisit's size is the Content-Length of its HTTP header.  One task reads an archive.  ``strict`` fails on a record
+    that is not valid."""
     names = ["page_id", "record_type", "refers_to", "url", "payload_digest", "payload_bytes", "valid", "payload"]
     types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.binary()]
 
@@ -220,6 +221,8 @@ def read(archives: DataFrame, keep_payload: bool = False) -> DataFrame:
                 rows, size = [], 0
                 with store.open_input_stream(at, compression=None) as stream:
                     for r in records(stream, keep_payload):
+                        if strict and not r["valid"]:
+                            raise ValueError(f"{path}: record {r['fields'].get('warc-record-id')}: digest or length do not hold")
                         if r["type"] in ("response", "revisit"):
                             f = r["fields"]
                             rows.append((_page(f["warc-record-id"]), r["type"], _page(f.get("warc-refers-to")),
@@ -253,12 +256,14 @@ def with_revisits(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
 def archive(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     """Write ``pages (page_id, url, html)`` and read the archives back: the columns of ``read``.
 
+    Fails on a record whose digest or length does not hold.
+
     A null html is an empty payload, a null url is left out of the record, a null page_id stays null
     (and revisits its group's largest page_id).  Rows that repeat the largest page_id of their group
     are responses all.  Each row gives a record.  Other columns are not read.  An empty table gives
     no archive and an empty result.
     """
-    return read(written(write(with_revisits(pages, least)), "archives"))
+    return read(written(write(with_revisits(pages, least)), "archives"), strict=True)
 
 
 def oracle_sql(least: int = REVISIT_BYTES) -> str:
