@@ -105,6 +105,24 @@ def test_ngram_join_large_group(spark, monkeypatch):
     assert got == brute_classes(docs)
 
 
+def test_ngram_join_rows_without_doc_id(spark):
+    """A near copy without doc_id, and one that alone links two numbered documents."""
+    words = [f"w{i}" for i in range(60)]
+
+    def changed(*places):
+        return " ".join("x" if i in places else w for i, w in enumerate(words))
+
+    far = [changed(), changed(*range(5)), changed(*range(5), *range(55, 60))]
+    sets = [shingles(t) for t in far]
+    assert [4 * len(a & b) >= 3 * len(a | b) for a, b in ((sets[0], sets[1]), (sets[1], sets[2]), (sets[0], sets[2]))] == [
+        True, True, False]
+    rows = [(1, far[0]), (None, far[1]), (2, far[2])]
+    got = ngram_join.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, None: 1, 2: 1}
+    got = ngram_join.classes(spark.createDataFrame([(7, changed()), (None, changed(0))], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {7: 7, None: 7}
+
+
 def test_language_held_out(spark, con):
     got = queries.op2_language_id(spark, SF).collect()
     lang = dict(con.execute("select doc_id, lang from documents").fetchall())

@@ -215,12 +215,12 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
 
 
 def shingles_of(docs: DataFrame, ids: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """(id, shingles) of at least the given ids, made from one doc_id's text each.
+    """(id, shingles) of at least the given ids, made from one doc_id's text each, or from those without doc_id.
 
     Texts are not shuffled: a filter of bounded size picks the rows.  It may pick more.  Rows that
     repeat a doc_id may repeat an id.
     """
-    first = rows.join(ids, "id").groupBy("id").agg(F.min("a").alias("doc_id")).where("doc_id is not null")
+    first = rows.join(ids, "id").groupBy("id").agg(F.min("a").alias("doc_id"))
     bits = docs.sparkSession.sparkContext.broadcast(_bitmap(first.select(F.xxhash64("doc_id").alias("hash"))))
 
     def run(batches):
