@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tipflow.llm import decontaminate, langid, mixing, ngram_join, pii, quality, rules, stats, substrings, urls, warc
+from tipflow.llm import (
+    decontaminate, infill, langid, mixing, ngram_join, pii, quality, repair, rules, stats, substrings, urls, warc)
 from tipflow.llm.common import crc_fold, table
 
 
@@ -80,12 +81,40 @@ def op10_quality_rules(spark, sf_dir):
         "doc_id", *stats.COUNTS, "base_failed", "kept")
 
 
+def damaged(conversations):
+    """The conversations with seeded damage: rows dropped, emptied, cut short, repeated or given another role."""
+    space = F.lit(" ")
+    seed = F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"),
+                    F.coalesce(F.col("turn").cast("string"), space))
+    kind = F.crc32(seed.cast("binary")) % 20
+    text = F.coalesce("text", space)
+    return conversations.select(
+        "conv_id", "turn", F.when(kind == 4, "user").otherwise(F.coalesce("role", space)).alias("role"),
+        F.when(kind == 1, "").when(kind == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        (kind == 0).alias("dropped"), F.explode(F.when(kind == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+
+
+def op11_conversation_repair(spark, sf_dir):
+    """(conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256) of every damaged conversation."""
+    return repair.digests(*repair.parts(damaged(table(spark, sf_dir, "conversations")), F.col("dropped")))
+
+
+def op13_fill_in_middle(spark, sf_dir):
+    """(doc_id, n, form, prefix_chars, middle_chars, output_sha256, restored_sha256) of every document."""
+    out = infill.restore(infill.transform(table(spark, sf_dir, "documents")))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                      F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+                      F.sha2(F.col("restored").cast("binary"), 256).alias("restored_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_language_id, op3_url_filter, op4_pii, op5_warc, op6_decontamination,
-    op7_substring_dedup, op8_source_mixing, op9_quality_classifier, op10_quality_rules)}
+    op7_substring_dedup, op8_source_mixing, op9_quality_classifier, op10_quality_rules, op11_conversation_repair,
+    op13_fill_in_middle)}
 ORACLE_SQL: dict[str, str] = {
     "op5_warc": warc.oracle_sql(),
     "op6_decontamination": decontaminate.oracle_sql(),
     "op7_substring_dedup": substrings.oracle_sql(),
     "op8_source_mixing": mixing.oracle_sql(),
+    "op13_fill_in_middle": infill.oracle_sql(),
 }
