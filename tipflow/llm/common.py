@@ -12,6 +12,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,7 +134,7 @@ def grams(words: np.ndarray, at: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarr
     """Hash of the k-word window that begins at each word, and whether the window fits its row."""
     n = len(words)
     h = np.zeros(n, U64)
-    for i in range(k):
+    for i in range(min(k, n)):
         h[:n - i] += words[i:] * U64(pow(int(_STEP), k - i, 1 << 64))
     ends = np.repeat(at[1:], np.diff(at))
     return mix(h), np.arange(n) + k <= ends
@@ -161,6 +162,47 @@ def shingle_sets(column, k: int = SHINGLE) -> Iterator[np.ndarray]:
                 yield np.zeros(0, U64)
 
 
+class Identity:
+    """64-bit identity of a shingle set, told apart by 128 bits.
+
+    ``moved`` names the sets whose first 64 bits another set has too: (first, last 64 bits) -> identity.
+    """
+
+    def __init__(self, moved: dict[tuple[int, int], int] | None = None):
+        self.moved = moved or {}
+
+    @staticmethod
+    def halves(shingles: np.ndarray) -> tuple[int, int]:
+        whole = xxhash.xxh3_128_intdigest(shingles.tobytes(), seed=len(shingles))
+        return (whole & (1 << 64) - 1) - (1 << 63), (whole >> 64) - (1 << 63)
+
+    def __call__(self, shingles: np.ndarray) -> int:
+        first, last = self.halves(shingles)
+        return self.moved.get((first, last), first) if self.moved else first
+
+
+def identity(sets: DataFrame) -> Identity:
+    """From the halves ``(id, check)`` of all sets.
+
+    Sets that share an id are brought to the driver: about n * n / 2**65 of n sets, ten of 2 * 10**10.
+    """
+    several = (sets.groupBy("id").agg(F.min("check").alias("least"), F.max("check").alias("most"))
+               .where("least <> most").select("id", "least").collect())
+    if not several:
+        return Identity()
+    least = dict(map(tuple, several))
+    rows = sets.where(F.col("id").isin(list(least))).select("id", "check").distinct().collect()
+    return Identity({(i, c): xxhash.xxh3_64_intdigest(f"{i}:{c}") - (1 << 63) for i, c in rows if c != least[i]})
+
+
+def named(sets: DataFrame, ident: Identity) -> DataFrame:
+    """``sets (id, check, ...)`` with the final ids."""
+    out = F.col("id")
+    for (first, last), new in ident.moved.items():
+        out = F.when((F.col("id") == first) & (F.col("check") == last), new).otherwise(out)
+    return sets.withColumn("id", out)
+
+
 def shift(values: np.ndarray) -> np.ndarray:
     """uint64 as Spark's signed long, bit for bit."""
     return values.view(np.int64)

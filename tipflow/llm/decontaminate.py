@@ -21,8 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tipflow.llm.common import SHINGLE, U64, shift, shingle_sets, slices, utf8, written
-from tipflow.llm.ngram_join import _digest
+from tipflow.llm.common import SHINGLE, U64, Identity, shift, shingle_sets, slices, utf8, written
 
 NUM, DEN = 3, 4
 BROADCAST_BYTES = 64 << 20
@@ -50,7 +49,7 @@ def item_sets(items: DataFrame, k: int, num: int, den: int) -> DataFrame:
                     marks.append(np.arange(len(s)) < sketch_length(len(s), num, den))
             if ids:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(sum(([x] * n for x, n in zip(ids, sizes)), []), pa.int64()),
+                    [pa.array(ids, pa.int64()).take(pa.array(np.repeat(np.arange(len(ids)), sizes))),
                      pa.array(np.repeat(np.array(sizes, np.int64), sizes)), pa.array(shift(np.concatenate(hashes))),
                      pa.array(np.concatenate(marks))], names=["item_id", "n", "shingle", "sketched"])
 
@@ -121,9 +120,9 @@ def _by_join(docs: DataFrame, sets: DataFrame, k: int, num: int, den: int) -> Da
                 n = len(s)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([batch.column("doc_id")[i].as_py()] * n, pa.int64()),
-                     pa.array(np.full(n, _digest(s))), pa.array(shift(s))], names=["doc_id", "set_id", "shingle"])
+                     pa.array(["%d:%d" % Identity.halves(s)] * n), pa.array(shift(s))], names=["doc_id", "set_id", "shingle"])
 
-    every = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, set_id long, shingle long")
+    every = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, set_id string, shingle long")
     # only shingles of some item are of use: the rest stops at this join
     useful = written(every.join(sets.select("shingle").distinct(), "shingle", "left_semi"), "useful")
     of_set = useful.select("set_id", "shingle").distinct()
@@ -165,9 +164,14 @@ def contaminated(docs: DataFrame, items: DataFrame, k: int = SHINGLE, num: int =
 
 
 def clean(docs: DataFrame, items: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
-    """``docs`` without the documents that contain an item; null doc_ids are kept."""
-    bad = contaminated(docs, items, k, num, den).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the rows whose text contains an item, with all columns.
+
+    A row is judged by its text (told apart by 64 bits), so rows that repeat a doc_id or have none are
+    judged each by itself.  An empty table of documents or items leaves docs as they are.
+    """
+    bad = contaminated(docs.select(F.xxhash64("text").alias("doc_id"), "text"), items, k, num, den).select(
+        F.col("doc_id").alias("_text_hash")).distinct()
+    return docs.join(bad, F.xxhash64("text") == F.col("_text_hash"), "left_anti").select(*docs.columns)
 
 
 def _sql_words(column: str) -> str:

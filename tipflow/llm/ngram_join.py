@@ -35,11 +35,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tipflow.llm.common import SHINGLE, U64, shift, shingle_sets, slices, utf8, written
+from tipflow.llm.common import SHINGLE, U64, Identity, identity, named, shift, shingle_sets, slices, utf8, written
 from tipflow.llm.components import components
 
 NUM, DEN = 3, 4            # similarity of 0.75
@@ -52,15 +51,10 @@ HINTS = 200_000            # common shingles that are ordered last (bounds the b
 LOCAL_REPEATS = 3          # a shingle counts as common if so many sets of one task's portion hold it
 PORTION = 1 << 22          # shingles of a portion
 
-_PROFILE = "kind int, id long, a long, n int, point binary"
+_PROFILE = "kind int, id long, check long, a long, n int, point binary"
 _PREFIX = "key long, id long, n int, hot long"
 
 
-def _digest(shingles: np.ndarray) -> int:
-    """Identity of a set: 64 bits; different sets also have to agree in size to be mixed up."""
-    return xxhash.xxh3_64_intdigest(shingles.tobytes(), seed=len(shingles)) - (1 << 63)
-
-
 def _groups(n: int) -> int:
     """Coordinates for a set of n shingles: the same for a whole size class."""
     return min(MAX_GROUPS, max(MIN_GROUPS, 1 << max(0, n.bit_length() - 2)))
@@ -94,25 +88,25 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int):
 
 
 def profile(docs: DataFrame, k: int) -> DataFrame:
-    """kind 0: (id, doc_id, size, point) of every row; kind 1: (shingle, local count) of common shingles."""
+    """kind 0: (id, check, doc_id, size, point) of every row; kind 1: (shingle, local count) of common shingles."""
 
     def run(batches):
         rows: list[tuple] = []
         held: list[np.ndarray] = []
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         size = 0
 
         def common():
             if held:
                 values, counts = np.unique(np.concatenate(held), return_counts=True)
                 often = counts >= LOCAL_REPEATS
-                rows.extend((1, v, c, 0, None) for v, c in zip(shift(values[often]).tolist(), counts[often].tolist()))
+                rows.extend((1, v, 0, c, 0, None) for v, c in zip(shift(values[often]).tolist(), counts[often].tolist()))
                 held.clear()
                 seen.clear()
 
         for batch, i, s in _sets(batches, k):
-            ident = _digest(s)
-            rows.append((0, ident, batch.column("doc_id")[i].as_py(), len(s), _point(s).tobytes() if len(s) else None))
+            ident = Identity.halves(s)
+            rows.append((0, *ident, batch.column("doc_id")[i].as_py(), len(s), _point(s).tobytes() if len(s) else None))
             if ident not in seen:
                 seen.add(ident)
                 held.append(s)
@@ -131,13 +125,13 @@ def profile(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _table(rows: list[tuple]) -> pa.RecordBatch:
-    kind, ident, a, n, point = zip(*rows)
+    kind, ident, check, a, n, point = zip(*rows)
     return pa.RecordBatch.from_arrays(
-        [pa.array(kind, pa.int32()), pa.array(ident, pa.int64()), pa.array(a, pa.int64()), pa.array(n, pa.int32()),
-         pa.array(point, pa.binary())], names=["kind", "id", "a", "n", "point"])
+        [pa.array(kind, pa.int32()), pa.array(ident, pa.int64()), pa.array(check, pa.int64()), pa.array(a, pa.int64()),
+         pa.array(n, pa.int32()), pa.array(point, pa.binary())], names=["kind", "id", "check", "a", "n", "point"])
 
 
-def prefixes(docs: DataFrame, hints, k: int, num: int, den: int) -> DataFrame:
+def prefixes(docs: DataFrame, hints, ident_of: Identity, k: int, num: int, den: int) -> DataFrame:
     """(key, id, n, hot) of the first shingles of each set, once per task for equal sets."""
 
     def run(batches):
@@ -149,7 +143,7 @@ def prefixes(docs: DataFrame, hints, k: int, num: int, den: int) -> DataFrame:
             n = len(s)
             if not n:
                 continue
-            ident = _digest(s)
+            ident = ident_of(s)
             if ident in seen:
                 continue
             if len(seen) < 1_000_000:  # only saves work: later steps take equal sets as one
@@ -214,7 +208,7 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
     return out.view(U64)
 
 
-def shingles_of(docs: DataFrame, ids: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+def shingles_of(docs: DataFrame, ids: DataFrame, rows: DataFrame, ident_of: Identity, k: int) -> DataFrame:
     """(id, shingles) of at least the given ids, made from one doc_id's text each, or from those without doc_id.
 
     Texts are not shuffled: a filter of bounded size picks the rows.  It may pick more.  Rows that
@@ -231,7 +225,7 @@ def shingles_of(docs: DataFrame, ids: DataFrame, rows: DataFrame, k: int) -> Dat
             wanted = (bits.value[at >> 6] >> (at & 63).astype(U64)) & U64(1) == 1
             for _, _, s in _sets([batch.filter(pa.array(wanted))], k):
                 if len(s):
-                    held[_digest(s)] = s.tobytes()
+                    held[ident_of(s)] = s.tobytes()
                     size += s.nbytes
                 if size > 8 << 20:
                     yield _shingle_batch(held)
@@ -464,21 +458,23 @@ def classes(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN) -
         raise ValueError(f"similarity {num}/{den} is below 1/2")
     spark = docs.sparkSession
     seen = written(profile(docs, k), "profile")
-    rows = seen.where("kind = 0").select("id", "a", "n")
+    ident_of = identity(seen.where("kind = 0").select("id", "check"))
+    sets = named(seen.where("kind = 0"), ident_of)
+    rows = sets.select("id", "a", "n")
     common = (seen.where("kind = 1").groupBy("id").agg(F.sum("a").alias("cnt"))
               .orderBy(F.desc("cnt"), "id").limit(HINTS).toPandas())
     values = common["id"].to_numpy(np.int64).view(U64)
     order = np.argsort(values)
     hints = spark.sparkContext.broadcast((values[order], common["cnt"].to_numpy(np.int64)[order]))
-    block = blocks(prefixes(docs, hints, k, num, den), num, den)
+    block = blocks(prefixes(docs, hints, ident_of, k, num, den), num, den)
 
-    points = written(seen.where("kind = 0 and n > 0").select("id", "n", "point").dropDuplicates(["id"])
+    points = written(sets.where("n > 0").select("id", "n", "point").dropDuplicates(["id"])
                      .join(block.select("id").distinct(), "id"), "points")
 
     def search_in(work: DataFrame) -> DataFrame:
         """Links in ``work (key, chunk, id, grp, query, home, firsts)``: points first, then the shingles of what is left."""
         left = written(sift(work.join(points, "id"), num, den), "sifted")
-        made = shingles_of(docs, left.select("id").distinct(), rows, k)
+        made = shingles_of(docs, left.select("id").distinct(), rows, ident_of, k)
         # rows of a bounded size: few of them go to the shingles, more of them meet these in a shuffle
         small = left.count() <= BROADCAST_ROWS
         return written(search(made.join(F.broadcast(left) if small else left, "id"), num, den), "links")
@@ -492,13 +488,13 @@ def classes(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN) -
     joined = components(links)
 
     # Round 2: blocks that hold more than one component.
-    named = block.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn(
+    member = block.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn(
         "grp", F.coalesce("root", "id")).drop("root")
-    parts = named.groupBy("key", "grp").agg(F.count("*").alias("part"))
+    parts = member.groupBy("key", "grp").agg(F.count("*").alias("part"))
     several = parts.groupBy("key").agg(F.max(F.struct("part", "grp")).alias("top"), F.count("*").alias("parts"),
                                        (F.sum("part") - F.max("part")).alias("others")
                                        ).where("parts > 1").select("key", F.col("top.grp").alias("main"), "others")
-    rest = written(named.join(several, "key").withColumn("query", F.col("grp") != F.col("main")), "open")
+    rest = written(member.join(several, "key").withColumn("query", F.col("grp") != F.col("main")), "open")
     firsts = rest.groupBy("id").agg(F.slice(F.sort_array(F.collect_list("key")), 1, FIRSTS).alias("firsts"))
     links = links.unionAll(search_in(
         rest.join(firsts, "id").select(

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tipflow.llm import (
-    decontaminate, infill, langid, mixing, ngram_join, pii, quality, repair, rules, stats, substrings, urls, warc)
+    decontaminate, infill, langid, minhash, mixing, ngram_join, pii, quality, repair, rules, stats, substrings, urls, warc)
 from tipflow.llm.common import crc_fold, table
 
 
@@ -99,6 +99,11 @@ def op11_conversation_repair(spark, sf_dir):
     return repair.digests(*repair.parts(damaged(table(spark, sf_dir, "conversations")), F.col("dropped")))
 
 
+def op12_minhash_dedup(spark, sf_dir):
+    """(doc_id, n_shingles, component_id, kept) of every document."""
+    return minhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op13_fill_in_middle(spark, sf_dir):
     """(doc_id, n, form, prefix_chars, middle_chars, output_sha256, restored_sha256) of every document."""
     out = infill.restore(infill.transform(table(spark, sf_dir, "documents")))
@@ -110,11 +115,12 @@ def op13_fill_in_middle(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_language_id, op3_url_filter, op4_pii, op5_warc, op6_decontamination,
     op7_substring_dedup, op8_source_mixing, op9_quality_classifier, op10_quality_rules, op11_conversation_repair,
-    op13_fill_in_middle)}
+    op12_minhash_dedup, op13_fill_in_middle)}
 ORACLE_SQL: dict[str, str] = {
     "op5_warc": warc.oracle_sql(),
     "op6_decontamination": decontaminate.oracle_sql(),
     "op7_substring_dedup": substrings.oracle_sql(),
     "op8_source_mixing": mixing.oracle_sql(),
+    "op12_minhash_dedup": minhash.oracle_sql(),
     "op13_fill_in_middle": infill.oracle_sql(),
 }
