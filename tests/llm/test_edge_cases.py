@@ -36,6 +36,7 @@ def test_keep_one_keeps_columns(nasty):
     kept = ngram_join.keep_one(nasty)
     assert kept.columns == nasty.columns
     assert sorted(x for (x,) in rows(kept, "doc_id") if x is not None) == [1, 4, 5, 6, 7, 9, 11, 12]
+    assert rows(kept.where("doc_id is null"), "text") == [(None,)]  # its only other row is a copy of 1
 
 
 def test_language(nasty, empty):
@@ -138,3 +139,52 @@ def test_rules(nasty, empty, labels):
     assert rules.judge(empty, labels).collect() == []
     unlabelled = rules.judge(nasty, labels.where("false"))
     assert unlabelled.where("kept = base_failed").count() == 0
+
+
+def pages_of(spark, rows):
+    return spark.createDataFrame(rows, "page_id long, url string, html string")
+
+
+def test_warc_long_url(spark):
+    """A URL that encodes to more than two megabytes."""
+    got = warc.archive(pages_of(spark, [(1, "http://a/" + "é" * 350_000, "x" * 1200), (2, "http://b/", "x" * 1200)])).collect()
+    assert sorted((r.page_id, r.record_type, r.refers_to, r.valid) for r in got) == [(1, "revisit", 2, True), (2, "response", None, True)]
+
+
+def test_mixing_spreads_rows_without_doc_id(spark):
+    df = spark.range(400).select(F.when(F.col("id") % 2 == 0, 7).alias("doc_id").cast("long"),
+                                 F.concat(F.lit("a b c "), "id").alias("text"), F.lit("s").alias("source"))
+    shard = F.conv(F.substring(mixing.seeded("doc_id", "text", "x"), 1, 15), 16, 10).cast("long") % 8
+    assert df.groupBy(F.col("doc_id").isNull(), shard).count().count() == 16
+    got = mixing.mix(df, shard_docs=50).collect()
+    assert len(got) == 400 and abs(sum(r.taken for r in got) - got[0].target) <= 16 * 8
+
+
+def test_pipeline_stages_on_rows_that_share_or_lack_a_doc_id(spark, empty):
+    """Repeated and null doc_ids with unrelated texts, no labels at all, and empty tables."""
+    import corpus_pipeline
+
+    def text(i):
+        return " ".join(f"t{i}w{j} word{(i * 7 + j) % 13}" for j in range(30))
+
+    docs = spark.createDataFrame(
+        [(5, text(1), None, "a", 1), (5, text(2), None, "a", 1), (9, text(2), None, "a", 1), (None, text(3), None, "a", 1),
+         (None, text(3) + " tail", None, "b", 1), (6, text(4), None, None, 1), (6, text(4), None, None, 1), (None, None, None, None, None),
+         (3, text(1) + " end", None, "a", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+
+    def kept(df):
+        return sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+
+    assert kept(corpus_pipeline.language(spark, docs, "")) == kept(docs)
+    got = kept(ngram_join.keep_one(docs))
+    one_of_three = [x for x in got if x[0] is None and x[1] is not None]
+    assert len(one_of_three) == 1 and one_of_three[0][1].startswith("t3w0")
+    assert [x for x in got if x not in one_of_three] == sorted(
+        [(3, text(1) + " end"), (5, text(2)), (6, text(4)), (None, None)], key=repr)
+    items = spark.createDataFrame([(1, " ".join(text(3).split()[4:30])), (2, " ".join(text(2).split()[:20]))], "item_id long, text string")
+    assert kept(decontaminate.clean(docs, items)) == sorted(
+        [(3, text(1) + " end"), (5, text(1)), (6, text(4)), (6, text(4)), (None, None)], key=repr)
+    sf = "/root/testdata/sf0.001"
+    nothing = empty.select(*docs.columns)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nothing, sf).collect() == []

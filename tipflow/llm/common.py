@@ -42,6 +42,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def collected(df: DataFrame) -> dict[str, np.ndarray]:
+    """The columns of a table of proven size on the driver, moved as Arrow batches (no row objects)."""
+    table = df.toArrow()
+    return {name: table.column(name).to_numpy() for name in table.column_names}
+
+
 def crc_fold(doc_id: str, folds: int):
     """``crc32(doc_id as text) mod folds`` (null ids are in no fold)."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tipflow.llm.common import SHINGLE, U64, Identity, shift, shingle_sets, slices, utf8, written
+from tipflow.llm.common import SHINGLE, U64, Identity, collected, shift, shingle_sets, slices, utf8, written
 
 NUM, DEN = 3, 4
 BROADCAST_BYTES = 64 << 20
@@ -60,10 +60,10 @@ class Index:
     """Items in memory: sketch hashes in order with their items, and each item's set."""
 
     def __init__(self, rows):
-        keys = rows["shingle"].to_numpy(np.int64).view(U64)
-        ids, place = np.unique(rows["item"].to_numpy(np.int64), return_inverse=True)
+        keys = rows["shingle"].astype(np.int64).view(U64)
+        ids, place = np.unique(rows["item"], return_inverse=True)
         order = np.lexsort((keys, place))
-        keys, place, marks = keys[order], place[order], rows["sketched"].to_numpy(bool)[order]
+        keys, place, marks = keys[order], place[order], rows["sketched"].astype(bool)[order]
         self.ids = ids
         self.sets = np.split(keys, np.cumsum(np.bincount(place, minlength=len(ids)))[:-1]) if len(ids) else []
         order = np.argsort(keys[marks], kind="stable")
@@ -156,7 +156,7 @@ def contaminated(docs: DataFrame, items: DataFrame, k: int = SHINGLE, num: int =
     sets = written(whole.join(sizes, "item").select(
         "item", "n", "shingle", (F.col("sketched") | (F.col("own") < F.col("n"))).alias("sketched")), "items")
     if sets.count() * 17 <= broadcast_bytes:
-        out = _in_tasks(docs, Index(sets.select("item", "shingle", "sketched").toPandas()), k, num, den)
+        out = _in_tasks(docs, Index(collected(sets.select("item", "shingle", "sketched"))), k, num, den)
     else:
         out = _by_join(docs, sets, k, num, den)
     return out.withColumn("item_id", F.when(F.col("item_id") != NULL_ITEM, F.col("item_id"))).withColumn(

@@ -29,13 +29,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 
-from tipflow.llm.common import U64, slices, utf8, written
+from tipflow.llm.common import U64, collected, slices, utf8, written
 
 ORDER = 4
 UNKNOWN = "und"
@@ -161,14 +160,13 @@ class KneserNey:
 class Model:
     """All languages: 4-grams sorted by hash, a directory over the leading bits, bits of each language."""
 
-    def __init__(self, counts: pd.DataFrame):
-        self.langs = sorted(counts["lang"].unique())
-        grams = counts["gram"].to_numpy(np.int64).view(U64)
-        number = counts["cnt"].to_numpy(np.int64)
+    def __init__(self, langs: list[str], place: np.ndarray, grams: np.ndarray, number: np.ndarray):
+        """From (place in langs, gram, count) columns."""
+        self.langs = langs
         alphabet = len(np.unique(grams & U64(0xFFFF))) + 1
         self.each = []
-        for lang in self.langs:
-            own = (counts["lang"] == lang).to_numpy()
+        for i in range(len(langs)):
+            own = place == i
             self.each.append(KneserNey(grams[own], number[own], alphabet))
         every = np.unique(grams)
         hashes = every * _SPREAD
@@ -254,7 +252,10 @@ def train(docs: DataFrame, broadcast_bytes: int = MODEL_BYTES) -> Model | Tables
     distinct = counts.select("gram").distinct().count()
     # per 4-gram a hash and the bits of each language; per language keys, probabilities and contexts of all orders
     if distinct * (8 + 8 * len(langs)) + 48 * sum(langs.values()) <= broadcast_bytes:
-        return Model(counts.toPandas())
+        names = sorted(langs)
+        place = F.array_position(F.array(*[F.lit(x) for x in names]), F.col("lang")) - 1
+        got = collected(counts.select(place.cast("int").alias("place"), "gram", "cnt"))
+        return Model(names, got["place"], got["gram"].astype(np.int64).view(U64), got["cnt"])
     return Tables(counts, sorted(langs), counts.select(F.col("gram").bitwiseAND(F.lit(0xFFFF).cast("long"))).distinct().count() + 1)
 
 
@@ -290,13 +291,14 @@ def _joined_entropies(docs: DataFrame, model: Tables, keep: list[str]) -> DataFr
         *keep, "letters", "chars", F.coalesce(F.transform("total", lambda t: t / F.col("chars")), none).alias("bits"))
 
 
-def entropies(docs: DataFrame, model: Model | Tables | None, keep: list[str]) -> DataFrame:
-    """(keep..., letters, chars, bits): bits holds the cross-entropy of the whole text per language.
+def entropies(docs: DataFrame, model: Model | Tables | None, keep: list[str]) -> tuple:
+    """(keep..., letters, chars, bits): bits holds the cross-entropy of the whole text per language; and the
+    model's broadcast, if there is one, to destroy when the rows are written.
 
     ``keep`` names other columns than text.
     """
     if isinstance(model, Tables):
-        return _joined_entropies(docs, model, keep)
+        return _joined_entropies(docs, model, keep), None
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.select(*keep, "text")
     schema = docs.select(*keep).schema
@@ -325,7 +327,7 @@ def entropies(docs: DataFrame, model: Model | Tables | None, keep: list[str]) ->
                 [batch.column(c) for c in keep] + [pa.array(np.concatenate(letters)), pa.array(np.concatenate(chars)),
                                                    lists], names=[*keep, "letters", "chars", "bits"])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(run, schema), shared
 
 
 def _softmax(bits: Column, temperature: float, at: Column) -> Column:
@@ -396,11 +398,11 @@ def _limits(right: DataFrame, best: Column, number: int) -> list[tuple[float, fl
 
 
 def identify(docs: DataFrame, labelled: Column, keep: list[str], broadcast_bytes: int = MODEL_BYTES) -> DataFrame:
-    """(keep..., lang_pred, score, cross_entropy, rejected) of every row of ``docs (text, lang)``.
+    """(keep..., lang_pred, score, cross_entropy, rejected, learned) of every row of ``docs (text, lang)``.
 
     ``labelled`` says from which rows to learn (those with a null lang never count).  lang_pred is a
     learned language, or ``und`` (score 0, rejected) for null texts, texts without a letter, and
-    everything if nothing could be learned; ties go to the first language by code point.
+    everything if nothing could be learned, which learned tells; ties go to the first language by code point.
     Repeated rows count and answer each by itself.  Other columns than text, lang, those of
     ``labelled`` and ``keep`` are not read.  An empty table gives an empty result.
     """
@@ -408,11 +410,13 @@ def identify(docs: DataFrame, labelled: Column, keep: list[str], broadcast_bytes
     kept_back = learn & (F.pmod(F.xxhash64("text"), F.lit(CALIBRATION)) == 0)
     model = train(docs.where(learn & ~kept_back), broadcast_bytes) or train(docs.where(learn), broadcast_bytes)
     langs = F.array(*[F.lit(x) for x in model.langs]) if model else F.array().cast("array<string>")
-    scored = entropies(docs.withColumn("_lang", F.col("lang")).withColumn("_learn", kept_back), model,
-                       [*keep, "_lang", "_learn"])
+    scored, shared = entropies(docs.withColumn("_lang", F.col("lang")).withColumn("_learn", kept_back), model,
+                               [*keep, "_lang", "_learn"])
     scored = written(scored.withColumn("_best", F.when(
         (F.col("letters") > 0) & (F.size("bits") > 0),
         F.array_position("bits", F.array_min("bits")).cast("int"))), "entropies")
+    if shared is not None:
+        shared.destroy()
     has = F.col("_best").isNotNull()  # element_at at a null place need not be null
     best = F.when(has, F.element_at("bits", F.col("_best")))
     pred = F.when(has, F.element_at(langs, F.col("_best")))
@@ -434,4 +438,4 @@ def identify(docs: DataFrame, labelled: Column, keep: list[str], broadcast_bytes
     else:
         rejected, score = F.lit(True), F.lit(0.0)
     return scored.select(*keep, F.coalesce(pred, F.lit(UNKNOWN)).alias("lang_pred"), score.alias("score"),
-                         best.alias("cross_entropy"), rejected.alias("rejected"))
+                         best.alias("cross_entropy"), rejected.alias("rejected"), F.lit(model is not None).alias("learned"))

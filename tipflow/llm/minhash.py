@@ -205,9 +205,11 @@ def classes(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN) -
 
     def search_in(work: DataFrame) -> DataFrame:
         left = written(sift(work.join(known, "id"), num, den), "sifted")
-        made = shingles_of(docs, left.select("id").distinct(), rows, ident_of, k)
+        made, bits = shingles_of(docs, left.select("id").distinct(), rows, ident_of, k)
         small = left.count() <= BROADCAST_ROWS
-        return written(confirm(made.join(F.broadcast(left) if small else left, "id"), num, den), "links")
+        links = written(confirm(made.join(F.broadcast(left) if small else left, "id"), num, den), "links")
+        bits.destroy()
+        return links
 
     own = block.groupBy("id").agg(F.max(F.struct("cnt", "key")).alias("best")).select("id", "best.cnt", "best.key")
     links = search_in(own.select("key", F.explode(_first_round()).alias("p"), "id", F.col("id").alias("grp"),

@@ -11,8 +11,8 @@ Only DataFrame expressions: no Python code runs on rows.
 * A shard's documents form a stream in seeded order; the quota takes the first blocks of this
   stream, around again if it exceeds the stream.  A document takes the words it has in them.
 
-A source is cut into shards of about ``SHARD_DOCS`` documents by the seeded hash of the
-doc_id, so a source with a third of all rows is only more shards.
+A source is cut into shards of about ``SHARD_DOCS`` documents by the seeded hash of doc_id and
+text, so a source with a third of all rows is only more shards.
 """
 
 from __future__ import annotations
@@ -30,8 +30,10 @@ SHARD_DOCS = 2_000
 SEED = "mix-1"
 
 
-def seeded(doc_id: str, seed: str) -> Column:
-    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))).cast("binary"))
+def seeded(doc_id: str, text: str, seed: str) -> Column:
+    """Order of a row by its doc_id and text, so that rows which share a doc_id, or have none, still spread."""
+    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.lit(":"),
+                          F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))).cast("binary"))
 
 
 def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, repeat: int = REPEAT) -> DataFrame:
@@ -96,7 +98,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeat: int = RE
     null and repeated doc_ids are rows like others (equal rows give equal result rows in some order).
     Other columns are not read.  An empty table gives an empty result.  Reruns agree.
     """
-    sized = written(docs.select("doc_id", "source", F.coalesce(
+    sized = written(docs.select("doc_id", "source", seeded("doc_id", "text", seed).alias("order"), F.coalesce(
         F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size")), "sizes")
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")),
                       weights, share, repeat)
@@ -105,8 +107,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeat: int = RE
         F.col("source").alias("_source"), "source_size", "target", F.col("quota").alias("seats"),
         F.ceil(F.col("rows") / shard_docs).alias("shards"))
     sources = written(sources, "sources")
-    placed = (sized.withColumn("order", seeded("doc_id", seed))
-              .join(sources, F.col("source").eqNullSafe(F.col("_source")))
+    placed = (sized.join(sources, F.col("source").eqNullSafe(F.col("_source")))
               .withColumn("shard", F.conv(F.substring("order", 1, 15), 16, 10).cast("long") % F.col("shards"))
               .drop("_source", "shards"))
     shards = placed.groupBy("source", "shard", "seats").agg(F.sum("size").alias("shard_size"))
@@ -127,7 +128,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeat: int = RE
 def oracle_sql(weights=WEIGHTS, share: float = SHARE, repeat: int = REPEAT, block: int = BLOCK,
                shard_docs: int = SHARD_DOCS, seed: str = SEED) -> str:
     """The same mix as DuckDB SQL; Sainte-Lague here ranks every block's quotient, without the shortcut."""
-    order = f"md5('{seed}:' || coalesce(cast(doc_id as varchar), 'null'))"
+    order = f"md5('{seed}:' || coalesce(cast(doc_id as varchar), 'null') || ':' || md5(coalesce(text, '')))"
     weight = f"([{', '.join(map(str, weights))}])[(row_number() over (order by source nulls last) - 1) % {len(weights)} + 1]"
     return f"""
 with sized as (

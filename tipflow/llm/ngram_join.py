@@ -38,7 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tipflow.llm.common import SHINGLE, U64, Identity, identity, named, shift, shingle_sets, slices, utf8, written
+from tipflow.llm.common import (
+    SHINGLE, U64, Identity, collected, identity, named, shift, shingle_sets, slices, utf8, written)
 from tipflow.llm.components import components
 
 NUM, DEN = 3, 4            # similarity of 0.75
@@ -51,7 +52,7 @@ HINTS = 200_000            # common shingles that are ordered last (bounds the b
 LOCAL_REPEATS = 3          # a shingle counts as common if so many sets of one task's portion hold it
 PORTION = 1 << 22          # shingles of a portion
 
-_PROFILE = "kind int, id long, check long, a long, n int, point binary"
+_PROFILE = "kind int, id long, check long, a long, k1 long, k2 long, n int, point binary"
 _PREFIX = "key long, id long, n int, hot long"
 
 
@@ -88,7 +89,7 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int):
 
 
 def profile(docs: DataFrame, k: int) -> DataFrame:
-    """kind 0: (id, check, doc_id, size, point) of every row; kind 1: (shingle, local count) of common shingles."""
+    """kind 0: (id, check, doc_id, key, size, point) of every row; kind 1: (shingle, local count) of common shingles."""
 
     def run(batches):
         rows: list[tuple] = []
@@ -100,13 +101,14 @@ def profile(docs: DataFrame, k: int) -> DataFrame:
             if held:
                 values, counts = np.unique(np.concatenate(held), return_counts=True)
                 often = counts >= LOCAL_REPEATS
-                rows.extend((1, v, 0, c, 0, None) for v, c in zip(shift(values[often]).tolist(), counts[often].tolist()))
+                rows.extend((1, v, 0, c, None, None, 0, None) for v, c in zip(shift(values[often]).tolist(), counts[often].tolist()))
                 held.clear()
                 seen.clear()
 
         for batch, i, s in _sets(batches, k):
             ident = Identity.halves(s)
-            rows.append((0, *ident, batch.column("doc_id")[i].as_py(), len(s), _point(s).tobytes() if len(s) else None))
+            rows.append((0, *ident, *(batch.column(c)[i].as_py() for c in ("doc_id", "k1", "k2")), len(s),
+                         _point(s).tobytes() if len(s) else None))
             if ident not in seen:
                 seen.add(ident)
                 held.append(s)
@@ -121,14 +123,13 @@ def profile(docs: DataFrame, k: int) -> DataFrame:
         if rows:
             yield _table(rows)
 
-    return docs.select("doc_id", "text").mapInArrow(run, _PROFILE)
+    return docs.select("doc_id", "text", "k1", "k2").mapInArrow(run, _PROFILE)
 
 
 def _table(rows: list[tuple]) -> pa.RecordBatch:
-    kind, ident, check, a, n, point = zip(*rows)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(kind, pa.int32()), pa.array(ident, pa.int64()), pa.array(check, pa.int64()), pa.array(a, pa.int64()),
-         pa.array(n, pa.int32()), pa.array(point, pa.binary())], names=["kind", "id", "check", "a", "n", "point"])
+    types = [pa.int32(), *[pa.int64()] * 5, pa.int32(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)],
+                                      names=["kind", "id", "check", "a", "k1", "k2", "n", "point"])
 
 
 def prefixes(docs: DataFrame, hints, ident_of: Identity, k: int, num: int, den: int) -> DataFrame:
@@ -200,16 +201,17 @@ BITMAP = 1 << 26  # bits of the filter of wanted doc_ids (bounds its broadcast:
 
 def _bitmap(ids: DataFrame) -> np.ndarray:
     """Filter of ``ids (hash)`` with ``BITMAP`` bits."""
-    words = (ids.select(F.pmod("hash", F.lit(BITMAP)).alias("bit"))
-             .groupBy(F.shiftright("bit", 6).alias("word"))
-             .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toPandas())
+    words = collected(ids.select(F.pmod("hash", F.lit(BITMAP)).alias("bit"))
+                      .groupBy(F.shiftright("bit", 6).alias("word"))
+                      .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")))
     out = np.zeros(BITMAP >> 6, np.int64)
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    out[words["word"]] = words["bits"]
     return out.view(U64)
 
 
-def shingles_of(docs: DataFrame, ids: DataFrame, rows: DataFrame, ident_of: Identity, k: int) -> DataFrame:
-    """(id, shingles) of at least the given ids, made from one doc_id's text each, or from those without doc_id.
+def shingles_of(docs: DataFrame, ids: DataFrame, rows: DataFrame, ident_of: Identity, k: int) -> tuple:
+    """(id, shingles) of at least the given ids, made from one doc_id's text each, or from those without doc_id,
+    and the broadcast to destroy once the result is no longer needed.
 
     Texts are not shuffled: a filter of bounded size picks the rows.  It may pick more.  Rows that
     repeat a doc_id may repeat an id.
@@ -233,7 +235,7 @@ def shingles_of(docs: DataFrame, ids: DataFrame, rows: DataFrame, ident_of: Iden
         if held:
             yield _shingle_batch(held)
 
-    return docs.select("text", F.xxhash64("doc_id").alias("hash")).mapInArrow(run, "id long, shingles binary")
+    return docs.select("text", F.xxhash64("doc_id").alias("hash")).mapInArrow(run, "id long, shingles binary"), bits
 
 
 def _shingle_batch(held):
@@ -445,28 +447,23 @@ def _second_round():
             .when(F.col("query"), F.concat(with_mains, among)).otherwise(with_others))
 
 
-def classes(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs (doc_id, text)``.
-
-    component_id is the smallest doc_id reachable over links, itself included.  Null, empty
-    and word-free texts have 0 shingles, link with nothing, and carry their own doc_id.
-    Rows with a null doc_id take part in links; a component of such rows alone has a null
-    component_id.  Repeated rows each give a row.  Other columns are not read.
-    An empty table gives an empty result.  Similarities below 1/2 raise ValueError.
-    """
+def rooted(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(id, a, k1, k2, n, root) of every row of ``docs (doc_id, text, k1, k2)``: its set, doc_id, key, size and component."""
     if 2 * num < den:  # size classes meet the next class only
         raise ValueError(f"similarity {num}/{den} is below 1/2")
     spark = docs.sparkSession
     seen = written(profile(docs, k), "profile")
     ident_of = identity(seen.where("kind = 0").select("id", "check"))
     sets = named(seen.where("kind = 0"), ident_of)
-    rows = sets.select("id", "a", "n")
+    rows = sets.select("id", "a", "k1", "k2", "n")
     common = (seen.where("kind = 1").groupBy("id").agg(F.sum("a").alias("cnt"))
-              .orderBy(F.desc("cnt"), "id").limit(HINTS).toPandas())
-    values = common["id"].to_numpy(np.int64).view(U64)
+              .orderBy(F.desc("cnt"), "id").limit(HINTS))
+    common = collected(common)
+    values = common["id"].astype(np.int64).view(U64)
     order = np.argsort(values)
-    hints = spark.sparkContext.broadcast((values[order], common["cnt"].to_numpy(np.int64)[order]))
+    hints = spark.sparkContext.broadcast((values[order], common["cnt"][order]))
     block = blocks(prefixes(docs, hints, ident_of, k, num, den), num, den)
+    hints.destroy()  # blocks are written
 
     points = written(sets.where("n > 0").select("id", "n", "point").dropDuplicates(["id"])
                      .join(block.select("id").distinct(), "id"), "points")
@@ -474,10 +471,12 @@ def classes(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN) -
     def search_in(work: DataFrame) -> DataFrame:
         """Links in ``work (key, chunk, id, grp, query, home, firsts)``: points first, then the shingles of what is left."""
         left = written(sift(work.join(points, "id"), num, den), "sifted")
-        made = shingles_of(docs, left.select("id").distinct(), rows, ident_of, k)
+        made, bits = shingles_of(docs, left.select("id").distinct(), rows, ident_of, k)
         # rows of a bounded size: few of them go to the shingles, more of them meet these in a shuffle
         small = left.count() <= BROADCAST_ROWS
-        return written(search(made.join(F.broadcast(left) if small else left, "id"), num, den), "links")
+        links = written(search(made.join(F.broadcast(left) if small else left, "id"), num, den), "links")
+        bits.destroy()
+        return links
 
     # Round 1: each set in its largest block, with a few sets of the block in every chunk.
     own = block.groupBy("id").agg(F.max(F.struct("cnt", "key")).alias("best")).select("id", "best.cnt", "best.key")
@@ -503,8 +502,21 @@ def classes(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN) -
         .select("key", "p.chunk", "id", "grp", "query", "p.home", "firsts")))
     joined = components(links)
 
-    docs_in = rows.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn(
+    return rows.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn(
         "root", F.when(F.col("n") > 0, F.coalesce("root", "id")))
+
+
+def classes(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of ``docs (doc_id, text)``.
+
+    component_id is the smallest doc_id reachable over links, itself included.  Null, empty
+    and word-free texts have 0 shingles, link with nothing, and carry their own doc_id.
+    Rows with a null doc_id take part in links; a component of such rows alone has a null
+    component_id.  Repeated rows each give a row.  Other columns are not read.
+    An empty table gives an empty result.  Similarities below 1/2 raise ValueError.
+    """
+    none = F.lit(None).cast("long")
+    docs_in = rooted(docs.select("doc_id", "text", none.alias("k1"), none.alias("k2")), k, num, den)
     least = docs_in.where("n > 0").groupBy("root").agg(F.min("a").alias("component_id"))
     linked = docs_in.where("n > 0").join(least, "root")
     alone = docs_in.where("n = 0").withColumn("component_id", F.col("a"))
@@ -513,10 +525,25 @@ def classes(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN) -
 
 
 def keep_one(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
-    """``docs`` without the documents that link to one with a smaller doc_id in their class.
+    """One row of each class of ``docs (doc_id, text, ...)``, with all its columns.
 
-    Rows with a null doc_id and one row of each repeated doc_id's class stay as they are:
-    the row whose doc_id names its class is kept, with all its columns.
+    The row with the smallest doc_id stays, one without doc_id only if the class has no other; ties
+    go by a hash of the row, and of rows equal in all columns one stays.  Rows without words link with
+    nothing and all stay.  A row is known by 128 bits of a hash of all its columns, so rows that repeat a
+    doc_id or have none are judged each by itself.  An empty table gives an empty result.
     """
-    drop = classes(docs, k, num, den).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    key = [F.xxhash64(F.lit(i), *docs.columns).alias(f"k{i}") for i in (1, 2)]
+    rows = rooted(docs.select("doc_id", "text", *key), k, num, den).where("n > 0").select("root", "a", "k1", "k2")
+    order = F.struct(F.col("a").isNull().alias("none"), "a", "k1", "k2")
+    best = rows.groupBy("root").agg(F.min(order).alias("best")).select("root", "best.k1", "best.k2").select(
+        "root", F.col("k1").alias("b1"), F.col("k2").alias("b2"))
+    # the rows that go, and those kept of which there are copies
+    marks = written(rows.join(best, "root").groupBy("k1", "k2").agg(
+        F.max((F.col("k1") == F.col("b1")) & (F.col("k2") == F.col("b2"))).alias("stays"), F.count("*").alias("copies"))
+        .where("not stays or copies > 1").select(F.col("k1").alias("_mark_1"), F.col("k2").alias("_mark_2"), "stays"), "marks")
+    marked = (key[0] == F.col("_mark_1")) & (key[1] == F.col("_mark_2"))
+    out = docs.join(marks.drop("stays"), marked, "left_anti")
+    copies = marks.where("stays").drop("stays")
+    if copies.isEmpty():
+        return out
+    return out.unionAll(docs.join(copies, marked, "left_semi").dropDuplicates())

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tipflow.llm import gbt, stats
-from tipflow.llm.common import written
+from tipflow.llm.common import collected, written
 from tipflow.llm.quality import labelled, scored
 
 MIN_WORDS = 50
@@ -26,10 +26,10 @@ MONOTONE = {"symbols": -1, "dup_lines": -1, "repeat_words": -1, "distinct_words"
 
 def train(rows: DataFrame, label: str, sample: int = SAMPLE) -> gbt.Boosted:
     """Trees from ``rows (features, label)``, label 0 or 1."""
-    got = (rows.where(F.col(label).isin(0, 1)).select("features", F.col(label).alias("y"))
-           .orderBy(F.xxhash64("features"), "features", "y").limit(sample).toPandas())
-    x = np.array(got["features"].tolist(), float).reshape(len(got), len(stats.FEATURES))
-    return gbt.fit(x, got["y"].to_numpy(float), [MONOTONE.get(f, 0) for f in stats.FEATURES])
+    got = collected(rows.where(F.col(label).isin(0, 1)).select("features", F.col(label).alias("y"))
+                    .orderBy(F.xxhash64("features"), "features", "y").limit(sample))
+    x = np.array(got["features"].tolist(), float).reshape(len(got["y"]), len(stats.FEATURES))
+    return gbt.fit(x, got["y"].astype(float), [MONOTONE.get(f, 0) for f in stats.FEATURES])
 
 
 def judge(docs: DataFrame, labels: DataFrame, label: str = "quality", cut: float = CUT, min_words: int = MIN_WORDS,

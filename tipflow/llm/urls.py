@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from tipflow.llm import gbt
-from tipflow.llm.common import written
+from tipflow.llm.common import collected, written
 from tipflow.llm.quality import scored
 
 CUT = 0.5
@@ -102,10 +102,10 @@ def features(urls: DataFrame) -> DataFrame:
 
 def train(rows: DataFrame, sample: int = SAMPLE) -> gbt.Boosted:
     """Trees for blocking from ``rows (url, features, verdict)``; rows without a verdict teach nothing."""
-    got = (rows.where("verdict is not null").select("features", (F.col("verdict") == "block").cast("double").alias("y"))
-           .orderBy(F.xxhash64("features"), "features", "y").limit(sample).toPandas())
-    x = np.array(got["features"].tolist(), float).reshape(len(got), len(LEXICAL) + 2 * len(SUFFIXES))
-    return gbt.fit(x, got["y"].to_numpy(float))
+    got = collected(rows.where("verdict is not null").select("features", (F.col("verdict") == "block").cast("double").alias("y"))
+                    .orderBy(F.xxhash64("features"), "features", "y").limit(sample))
+    x = np.array(got["features"].tolist(), float).reshape(len(got["y"]), len(LEXICAL) + 2 * len(SUFFIXES))
+    return gbt.fit(x, got["y"].astype(float))
 
 
 def judge(pages: DataFrame, rules: list[Rule], labelled: DataFrame | None = None, cut: float = CUT,

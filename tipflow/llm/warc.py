@@ -99,16 +99,17 @@ class _Bytes:
                 return out
         return b""
 
-    def head(self, what: str, most: int = 1 << 20) -> bytes:
-        """Up to the first blank line."""
-        got = b""
-        while b"\r\n\r\n" not in got:
+    def head(self, what: str) -> bytes:
+        """Up to the first blank line; a header is as long as its URL makes it."""
+        got, seen = bytearray(), 0
+        while (end := got.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
+            seen = len(got)
             part = self.more()
-            if not part or len(got) > most:
+            if not part:
                 raise ValueError(f"member {self.members}: {what} without end")
             got += part
-        got, _, self.held = got.partition(b"\r\n\r\n")
-        return got
+        self.held = bytes(got[end + 4:])
+        return bytes(got[:end])
 
     def take(self, n: int) -> Iterator[bytes]:
         """Exactly n bytes."""
@@ -151,7 +152,7 @@ def records(stream, keep_payload: bool = False) -> Iterator[dict]:
             block.update(part)
             if http is None:
                 pending += part
-                if b"\r\n\r\n" not in pending:
+                if b"\r\n\r\n" not in pending[max(0, len(pending) - len(part) - 3):]:
                     continue
                 first, _, part = pending.partition(b"\r\n\r\n")
                 http = _fields(first)
