@@ -14,29 +14,36 @@ from tipflow.llm.common import table, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that language ID accepts, as they are; it learns from their own lang labels."""
+    """Documents that language ID accepts, as they are; it learns from their own lang labels.
+
+    Without a labelled text there is no model to reject by, and all documents stay.  With one, null
+    texts and texts without a letter go.  Repeated rows and null doc_ids are rows like others.
+    """
     # the row travels as one struct, so no name of its columns can clash
     rows = docs.select(F.struct(*docs.columns).alias("_row"), "text", "lang")
-    return langid.identify(rows, F.lit(True), ["_row"]).where("not rejected").select("_row.*")
+    return langid.identify(rows, F.lit(True), ["_row"]).where("not (rejected and learned)").select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of the n-gram Jaccard join: the one with the smallest doc_id."""
+    """One document of each class of the n-gram Jaccard join: the one with the smallest doc_id.
+
+    Rows that repeat a doc_id or have none are judged each by their own text; rows without words stay.
+    """
     return ngram_join.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
+    """Documents that contain no benchmark item, judged by their texts; null texts stay."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind."""
+    """All documents, with personal data replaced by its kind; null texts stay null."""
     return pii.masked(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) of all documents left."""
+    """(doc_id, size, source_size, target, taken) of all documents left, an empty result of none."""
     return mixing.mix(docs)
 
 
