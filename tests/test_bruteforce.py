@@ -49,7 +49,7 @@ def test_number_within_matches_row_number_with_skew(spark):
     rnd = random.Random(3)
     rows = [(0 if rnd.random() < 0.6 else rnd.randint(1, 40), rnd.randint(0, 10**6), i) for i in range(20000)]
     df = spark.createDataFrame(rows, "g long, k long, id long")
-    got = number_within(df, ["g"], ["k", "id"], "rn", partitions=16)
+    got = number_within(df, ["g"], ["k", "id"], "rn", one_task=1000)
     want = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("k", "id")))
     assert sorted(got.select("g", "k", "id", "rn").collect()) == sorted(want.collect())
 

@@ -16,7 +16,9 @@ from .conftest import SF_SMALL
 def test_dense_ids_are_dense_and_ordered(spark):
     df = spark.range(0, 2000).select((F.col("id") * 7 % 2000).alias("k"), F.lit("x").alias("v"))
     base = spark.createDataFrame([(100,)], "m long")
-    out = ids.dense_ids(df, ["k"], base, "new_id", partitions=8).collect()
+    for one_task in (10_000, 250):  # in one window, and in eight ranges
+        out = ids.dense_ids(df, ["k"], base, "new_id", one_task=one_task).orderBy("k").collect()
+        assert [(r.k, r.new_id) for r in out] == [(k, 101 + k) for k in range(2000)]
     pairs = sorted((r.k, r.new_id) for r in out)
     assert [p[1] for p in pairs] == list(range(101, 2101))
 
@@ -107,10 +109,60 @@ def test_number_within_hot_group(spark):
     # one group holds most rows: it must be numbered 1..n without gaps, like row_number()
     df = spark.range(0, 5000).select(F.when(F.col("id") % 10 < 8, F.lit(0)).otherwise(F.col("id") % 7).alias("g"),
                                      (F.col("id") * 13 % 5000).alias("k"))
-    got = ids.number_within(df, ["g"], ["k"], "rn", partitions=8)
     from pyspark.sql import Window
-    want = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("k")))
-    assert sorted(got.collect()) == sorted(want.select("g", "k", "rn").collect())
+    want = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("k"))).select("g", "k", "rn").collect()
+    for one_task in (10_000, 500, 60):
+        got = ids.number_within(df, ["g"], ["k"], "rn", one_task=one_task)
+        assert sorted(got.collect()) == sorted(want)
+    # null groups, and a larger table that is cheaper to count
+    nulls = df.withColumn("g", F.when(F.col("g") != 0, F.col("g")))
+    got = ids.number_within(nulls, ["g"], ["k"], "rn", sizes=nulls.select("g").unionAll(nulls.select("g")), one_task=500)
+    assert sorted((r.g or 0, r.k, r.rn) for r in got.collect()) == sorted(tuple(r) for r in want)
+
+
+def test_large_groups_are_numbered_without_a_second_shuffle(spark):
+    df = spark.range(0, 5000).select((F.col("id") % 3).alias("g"), F.col("id").alias("k"))
+    got = ids.number_within(df, ["g"], ["k"], "rn", one_task=100)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # what is shuffled after the checkpoint: the small groups (none here) and the runs, one row each
+    assert plan.count("BroadcastHashJoin") >= 2 and "SortMergeJoin" not in plan
+
+
+def test_parallel_runs_reserve_disjoint_ranges(spark, scratch):
+    """Two runs that read the same maximum: each range is dense, none overlaps, whoever commits first."""
+    import threading
+    base = spark.createDataFrame([(100,)], "m long")
+    got: dict = {}
+
+    def run(name, n):
+        df = spark.range(n).select(F.col("id").alias("k"))
+        got[name] = sorted(r.new_id for r in ids.dense_ids(df, ["k"], base, "new_id", ledger=f"{scratch}/ids").collect())
+
+    threads = [threading.Thread(target=run, args=(f"run{i}", 50 + i)) for i in range(4)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert sorted(x for ids_ in got.values() for x in ids_) == list(range(101, 101 + 206))
+    for ids_ in got.values():
+        assert ids_ == list(range(ids_[0], ids_[0] + len(ids_)))
+    # a writer that was overtaken between reading and committing starts anew
+    from tipflow.sources.commits import Log
+    log = Log(spark, f"{scratch}/other", lambda state, r: r)
+    version, _ = log.state()
+    assert log.append(version + 1, {"last": 10}) and not log.append(version + 1, {"last": 20})
+    assert ids.reserve(spark, scratch, "other", 5, 3) == 10 and ids.reserve(spark, scratch, "other", 5, 40) == 40
+
+
+def test_category_names_with_odd_white_space(spark):
+    """A name with a tab or a no-break space around it is the category without them."""
+    class Small:
+        category = spark.createDataFrame([(7, 1, "BAR")], "set_id long, cli_id long, set_name string")
+        credit_sheet = spark.createDataFrame(
+            [(1, "\tBar\u00a0"), (1, "\u2003sala"), (1, "Sala\n"), (1, "\u00a0"), (2, "bar"), (1, None)], "cli_id long, categoria string")
+
+    got = ids.new_category_ids(Small).orderBy("set_id").collect()
+    assert [tuple(r) for r in got] == [(1, "SALA", 8), (2, "BAR", 9)]
 
 
 def test_insert_collaborators_rules(spark):

@@ -79,7 +79,8 @@ def test_sheet_lines_over_several_splits(spark, scratch):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
     try:
         rows, _ = read_sheets(spark, f"{scratch}/one.csv", CREDIT_HEADERS)
-        assert rows.rdd.getNumPartitions() > 1 and rows.filter("line <> cast(valor as int) + 2").count() == 0
+        assert spark.read.text(f"{scratch}/one.csv").rdd.getNumPartitions() > 1
+        assert rows.filter("line <> cast(valor as int) + 2").count() == 0
         assert rows.count() == 20_000
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
@@ -114,3 +115,104 @@ def test_nested_forms_agree_with_flat(spark):
     flat_full = people.collaborator_full(m).select("usr_id", "category_ids")
     j = full.join(flat_full, "usr_id").collect()
     assert all((r.k == 0 and r.category_ids is None) or r.k == len(r.category_ids.split(",")) for r in j)
+
+
+def test_ten_thousand_runs_are_one_scan(spark, scratch):
+    """The manifest keeps the log short to read; all folders of a table are read in one scan."""
+    from tipflow.sources import commits, sinks
+    df = spark.createDataFrame([(1, "a")], "id long, name string")
+    root = f"{scratch}/t"
+    sinks.write_attempts({"t": df}, root, 0)
+    log = sinks._log(spark, root)
+    (first, _, path, schema), = sinks.committed(spark, root, "t")
+    # the log of many runs, as write_attempts leaves it (their rows in ten folders)
+    state = {"t": [[i, i, f"{path}-{i % 10}", schema] for i in range(10_000)]}
+    for i in range(10):
+        df.select(F.lit(i).cast("long").alias("id"), "name").write.parquet(f"{path}-{i}")
+    log.folder.create("manifest-000000010000.json", __import__("json").dumps(state))
+    for i in range(30):
+        sinks.write_attempts({"t": df.where("false")}, root, 10_000 + i) if i == 29 else log.append(
+            10_001 + i, {"t": [10_000 + i, 10_000 + i, f"{path}-0", schema]})
+    parts = sinks.committed(spark, root, "t")
+    assert len(parts) == 10_030 and parts[-1][0] == 10_029
+    out = sinks.read_runs(spark, parts)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and "Union" not in plan
+    assert commits.MANIFEST <= 100 and len([n for n in log.folder.names() if n.startswith("manifest")]) == 1
+
+
+def test_merged_runs_and_retries(spark, scratch):
+    from tipflow.sources import commits, sinks
+    root = f"{scratch}/t"
+
+    def rows(n):
+        return spark.range(n).selectExpr("id", "'x' AS name")
+
+    for run in range(6):
+        sinks.write_attempts({"t": rows(run)}, root, run)
+    sinks.merge_runs(spark, root, "t", before=5)
+    parts = sinks.committed(spark, root, "t")
+    assert [p[:2] for p in parts] == [[0, 4], [5, 5]]
+    assert sinks.read_runs(spark, parts).count() == 15
+    sinks.write_attempts({"t": rows(1)}, root, 5)   # a retry of the newest run replaces it, whatever the clock says
+    assert sinks.read_runs(spark, sinks.committed(spark, root, "t")).count() == 11
+    with pytest.raises(ValueError, match="merged"):
+        sinks.write_attempts({"t": rows(1)}, root, 3)
+    # a later schema adds a column
+    sinks.write_attempts({"t": rows(2).withColumn("more", F.lit(1))}, root, 6)
+    out = sinks.read_runs(spark, sinks.committed(spark, root, "t"))
+    assert out.count() == 13 and out.columns == ["id", "name", "more"]
+    # manifests fold the same state as the single records
+    log = commits.Log(spark, f"{scratch}/log", lambda state, r: {"sum": state.get("sum", 0) + r["x"]})
+    for i in range(250):
+        log.commit(lambda state, i=i: {"x": i})
+    assert log.state() == (250, {"sum": sum(range(250))})
+    assert sorted(n for n in log.folder.names() if n.startswith("m")) == ["manifest-000000000100.json", "manifest-000000000200.json"]
+
+
+def test_each_sheet_by_its_own_header(spark, scratch):
+    """Three spellings, other column orders, a missing column, a repeated field and a quoted header in one folder."""
+    sheets = {
+        "a.csv": "nome,cpf,celular,sexo\nAna,1,11,F\n\nBia,2,12,F\n",
+        "b.csv": "NOME,CPF,SEXO\nCaio,3,M\n",
+        "c.csv": "Sexo,Data Nascimento,Nome,Cpf,Email,extra\nM,01/02/1990,Davi,4,d@x.co,zzz\nF,,\"Eva, a\",5\n",
+        "d.csv": "\ufeff\"CPF\",\"nome\",NOME,data_nascimento\n6,outro,,1990\n7,segundo,PRIMEIRO,1991\n",
+        "e.csv": "only\nx\n",
+        "f.csv": "",
+        "g.csv": "nome,cpf\n",
+    }
+    for name, text in sheets.items():
+        with open(f"{scratch}/{name}", "w", encoding="utf-8") as fh:
+            fh.write(text)
+    rows, files = read_sheets(spark, f"{scratch}/*.csv", COLLABORATOR_HEADERS)
+    got = {(os.path.basename(r.file), r.line): (r.nome, r.cpf, r.nascimento, r.sexo, r.email, r.celular) for r in rows.collect()}
+    assert got == {
+        ("a.csv", 2): ("Ana", "1", None, "F", None, "11"), ("a.csv", 3): ("Bia", "2", None, "F", None, "12"),
+        ("b.csv", 2): ("Caio", "3", None, "M", None, None),
+        ("c.csv", 2): ("Davi", "4", "01/02/1990", "M", "d@x.co", None), ("c.csv", 3): ("Eva, a", "5", None, "F", None, None),
+        ("d.csv", 2): ("outro", "6", "1990", None, None, None), ("d.csv", 3): ("PRIMEIRO", "7", "1991", None, None, None),
+        ("e.csv", 2): (None,) * 6}
+    assert {os.path.basename(r.file): (r.n_rows, r.status) for r in files.collect()} == {
+        "a.csv": (2, "ok"), "b.csv": (1, "ok"), "c.csv": (2, "ok"), "d.csv": (2, "ok"), "e.csv": (1, "ok"), "f.csv": (0, "empty"),
+        "g.csv": (0, "empty")}
+    # credit sheets whose columns stand in another order keep their values
+    for name, text in {"x.csv": "nome,cpf,valor,categoria\nAna,1,10.5,Bar\n", "y.csv": "cpf;nome;categoria;valor\n", "z.csv": "cpf,nome,categoria,valor\n2,Bia,Sala,7\n"}.items():
+        os.makedirs(f"{scratch}/k", exist_ok=True)
+        with open(f"{scratch}/k/{name}", "w", encoding="utf-8") as fh:
+            fh.write(text)
+    rows, _ = read_sheets(spark, f"{scratch}/k/*.csv", CREDIT_HEADERS)
+    assert sorted((r.nome, r.cpf, r.valor, r.categoria) for r in rows.collect()) == [("Ana", "1", "10.5", "Bar"), ("Bia", "2", "7", "Sala")]
+
+
+def test_hot_sheet_over_many_splits_keeps_its_header(spark, scratch):
+    with open(f"{scratch}/one.csv", "w") as fh:
+        fh.write("cpf,categoria,valor,nome\n" + "".join(f"{i},B,{i},n{i}\n" for i in range(20_000)))
+    with open(f"{scratch}/two.csv", "w") as fh:
+        fh.write("valor,nome\n" + "".join(f"{i},m{i}\n" for i in range(300)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "30000")
+    try:
+        rows, files = read_sheets(spark, f"{scratch}/*.csv", CREDIT_HEADERS)
+        assert rows.filter("line <> cast(valor as int) + 2 or nome not rlike concat('^[nm]', valor, '$')").count() == 0
+        assert sorted(r.n_rows for r in files.collect()) == [300, 20_000] and rows.where("cpf is null").count() == 300
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")

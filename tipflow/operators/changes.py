@@ -30,7 +30,7 @@ def settlement_fires(feed: DataFrame, start: DataFrame, once: bool = False) -> D
     deviates from the trigger: a second payment then writes no second movement.
     """
     from tipflow.operators.ids import number_within
-    f = number_within(feed.join(start, "not_id"), ["not_id"], ["changed_at", "seq"], "_n")
+    f = number_within(feed.join(start, "not_id"), ["not_id"], ["changed_at", "seq"], "_n", sizes=feed)
     before = f.select("not_id", (F.col("_n") + 1).alias("_n"), F.col("new_status").alias("_before"))
     f = f.join(before, ["not_id", "_n"], "left")
     old = F.when(F.col("_n") == 1, F.col("start_status")).otherwise(F.col("_before"))
@@ -127,7 +127,11 @@ def lower_pix_limit(m: Mart, changes: DataFrame) -> DataFrame:
     lowered = (changes.filter(F.col("old_limit").isNotNull() & F.col("new_limit").isNotNull()
                               & (F.col("new_limit") < F.col("old_limit")))
                .select("cli_id", "new_limit"))
-    u = m.collaborator.select("usr_id", "cli_id", "day_value", "night_value").join(lowered, "cli_id")
+    return clamped(m.collaborator.join(lowered, "cli_id"))
+
+
+def clamped(u: DataFrame) -> DataFrame:
+    """Rows of ``u (usr_id, cli_id, day_value, night_value, new_limit)`` above their limit, cut to it."""
     day_hit = F.col("day_value").isNotNull() & (F.col("day_value") > F.col("new_limit"))
     night_hit = F.col("night_value").isNotNull() & (F.col("night_value") > F.col("new_limit"))
     return (u.filter(day_hit | night_hit)
@@ -136,6 +140,32 @@ def lower_pix_limit(m: Mart, changes: DataFrame) -> DataFrame:
                     F.when(night_hit, F.col("new_limit")).otherwise(F.col("night_value")).cast("decimal(18,2)").alias("night_value")))
 
 
+def lowered_limits(feed: DataFrame, tenant: DataFrame) -> DataFrame:
+    """F2 over a history: (cli_id, new_limit, changed_at, seq) of the records that lower their tenant's limit.
+
+    ``feed (cli_id, new_limit, changed_at, seq)``: each record is compared with the one before it, the
+    first with ``tenant.pix_limit``; a missing limit on either side lowers nothing.
+    """
+    from tipflow.operators.ids import number_within
+    known = feed.join(tenant.select("cli_id", F.col("pix_limit").alias("_start")), "cli_id")
+    f = number_within(known, ["cli_id"], ["changed_at", "seq"], "_n", sizes=feed)
+    before = f.select("cli_id", (F.col("_n") + 1).alias("_n"), F.col("new_limit").alias("_before"))
+    f = f.join(before, ["cli_id", "_n"], "left")
+    old = F.when(F.col("_n") == 1, F.col("_start")).otherwise(F.col("_before"))
+    return f.filter(F.col("new_limit") < old).select("cli_id", "new_limit", "changed_at", "seq")
+
+
+def pix_limit_trigger(m: Mart, feed: DataFrame | None = None) -> DataFrame:
+    """F2 batch form over a history of limits: the collaborators it changes, with their values after it.
+
+    Cutting to several limits in a row is cutting to the least of them, so the order of a
+    tenant's changes matters only for which of them lower the limit.
+    """
+    feed = m.limit_feed if feed is None else feed
+    least = lowered_limits(feed, m.tenant).groupBy("cli_id").agg(F.min("new_limit").alias("new_limit"))
+    return clamped(m.collaborator.join(least, "cli_id"))
+
+
 def _grain(col, grain: str):
     return F.to_date(col) if grain == "day" else F.year(col)
 
@@ -154,10 +184,10 @@ def backfill_pairs(m: Mart, grain: str = "day") -> DataFrame:
                 .groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_credits")))
     rb = number_within(m.batch.join(unlinked, "batch_id")
                        .select("batch_id", "cli_id", "n_credits", _grain("imported_at", grain).alias("g")),
-                       ["cli_id", "g"], ["batch_id"], "rn")
+                       ["cli_id", "g"], ["batch_id"], "rn", sizes=m.batch.select("cli_id", _grain("imported_at", grain).alias("g")))
     nb = number_within(m.invoice.filter(F.col("situation") == "A")
                        .select("not_id", "cli_id", _grain("issue_date", grain).alias("g")),
-                       ["cli_id", "g"], ["not_id"], "rn")
+                       ["cli_id", "g"], ["not_id"], "rn", sizes=m.invoice.select("cli_id", _grain("issue_date", grain).alias("g")))
     return (rb.join(nb, ["cli_id", "g", "rn"])
             .select("batch_id", "cli_id", F.col("g").cast("string").alias("period"), "not_id", "n_credits"))
 

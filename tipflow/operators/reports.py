@@ -256,7 +256,8 @@ def batch_statement(m: Mart, cli_id=None) -> DataFrame:
                      F.col("credit_value").cast(MONEY_SUM).alias("gross"),
                      (F.col("credit_value") - F.col("net")).cast(MONEY_SUM).alias("discount"),
                      F.col("net").cast(MONEY_SUM).alias("net"), "show_discount"))
-    items = number_within(lines, ["batch_id"], ["usr_name", "usr_id", "credit_value", "credit_date"], "line")
+    items = number_within(lines, ["batch_id"], ["usr_name", "usr_id", "credit_value", "credit_date"], "line",
+                          sizes=c.select("batch_id"))
     items = items.select("cli_id", "batch_id", "line", "usr_name", "cpf", "gross", "discount", "net", "show_discount")
     totals = every.select(
         "cli_id", "batch_id", F.lit(None).cast("int").alias("line"), F.lit("TOTAL").alias("usr_name"),

@@ -73,6 +73,20 @@ def lower_pix_limit(m):
     return ch.lower_pix_limit(m, m.limit_change)
 
 
+@register("pix_limit_trigger", ["collaborator", "tenant", "limit_feed"], """
+, steps AS (SELECT f.cli_id, f.new_limit, ROW_NUMBER() OVER w AS n, LAG(f.new_limit) OVER w AS before, t.pix_limit
+            FROM limit_feed f JOIN tenant t ON t.cli_id = f.cli_id
+            WINDOW w AS (PARTITION BY f.cli_id ORDER BY f.changed_at, f.seq)),
+lows AS (SELECT cli_id, MIN(new_limit) AS low FROM steps
+         WHERE new_limit < CASE WHEN n = 1 THEN pix_limit ELSE before END GROUP BY cli_id)
+SELECT u.usr_id, u.cli_id, CAST(CASE WHEN day_value > low THEN low ELSE day_value END AS DECIMAL(18,2)) AS day_value,
+       CAST(CASE WHEN night_value > low THEN low ELSE night_value END AS DECIMAL(18,2)) AS night_value
+FROM collaborator u JOIN lows ON lows.cli_id = u.cli_id WHERE day_value > low OR night_value > low""")
+def pix_limit_trigger(m):
+    """F2 over a feed of limit changes: collaborators whose values the lowered limits cut, after all changes."""
+    return ch.pix_limit_trigger(m)
+
+
 def pairs_sql(grain: str) -> str:
     gb = "CAST(r.imported_at AS DATE)" if grain == "day" else "year(r.imported_at)"
     gn = "nf.issue_date" if grain == "day" else "year(nf.issue_date)"

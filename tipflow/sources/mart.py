@@ -287,6 +287,13 @@ SELECT cli_id, pix_limit AS old_limit,
             ELSE CAST(pix_limit - 60 AS DECIMAL(18,2)) END AS new_limit
 FROM {tenant}""", (), ("tenant",)),
 
+    "limit_feed": ("""
+SELECT CAST(user_id % 25 AS BIGINT) AS cli_id,
+       CASE WHEN event_id % 11 = 0 THEN NULL
+            ELSE CAST(40 + 10 * (user_id % 25) + event_id * 37 % 120 AS DECIMAL(18,2)) END AS new_limit,
+       ts AS changed_at, event_id AS seq
+FROM {events} WHERE event_type = 'signup'""", ("events",), ()),
+
     "login_attempt": ("""
 SELECT event_id AS attempt_id,
        CASE WHEN user_id % 2 = 0 THEN 'USER' || CAST(user_id AS STRING)

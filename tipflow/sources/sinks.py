@@ -2,63 +2,88 @@
 
 Plain parquet has no UPDATE/MERGE, so table-changing jobs produce full
 new-state frames.  :func:`write_state` writes every frame of a job to a
-folder of its own attempt and appends the commit rows last: one row per
-table with the run, the attempt's path and the schema.  Readers follow the
-newest committed run, so a run that fails midway is never visible, a
-retried run replaces what its earlier attempt wrote (also by nothing), and
-an empty frame reads back with its columns: the BEGIN/COMMIT of the
-reference becomes "commit rows written last".
+folder of its own attempt and appends one commit record last, which names the
+run and each table's folder and schema.  Readers follow the log's newest
+record of a run, so a run that fails midway is never visible, a retried run
+replaces what its earlier attempt wrote (also by nothing), and an empty frame
+reads back with its columns: the BEGIN/COMMIT of the reference becomes
+"commit record written last".  The log's versions (:mod:`tipflow.sources.commits`)
+order the attempts; no clock is involved.
+
+Runs of one table are read in one scan over their folders.  :func:`merge_runs`
+rewrites the folders of many runs as one.
 """
 
 from __future__ import annotations
 
-import datetime as dt
+import json
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-COMMITS = "run_id long, committed_at timestamp, table string, path string, schema string"
+from tipflow.sources.commits import Log
 
 
-def read_if_written(spark: SparkSession, path: str, schema) -> DataFrame | None:
-    """The parquet folder, or None if there is no such path; any other error is raised."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
+def _fold(state: dict, record: dict) -> dict:
+    """{table: [[first run, last run, path, schema], ...]} in run order."""
+    for name, (first, last, path, schema) in record.items():
+        parts = state.setdefault(name, [])
+        inside = [p for p in parts if p[0] <= first <= p[1] and p[0] != p[1]]
+        if inside and first == last:
+            raise ValueError(f"run {first} of {name} was merged and cannot be written again")
+        parts[:] = sorted([p for p in parts if p[0] < first or p[1] > last] + [[first, last, path, schema]])
+    return state
+
+
+def _log(spark: SparkSession, root: str) -> Log:
+    return Log(spark, f"{root}/_commits", _fold)
 
 
 def write_attempts(frames: dict[str, DataFrame], root: str, run_id: int) -> None:
-    """Write each frame to a new folder, then all commit rows at once."""
+    """Write each frame to a new folder, then one commit record for all."""
     spark = next(iter(frames.values())).sparkSession
-    rows = []
+    record = {}
     for name, df in frames.items():
-        path = f"{root}/{name}/run_id={run_id}/{uuid.uuid4().hex}"
+        path = f"{root}/{name}/{run_id:012d}-{uuid.uuid4().hex}"
         df.write.parquet(path)
-        rows.append((run_id, dt.datetime.now(dt.timezone.utc).replace(tzinfo=None), name, path, df.schema.json()))
-    spark.createDataFrame(rows, COMMITS).coalesce(1).write.mode("append").parquet(f"{root}/_commits")
-
-
-def committed(spark: SparkSession, root: str, name: str, before: int | None = None) -> list:
-    """Commit rows of a table in run order, the newest attempt of each run (one small row a run)."""
-    commits = read_if_written(spark, f"{root}/_commits", COMMITS)
-    if commits is None:
-        return []
-    commits = commits.where(F.col("table") == name)
-    if before is not None:
-        commits = commits.where(F.col("run_id") < before)
-    newest = commits.groupBy("run_id").agg(F.max(F.struct("committed_at", "path", "schema")).alias("c"))
-    return newest.select("run_id", "c.path", "c.schema").orderBy("run_id").collect()
-
-
-def read_attempt(spark: SparkSession, commit) -> DataFrame:
-    import json
-    return spark.read.schema(StructType.fromJson(json.loads(commit["schema"]))).parquet(commit["path"])
+        record[name] = [run_id, run_id, path, df.schema.json()]
+    log = _log(spark, root)
+    _fold(log.state()[1], record)  # raises before the commit
+    log.commit(lambda state: record)
+
+
+def committed(spark: SparkSession, root: str, name: str, before: int | None = None, since: int | None = None) -> list:
+    """[first run, last run, path, schema] of the table's folders in run order; only whole folders of runs in the range."""
+    parts = _log(spark, root).state()[1].get(name, [])
+    return [p for p in parts if (before is None or p[1] < before) and (since is None or p[0] >= since)]
+
+
+def read_runs(spark: SparkSession, parts: list) -> DataFrame | None:
+    """All rows of the folders, in one scan for each schema (a later schema may add columns)."""
+    schemas: dict[str, list[str]] = {}
+    for _, _, path, schema in parts:
+        schemas.setdefault(schema, []).append(path)
+    out = None
+    for schema, paths in schemas.items():
+        df = spark.read.schema(StructType.fromJson(json.loads(schema))).parquet(*paths)
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
+def merge_runs(spark: SparkSession, root: str, name: str, before: int) -> None:
+    """Rewrite the folders of single runs before ``before`` as one folder (their rows as they are)."""
+    log = _log(spark, root)
+    single = [p for p in log.state()[1].get(name, []) if p[0] == p[1] and p[1] < before]
+    if len(single) < 2:
+        return
+    merged = read_runs(spark, single)
+    first, last = single[0][0], single[-1][1]
+    path = f"{root}/{name}/{first:012d}-{last:012d}-{uuid.uuid4().hex}"
+    merged.write.parquet(path)
+    version, state = log.state()
+    if [p for p in state[name] if first <= p[0] and p[1] <= last] == single:  # else another writer was here
+        log.append(version + 1, {name: [first, last, path, merged.schema.json()]})
 
 
 def write_state(frames: dict[str, DataFrame], root: str, run_id: int) -> None:
@@ -67,10 +92,10 @@ def write_state(frames: dict[str, DataFrame], root: str, run_id: int) -> None:
 
 def read_state(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The table as of the newest committed run that wrote it."""
-    runs = committed(spark, root, name)
-    if not runs:
+    parts = committed(spark, root, name)
+    if not parts:
         raise ValueError(f"no committed run of {name} under {root}")
-    return read_attempt(spark, runs[-1])
+    return read_runs(spark, parts[-1:])
 
 
 def write_csv(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
