@@ -252,3 +252,60 @@ def test_collaborator_update_writes_every_field(spark):
     assert got[2] == (1, "BIA", None, None, None, None, None, 1, True, None)
     assert got[3] == (*keep, "CPF inválido") and got[6] == (*keep, "Email inválido") and got[5] == (*keep, None)
     assert got[4] == (1, "OLD", "1", "o@x.yz", "11", dt.date(1980, 1, 1), "M", 2, True, None)
+
+
+def test_portuguese_order_of_names(spark):
+    """Accents and case come after the letters; without a collation the order is binary."""
+    from tipflow.functions.columns import text_order
+    names = ["Zé", "Ábaco", "abaco", "Abel", "ábaco", "Éden", "eden", "A b", "Ab", "ção", "Cao", None]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    by = lambda c: [r.n for r in df.orderBy(text_order("n", c), "n").collect()]
+    assert by("pt") == [None, "A b", "Ab", "abaco", "ábaco", "Ábaco", "Abel", "Cao", "ção", "eden", "Éden", "Zé"]
+    assert by(None) == [None, *sorted(n for n in names if n)]
+    m = mart(spark, SF_SMALL)
+    binary, pt = ([r.usr_name for r in people.collaborator_names_page(m, c, limit=1000).where("cli_id = 3").orderBy("pos").collect()]
+                  for c in (None, "pt"))
+    assert sorted(binary) == sorted(pt) and binary != pt and binary == sorted(binary)
+    for listing in (people.collaborators_active(m, collation="pt"), people.collaborators_all(m, "", collation="pt")):
+        assert listing.where("pos < 1 or pos > 100").count() == 0 and listing.count() > 0
+
+
+def test_pages_do_not_clamp(spark):
+    import pytest
+    m = mart(spark, SF_SMALL)
+    total = m.collaborator.filter("sit_id = 1").count()
+    assert people.collaborators_active(m, limit=10_000).count() == total
+    for bad in ({"limit": 0}, {"limit": -1}, {"limit": 5, "offset": -1}):
+        with pytest.raises(ValueError):
+            people.collaborators_active(m, **bad)
+
+
+def test_sketches_add_up_from_days_to_any_span(spark):
+    from tipflow.operators import dashboard as d
+    from tipflow.plans.registry import END, START
+    m = mart(spark, "/root/testdata/sf0.01")
+    daily = d.daily_topup_sketches(m, START, END)
+    half = daily.where("credit_date < '1998-06-01'").unionByName(daily.where("credit_date >= '1998-06-01'"))
+    year = half.groupBy("cli_id", F.year("credit_date").alias("y")).agg(
+        F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("est"))
+    exact = d.released_credits(m, START, END).groupBy("cli_id", F.year("credit_date").alias("y")).agg(
+        F.countDistinct("usr_id").alias("n"))
+    rows = year.join(exact, ["cli_id", "y"]).collect()
+    assert rows and all(abs(r.est - r.n) <= max(1, d.SKETCH_ERROR * r.n) for r in rows)
+
+
+def test_collaborators_are_created_with_their_categories(spark, scratch):
+    m = mart(spark, SF_SMALL)
+    existing = m.category.where("cli_id = 1").select("set_id").orderBy("set_id").limit(2).collect()
+    a, b = (r.set_id for r in existing)
+    other = m.category.where("cli_id = 2").first().set_id
+    asked = [[a, b, a], None, [a], [other, -5], []]
+    cpfs = ["529.982.247-25", "111.444.777-35", "000.000.000-00", "123.456.789-09", "987.654.321-00"]
+    df = spark.createDataFrame([(i, 1, f"n{i}", cpfs[i], None, None, None, None, asked[i]) for i in range(5)],
+                               "ord long, cli_id long, nome string, cpf string, email string, celular string, "
+                               "nascimento string, sexo string, categorias array<long>")
+    out = people.create_with_categories(m, df, AS_OF, ledger=f"{scratch}/ids")
+    made = {r.ord: r.usr_id for r in out["decisions"].collect() if r.status == "criado"}
+    assert set(made) == {0, 1, 3, 4}
+    assert {tuple(r) for r in out["links"].collect()} == {(made[0], a), (made[0], b)}
+    assert out["collab_category"].count() == m.collab_category.count() + 2

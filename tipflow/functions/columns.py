@@ -118,6 +118,12 @@ def js_trim(col) -> Column:
     return F.regexp_replace(c(col), f"^{_JS_SPACE}|{_JS_SPACE}$", "")
 
 
+def text_order(col, collation: str | None = None) -> Column:
+    """Sort key of a text: binary without a collation, else as the named one orders it (``pt``: Portuguese,
+    accents and case after the letters, as the reference's database sorts its lists)."""
+    return c(col) if collation is None else F.collate(c(col), collation)
+
+
 def digits(col) -> Column:
     """Digits only (JS ``replace(/\\D/g, '')``)."""
     return F.regexp_replace(c(col), r"[^0-9]", "")

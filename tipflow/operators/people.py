@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tipflow.functions.columns import (EMAIL_PATTERN, NO_CATEGORY, cpf_valid, digits, js_trim, leading_number,
-                                       pad_cpf, parse_birth_date, sql_digits)
+                                       pad_cpf, parse_birth_date, sql_digits, text_order)
 from tipflow.functions import messages as M
 from tipflow.operators.ids import dense_ids
 from tipflow.session import checkpoint_dir
@@ -28,12 +28,13 @@ def _with_lookups(m: Mart, u: DataFrame) -> DataFrame:
 
 
 def collaborators_active(m: Mart, term: str = "", category: str | None = None,
-                         limit: int | None = 50, offset: int = 0, cli_id=None) -> DataFrame:
+                         limit: int | None = 50, offset: int = 0, cli_id=None, collation: str | None = None) -> DataFrame:
     """Active collaborators: name ILIKE or CPF LIKE the term; optional category.
 
     The category filter keeps a collaborator when a link row points to a
     category of that name OR their own category column does (an existence
-    join under OR); the page is per tenant, ordered by name.
+    join under OR); the page is per tenant, ordered by name (:func:`text_order`).  Page sizes below 1
+    and offsets below 0 raise ValueError; ``topups.clamped_page`` is the bound of the reference's screens.
     """
     u = m.collaborator.filter(F.col("sit_id") == 1)
     if cli_id is not None:
@@ -57,8 +58,9 @@ def collaborators_active(m: Mart, term: str = "", category: str | None = None,
         F.coalesce("fee_rate", F.lit(0).cast("decimal(9,4)")).alias("fee_rate"))
     if limit is None:
         return rows
-    limit = min(max(int(limit), 1), 500)
-    w = Window.partitionBy("cli_id").orderBy("usr_name", "usr_id")
+    if int(limit) < 1 or int(offset) < 0:
+        raise ValueError(f"page size {limit} at {offset}")
+    w = Window.partitionBy("cli_id").orderBy(text_order("usr_name", collation), "usr_name", "usr_id")
     return (rows.withColumn("pos", F.row_number().over(w).cast("long"))
             .filter((F.col("pos") > offset) & (F.col("pos") <= offset + limit)))
 
@@ -104,9 +106,9 @@ def sheet_cpf_keys(m: Mart) -> DataFrame:
                                  pad_cpf(digits(js_trim("cpf"))).alias("cpf"))
 
 
-def categories(m: Mart) -> DataFrame:
+def categories(m: Mart, collation: str | None = None) -> DataFrame:
     """Categories of every tenant ordered by name."""
-    return m.category.select("cli_id", "set_id", "set_name").orderBy("cli_id", "set_name")
+    return m.category.select("cli_id", "set_id", "set_name").orderBy("cli_id", text_order("set_name", collation), "set_name")
 
 
 def restaurants(m: Mart) -> DataFrame:
@@ -147,14 +149,14 @@ def _matching(m: Mart, term: str, legacy_digits: bool) -> DataFrame:
 
 
 def collaborators_all(m: Mart, term: str, legacy_digits: bool = False, limit: int = 100,
-                      offset: int = 0) -> DataFrame:
+                      offset: int = 0, collation: str | None = None) -> DataFrame:
     """All statuses; term over name, digits CPF, CPF, status name and tenant name; a page per tenant.
 
     A term without digits makes the digits pattern ``%%``, which matches every
     collaborator in the reference (S9); that branch is only kept with
     ``legacy_digits=True``.
     """
-    w = Window.partitionBy("cli_id").orderBy("usr_name", "usr_id")
+    w = Window.partitionBy("cli_id").orderBy(text_order("usr_name", collation), "usr_name", "usr_id")
     return (_matching(m, term, legacy_digits)
             .select("cli_id", "usr_id", "usr_name", "cpf", "trade_name", F.col("sit_name").alias("status"), "sit_id")
             .withColumn("pos", F.row_number().over(w).cast("long"))
@@ -319,7 +321,7 @@ def validate_collaborator_sheet(m: Mart, as_of: str) -> DataFrame:
                     "reasons", (F.size("reasons") == 0).alias("is_valid")))
 
 
-def bulk_import_collaborators(m: Mart, rows: DataFrame) -> DataFrame:
+def bulk_import_collaborators(m: Mart, rows: DataFrame, ledger: str | None = None) -> DataFrame:
     """Per valid sheet row: 'existente' (CPF already in the tenant, or an
     earlier line of the same file) or 'criado' with a new id.
 
@@ -336,7 +338,8 @@ def bulk_import_collaborators(m: Mart, rows: DataFrame) -> DataFrame:
     r = rows.join(existing, ["cli_id", "cpf"], "left").join(first, ["cli_id", "cpf"]).checkpoint(eager=True)
     fresh = r.filter(F.col("existing_id").isNull() & (F.col("line") == F.col("first_line")))
     current_max = m.collaborator.agg(F.coalesce(F.max("usr_id"), F.lit(0)).alias("m"))
-    new_ids = dense_ids(fresh.select("cli_id", "cpf", "line"), ["cli_id", "line"], current_max, "new_id")
+    new_ids = dense_ids(fresh.select("cli_id", "cpf", "line"), ["cli_id", "line"], current_max, "new_id", stored=True,
+                        ledger=ledger)
     return (r.join(new_ids.select("cli_id", "cpf", "new_id"), ["cli_id", "cpf"], "left")
             .select("cli_id", "line", "nome", "cpf",
                     F.when(F.col("existing_id").isNull() & (F.col("line") == F.col("first_line")), "criado")
@@ -378,6 +381,29 @@ def orphan_categories(m: Mart, change: DataFrame) -> DataFrame:
                     (F.coalesce("lost", F.lit(False)) & F.col("n_links").isNull()).alias("deleted")))
 
 
+def collaborator_names_page(m: Mart, collation: str | None = "pt", limit: int = 50, offset: int = 0) -> DataFrame:
+    """A page of names per tenant in the order of a collation, with their places."""
+    w = Window.partitionBy("cli_id").orderBy(text_order("usr_name", collation), "usr_name", "usr_id")
+    return (m.collaborator_pt.select("cli_id", "usr_id", "usr_name").withColumn("pos", F.row_number().over(w).cast("long"))
+            .filter((F.col("pos") > offset) & (F.col("pos") <= offset + limit)))
+
+
+def create_with_categories(m: Mart, inserts: DataFrame, as_of: str, ledger: str | None = None) -> dict:
+    """E10 + E15 as one job: collaborators as :func:`insert_collaborators` decides, linked to the categories given.
+
+    ``inserts`` has a further column ``categorias`` (array of category ids, or null).  Returns the
+    decisions and the link table after it: ids that are no category of the collaborator's tenant
+    link to nothing, and a pair is linked once.  Rejected requests link nothing.
+    """
+    checkpoint_dir(inserts.sparkSession)
+    decided = insert_collaborators(m, inserts, as_of, ledger).checkpoint(eager=True)
+    asked = inserts.select("ord", F.explode("categorias").alias("set_id"))
+    links = (decided.filter(F.col("status") == "criado").select("ord", "usr_id", "cli_id").join(asked, "ord")
+             .join(m.category.select("set_id", "cli_id"), ["set_id", "cli_id"], "left_semi").select("usr_id", "set_id"))
+    return {"decisions": decided, "collab_category": m.collab_category.select("usr_id", "set_id").unionByName(links)
+            .dropDuplicates(["usr_id", "set_id"]), "links": links.distinct()}
+
+
 def create_categories(m: Mart) -> DataFrame:
     """Category table after adding the sheet categories (upper-case names, B10 ids)."""
     from tipflow.operators.ids import new_category_ids
@@ -396,7 +422,7 @@ INSERT_REASONS = (M.SHEET_NAME_REQUIRED, M.SHEET_CPF_REQUIRED, M.TENANT_REQUIRED
                   M.EMAIL_INVALID, M.BIRTH_DATE_INVALID, M.CPF_DUPLICATE)
 
 
-def insert_collaborators(m: Mart, inserts: DataFrame, as_of: str) -> DataFrame:
+def insert_collaborators(m: Mart, inserts: DataFrame, as_of: str, ledger: str | None = None) -> DataFrame:
     """E10 insert path: one decision per requested collaborator, in arrival order ``ord``.
 
     Checks in the reference's order (the first failing one is the reason):
@@ -432,7 +458,7 @@ def insert_collaborators(m: Mart, inserts: DataFrame, as_of: str) -> DataFrame:
                                             F.lit(INSERT_REASONS[6])).otherwise(F.col("reason"))))
     ok = checked.filter(F.col("reason").isNull())
     current_max = m.collaborator.agg(F.coalesce(F.max("usr_id"), F.lit(0)).alias("m"))
-    ids = dense_ids(ok.select("ord"), ["ord"], current_max, "usr_id")
+    ids = dense_ids(ok.select("ord"), ["ord"], current_max, "usr_id", ledger=ledger)
     return (checked.join(ids, "ord", "left")
             .select("ord", "cli_id",
                     F.when(F.col("reason").isNull(), "criado").otherwise("rejeitado").alias("status"),

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tipflow.functions.columns import (MONEY_SUM, NO_CATEGORY, PAID_STATUSES, batch_status,
-                                       in_period, lower_in, month_label_pt, sql_digits, status_label)
+                                       in_period, lower_in, month_label_pt, sql_digits, status_label, text_order)
 from tipflow.sources.mart import Mart
 from tipflow.sources.sinks import write_csv  # noqa: F401  (A4 sink used by report exports)
 
@@ -166,7 +166,14 @@ def collaborator_history_monthly(m: Mart, start, end, cli_id=None, usr_id=None,
             .orderBy("usr_id", F.desc("month_key")))
 
 
-def collaborator_lookup(m: Mart, term: str = "", cli_id=None, k: int = 50) -> DataFrame:
+def collaborator_history_nested(m: Mart, start, end, cli_id=None, usr_id=None) -> DataFrame:
+    """The month lists of :func:`collaborator_history_monthly`, one row a credit with its place in the list."""
+    months = collaborator_history_monthly(m, start, end, cli_id, usr_id, nested=True)
+    return months.select("cli_id", "usr_id", "month_key", "month_total", F.posexplode("credits").alias("pos", "credit")).select(
+        "cli_id", "usr_id", "month_key", "month_total", "pos", "credit.credit_date", "credit.credit_value", "credit.batch_id")
+
+
+def collaborator_lookup(m: Mart, term: str = "", cli_id=None, k: int = 50, collation: str | None = None) -> DataFrame:
     """Active collaborators matching a search term, first ``k`` by name per tenant.
 
     A term with digits matches name ILIKE or digits-only CPF LIKE; a term
@@ -182,7 +189,7 @@ def collaborator_lookup(m: Mart, term: str = "", cli_id=None, k: int = 50) -> Da
         if only_digits:
             cond = cond | sql_digits("cpf").like(f"%{only_digits}%")
         u = u.filter(cond)
-    w = Window.partitionBy("cli_id").orderBy("usr_name", "usr_id")
+    w = Window.partitionBy("cli_id").orderBy(text_order("usr_name", collation), "usr_name", "usr_id")
     return (u.withColumn("pos", F.row_number().over(w).cast("long")).filter(F.col("pos") <= k)
             .select("cli_id", "pos", "usr_id", "usr_name", "cpf"))
 

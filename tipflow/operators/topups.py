@@ -511,7 +511,7 @@ def ignored_request_lines(resolved: DataFrame) -> DataFrame:
 
 
 def generate_credits(m: Mart, as_of: str, login: str = "sistema", requests: DataFrame | None = None,
-                     credit_ids: bool = True) -> dict:
+                     credit_ids: bool = True, ledger: str | None = None) -> dict:
     """Credits, batches and invoices for every valid request (D12), in one pass.
 
     Lines resolve to active collaborators of the request's tenant — by id, or
@@ -521,7 +521,7 @@ def generate_credits(m: Mart, as_of: str, login: str = "sistema", requests: Data
     gets one open invoice (due as_of + 10) with the tenant's fee split (D4).
     Credits: product 201, status 2, date = requested date or as_of, CPF
     unmasked and padded.  New ids continue from the current maxima in request
-    / line order (:func:`dense_ids`); ``credit_ids=False`` skips the credit-id
+    / line order (:func:`dense_ids`, which ``ledger`` is for); ``credit_ids=False`` skips the credit-id
     allocation when only the summary is wanted.  Returns the new rows per
     table plus the ignored lines and a per-request summary.
     """
@@ -534,47 +534,46 @@ def generate_credits(m: Mart, as_of: str, login: str = "sistema", requests: Data
     ignored = ignored_request_lines(resolved)
     good = resolved.filter(F.col("reason").isNull())
 
-    # every valid request has at least one line, so its head comes from its lines
-    heads = resolved.select("request_id", "cli_id", "req_title").dropDuplicates(["request_id"])
+    # every valid request has at least one line, so its head comes from its lines: one aggregate gives the
+    # heads, their totals and counts, and both kinds of ids are given to it
+    is_good = F.col("reason").isNull()
+    heads = (resolved.groupBy("request_id").agg(
+        F.first("cli_id").alias("cli_id"), F.first("req_title").alias("req_title"),
+        F.sum(F.when(is_good, F.col("v").cast(MONEY))).cast("decimal(20,2)").alias("gross"),
+        F.count_if(is_good).alias("n_credits"), F.count_if(~is_good).alias("n_ignored")).checkpoint(eager=True))
     max_batch = m.batch.agg(F.coalesce(F.max("batch_id"), F.lit(0)).alias("m"))
-    batches = dense_ids(heads, ["request_id"], max_batch, "batch_id")
+    batches = dense_ids(heads, ["request_id"], max_batch, "batch_id", stored=True, ledger=ledger)
     as_of_ts = F.to_timestamp(F.lit(as_of))
     batch = batches.select("batch_id", "cli_id", as_of_ts.alias("imported_at"), F.lit(login).alias("created_by"),
                            F.lit(None).cast("string").alias("batch_status"), F.col("req_title").alias("title"),
                            "request_id")
 
-    credits0 = good.join(batches.select("request_id", "batch_id"), "request_id").join(
-        m.collaborator.select("usr_id", F.col("cpf").alias("usr_cpf")), "usr_id")
-    gross = (credits0.groupBy("request_id", "batch_id", "cli_id")
-             .agg(F.sum(F.col("v").cast(MONEY)).cast("decimal(20,2)").alias("gross")))
     t = m.tenant.select("cli_id", "fee_rate", "fee_type")
     service, charge, movement = fee_split("gross", "fee_rate", "fee_type")
     max_not = m.invoice.agg(F.coalesce(F.max("not_id"), F.lit(0)).alias("m"))
-    inv0 = dense_ids(gross.join(t, "cli_id"), ["request_id"], max_not, "not_id")
+    paying = heads.filter(F.col("n_credits") > 0)
+    inv0 = (dense_ids(paying, ["request_id"], max_not, "not_id", stored=True, ledger=ledger).join(t, "cli_id")
+            .join(batches.select("request_id", "batch_id"), "request_id"))
     as_of_d = F.to_date(F.lit(as_of))
     invoice = inv0.select("not_id", "cli_id", as_of_d.alias("issue_date"), F.date_add(as_of_d, 10).alias("due_date"),
                           F.col("gross").cast(MONEY).alias("gross_value"), charge.alias("invoice_value"),
                           service.alias("service_value"), movement.alias("movement_value"),
                           F.lit("A").alias("situation"), "batch_id", "request_id")
+    lines = good.drop("cli_id").join(invoice.select("request_id", "batch_id", "not_id", "cli_id"), "request_id")
     if credit_ids:
         max_cre = m.credit.agg(F.coalesce(F.max("cre_id"), F.lit(0)).alias("m"))
-        cre = dense_ids(credits0, ["request_id", "line_no"], max_cre, "cre_id")
+        cre = dense_ids(lines, ["request_id", "line_no"], max_cre, "cre_id", ledger=ledger)
     else:  # callers that only need the per-request summary skip the credit-id allocation
-        cre = credits0.withColumn("cre_id", F.lit(None).cast("long"))
-    credit = (cre.join(invoice.select("batch_id", "not_id"), "batch_id")
+        cre = lines.withColumn("cre_id", F.lit(None).cast("long"))
+    credit = (cre.join(m.collaborator.select("usr_id", F.col("cpf").alias("usr_cpf")), "usr_id")
               .select("cre_id", "usr_id", "batch_id", "cli_id", F.col("v").cast(MONEY).alias("credit_value"),
                       F.coalesce("credit_date", as_of_d).alias("credit_date"), F.lit(2).alias("sit_id"), "not_id",
                       as_of_d.alias("import_date"), pad_cpf_digits("usr_cpf", sql_style=True).alias("cpf"),
                       F.lit(201).alias("product_id"), F.lit(login).alias("created_by"), "request_id", "line_no"))
-    n_ign = ignored.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_ignored"))
-    n_cre = credit.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_credits"))
-    summary = (batch.select("request_id", "cli_id", "batch_id")
+    summary = (batches.select("request_id", "cli_id", "batch_id", "n_credits", "n_ignored")
                .join(invoice.select("request_id", "not_id", "gross_value", "service_value", "invoice_value",
                                     "movement_value"), "request_id", "left")
-               .join(n_cre, "request_id", "left").join(n_ign, "request_id", "left")
-               .select("request_id", "cli_id", "batch_id", "not_id",
-                       F.coalesce("n_credits", F.lit(0)).alias("n_credits"),
-                       F.coalesce("n_ignored", F.lit(0)).alias("n_ignored"),
+               .select("request_id", "cli_id", "batch_id", "not_id", "n_credits", "n_ignored",
                        "gross_value", "service_value", "invoice_value", "movement_value"))
     return {"batch": batch, "credit": credit, "invoice": invoice, "ignored": ignored, "summary": summary}
 

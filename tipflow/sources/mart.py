@@ -71,6 +71,17 @@ FROM (SELECT c_custkey AS usr_id, c_name AS usr_name, CAST(c_nationkey AS BIGINT
              lpad(CAST(c_custkey AS STRING), 11, '0') AS p
       FROM {{customer}}) AS c""", ("customer",), ()),
 
+    # the same people under Portuguese names, in both cases
+    "collaborator_pt": ("""
+SELECT cli_id, usr_id,
+       CASE usr_id % 12 WHEN 0 THEN 'Álvaro' WHEN 1 THEN 'alvaro' WHEN 2 THEN 'Ana' WHEN 3 THEN 'Âmbar' WHEN 4 THEN 'Érica'
+            WHEN 5 THEN 'erica' WHEN 6 THEN 'Estêvão' WHEN 7 THEN 'Estevao' WHEN 8 THEN 'Conceição' WHEN 9 THEN 'conceicao'
+            WHEN 10 THEN 'Zoé' ELSE 'Ünder' END
+       || CASE WHEN usr_id % 5 = 0 THEN '' WHEN usr_id % 5 = 1 THEN ' ' ELSE '-' END
+       || CASE usr_id % 7 WHEN 0 THEN 'Luís' WHEN 1 THEN 'luis' WHEN 2 THEN 'Sá' WHEN 3 THEN 'Sa' WHEN 4 THEN 'Assunção'
+            WHEN 5 THEN 'Órfão' ELSE 'orfao' END AS usr_name
+FROM {collaborator}""", (), ("collaborator",)),
+
     "batch": (f"""
 SELECT batch_id, cli_id, min(min(o_orderdate)) OVER (PARTITION BY batch_id % 1000001) AS imported_at,
        'user' || CAST(batch_id % 5 AS STRING) AS created_by,
