@@ -61,7 +61,8 @@ def op6_decontamination(spark, sf_dir):
 
 
 def op7_substring_dedup(spark, sf_dir):
-    """(doc_id, start, end, words, kept_doc_id, kept_start) of every repeated line or sentence but the earliest."""
+    """(doc_id, start, end, words, kept_doc_id, kept_start) of every repeated line, sentence or run
+    of sentences but the earliest."""
     return substrings.removals(table(spark, sf_dir, "documents"))
 
 

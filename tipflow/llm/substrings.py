@@ -5,13 +5,14 @@
   sentences; a line without such an end is one sentence.  A unit is normalised to its words, A-Z
   lower-cased, one space apart.  Sentences under ``SENTENCE_WORDS`` and lines or paragraphs under
   ``MIN_WORDS`` words are left alone.
-* With ``run_words``, runs of sentences across lines are units too: from each sentence start on, and back
-  from each sentence end, until so many words are reached.  So a long passage of short sentences or
-  lines is found.  ``deduplicated`` takes them; ``removals`` does if told, and by itself returns
-  the lines and sentences that ``oracle_sql`` states.
+* Runs of sentences across lines are units too: from each sentence start on, and back from each
+  sentence end, until ``RUN_WORDS`` words are reached.  So a long passage of short sentences or
+  lines is found.
 * A 128-bit digest of the normalised unit, with its place, goes to Spark; the digests are grouped
   over all documents (partial aggregation first, so a unit that a third of all documents share is
-  small) and the occurrence with the smallest (doc_id, offset) stays.
+  small) and the occurrence with the smallest (doc_id, offset) stays.  Units are made from the texts
+  twice, not stored: the second time only those that a filter of bounded size lets through as
+  repeated, which then meet the places that stay.
 * All other occurrences are removals, with offsets in the original text (code points, end exclusive).
   A repeated line and its repeated sentences are removals each.
 """
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tipflow.llm.common import _SPACE, U64, mix, shift, slices, utf8, word_hashes, written
+from tipflow.llm.ngram_join import BITMAP, _bitmap
 
 MIN_WORDS = 25
 SENTENCE_WORDS = 12
@@ -133,10 +135,11 @@ def _found(data: np.ndarray, at: np.ndarray, kind: str, least: int):
 
 
 def units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS,
-          sentence_words: int | None = SENTENCE_WORDS, run_words: int | None = None) -> DataFrame:
+          sentence_words: int | None = SENTENCE_WORDS, run_words: int | None = RUN_WORDS, wanted=None) -> DataFrame:
     """(doc_id, hash, start, end, words, d1, d2) of every unit with enough words.
 
     ``unit`` is line or paragraph; ``sentence_words=None`` takes no sentences, ``run_words=None`` no runs.
+    ``wanted``, a broadcast filter of d1, leaves out the units whose bit is not set.
     """
     kinds = [(unit, min_words)]
     if sentence_words is not None:
@@ -150,7 +153,11 @@ def units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS,
             for a, b in slices(at):
                 for kind, least in kinds if at[b] > at[a] else ():
                     got = _found(data, at[a:b + 1], kind, least)
-                    if got is not None:
+                    if got is not None and wanted is not None:
+                        bit = got[-2] % BITMAP
+                        some = (wanted.value[bit >> 6] >> (bit & 63).astype(U64)) & U64(1) == 1
+                        got = [column[some] for column in got]
+                    if got is not None and len(got[0]):
                         row = pa.array(got[0] + a)
                         yield pa.RecordBatch.from_arrays(
                             [batch.column("doc_id").take(row), batch.column("hash").take(row), *map(pa.array, got[1:])],
@@ -162,16 +169,18 @@ def units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS,
 
 def _removals(docs: DataFrame, unit: str, min_words: int, sentence_words: int | None,
               run_words: int | None) -> DataFrame:
-    found = written(units(docs, unit, min_words, sentence_words, run_words), "units")
+    how = (unit, min_words, sentence_words, run_words)
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start")
-    kept = (found.groupBy("d1", "d2").agg(F.count("*").alias("number"), F.min(place).alias("kept"))
-            .where("number > 1").select("d1", "d2", "kept"))
+    kept = written(units(docs, *how).groupBy("d1", "d2").agg(F.count("*").alias("number"), F.min(place).alias("kept"))
+                   .where("number > 1").select("d1", "d2", "kept"), "kept")
+    wanted = docs.sparkSession.sparkContext.broadcast(_bitmap(kept.select(F.col("d1").alias("hash"))))
+    found = units(docs, *how, wanted)
     return found.join(kept, ["d1", "d2"]).where(
         ~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("start") == F.col("kept.start"))))
 
 
 def removals(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS,
-             sentence_words: int | None = SENTENCE_WORDS, run_words: int | None = None) -> DataFrame:
+             sentence_words: int | None = SENTENCE_WORDS, run_words: int | None = RUN_WORDS) -> DataFrame:
     """(doc_id, start, end, words, kept_doc_id, kept_start) of every repeated unit but the earliest.
 
     Null doc_ids rank last.  Rows that repeat a doc_id hold the same occurrence where their offsets
@@ -221,8 +230,8 @@ def _cut(text: str | None, spans: list[dict]) -> str | None:
     return "".join([*parts, text[at:]]) if spans else text
 
 
-def oracle_sql(min_words: int = MIN_WORDS, sentence_words: int = SENTENCE_WORDS) -> str:
-    """The same removals of lines and sentences as DuckDB SQL, by the normalised text itself."""
+def oracle_sql(min_words: int = MIN_WORDS, sentence_words: int = SENTENCE_WORDS, run_words: int = RUN_WORDS) -> str:
+    """The same removals of lines, sentences and runs as DuckDB SQL, by the normalised text itself."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     ends = "[.!?][\\x20\\x09\\x0B-\\x0D]"
 
@@ -240,8 +249,20 @@ def oracle_sql(min_words: int = MIN_WORDS, sentence_words: int = SENTENCE_WORDS)
     return f"""
 with {pieces('sentence', cut, sentence_words, 'true')},
 {pieces('line', 'text', min_words, f"regexp_matches(piece, '{ends}')")},
+worded as (select doc_id, start, "end", w, sum(len(w)) over (partition by doc_id order by start)::bigint as upto
+           from sentence3 where len(w) > 0),
+counted as (select *, upto - len(w) as past from worded),
+spans as (
+  select a.doc_id, a.past, b.upto, a.start, b."end" from counted a asof join counted b
+    on a.doc_id = b.doc_id and a.past + {run_words} <= b.upto where a.start < b.start
+  union
+  select a.doc_id, b.past, a.upto, b.start, a."end" from counted a asof join counted b
+    on a.doc_id = b.doc_id and a.upto - {run_words} >= b.past where b.start < a.start),
+texts as (select doc_id, flatten(list(w order by start)) as every from worded group by doc_id),
+run as (select doc_id, start, "end", upto - past as words, array_to_string(every[past + 1:upto], ' ') as unit
+        from spans join texts using (doc_id)),
 ranked as (select *, first_value(doc_id) over o as kept_doc_id, first_value(start) over o as kept_start
-           from (select * from sentence union all select * from line) u
+           from (select * from sentence union all select * from line union all select * from run) u
            window o as (partition by unit order by doc_id, start))
 select doc_id, start, "end"::bigint as "end", words, kept_doc_id, kept_start from ranked
 where doc_id <> kept_doc_id or start <> kept_start
