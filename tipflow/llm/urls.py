@@ -104,10 +104,35 @@ def train(rows: DataFrame, sample: int = SAMPLE) -> gbt.Boosted:
     """Trees for blocking from ``rows (url, features, verdict)``; rows without a verdict teach nothing."""
     got = collected(rows.where("verdict is not null").select("features", (F.col("verdict") == "block").cast("double").alias("y"))
                     .orderBy(F.xxhash64("features"), "features", "y").limit(sample))
-    x = np.array(got["features"].tolist(), float).reshape(len(got["y"]), len(LEXICAL) + 2 * len(SUFFIXES))
+    x = np.array(got["features"].tolist(), float).reshape(len(got["y"]), -1 if len(got["y"]) else len(LEXICAL))
     return gbt.fit(x, got["y"].astype(float))
 
 
+def held_out_accuracy(pages: DataFrame, rules: list[Rule], folds: int = 5, cut: float = CUT, sample: int = SAMPLE) -> DataFrame:
+    """(suffixes, urls, accuracy, base): how the trees judge rule-decided URLs of hosts that they have not seen.
+
+    One host in ``folds``, by its hash, is held out with all its URLs.  One row with the suffix
+    statistics among the features and one without; base is the share of the larger class.  Null where
+    no URL is held out.
+    """
+    host, path = parts(F.col("url"))
+    decided = (pages.select("url", host.alias("host"), path.alias("path"))
+               .withColumn("verdict", matched(F.col("host"), F.col("path"), rules)["verdict"]).where("verdict is not null"))
+    rows = written(features(decided).select("host", "verdict", "features"), "features")
+    rows = rows.withColumn("held", F.pmod(F.xxhash64("host"), F.lit(folds)) == 0)
+    out = None
+    for suffixes in (True, False):
+        mine = rows if suffixes else rows.withColumn("features", F.slice("features", 1, len(LEXICAL)))
+        model = train(mine.where("not held"), sample)
+        blocked = (F.col("score") >= cut) if len(model.feature) else F.lit(False)
+        share = F.avg((F.col("verdict") == "block").cast("double"))
+        got = scored(mine.where("held"), model, ["verdict"]).agg(
+            F.count("*").alias("urls"), F.avg((blocked == (F.col("verdict") == "block")).cast("double")).alias("accuracy"),
+            F.greatest(share, 1 - share).alias("base")).select(F.lit(suffixes).alias("suffixes"), "urls", "accuracy", "base")
+        out = got if out is None else out.unionAll(got)
+    return out
+
+
 def judge(pages: DataFrame, rules: list[Rule], labelled: DataFrame | None = None, cut: float = CUT,
           sample: int = SAMPLE) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) of every row of ``pages (page_id, url)``.
