@@ -408,6 +408,16 @@ def test_trees_are_monotone_and_flat():
         assert (sign * (model.score(higher) - model.score(x)) >= -1e-12).all()
 
 
+def test_pipeline_run_leaves_only_what_it_reads(spark):
+    from tipflow.llm import common
+    begin = len(common._paths)
+    out = corpus_pipeline.run(spark, SF)
+    left = common._paths[begin:]
+    assert out.count() > 0 and left and sum("/pii-" in p for p in left) == 1
+    # the last stage may keep tables of its own; of the others one result is left
+    assert not [p for p in left if any(f"/{n}-" in p for n in ("language_id", "ngram_jaccard_join", "profile", "blocks", "links"))]
+
+
 def test_pipeline_brute_force(spark, texts, con):
     """Each stage's decision on what the stage before it kept."""
     docs = table(spark, SF, "documents")

@@ -34,14 +34,31 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{app_id(spark)}-llm/{name}-{uuid.uuid4().hex}"
 
 
+_paths: list[str] = []  # what ``written`` has left in the shared folder
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read back."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
+    _paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_written(spark: SparkSession, before: int, after: int) -> int:
+    """Delete the tables written from number ``before`` up to ``after``, which nothing reads any longer.
+
+    Returns how many are left, the number of the next one.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in _paths[before:after]:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    del _paths[before:after]
+    return len(_paths)
+
+
 def collected(df: DataFrame) -> dict[str, np.ndarray]:
     """The columns of a table of proven size on the driver, moved as Arrow batches (no row objects)."""
     table = df.toArrow()
