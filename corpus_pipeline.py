@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tipflow.llm import decontaminate, langid, mixing, ngram_join, pii
-from tipflow.llm.common import table, written
+from tipflow.llm.common import _paths, drop_written, table, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,8 +59,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole table of documents."""
+    """All stages over the whole table of documents.
+
+    Once a stage's result is written, the tables it wrote on the way and the result before it are deleted.
+    """
     docs = table(spark, sf_dir, "documents")
+    begin = len(_paths)
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        drop_written(spark, begin, len(_paths) - 1)
     return STAGES[-1][1](spark, docs, sf_dir)
