@@ -96,6 +96,18 @@ def test_decontamination(nasty, empty, items, limit):
     assert decontaminate.contaminated(nasty, items.where("false"), broadcast_bytes=limit).collect() == []
 
 
+@pytest.mark.parametrize("limit", [64 << 20, 0])
+def test_short_items_inside_long_documents(spark, limit):
+    long = " ".join(f"w{i}" for i in range(3000))
+    docs = spark.createDataFrame([(1, long + " Fox JUMPS over " + long), (2, "fox jumps"), (3, "fox over jumps"), (4, "jumps"), (5, long)],
+                                 "doc_id long, text string")
+    items = spark.createDataFrame([(1, "fox jumps over"), (2, "fox  jumps"), (3, "JUMPS"), (4, "w7 w8 w9 w10"), (5, "w7 w9"),
+                                   (6, "w1 w2 w3 w4 w5"), (7, "")], "item_id long, text string")
+    got = rows(decontaminate.contaminated(docs, items, broadcast_bytes=limit), "doc_id", "item_id", "shared", "item_shingles")
+    assert got == sorted([(1, 1, 1, 1), (1, 2, 1, 1), (2, 2, 1, 1), (1, 3, 1, 1), (2, 3, 1, 1), (3, 3, 1, 1), (4, 3, 1, 1),
+                          (1, 4, 1, 1), (5, 4, 1, 1), (1, 6, 1, 1), (5, 6, 1, 1)], key=repr)
+
+
 def test_decontaminated_columns(nasty, items):
     kept = decontaminate.clean(nasty, items)
     assert kept.columns == nasty.columns

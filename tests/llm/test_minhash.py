@@ -106,7 +106,7 @@ def test_short_slices(spark, words):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.classes(df).collect()} == five_words(docs)
         for limit in (64 << 20, 0):
             hits = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, items, broadcast_bytes=limit).collect()}
-            want = {(i, 1) for i, t in docs.items() if words and t and shingles(short, 5) <= shingles(t, 5)}
+            want = {(i, 1) for i, t in docs.items() if words and f" {short} " in f" {t} "}
             assert hits == want | {(1, 2) for t in [docs[1]] if t == long}
 
 

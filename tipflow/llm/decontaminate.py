@@ -10,18 +10,23 @@ distinct 5-word shingles (3/4 unless said otherwise), however long the document
   search misses nothing, whatever the sizes.
 * Every shingle of every document is looked up in the sketches; hits are verified by the exact
   containment of the item's whole set.
+* An item of fewer than k words is its whole word sequence, which is looked up among the documents'
+  windows of as many words.
 * If the items' sets are under ``BROADCAST_BYTES`` (measured), each task holds them and the
   documents are not shuffled.  Otherwise sketches and shingles meet in a shuffled join.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tipflow.llm.common import SHINGLE, U64, Identity, collected, shift, shingle_sets, slices, utf8, written
+from tipflow.llm.common import (
+    SHINGLE, U64, Identity, collected, grams, shift, slices, utf8, word_hashes, written)
 
 NUM, DEN = 3, 4
 BROADCAST_BYTES = 64 << 20
@@ -35,25 +40,42 @@ def sketch_length(n: int, num: int = NUM, den: int = DEN) -> int:
     return min(n, top - -(-top * num // den) + 1)
 
 
+def window_sets(column, k: int, shorter: tuple[int, ...] = ()) -> Iterator[tuple[np.ndarray, int]]:
+    """(set, words) of each row: hashes of its k-word windows, or of all its words if they are fewer than k;
+    and of its windows of the ``shorter`` lengths."""
+    data, at = utf8(column)
+    for a, b in slices(at):
+        words, begin = word_hashes(data, at[a:b + 1])
+        every = {n: grams(words, begin, n)[0] for n in {k, *shorter}} if len(words) else {}
+        for x, y in zip(begin[:-1].tolist(), begin[1:].tolist()):
+            n = y - x
+            parts = [every[m][x:y - m + 1] for m in {k, *shorter} if m <= n]
+            if 0 < n < k and n not in shorter:
+                parts.append(grams(words[x:y], np.array([0, n]), n)[0][:1])
+            yield (np.unique(np.concatenate(parts)) if parts else np.zeros(0, U64)), n
+
+
 def item_sets(items: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(item_id, n, shingle, sketched): one row for each shingle of each item row."""
+    """(item_id, n, words, shingle, sketched): one row for each shingle of each item row."""
 
     def run(batches):
         for batch in batches:
-            ids, sizes, hashes, marks = [], [], [], []
-            for i, s in enumerate(shingle_sets(batch.column("text"), k)):
+            ids, sizes, lengths, hashes, marks = [], [], [], [], []
+            for i, (s, n_words) in enumerate(window_sets(batch.column("text"), k)):
                 if len(s):
                     ids.append(batch.column("item_id")[i].as_py())
                     sizes.append(len(s))
+                    lengths.append(min(n_words, k))
                     hashes.append(s)
                     marks.append(np.arange(len(s)) < sketch_length(len(s), num, den))
             if ids:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, pa.int64()).take(pa.array(np.repeat(np.arange(len(ids)), sizes))),
-                     pa.array(np.repeat(np.array(sizes, np.int64), sizes)), pa.array(shift(np.concatenate(hashes))),
-                     pa.array(np.concatenate(marks))], names=["item_id", "n", "shingle", "sketched"])
+                     *(pa.array(np.repeat(np.array(x, np.int64), sizes)) for x in (sizes, lengths)),
+                     pa.array(shift(np.concatenate(hashes))), pa.array(np.concatenate(marks))],
+                    names=["item_id", "n", "words", "shingle", "sketched"])
 
-    return items.select("item_id", "text").mapInArrow(run, "item_id long, n long, shingle long, sketched boolean")
+    return items.select("item_id", "text").mapInArrow(run, "item_id long, n long, words long, shingle long, sketched boolean")
 
 
 class Index:
@@ -82,22 +104,22 @@ class Index:
                 yield int(self.ids[item]), shared, len(own)
 
 
-def _sets(batches, k):
+def _sets(batches, k, shorter):
     for batch in batches:
         row = 0
         text = batch.column("text")
         for a, b in slices(utf8(text)[1]):
-            for s in shingle_sets(text.slice(a, b - a), k):
+            for s, _ in window_sets(text.slice(a, b - a), k, shorter):
                 yield batch, row, s
                 row += 1
 
 
-def _in_tasks(docs: DataFrame, index: Index, k: int, num: int, den: int) -> DataFrame:
+def _in_tasks(docs: DataFrame, index: Index, k: int, shorter: tuple[int, ...], num: int, den: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches):
         out = []
-        for batch, i, s in _sets(batches, k):
+        for batch, i, s in _sets(batches, k, shorter):
             out.extend((batch.column("doc_id")[i].as_py(), *hit) for hit in shared.value.hits(s, num, den))
             if len(out) > 10_000:
                 yield _rows(out)
@@ -113,9 +135,9 @@ def _rows(out):
                                       names=["doc_id", "item_id", "shared", "item_shingles"])
 
 
-def _by_join(docs: DataFrame, sets: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def _by_join(docs: DataFrame, sets: DataFrame, k: int, shorter: tuple[int, ...], num: int, den: int) -> DataFrame:
     def run(batches):
-        for batch, i, s in _sets(batches, k):
+        for batch, i, s in _sets(batches, k, shorter):
             if len(s):
                 n = len(s)
                 yield pa.RecordBatch.from_arrays(
@@ -141,13 +163,14 @@ def contaminated(docs: DataFrame, items: DataFrame, k: int = SHINGLE, num: int =
                  broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(doc_id, item_id, shared, item_shingles, containment): every item found in every document.
 
-    ``docs (doc_id, text)``, ``items (item_id, text)``; words are lower-cased (A-Z).  A text of fewer
-    than k words is one shingle, so such an item is found only in the same words alone.  Null and
-    word-free texts hit nothing.  Rows of ``items`` with equal item_id count as one item with the
+    ``docs (doc_id, text)``, ``items (item_id, text)``; words are lower-cased (A-Z).  An item of fewer
+    than k words is one shingle, all its words in order, and found wherever these stand in a document.
+    Null and word-free texts hit nothing.  Rows of ``items`` with equal item_id count as one item with the
     shingles of all; null item_ids are one item.  Each repeated row of ``docs`` gives its hits.  Other
     columns are not read.  An empty table on either side gives an empty result.
     """
-    raw = item_sets(items, k, num, den)
+    raw = written(item_sets(items, k, num, den), "windows")
+    shorter = tuple(sorted(r[0] for r in raw.where(F.col("words") < k).select("words").distinct().collect()))
     # equal item_ids: one set, with its size taken anew
     whole = written(raw.groupBy(F.coalesce("item_id", F.lit(NULL_ITEM)).alias("item"), "shingle").agg(
         F.max("n").alias("own"), F.max("sketched").alias("sketched")), "items")
@@ -156,9 +179,9 @@ def contaminated(docs: DataFrame, items: DataFrame, k: int = SHINGLE, num: int =
     sets = written(whole.join(sizes, "item").select(
         "item", "n", "shingle", (F.col("sketched") | (F.col("own") < F.col("n"))).alias("sketched")), "items")
     if sets.count() * 17 <= broadcast_bytes:
-        out = _in_tasks(docs, Index(collected(sets.select("item", "shingle", "sketched"))), k, num, den)
+        out = _in_tasks(docs, Index(collected(sets.select("item", "shingle", "sketched"))), k, shorter, num, den)
     else:
-        out = _by_join(docs, sets, k, num, den)
+        out = _by_join(docs, sets, k, shorter, num, den)
     return out.withColumn("item_id", F.when(F.col("item_id") != NULL_ITEM, F.col("item_id"))).withColumn(
         "containment", F.col("shared") / F.col("item_shingles"))
 
@@ -184,12 +207,18 @@ def oracle_sql(k: int = SHINGLE, num: int = NUM, den: int = DEN) -> str:
     def shingles(table, ident):
         return f"""select distinct {ident}, unnest([array_to_string(w[i:i + {k - 1}], ' ')
             for i in range(1, greatest(len(w) - {k - 1}, 1) + 1)]) as s
-          from (select {ident}, {_sql_words('text')} as w from {table}) where len(w) > 0"""
+          from {table} where len(w) >= {k}"""
     return f"""
-with d as ({shingles('documents', 'doc_id')}), b as ({shingles('benchmark', 'item_id')}),
+with dw as (select doc_id, {_sql_words('text')} as w from documents),
+bw as (select item_id, {_sql_words('text')} as w from benchmark),
+d as ({shingles('dw', 'doc_id')}), b as ({shingles('bw', 'item_id')}),
 n as (select item_id, count(*) as n from b group by item_id)
 select doc_id, item_id, count(*)::bigint as shared, any_value(n)::bigint as item_shingles,
        count(*)::double / any_value(n) as containment
 from d join b using (s) join n using (item_id)
 group by doc_id, item_id having {den} * count(*) >= {num} * any_value(n)
+union all
+select doc_id, item_id, 1, 1, 1.0
+from dw join bw on contains(' ' || array_to_string(dw.w, ' ') || ' ', ' ' || array_to_string(bw.w, ' ') || ' ')
+where len(bw.w) between 1 and {k - 1}
 """
