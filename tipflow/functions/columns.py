@@ -211,6 +211,29 @@ def div_round2(p, q) -> Column:
     return (cents.cast("decimal(20,0)") * F.lit(Decimal("0.01"))).cast(MONEY)
 
 
+def cents(col) -> Column:
+    """A money value as a whole number of cents."""
+    return (c(col) * 100).cast("long")
+
+
+def share_cents(x, y, q) -> Column:
+    """round(x * y / q, 2) HALF_UP in cents, of whole numbers of cents (>= 0, q > 0).
+
+    In 64-bit arithmetic where the product surely fits, else in exact decimals.
+    """
+    x, y, q = c(x), c(y), c(q)
+    small = (x < 10 ** 8) & (y < 10 ** 10) & (q < 10 ** 18)
+    wide = [v.cast("decimal(20,0)") for v in (x, y, q)]
+    a, b = (wide[0] * wide[1]).cast("decimal(38,0)"), wide[2].cast("decimal(38,0)")
+    return F.when(small, F.call_function("div", x * y * 2 + q, q * 2)).otherwise(
+        F.call_function("div", a * 2 + b, b * 2).cast("long"))
+
+
+def money_of(cents_col) -> Column:
+    """Cents as money."""
+    return (c(cents_col).cast("decimal(20,0)") * F.lit(Decimal("0.01"))).cast(MONEY)
+
+
 def fee_type_default(col) -> Column:
     """COALESCE(NULLIF(type, ''), 'D')."""
     return F.coalesce(F.nullif(c(col), F.lit("")), F.lit("D"))

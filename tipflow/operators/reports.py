@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tipflow.functions.columns import (MONEY_SUM, NO_CATEGORY, PAID_STATUSES, batch_status,
-                                       in_period, lower_in, month_label_pt, sql_digits, status_label, text_order)
+from tipflow.functions.columns import (MONEY_SUM, NO_CATEGORY, PAID_STATUSES, batch_status, cents,
+                                       in_period, lower_in, money_of, month_label_pt, sql_digits, status_label,
+                                       text_order)
 from tipflow.sources.mart import Mart
 from tipflow.sources.sinks import write_csv  # noqa: F401  (A4 sink used by report exports)
 
@@ -248,23 +249,22 @@ def batch_statement(m: Mart, cli_id=None) -> DataFrame:
     """
     from tipflow.operators.ids import number_within
     from tipflow.operators.text import format_cpf
-    from tipflow.operators.topups import batch_totals, line_net
+    from tipflow.operators.topups import batch_totals, line_net_cents, net_basis
     show = ((F.col("fee_rate") > 0) & (F.col("fee_type") == "D")).alias("show_discount")
     every = batch_totals(m, cli_id).select("cli_id", "batch_id", "gross", "service_value", "net_total", show)
-    tot = every.select("batch_id", "gross", "net_total", "show_discount")
+    tot = net_basis(every, "show_discount")
     c = m.credit if cli_id is None else m.credit.filter(F.col("cli_id") == cli_id)
     lines = (c.select("cli_id", "batch_id", "usr_id", "credit_value", "credit_date")
              .join(m.collaborator.select("usr_id", "usr_name", "cpf"), "usr_id")
-             .join(tot, "batch_id")
-             .select("cli_id", "batch_id", "usr_name", "usr_id", "credit_value", "credit_date",
-                     F.coalesce(F.nullif(format_cpf("cpf"), F.lit("")), F.lit("-")).alias("cpf"),
-                     line_net().alias("net"), "show_discount")
-             .select("cli_id", "batch_id", "usr_name", "usr_id", "credit_value", "credit_date", "cpf",
-                     F.col("credit_value").cast(MONEY_SUM).alias("gross"),
-                     (F.col("credit_value") - F.col("net")).cast(MONEY_SUM).alias("discount"),
-                     F.col("net").cast(MONEY_SUM).alias("net"), "show_discount"))
+             .join(tot, "batch_id"))
+    # rows are numbered as they are; what is shown of them is made after
     items = number_within(lines, ["batch_id"], ["usr_name", "usr_id", "credit_value", "credit_date"], "line",
                           sizes=c.select("batch_id"))
+    items = (items.withColumn("_net", line_net_cents())
+             .withColumns({"cpf": F.coalesce(F.nullif(format_cpf("cpf"), F.lit("")), F.lit("-")),
+                           "gross": F.col("credit_value").cast(MONEY_SUM),
+                           "discount": money_of(cents("credit_value") - F.col("_net")).cast(MONEY_SUM),
+                           "net": money_of("_net").cast(MONEY_SUM)}))
     items = items.select("cli_id", "batch_id", "line", "usr_name", "cpf", "gross", "discount", "net", "show_discount")
     totals = every.select(
         "cli_id", "batch_id", F.lit(None).cast("int").alias("line"), F.lit("TOTAL").alias("usr_name"),

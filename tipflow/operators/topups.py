@@ -14,9 +14,9 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tipflow.functions.columns import (MONEY, MONEY_SUM, badge_status, digits, div_round2,
-                                       distinct_from, fee_split, fee_type_default, in_period,
-                                       js_trim, leading_number, list_status, lower_in, pct, sql_digits)
+from tipflow.functions.columns import (MONEY, MONEY_SUM, badge_status, cents, digits, div_round2, distinct_from,
+                                       fee_split, fee_type_default, in_period,
+                                       js_trim, leading_number, list_status, lower_in, pct, share_cents, sql_digits)
 from tipflow.functions import messages as M
 from tipflow.sources.mart import Mart
 
@@ -46,26 +46,19 @@ def topup_history(m: Mart, start=None, end=None, cli_id=None) -> DataFrame:
         b = b.filter(in_period("imported_at", start, end, "next_midnight", kind="timestamp"))
     parts = (m.credit.groupBy("batch_id", "not_id")
              .agg(F.count(F.lit(1)).alias("n"), F.sum("credit_value").alias("s")))
-    inv = m.invoice.select("not_id", "situation", "invoice_value", "movement_value",
-                           "charge_status", "pix_qrcode", "barcode_line")
-    per_inv = parts.join(inv, "not_id", "left").select(
-        "batch_id", "n", "s", "invoice_value", "movement_value",
-        _live("not_id").alias("live_not_id"), _live("charge_status").alias("charge_status"),
-        _live("pix_qrcode").alias("pix_qrcode"), _live("barcode_line").alias("barcode_line"))
+    # sums and values by (batch, live invoice); what describes either joins after
+    inv = m.invoice.select("not_id", "situation", "invoice_value", "movement_value")
+    sums = (parts.join(inv, "not_id", "left").withColumn("live_not_id", _live("not_id")).groupBy("batch_id", "live_not_id")
+            .agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max("invoice_value").alias("invoice_value"),
+                 F.max("movement_value").alias("movement_value")))
+    live = m.invoice.select(F.col("not_id").alias("live_not_id"), "charge_status", "pix_qrcode", "barcode_line")
     t = m.tenant.select("cli_id", "trade_name", "fee_rate", "fee_type")
-    keys = ["batch_id", "cli_id", "imported_at", "created_by", "batch_status", "title",
-            "trade_name", "fee_rate", "fee_type", "live_not_id", "charge_status",
-            "pix_qrcode", "barcode_line"]
-    return (b.join(t, "cli_id").join(per_inv, "batch_id", "left")
-            .groupBy(*keys)
-            .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_credits"),
-                 F.coalesce(F.sum("s"), F.lit(0)).cast(MONEY_SUM).alias("gross"),
-                 F.max("invoice_value").alias("invoice_value"),
-                 F.max("movement_value").alias("movement_value"))
+    return (b.join(t, "cli_id").join(sums, "batch_id", "left").join(live, "live_not_id", "left")
             .select("batch_id", "cli_id", "imported_at", "created_by", "batch_status", "title",
                     "trade_name", F.coalesce("fee_rate", F.lit(0).cast("decimal(9,4)")).alias("fee_rate"),
                     fee_type_default("fee_type").alias("fee_type"),
-                    "n_credits", "gross", F.col("live_not_id").alias("not_id"),
+                    F.coalesce("n", F.lit(0)).alias("n_credits"),
+                    F.coalesce("s", F.lit(0)).cast(MONEY_SUM).alias("gross"), F.col("live_not_id").alias("not_id"),
                     "invoice_value", "movement_value", "charge_status", "pix_qrcode", "barcode_line"))
 
 
@@ -149,19 +142,26 @@ def batch_totals(m: Mart, cli_id=None) -> DataFrame:
                     .otherwise(F.coalesce("fee_rate", F.lit(0))).cast("decimal(9,2)").alias("fee_rate")))
 
 
-def line_net(credit_value="credit_value", gross="gross", net_total="net_total"):
-    """Net of one line: gross_line x (movement / gross of the batch), rounded to cents."""
-    return (F.when(F.col(gross) > 0, div_round2(F.col(credit_value) * F.col(net_total), F.col(gross)))
-            .otherwise(F.col(credit_value)).cast(MONEY))
+def net_basis(totals: DataFrame, *keep: str) -> DataFrame:
+    """What the nets of a batch's lines need, in cents: (batch_id, gross_c, net_c, keep...)."""
+    return totals.select("batch_id", cents("gross").alias("gross_c"), cents("net_total").alias("net_c"), *keep)
+
+
+def line_net_cents(credit_value="credit_value"):
+    """Net of one line in cents: gross_line x (movement / gross of the batch), rounded; beside ``net_basis``."""
+    line = cents(credit_value)
+    return F.when(F.col("gross_c") > 0, share_cents(line, "net_c", "gross_c")).otherwise(line)
 
 
 def detail_totals(m: Mart, cli_id=None) -> DataFrame:
     """D3: :func:`batch_totals` plus ``net_sum`` (per-line nets, each rounded, summed)
     and ``cent_drift`` = net_sum - net_total."""
     tot = batch_totals(m, cli_id)
-    # the totals travel with the lines as group keys, so they are built once
-    nets = (_tenant_filter(m.credit, cli_id).select("batch_id", "credit_value").join(tot, "batch_id")
-            .groupBy(*tot.columns).agg(F.sum(line_net()).cast(MONEY_SUM).alias("net_sum")))
+    lines = _tenant_filter(m.credit, cli_id).select("batch_id", "credit_value").join(net_basis(tot), "batch_id")
+    # sums of cents by batch alone; the other totals join after
+    sums = lines.groupBy("batch_id").agg(F.sum(line_net_cents()).alias("_net"))
+    nets = tot.join(sums, "batch_id").withColumn(
+        "net_sum", (F.col("_net").cast("decimal(20,0)") * F.lit(Decimal("0.01"))).cast(MONEY_SUM)).drop("_net")
     return (nets.withColumn("cent_drift", (F.col("net_sum") - F.col("net_total")).cast(MONEY_SUM))
             .withColumn("gross", F.col("gross").cast(MONEY_SUM)))
 
@@ -443,21 +443,27 @@ def validate_credit_request(m: Mart, requests: DataFrame | None = None, max_line
     numbering).
     """
     r = m.credit_request if requests is None else requests
-    head = r.groupBy("request_id", "cli_id").agg(
-        F.count(F.lit(1)).alias("n_lines"),
-        F.max(F.col("ref_id").isNull() | (F.col("ref_id") <= 0)).alias("cpf_mode"),
-        F.max("titulo").alias("titulo"), F.max("data").alias("data"))
     v = leading_number("valor")
-    lines = r.select("request_id", "line_no", "ref_id", "cpf", "valor")
-    checked = lines.join(head.select("request_id", "cpf_mode"), "request_id").select(
-        "request_id", "line_no",
-        F.when(F.col("cpf_mode"), F.when(F.length(digits(F.coalesce("cpf", F.lit("")))) != 11, M.REQUEST_LINE_CPF))
-        .otherwise(F.when(F.col("ref_id").isNull() | (F.col("ref_id") <= 0), M.REQUEST_LINE_ID)).alias("ref_err"),
-        F.when(v.isNull() | F.isnan(v) | (v <= 0) | (v > MAX_VALUE), M.REQUEST_LINE_VALUE).alias("val_err"))
-    first = (checked.filter(F.col("ref_err").isNotNull() | F.col("val_err").isNotNull())
-             .groupBy("request_id")
-             .agg(F.min(F.struct("line_no", F.coalesce("ref_err", "val_err").alias("msg"))).alias("b"))
-             .select("request_id", F.col("b.line_no").alias("bad_line"), F.col("b.msg").alias("msg")))
+    bad_id = F.col("ref_id").isNull() | (F.col("ref_id") <= 0)
+    val_err = F.when(v.isNull() | F.isnan(v) | (v <= 0) | (v > MAX_VALUE), M.REQUEST_LINE_VALUE)
+    lines = r.select("request_id", "cli_id", "line_no", "titulo", "data", bad_id.alias("bad_id"), val_err.alias("val_err"),
+                     F.when(F.length(digits(F.coalesce("cpf", F.lit("")))) != 11, M.REQUEST_LINE_CPF).alias("cpf_err"))
+
+    def first_error(ref_err):
+        """The first failing line and its message, if the references of all lines are checked this way."""
+        return F.min(F.when(ref_err.isNotNull() | F.col("val_err").isNotNull(),
+                            F.struct("line_no", F.coalesce(ref_err, "val_err").alias("msg"))))
+
+    # whether a request goes by CPF shows only in all its lines, so both ways are aggregated
+    head = (lines.groupBy("request_id", "cli_id").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.max("bad_id").alias("cpf_mode"),
+        F.max("titulo").alias("titulo"), F.max("data").alias("data"),
+        first_error(F.col("cpf_err")).alias("_cpf"),
+        first_error(F.when(F.col("bad_id"), M.REQUEST_LINE_ID)).alias("_id"))
+        .withColumn("_bad", F.when(F.col("cpf_mode"), F.col("_cpf")).otherwise(F.col("_id"))))
+    first = head.filter(F.col("_bad").isNotNull()).select(
+        "request_id", F.col("_bad.line_no").alias("bad_line"), F.col("_bad.msg").alias("msg"))
+    head = head.drop("_cpf", "_id", "_bad")
     # position of the first failing line = lines of the request up to it (an aggregate, no numbering)
     pos = (lines.select("request_id", "line_no").join(first, "request_id")
            .filter(F.col("line_no") <= F.col("bad_line"))
@@ -489,15 +495,15 @@ def resolve_request_lines(m: Mart, requests: DataFrame | None = None):
     r = m.credit_request if requests is None else requests
     ok = validate_credit_request(m, r).filter("is_valid").select(
         "request_id", "cpf_mode", F.col("titulo").alias("req_title"), "credit_date")
-    lines = r.join(ok, "request_id")
+    lines = r.join(ok, "request_id").withColumns({
+        "_cpf": F.when(F.col("cpf_mode"), pad_cpf_digits("cpf")), "_id": F.when(~F.col("cpf_mode"), F.col("ref_id"))})
     active = m.collaborator.filter(F.col("sit_id") == 1).select("usr_id", "cli_id", "cpf")
-    by_cpf = (lines.filter("cpf_mode").withColumn("key", pad_cpf_digits("cpf"))
-              .join(active.select("cli_id", sql_digits("cpf").alias("key"), "usr_id"), ["cli_id", "key"])
-              .groupBy("request_id", "line_no").agg(F.min("usr_id").alias("usr_id")))
-    by_id = (lines.filter(~F.col("cpf_mode"))
-             .join(active.select("cli_id", F.col("usr_id").alias("ref_id"), "usr_id"), ["cli_id", "ref_id"])
-             .select("request_id", "line_no", "usr_id"))
-    resolved = (lines.join(by_cpf.unionByName(by_id), ["request_id", "line_no"], "left")
+    # the lowest id of a CPF, so each line meets at most one collaborator either way
+    by_cpf = (active.select("cli_id", sql_digits("cpf").alias("_cpf"), "usr_id").groupBy("cli_id", "_cpf")
+              .agg(F.min("usr_id").alias("_by_cpf")))
+    by_id = active.select("cli_id", F.col("usr_id").alias("_id"), F.col("usr_id").alias("_by_id"))
+    resolved = (lines.join(by_cpf, ["cli_id", "_cpf"], "left").join(by_id, ["cli_id", "_id"], "left")
+                .withColumn("usr_id", F.coalesce("_by_cpf", "_by_id")).drop("_cpf", "_id", "_by_cpf", "_by_id")
                 .withColumn("v", leading_number("valor")))
     reason = (F.when(F.col("usr_id").isNull(), F.lit(M.LINE_NOT_FOUND))
               .when(F.col("v").isNull() | F.isnan("v") | (F.col("v") <= 0), F.lit(M.LINE_VALUE_NOT_POSITIVE)))
