@@ -59,6 +59,15 @@ def drop_written(spark: SparkSession, before: int, after: int) -> int:
     return len(_paths)
 
 
+BROADCAST_KEYS = 500_000  # of two longs at most: 32 MB in a join's hash table
+
+
+def anti_join(rows: DataFrame, keys: DataFrame, on) -> DataFrame:
+    """``rows`` (wide) that meet none of ``keys`` (at most two longs a row, written): the keys are broadcast up
+    to ``BROADCAST_KEYS``, so the rows are not shuffled; more of them meet the rows in a shuffle."""
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, on, "left_anti")
+
+
 def collected(df: DataFrame) -> dict[str, np.ndarray]:
     """The columns of a table of proven size on the driver, moved as Arrow batches (no row objects)."""
     table = df.toArrow()

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tipflow.llm.common import (
-    SHINGLE, U64, Identity, collected, grams, shift, slices, utf8, word_hashes, written)
+    SHINGLE, U64, Identity, anti_join, collected, grams, shift, slices, utf8, word_hashes, written)
 
 NUM, DEN = 3, 4
 BROADCAST_BYTES = 64 << 20
@@ -192,9 +192,9 @@ def clean(docs: DataFrame, items: DataFrame, k: int = SHINGLE, num: int = NUM, d
     A row is judged by its text (told apart by 64 bits), so rows that repeat a doc_id or have none are
     judged each by itself.  An empty table of documents or items leaves docs as they are.
     """
-    bad = contaminated(docs.select(F.xxhash64("text").alias("doc_id"), "text"), items, k, num, den).select(
-        F.col("doc_id").alias("_text_hash")).distinct()
-    return docs.join(bad, F.xxhash64("text") == F.col("_text_hash"), "left_anti").select(*docs.columns)
+    bad = written(contaminated(docs.select(F.xxhash64("text").alias("doc_id"), "text"), items, k, num, den).select(
+        F.col("doc_id").alias("_text_hash")).distinct(), "contaminated")
+    return anti_join(docs, bad, F.xxhash64("text") == F.col("_text_hash"))
 
 
 def _sql_words(column: str) -> str:

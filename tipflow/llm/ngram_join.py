@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tipflow.llm.common import (
-    SHINGLE, U64, Identity, collected, identity, named, shift, shingle_sets, slices, utf8, written)
+    SHINGLE, U64, Identity, anti_join, collected, identity, named, shift, shingle_sets, slices, utf8, written)
 from tipflow.llm.components import components
 
 NUM, DEN = 3, 4            # similarity of 0.75
@@ -542,7 +542,7 @@ def keep_one(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN)
         F.max((F.col("k1") == F.col("b1")) & (F.col("k2") == F.col("b2"))).alias("stays"), F.count("*").alias("copies"))
         .where("not stays or copies > 1").select(F.col("k1").alias("_mark_1"), F.col("k2").alias("_mark_2"), "stays"), "marks")
     marked = (key[0] == F.col("_mark_1")) & (key[1] == F.col("_mark_2"))
-    out = docs.join(marks.drop("stays"), marked, "left_anti")
+    out = anti_join(docs, marks.drop("stays"), marked)
     copies = marks.where("stays").drop("stays")
     if copies.isEmpty():
         return out

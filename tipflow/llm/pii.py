@@ -255,6 +255,16 @@ def bootstrap(found: DataFrame) -> DataFrame:
     return hits.groupBy("doc_id", "hash").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("added"))
 
 
+BROADCAST_BYTES = 32 << 20
+
+
+def _small(added: DataFrame) -> DataFrame:
+    """Added spans, written, and broadcast if they are measured to be small: the texts are not shuffled then."""
+    added = written(added, "added")
+    rows, spans = added.agg(F.count("*"), F.sum(F.size("added"))).first()
+    return F.broadcast(added) if 64 * rows + 32 * (spans or 0) <= BROADCAST_BYTES else added
+
+
 def _joined(left: DataFrame, added: DataFrame) -> DataFrame:
     to = added.select(F.col("doc_id").alias("_doc"), F.col("hash").alias("_hash"), "added")
     return left.join(to, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("hash") == F.col("_hash")), "left").drop(
@@ -289,7 +299,7 @@ def masked(docs: DataFrame) -> DataFrame:
     found = written(_scan(docs), "pii")
     # the row travels as one struct, so no name of its columns can clash
     marked = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", F.xxhash64("text").alias("hash"))
-    marked = _joined(marked, bootstrap(found)).select("_row", "added")
+    marked = _joined(marked, _small(bootstrap(found))).select("_row", "added")
     names = docs.columns
 
     def run(batches):
