@@ -1,10 +1,13 @@
 """Invariants of the table-changing jobs and the id allocator."""
 
 import datetime as dt
+from collections import Counter
 from decimal import Decimal
+from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
+from tipflow.operators import access
 from tipflow.operators import changes as ch
 from tipflow.operators import ids, people, topups
 from tipflow.plans.registry import AS_OF
@@ -309,3 +312,32 @@ def test_collaborators_are_created_with_their_categories(spark, scratch):
     assert set(made) == {0, 1, 3, 4}
     assert {tuple(r) for r in out["links"].collect()} == {(made[0], a), (made[0], b)}
     assert out["collab_category"].count() == m.collab_category.count() + 2
+
+
+def test_requests_without_invoice_do_not_meet_in_one_task(spark):
+    log = [(i, None if i % 100 == 99 else i % 500, "api", i % 3 or None, i % 7 if i % 10 == 0 else None) for i in range(4000)]
+    m = SimpleNamespace(
+        request_log=spark.createDataFrame(log, "req_id long, usr_code long, route string, asked_cli_id long, asked_not_id long"),
+        portal_user=spark.createDataFrame([(u, 1 + u % 2, "S" if u % 50 == 0 else "N") for u in range(500)],
+                                          "usr_code long, legacy_cli_id long, is_admin string"),
+        credit=spark.createDataFrame([(n, 1 + n % 2) for n in range(5)], "not_id long, cli_id long"))
+    want = {}
+    for req, usr, _, cli, inv in log:
+        own, admin = (None, False) if usr is None else (1 + usr % 2, usr % 50 == 0)
+        owner = 1 + inv % 2 if inv is not None and inv < 5 else None
+        want[req] = ("deny_tenant" if not (cli is None or admin or cli == own)
+                     else "allow" if inv is None
+                     else "not_found" if owner is None
+                     else "allow" if admin or owner == own else "deny_invoice")
+    set_to = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in set_to}
+    for k, v in set_to.items():
+        spark.conf.set(k, v)
+    try:
+        got = access.tenant_access_audit(m).select("req_id", "decision", F.spark_partition_id().alias("p")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r.req_id: r.decision for r in got} == want and len(got) == len(log)
+    assert set(want.values()) == {"allow", "deny_tenant", "deny_invoice", "not_found"}
+    assert max(Counter(r.p for r in got).values()) < len(log) / 2
