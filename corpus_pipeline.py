@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tipflow.llm import decontaminate, langid, mixing, ngram_join, pii
-from tipflow.llm.common import _paths, drop_written, table, written
+from tipflow.llm.common import _paths, drop_written, small_batches, table, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,6 +19,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Without a labelled text there is no model to reject by, and all documents stay.  With one, null
     texts and texts without a letter go.  Repeated rows and null doc_ids are rows like others.
     """
+    small_batches(spark)  # the join sets this too, but executors keep what the first stage makes them take
     # the row travels as one struct, so no name of its columns can clash
     rows = docs.select(F.struct(*docs.columns).alias("_row"), "text", "lang")
     return langid.identify(rows, F.lit(True), ["_row"]).where("not (rejected and learned)").select("_row.*")

@@ -1,5 +1,6 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing column names."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,3 +201,23 @@ def test_pipeline_stages_on_rows_that_share_or_lack_a_doc_id(spark, empty):
     nothing = empty.select(*docs.columns)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, nothing, sf).collect() == []
+
+
+def test_join_hands_python_bounded_batches(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "bytes"])
+
+    names = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    before = {k: spark.conf.get(k) for k in names}
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id as doc_id", "concat('a b c d ', id, repeat(' word', if(id < 100, 40000, 1))) as text")
+    try:
+        for k in names:
+            spark.conf.unset(k)
+        assert ngram_join.classes(docs).count() == 3000
+        got = docs.mapInArrow(sizes, "n long, bytes long").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(r.n for r in got) == 3000 and max(r.n for r in got) <= 1000
+    assert max(r.bytes for r in got) < 8 << 20  # 20 MB of long texts

@@ -34,6 +34,19 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{app_id(spark)}-llm/{name}-{uuid.uuid4().hex}"
 
 
+BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python in Arrow batches of bounded rows and bytes.
+
+    A batch is held whole outside the executor's heap, by its JVM and by the Python worker, and neither gives
+    that memory back; Spark's 10,000 rows are 20 MB of short texts and without bound for long ones.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 _paths: list[str] = []  # what ``written`` has left in the shared folder
 
 

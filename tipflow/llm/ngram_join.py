@@ -39,7 +39,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tipflow.llm.common import (
-    SHINGLE, U64, Identity, anti_join, collected, identity, named, shift, shingle_sets, slices, utf8, written)
+    BATCH_ROWS, SHINGLE, U64, Identity, anti_join, collected, identity, named, shift, shingle_sets, slices, small_batches, utf8,
+    written)
 from tipflow.llm.components import components
 
 NUM, DEN = 3, 4            # similarity of 0.75
@@ -116,16 +117,21 @@ def profile(docs: DataFrame, k: int) -> DataFrame:
                 if size >= PORTION:
                     common()
                     size = 0
-            if len(rows) >= 50_000:
-                yield _table(rows)
+            if len(rows) >= BATCH_ROWS:
+                yield from _tables(rows)
                 rows = []
         common()
-        if rows:
-            yield _table(rows)
+        yield from _tables(rows)
 
     return docs.select("doc_id", "text", "k1", "k2").mapInArrow(run, _PROFILE)
 
 
+def _tables(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Batches of ``BATCH_ROWS`` rows at most."""
+    for i in range(0, len(rows), BATCH_ROWS):
+        yield _table(rows[i:i + BATCH_ROWS])
+
+
 def _table(rows: list[tuple]) -> pa.RecordBatch:
     types = [pa.int32(), *[pa.int64()] * 5, pa.int32(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)],
@@ -452,6 +458,7 @@ def rooted(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     if 2 * num < den:  # size classes meet the next class only
         raise ValueError(f"similarity {num}/{den} is below 1/2")
     spark = docs.sparkSession
+    small_batches(spark)
     seen = written(profile(docs, k), "profile")
     ident_of = identity(seen.where("kind = 0").select("id", "check"))
     sets = named(seen.where("kind = 0"), ident_of)
